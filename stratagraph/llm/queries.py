@@ -5,14 +5,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, tokencount
+from .common import remainder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import langid
+
+    docs, held = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = langid.fit(docs.where(~held), public_tokenizers.path("piece_bpe_32k.model"))
+    return langid.predict(docs, model, held)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -20,12 +32,22 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    from . import tokencount
+
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixtree
+
+    return suffixtree.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_simhash": op2_simhash,
     "op6_token_counts": op6_token_counts,
+    "op8_suffix_tree": op8_suffix_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
