@@ -40,6 +40,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionAll(hard))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op8_suffix_tree": op8_suffix_tree,
     "op9_secrets": op9_secrets,
