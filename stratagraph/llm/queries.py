@@ -54,6 +54,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import htmltext
+
+    return htmltext.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixtree
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
+    "op7_html": op7_html,
     "op8_suffix_tree": op8_suffix_tree,
     "op9_secrets": op9_secrets,
 }
