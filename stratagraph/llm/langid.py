@@ -13,6 +13,7 @@ pieces don't cross words. Words recur, so a worker keeps the scores of those it
 import math
 import pickle
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -254,18 +255,13 @@ _SEEN: dict[str, _Scored] = {}
 def predictor(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow`` over ``doc_id, held_out, text``. The model is sent with the function: its
     size is bounded by the vocabulary times the languages."""
-    packed = pickle.dumps(tuple(model))
-    name = f"{hash(packed)}"
+    packed, name = pickle.dumps(tuple(model)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, score = [], []
             for a in range(0, batch.num_rows, ROWS):
-                seen = _SEEN.get(name)
-                if seen is None or len(seen) > KEPT:
-                    _SEEN.clear()
-                    seen = _SEEN[name] = _Scored(Model(*pickle.loads(packed)))  # noqa: S301  made above
-                p, s = predict_texts(batch.column("text").slice(a, ROWS).to_pylist(), seen)
+                p, s = predict_texts(batch.column("text").slice(a, ROWS).to_pylist(), _seen(name, packed))
                 pred += p
                 score += s
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -283,3 +279,25 @@ def predict(docs: DataFrame, model: Model, held_out: Column | None = None) -> Da
     flag = F.lit(False) if held_out is None else held_out
     rows = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), flag.alias("held_out"), "text"), "doc_id", "held_out", "text")
     return rows.mapInArrow(predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose text has a language with score ``least`` or more."""
+    packed, name = pickle.dumps(tuple(model)), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                pred, score = predict_texts(["" if t is None else t for t in part.column("text").to_pylist()], _seen(name, packed))
+                yield part.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.schema)
+
+
+def _seen(name: str, packed: bytes) -> _Scored:
+    seen = _SEEN.get(name)
+    if seen is None or len(seen) > KEPT:
+        _SEEN.clear()
+        seen = _SEEN[name] = _Scored(Model(*pickle.loads(packed)))  # noqa: S301  made by this module
+    return seen
