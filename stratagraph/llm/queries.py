@@ -40,6 +40,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionAll(hard))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import hnsw
+
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
     "op3_chat": op3_chat,
+    "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_html": op7_html,
