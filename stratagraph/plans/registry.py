@@ -1,8 +1,510 @@
 """Registered queries and, where SQL can say the same, their SQL."""
 
+from __future__ import annotations
+
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as fn
+from ..model import state_dimension
+from ..operators import graph, metrics, refs, search, states
+from . import star
+from .star import OBJECTS_SQL, TRADE_SQL, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The filter under which some references have no object.
+PART = "p_size <= 40"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def take(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+def _catalog(modules: str = "true") -> str:
+    return "with recursive " + OBJECTS_SQL.format(modules=modules)
+
+
+def _bound(s: SparkSession, d: str, modules: str = "true") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Objects, edges and missing references. Names are joined once: a left join tells both."""
+    objects, rs = star.objects(s, d, modules), star.references(s, d)
+    known = objects.select(F.col("full_name").alias("known"))
+    joined = rs.join(known, F.col("ref") == F.col("known"), "left")
+    return objects, joined.where("known is not null").select("src", F.col("ref").alias("dst"), "kind"), joined.where("known is null").select("src", "ref")
+
+
+def _edges(s: SparkSession, d: str) -> DataFrame:
+    """Every foreign key of the full catalog resolves, so its edges need no look at the objects."""
+    return star.references(s, d).select("src", F.col("ref").alias("dst"), "kind")
+
+
+def _nodes(objects: DataFrame) -> DataFrame:
+    return objects.select(F.col("full_name").alias("node"), "type")
+
+
+_STATES = (
+    _catalog(PART)
+    + """,
+    typed as (select e.src, e.dst, s.type as st, o.type as dt from edges e join objects s on s.full_name = e.src join objects o on o.full_name = e.dst),
+    outd as (select src as node, count(*) as d, bool_or(dt in ('resource','module','data')) as infra from typed group by 1),
+    ind as (select dst as node, count(*) as n, count(*) filter (where st in ('resource','data')) as users from (select distinct * from typed) group by 1),
+    lost as (select src as node, count(*) as m from missing group by 1),
+    reach as (
+      select distinct dst as node from typed where st in ('resource','module','data','provider','output')
+      union select t.dst from typed t join reach r on t.src = r.node where t.st in ('local','variable')),
+    feat as (
+      select o.*, coalesce(d, 0) as d, coalesce(n, 0) as n, coalesce(users, 0) as users, coalesce(infra, false) as infra, coalesce(m, 0) as m, r.node is not null as reaches
+      from objects o left join outd on outd.node = full_name left join ind on ind.node = full_name left join lost on lost.node = full_name left join reach r on r.node = full_name),
+    stated as (
+      select full_name, type, d, n, case
+        when m > 0 then 'missing_dependency' when d + n * 0.5 > 30 then 'broken'
+        when type = 'variable' then case when reaches then 'input' else 'unused' end
+        when type = 'provider' then case when users > 0 or n > 0 then 'configuration' else 'unused' end
+        when type = 'output' then case when d = 0 then 'incomplete' when infra or n > 0 then 'output_interface' else 'orphaned' end
+        when type = 'local' then case when reaches then 'active' else 'unused' end
+        when type in ('resource','module') then case when d = 0 and n = 0 then 'isolated' when n = 0 then 'active' when d = 0 then 'leaf' else 'integrated' end
+        when type = 'data' then case when n = 0 then 'unused' else 'external_data' end end as state
+      from feat)"""
+)
+
+
+def _stated(s: SparkSession, d: str) -> DataFrame:
+    objects, edges, missing = _bound(s, d, PART)
+    return states.classify(states.features(objects, edges, missing))
+
+
+@query(_STATES + " select type, state, count(*) as n from stated group by 1, 2")
+def flagship_state_distribution(s: SparkSession, d: str) -> DataFrame:
+    return _stated(s, d).groupBy("type", "state").agg(F.count("*").alias("n"))
+
+
+@query(_STATES + " select full_name, type, state from stated")
+def object_states(s: SparkSession, d: str) -> DataFrame:
+    return _stated(s, d).select("full_name", "type", "state")
+
+
+@query(
+    _STATES
+    + """ select total, good, unused, orphaned, incomplete, round(greatest(0, least(100, (good * 100.0 - unused * 15.0 - orphaned * 10.0 - incomplete * 20.0) / total)), 2) as score from (
+    select count(*) as total, count(*) filter (where state in ('active','input','output_interface','configuration')) as good, count(*) filter (where state = 'unused') as unused,
+    count(*) filter (where state = 'orphaned') as orphaned, count(*) filter (where state = 'incomplete') as incomplete from stated)"""
+)
+def health_score(s: SparkSession, d: str) -> DataFrame:
+    return metrics.health_score(_stated(s, d).select("type", "state"))
+
+
+@query(
+    _STATES
+    + """ , sev as (select case when state in ('active','integrated','leaf','input','output_interface','configuration') then 'healthy' when state in ('external_data') then 'info'
+    when state in ('isolated','orphaned','unused') then 'warning' else 'error' end as severity from stated)
+    select total, n_healthy, n_info, n_warning, n_error, round(greatest(0, least(100, (n_healthy * 100.0 - n_warning * 15.0 - n_error * 30.0) / total)), 2) as score from (
+    select count(*) as total, count(*) filter (where severity = 'healthy') as n_healthy, count(*) filter (where severity = 'info') as n_info, count(*) filter (where severity = 'warning') as n_warning, count(*) filter (where severity = 'error') as n_error from sev)"""
+)
+def graph_health(s: SparkSession, d: str) -> DataFrame:
+    return metrics.graph_health(_stated(s, d).select("state"), state_dimension(s))
+
+
+@query(_catalog() + " select count(*) filter (where type='resource') as n_resource, count(*) filter (where type='data') as n_data, count(*) filter (where type='module') as n_module, count(*) filter (where type='variable') as n_variable, count(*) filter (where type='output') as n_output, count(*) filter (where type='provider') as n_provider, count(*) filter (where type='local') as n_local, count(*) as total from objects")
+def catalog_counts(s: SparkSession, d: str) -> DataFrame:
+    return metrics.kind_counts(star.objects(s, d))
+
+
+@query("select lower('cust_' || c_mktsegment) as resource_type, count(*) as n from customer group by 1 order by n desc, 1 limit 10")
+def type_histogram_top10(s: SparkSession, d: str) -> DataFrame:
+    return metrics.top_types(star.objects(s, d))
+
+
+@query(_catalog() + """, o as (select src as node, count(*) as d from edges group by 1), i as (select dst as node, count(distinct src) as n from edges group by 1)
+select full_name as node, coalesce(d, 0) as dependencies, coalesce(n, 0) as dependents, coalesce(d, 0) + coalesce(n, 0) * 0.5 as complexity from objects left join o on o.node = full_name left join i on i.node = full_name""")
+def degree_complexity(s: SparkSession, d: str) -> DataFrame:
+    deg = graph.degrees(_nodes(star.objects(s, d)), _edges(s, d)).withColumns({"circular": F.lit(False), "missing": F.lit(False)})
+    return deg.select("node", "dependencies", "dependents", graph.complexity().alias("complexity"))
+
+
+_REF_TEXT_SQL = "with t as (select 'local.' || o_orderkey as src, 'x = var.n' || (o_custkey % 25) || ' + \"${local.o' || (o_orderkey % 7) || '}\" ${module.m' || (o_custkey % 5) || '.out} data.aws_ami.d' || (o_orderkey % 3) || '.id aws_vpc.v' || (o_custkey % 4) || '.id' as text from orders)"
+
+
+def _ref_texts(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    text = F.concat(F.lit("x = var.n"), (c % 25).cast("string"), F.lit(' + "${local.o'), (k % 7).cast("string"), F.lit('}" ${module.m'), (c % 5).cast("string"), F.lit(".out} data.aws_ami.d"), (k % 3).cast("string"), F.lit(".id aws_vpc.v"), (c % 4).cast("string"), F.lit(".id"))
+    return o.select(F.concat(F.lit("local."), k.cast("string")).alias("full_name"), F.lit("local").alias("type"), text.alias("attributes_text"))
+
+
+@query(_REF_TEXT_SQL + """, r as (
+ select src, unnest(list_distinct(regexp_extract_all(text, '\\b(var\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b(local\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b(module\\.[A-Za-z_][A-Za-z0-9_-]*)\\.', 1)
+  || regexp_extract_all(text, '\\b(data\\.[A-Za-z_][A-Za-z0-9_-]*\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b([a-z][a-z0-9_]*\\.[A-Za-z_][A-Za-z0-9_-]*)\\.', 1))) as ref from t)
+select src, ref from r where src <> ref and (split_part(ref, '.', 1) in ('var','local','module','data','provider','output','each') or contains(split_part(ref, '.', 1), '_'))""")
+def ref_extract_regex(s: SparkSession, d: str) -> DataFrame:
+    return refs.extract(_ref_texts(s, d))
+
+
+@query(_catalog(PART) + " select src, dst, kind from edges")
+def ref_resolve_exact(s: SparkSession, d: str) -> DataFrame:
+    return _bound(s, d, PART)[1]
+
+
+@query(_catalog(PART) + " select src, ref from missing")
+def ref_missing(s: SparkSession, d: str) -> DataFrame:
+    return _bound(s, d, PART)[2]
+
+
+@query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem where l_orderkey % 5 = 0),
+ rest as (select * from refs where ref not in (select full_name from names)), b as (select ref, full_name from (select distinct ref from rest) join names on starts_with(full_name, ref))
+ select src, full_name as dst from rest join b using (ref) union select src, ref from refs where ref in (select full_name from names)""")
+def ref_resolve_prefix(s: SparkSession, d: str) -> DataFrame:
+    return refs.resolve(*_prefix_case(s, d))[0]
+
+
+def _prefix_case(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    part, line = table(s, d, "part"), table(s, d, "lineitem")
+    names = part.select(F.concat(F.lit("part."), "p_name").alias("full_name")).union(part.where("p_partkey % 3 = 0").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string"), F.lit("_key"))))
+    rs = line.where("l_orderkey % 5 = 0").select(F.concat(F.lit("line."), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("ref")).distinct()
+    return rs, names
+
+
+@query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem where l_orderkey % 5 = 0)
+ select src, ref from refs where ref not in (select ref from (select distinct ref from refs) join names on starts_with(full_name, ref))""")
+def ref_missing_prefix(s: SparkSession, d: str) -> DataFrame:
+    return refs.resolve(*_prefix_case(s, d))[1]
+
+
+@query(_catalog() + " select distinct dst as src, src as dst from edges")
+def reverse_edges(s: SparkSession, d: str) -> DataFrame:
+    return graph.reverse(graph.distinct_edges(_edges(s, d)))
+
+
+@query(_catalog() + " select case when starts_with(dst, 'provider.') then 'provider' else kind end as edge_type, case when starts_with(dst, 'provider.') then 0.5 when kind = 'explicit' then 1.0 else 0.7 end as strength, count(*) as n from edges group by 1, 2")
+def edge_types_strength(s: SparkSession, d: str) -> DataFrame:
+    return metrics.edge_kinds(_edges(s, d)).groupBy("edge_type", "strength").agg(F.count("*").alias("n"))
+
+
+@query("select 'customer_acct.' || c_custkey as src, 'provider.' || n_regionkey as dst from customer join nation on c_nationkey = n_nationkey union all select 'data.supplier_acct.' || s_suppkey, 'provider.' || n_regionkey from supplier join nation on s_nationkey = n_nationkey")
+def provider_join(s: SparkSession, d: str) -> DataFrame:
+    n = table(s, d, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").cast("string").alias("provider"))
+    c = table(s, d, "customer").select(F.concat(F.lit("customer_acct."), F.col("c_custkey").cast("string")).alias("full_name"), F.lit("resource").alias("type"), F.col("c_nationkey").alias("key"))
+    p = table(s, d, "supplier").select(F.concat(F.lit("data.supplier_acct."), F.col("s_suppkey").cast("string")), F.lit("data"), F.col("s_nationkey"))
+    users = c.unionAll(p).join(n, "key").select("full_name", "type", F.lit(None).cast("string").alias("name"), "provider", F.lit("acct").alias("resource_type"), F.lit(None).cast("string").alias("provider_alias"))
+    own = table(s, d, "region").select(F.concat(F.lit("provider."), F.col("r_regionkey").cast("string")).alias("full_name"), F.lit("provider").alias("type"), F.col("r_regionkey").cast("string").alias("name"), F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("resource_type"), F.lit(None).cast("string").alias("provider_alias"))
+    return refs.provider_edges(users.unionByName(own))
+
+
+@query("select lower(r_name) as provider, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1 order by n desc, 1 limit 3")
+def provider_histogram_top3(s: SparkSession, d: str) -> DataFrame:
+    c, n, r = table(s, d, "customer"), table(s, d, "nation"), table(s, d, "region")
+    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.groupBy(F.lower("r_name").alias("provider")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider").limit(3)
+
+
+_REACH = _catalog() + """, typed as (select e.src, e.dst, o.type as st from edges e join objects o on o.full_name = e.src),
+reach as (select distinct dst as node from typed where st in ('resource','module','data','provider','output') union select t.dst from typed t join reach r on t.src = r.node where t.st in ('local','variable'))"""
+
+
+@query(_REACH + " select node from reach")
+def downstream_reach(s: SparkSession, d: str) -> DataFrame:
+    return graph.reaches(_nodes(star.objects(s, d)), _edges(s, d))
+
+
+_LEVELS = _catalog() + """, lv as (select full_name as node, 0 as level from objects where full_name not in (select src from edges)
+ union select e.src, l.level + 1 from (select distinct src, dst from edges) e join lv l on l.node = e.dst),
+levels as (select node, max(level) as level from lv group by 1)"""
+
+
+@query(_LEVELS + " select node, level from levels")
+def topo_levels(s: SparkSession, d: str) -> DataFrame:
+    return graph.levels(_nodes(star.objects(s, d)), _edges(s, d))
+
+
+@query(_LEVELS + " select node, level, row_number() over (order by level, node) - 1 as position from levels")
+def topo_order(s: SparkSession, d: str) -> DataFrame:
+    return graph.topological_order(_nodes(star.objects(s, d)), _edges(s, d))
+
+
+@query(_LEVELS + " select level as depth, count(*) as n from levels group by 1")
+def depth_histogram(s: SparkSession, d: str) -> DataFrame:
+    return graph.depths(_nodes(star.objects(s, d)), _edges(s, d)).groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query(_LEVELS + """, path as (select level as step, node from (select * from levels where level > 0 order by level desc, node limit 1)
+ union all select p.step - 1, (select min(l.node) from edges e join levels l on l.node = e.dst where e.src = p.node and l.level = p.step - 1) from path p where p.step > 0)
+select step, node from path""")
+def critical_path(s: SparkSession, d: str) -> DataFrame:
+    return graph.critical_path(_nodes(star.objects(s, d)), _edges(s, d))
+
+
+def _start(s: SparkSession, d: str, name: str) -> DataFrame:
+    return star.objects(s, d).where(F.col("type") == name).select(F.col("full_name").alias("node"))
+
+
+_CLOSE = ", c as (select src as start, dst as node, 1 as depth from (select distinct src, dst from edges) where {from_} union select c.start, e.dst, c.depth + 1 from c join edges e on e.src = c.node)"
+
+
+@query(_catalog() + _CLOSE.format(from_="starts_with(src, 'output.')") + " select start, node, min(depth) as depth from c group by 1, 2")
+def closure_dependencies(s: SparkSession, d: str) -> DataFrame:
+    return graph.closure(_edges(s, d), _start(s, d, "output"))
+
+
+@query(_catalog() + ", r as (select distinct dst as src, src as dst from edges), c as (select src as start, dst as node, 1 as depth from r where starts_with(src, 'provider.') union select c.start, e.dst, c.depth + 1 from c join r e on e.src = c.node) select start, count(distinct node) as n from c group by 1")
+def closure_dependents(s: SparkSession, d: str) -> DataFrame:
+    return graph.dependents_closure(_edges(s, d), _start(s, d, "provider")).groupBy("start").agg(F.count("*").alias("n"))
+
+
+_T = "with recursive " + TRADE_SQL.strip()
+
+
+@query(_T + ", p as (select 0 as node, [0] as path, 0 as n union all select t.dst, list_append(p.path, t.dst), p.n + 1 from p join trade t on t.src = p.node where not list_contains(p.path, t.dst) and p.n < 4), best as (select path from p where node = 7 order by len(path), path limit 1) select generate_subscripts(path, 1) - 1 as step, unnest(path) as node from best")
+def shortest_chain(s: SparkSession, d: str) -> DataFrame:
+    return graph.shortest_chain(star.trade(s, d), 0, 7)
+
+
+@query(_catalog() + """, c as (select full_name as start, full_name as node, full_name as path, 0 as n from objects where type = 'local'
+ union all select c.start, e.dst, c.path || '>' || e.dst, c.n + 1 from c join (select distinct src, dst from edges) e on e.src = c.node where c.n < 10)
+select start, path from c where node not in (select src from edges)""")
+def all_chains(s: SparkSession, d: str) -> DataFrame:
+    return graph.all_chains(_edges(s, d), _start(s, d, "local")).select("start", F.array_join("path", ">").alias("path"))
+
+
+@query(_T + ", r as (select src, dst from trade union select t.src, u.dst from r t join trade u on t.dst = u.src), m as (select a.src as node, min(a.dst) as cycle from r a join r b on a.src = b.dst and a.dst = b.src group by 1) select node, cycle from m")
+def scc_members(s: SparkSession, d: str) -> DataFrame:
+    return graph.cycle_members(star.trade(s, d))
+
+
+@query(_T + """, p as (select src as start, dst as node, [src, dst] as path from trade where src < dst
+ union all select p.start, t.dst, list_append(p.path, t.dst) from p join trade t on t.src = p.node where t.dst > p.start and not list_contains(p.path, t.dst) and len(p.path) < 3)
+select array_to_string(list_append(path, start), '>') as path from p join trade t on t.src = p.node and t.dst = p.start""")
+def cycle_paths(s: SparkSession, d: str) -> DataFrame:
+    return graph.cycle_paths(star.trade(s, d), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@query(_T + ", u as (select src, dst from trade where src % 2 = dst % 2 union select dst, src from trade where src % 2 = dst % 2), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
+def components(s: SparkSession, d: str) -> DataFrame:
+    return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d).where("src % 2 = dst % 2"))
+
+
+@query(_catalog() + " select count(*) filter (where r) as roots, count(*) filter (where l) as leaves, count(*) filter (where r and l) as orphans from (select full_name not in (select src from edges) as r, full_name not in (select dst from edges) as l from objects)")
+def roots_leaves_orphans(s: SparkSession, d: str) -> DataFrame:
+    x = graph.roots_and_leaves(_nodes(star.objects(s, d)), _edges(s, d))
+    return x.agg(F.count_if("is_root").alias("roots"), F.count_if("is_leaf").alias("leaves"), F.count_if("is_orphan").alias("orphans"))
+
+
+@query(_catalog(PART) + " select full_name as node from objects where full_name not in (select src from edges) and full_name not in (select dst from edges)")
+def isolated_nodes(s: SparkSession, d: str) -> DataFrame:
+    objects, edges, _ = _bound(s, d, PART)
+    return graph.roots_and_leaves(_nodes(objects), edges).where("is_orphan").select("node")
+
+
+_DEG = _catalog() + ", o as (select src as node, count(*) as d from edges group by 1), i as (select dst as node, count(distinct src) as n from edges group by 1), g as (select full_name as node, coalesce(d, 0) as dependencies, coalesce(n, 0) as dependents from objects left join o on o.node = full_name left join i on i.node = full_name)"
+
+
+def _top(s: SparkSession, d: str, by: Column) -> DataFrame:
+    deg = graph.degrees(_nodes(star.objects(s, d)), _edges(s, d)).withColumn("degree", by)
+    return deg.orderBy(F.desc("degree"), "node").limit(5).where("degree > 0").select("node", "degree")
+
+
+@query(_DEG + " select node, dependents as degree from g where dependents > 0 order by degree desc, node limit 5")
+def hubs_top5(s: SparkSession, d: str) -> DataFrame:
+    return _top(s, d, F.col("dependents"))
+
+
+@query(_DEG + " select node, dependencies as degree from g where dependencies > 0 order by degree desc, node limit 5")
+def complex_top5(s: SparkSession, d: str) -> DataFrame:
+    return _top(s, d, F.col("dependencies"))
+
+
+@query(_DEG + " select node, dependencies + dependents as degree from g order by degree desc, node limit 5")
+def central_top5(s: SparkSession, d: str) -> DataFrame:
+    return _top(s, d, F.col("dependencies") + F.col("dependents"))
+
+
+@query(_catalog() + ", b as (select src as node, 1 as o, 0 as i from edges union all select dst, 0, 1 from edges), g as (select full_name, coalesce(sum(o), 0) as o, coalesce(sum(i), 0) as i from objects left join b on node = full_name group by 1) select count(*) as n_nodes, cast(sum(o) as bigint) as n_edges, round(sum(o + i) / count(*), 2) as avg_degree, cast(max(i) as bigint) as max_in, cast(max(o) as bigint) as max_out, count(*) filter (where o = 0 and i = 0) as isolated from g")
+def graph_stats(s: SparkSession, d: str) -> DataFrame:
+    return metrics.graph_stats(_nodes(star.objects(s, d)), _edges(s, d))
+
+
+@query(_catalog() + ", s as (select full_name as start from objects where type = 'provider' union all select 'customer_acct.1' union all select 'local.1') select distinct start, node from (select start, dst as node from s join edges on src = start union all select start, src from s join edges on dst = start union all select start, start from s)")
+def neighbourhood(s: SparkSession, d: str) -> DataFrame:
+    more = s.createDataFrame([("customer_acct.1",), ("local.1",)], "node string")
+    return graph.neighbourhood(_edges(s, d), _start(s, d, "provider").unionAll(more))
+
+
+_FACET = _DEG + " select o.full_name, o.type, dependencies, dependents from g join objects o on o.full_name = node where "
+
+
+def _searched(s: SparkSession, d: str, text: str) -> DataFrame:
+    o = star.objects(s, d)
+    deg = graph.degrees(_nodes(o), _edges(s, d)).withColumnRenamed("node", "full_name")
+    x = o.join(deg, "full_name").withColumns({"state": F.lit("active"), "subtype": F.coalesce("resource_type", "type"), "provider": fn.provider_of(F.col("resource_type")), "tags": F.lit(None).cast("map<string,string>"), "details": F.lit("")})
+    return x.where(search.predicate(text)).select("full_name", "type", "dependencies", "dependents")
+
+
+@query(_FACET + "o.type = 'resource' and dependencies + dependents >= 12 and contains(lower(coalesce(o.resource_type, o.type)), 'cust_building')")
+def facet_search_degree(s: SparkSession, d: str) -> DataFrame:
+    return _searched(s, d, "type:resource mindeps:12 cust_building")
+
+
+@query(_FACET + "o.type = 'data' and contains(coalesce(split_part(o.resource_type, '_', 1), ''), 'supp') and dependencies + dependents <= 20")
+def facet_search_provider(s: SparkSession, d: str) -> DataFrame:
+    return _searched(s, d, "type:data provider:supp maxdeps:20")
+
+
+@query(_FACET + "contains(lower(o.name || ' ' || o.type), '1-urgent') and dependencies > 0")
+def facet_search_phrase(s: SparkSession, d: str) -> DataFrame:
+    return _searched(s, d, '"1-urgent" has:dependencies')
+
+
+@query("with p as (select p_partkey, p_name, p_brand, p_type, p_size from part) select p_partkey, 'NAME' as rule_id from p where length(p_name) > 15 union all select p_partkey, 'STYLE' from p where not regexp_matches(p_name, '^[a-z][a-z0-9_]*$') union all select p_partkey, 'SIZE' from p where p_size > 45 union all select p_partkey, 'ONE-OF' from p where p_brand in ('Brand#11','Brand#22','Brand#33')")
+def rules_row_predicates(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "part")
+    n = F.col("p_name")
+    checks = (("NAME", F.length(n) > 15), ("STYLE", ~n.rlike("^[a-z][a-z0-9_]*$")), ("SIZE", F.col("p_size") > 45), ("ONE-OF", F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")))
+    return p.select("p_partkey", F.explode(F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in checks)), lambda x: x.isNotNull())).alias("rule_id"))
+
+
+@query("with t as (select o_orderkey, case when o_orderkey % 2 = 0 then ['Environment','Owner'] else ['Owner','Project','Extra'] end as tags from orders) select o_orderkey, array_to_string(list_sort(list_filter(['Environment','Owner','Project'], lambda x: not list_contains(tags, x))), ', ') as missing from t")
+def rules_tag_difference(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders")
+    tags = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("Environment"), F.lit("Owner"))).otherwise(F.array(F.lit("Owner"), F.lit("Project"), F.lit("Extra")))
+    return o.select("o_orderkey", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ("Environment", "Owner", "Project"))), tags)), ", ").alias("missing"))
+
+
+_ISSUES_SQL = "with issues as (select case when l_quantity > 45 then 'error' when l_quantity > 25 then 'warning' else 'info' end as severity, case l_returnflag when 'A' then 'security' when 'R' then 'cost' else 'naming' end as category, l_linestatus as file_path from lineitem)"
+
+
+def _issues(s: SparkSession, d: str) -> DataFrame:
+    q, r = F.col("l_quantity"), F.col("l_returnflag")
+    return table(s, d, "lineitem").select(F.when(q > 45, "error").when(q > 25, "warning").otherwise("info").alias("severity"), F.when(r == "A", "security").when(r == "R", "cost").otherwise("naming").alias("category"), F.col("l_linestatus").alias("file_path"))
+
+
+@query(_ISSUES_SQL + " select 'category' as grouping, category as key, count(*) as n from issues group by 2 union all select 'severity', severity, count(*) from issues group by 2 union all select 'file', file_path, count(*) from issues group by 2")
+def issues_by_group(s: SparkSession, d: str) -> DataFrame:
+    return metrics.issue_groups(_issues(s, d))
+
+
+@query(_ISSUES_SQL + " select count(*) filter (where severity='error') as n_error, count(*) filter (where severity='warning') as n_warning, count(*) filter (where severity='info') as n_info, count(*) as total from issues")
+def issue_summary(s: SparkSession, d: str) -> DataFrame:
+    return metrics.issue_summary(_issues(s, d))
+
+
+@query(_ISSUES_SQL + " select case severity when 'warning' then 'error' else severity end as severity, count(*) as n from issues group by 1")
+def strict_mode(s: SparkSession, d: str) -> DataFrame:
+    return _issues(s, d).groupBy(F.when(F.col("severity") == "warning", "error").otherwise(F.col("severity")).alias("severity")).agg(F.count("*").alias("n"))
+
+
+@query(_catalog(PART) + " select 'undefined' as problem, src as subject, ref as detail from missing where not regexp_matches(ref, '^(var|local|data|module)\\.') union all select 'cycle', null, null where false")
+def integrity_check(s: SparkSession, d: str) -> DataFrame:
+    objects, edges, missing = _bound(s, d, PART)
+    cycles = graph.cycle_members(edges)
+    return metrics.integrity(objects.withColumn("output_value", F.lit("x")), missing, cycles)
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def json_navigate(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("select key, count(*) as n, cast(sum(cast(json_extract(props, '$.' || key) as bigint)) as bigint) as total from (select props, unnest(json_keys(props)) as key from events) group by 1")
+def json_explode(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
+    return e.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+@query("select doc_id, i as line_number, lines[i] as line from (select doc_id, string_split(text, chr(10)) as lines, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents)")
+def line_table(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return x.select("doc_id", (F.col("i") + 1).cast("long").alias("line_number"), "line")
+
+
+@query("select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1")
+def overwrite_last_wins(s: SparkSession, d: str) -> DataFrame:
+    """The last object of a name replaces the others: an aggregate, not a window, so a hot name is combined before the shuffle."""
+    o = table(s, d, "orders")
+    return o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("o_custkey", "x.*")
+
+
+@query("select p_partkey, p_name, regexp_matches(lower(p_name), '^([a-z][a-z0-9_]*|[a-z][a-z0-9-]*|[a-z][a-zA-Z0-9]*)$') and not regexp_matches(lower(p_name), '[_-]{2,}') and length(p_name) between 2 and 63 as good from part")
+def name_style(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", "p_name", states.name_style(F.col("p_name")).alias("good"))
+
+
+@query("select p_partkey, (cast(length(trim(p_type)) >= 10 as int) + cast(p_size % 3 = 0 as int) + cast(regexp_matches(lower(p_brand), '^([a-z][a-z0-9_]*|[a-z][a-z0-9-]*|[a-z][a-zA-Z0-9]*)$') and not regexp_matches(lower(p_brand), '[_-]{2,}') and length(p_brand) between 2 and 63 as int)) >= 2 as good from part")
+def good_practice_vote(s: SparkSession, d: str) -> DataFrame:
+    tags = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2"))).otherwise(F.create_map(F.lit("a"), F.lit("1")))
+    return table(s, d, "part").select("p_partkey", states.good_practice(F.col("p_type"), tags, F.col("p_brand"), F.lit(True)).alias("good"))
+
+
+@query("select event_type, count(*) as n, count(*) filter (where value > 50) as high, round(avg(value), 4) as avg_value from events group by 1")
+def rule_run_stats(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.round(F.avg("value"), 4).alias("avg_value"))
+
+
+_LAYOUT = _catalog() + """, r as (select distinct dst as src, src as dst from edges), lv as (select full_name as node, 0 as level from objects where full_name not in (select src from r)
+ union select e.src, l.level + 1 from r e join lv l on l.node = e.dst), levels as (select node, max(level) as layer from lv group by 1), k as (select *, row_number() over (partition by layer order by node) as j, count(*) over (partition by layer) as c, (select count(distinct layer) from levels) as l from levels)"""
+
+
+@query(_LAYOUT + " select node, layer, round(800.0 / (c + 1) * j, 4) as x, round(600.0 / (l + 1) * (layer + 1), 4) as y from k")
+def hierarchical_layout(s: SparkSession, d: str) -> DataFrame:
+    x = graph.hierarchical_layout(_nodes(star.objects(s, d)), _edges(s, d))
+    return x.select("node", "layer", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query("""select n_nationkey, array_to_string(['a', n_name], '-') as joined, string_split(n_name, 'A')[1] as first_part, lower(n_name) as low, upper(n_name) as up, replace(n_name, 'A', 'x') as replaced, length(n_name) as len,
+ least(n_nationkey, n_regionkey) as low_key, greatest(n_nationkey, n_regionkey) as high_key, n_name || ':' || n_nationkey as formatted, list_contains(['CHINA','INDIA'], n_name) as among, array_to_string(range(0, n_regionkey), ',') as ranged,
+ '10.' || n_nationkey || '.' || n_regionkey || '.0/24' as subnet, base64(encode(n_name)) as encoded from nation""")
+def fn_scalars(s: SparkSession, d: str) -> DataFrame:
+    n, k, r = F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey")
+    return table(s, d, "nation").select(
+        "n_nationkey",
+        fn.join("-", F.array(F.lit("a"), n)).alias("joined"),
+        fn.element(fn.split("A", n), F.lit(0)).alias("first_part"),
+        F.lower(n).alias("low"), F.upper(n).alias("up"), fn.replace(n, "A", "x").alias("replaced"), fn.length(n).cast("long").alias("len"),
+        F.least(k, r).alias("low_key"), F.greatest(k, r).alias("high_key"), fn.fmt("%s:%d", n, k).alias("formatted"),
+        fn.contains(F.array(F.lit("CHINA"), F.lit("INDIA")), n).alias("among"),
+        F.array_join(F.transform(fn.range_(F.lit(0), r), lambda x: x.cast("string")), ",").alias("ranged"),
+        fn.cidr_subnet(F.concat(F.lit("10."), k.cast("string"), F.lit(".0.0/16")), 8, r.cast("long")).alias("subnet"),
+        fn.base64(n).alias("encoded"),
+    )
+
+
+@query("select o_orderkey, array_to_string(list_sort(list_distinct([o_orderstatus, 'F', 'O'])), ',') as uniq, len(list_filter([o_orderstatus, '', null], lambda x: x is not null and x <> '')) as compacted, o_orderpriority as looked_up, 'dflt' as defaulted, [1, 2, 3][3] as last from orders")
+def fn_collections(s: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("prio"), F.col("o_orderpriority"))
+    status = F.col("o_orderstatus")
+    return table(s, d, "orders").select(
+        "o_orderkey",
+        F.array_join(F.array_distinct(F.array_sort(F.array(status, F.lit("F"), F.lit("O")))), ",").alias("uniq"),
+        F.size(fn.compact(F.array(status, F.lit(""), F.lit(None).cast("string")))).cast("long").alias("compacted"),
+        fn.lookup(fn.merge(F.create_map(F.lit("prio"), F.lit("x")), m), "prio").alias("looked_up"),
+        fn.lookup(m, "none", "dflt").alias("defaulted"),
+        fn.element(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(-1)).alias("last"),
+    )
+
+
+@query("select 'local.' || o_orderkey as ref, 'local' as ref_type, 'local' as scope, 1 + 2 * (o_orderkey % 3) as complexity from orders")
+def reference_complexity(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select(F.concat(F.lit("local."), F.col("o_orderkey").cast("string")).alias("ref"), (F.col("o_orderkey") % 3).alias("n"))
+    p = refs.parsed(F.col("ref"))
+    no = F.lit(False)
+    return o.select("ref", p["ref_type"].alias("ref_type"), refs.scope(p["ref_type"]).alias("scope"), refs.reference_complexity(p["ref_type"], F.col("n"), no, no, no).alias("complexity"))
+
+
+@query("select s_name as Name, 'supplier_acct' as Type, r_name as Provider, 'supplier.tf' as File, s_suppkey as Line from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
+def csv_projection(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return x.select(F.col("s_name").alias("Name"), F.lit("supplier_acct").alias("Type"), F.col("r_name").alias("Provider"), F.lit("supplier.tf").alias("File"), F.col("s_suppkey").alias("Line"))
+
+
+@query("select p_type as source, count(*) as n, rank() over (order by count(*) desc) as r from part group by 1")
+def module_sources_ranked(s: SparkSession, d: str) -> DataFrame:
+    x = table(s, d, "part").groupBy(F.col("p_type").alias("source")).agg(F.count("*").alias("n"))
+    return x.withColumn("r", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
