@@ -12,6 +12,7 @@ from ..model import state_dimension
 from ..operators import graph, metrics, refs, search, states
 from . import star
 from .star import OBJECTS_SQL, TRADE_SQL, table
+from .storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def _bound(s: SparkSession, d: str, modules: str = "true") -> tuple[DataFrame, D
     """Objects, edges and missing references. Names are joined once: a left join tells both."""
     objects, rs = star.objects(s, d, modules), star.references(s, d)
     known = objects.select(F.col("full_name").alias("known"))
-    joined = rs.join(known, F.col("ref") == F.col("known"), "left")
+    joined = written(rs.join(known, F.col("ref") == F.col("known"), "left"))
     return objects, joined.where("known is not null").select("src", F.col("ref").alias("dst"), "kind"), joined.where("known is null").select("src", "ref")
 
 
