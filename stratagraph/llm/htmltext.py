@@ -171,6 +171,9 @@ def extract(pages: DataFrame) -> DataFrame:
     best = tally.groupBy(F.col("host").alias("h_")).agg(F.max("score").alias("best"))
     good = tally.join(best, F.col("host") == F.col("h_")).where(F.col("score") >= F.col("best") * (1 - 1e-9))
     winners = good.groupBy(F.col("host").alias("h_")).agg(F.sort_array(F.collect_set("path")).alias("winners"))
+    # Written, the table's size is known when the join is planned: a small one is broadcast then, and
+    # the blocks aren't shuffled; a large one is joined on the host.
+    winners = written(winners, "winners")
     own = F.element_at(F.array_sort(F.transform("votes", lambda v: F.struct((-v["score"]).alias("s"), v["path"].alias("path")))), 1)["path"]
     joined = read.join(winners, F.col("host") == F.col("h_"), "left")
 
