@@ -26,7 +26,7 @@ from .common import texts, written
 
 BLOCK, SHARD, ROUNDS = 256, 65_536, 12
 #: Rows of a source in a chunk, about.
-CHUNK = 4096
+CHUNK = 512
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Cells of the unit interval in which a slot looks for its source.
