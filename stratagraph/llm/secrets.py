@@ -84,14 +84,14 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     any_ = (F.size("assign") + F.size("access") + F.size("hex") + F.size("secret")) > 0
     rows = rows.withColumns({"ident": spans(text, IDENT, any_), "endpoint": spans(text, ENDPOINT, any_)})
     rows = rows.withColumn("ident", F.filter("ident", lambda x: _clear(base, x)))
+    # Under names of their own: a lambda would see a column that is replaced in the same step.
     secrets, idents = ["assign", "hex", "secret"], ["access", "ident"]
-    return rows.withColumns(
-        {
-            "ident": F.filter("ident", lambda x: _some(secrets, x)),
-            "secret": F.filter("secret", lambda x: _some([*idents, "endpoint"], x)),
-            "endpoint": F.filter("endpoint", lambda x: _some(idents, x) & _some(secrets, x)),
-        }
-    )
+    linked = {
+        "ident_": F.filter("ident", lambda x: _some(secrets, x)),
+        "secret_": F.filter("secret", lambda x: _some([*idents, "endpoint"], x)),
+        "endpoint_": F.filter("endpoint", lambda x: _some(idents, x) & _some(secrets, x)),
+    }
+    return rows.withColumns(linked).drop("ident", "secret", "endpoint").withColumnsRenamed({k: k[:-1] for k in linked})
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -132,7 +132,8 @@ def redact(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate("all_", start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
     some = F.size("all_") > 0
-    new = {"text": F.when(some, masked).otherwise(F.col("text_"))}
+    found = found.withColumn("masked_", F.when(some, masked).otherwise(F.col("text_")))
+    new = {"text": F.col("masked_")}
     if "n_chars" in names:
-        new["n_chars"] = F.when(some, F.length(masked).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(new).select(*names)
+        new["n_chars"] = F.when(some, F.length("masked_").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*(new.get(c, F.col(c)).alias(c) for c in names))
