@@ -115,4 +115,19 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL}
+#: The graphs find every link of tables as small as those that are compared in SQL.
+_OP4_SQL = """
+with recursive good as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.98),
+reach as (select vec_id as node, vec_id as root from embeddings union select l.b, r.root from reach r join links l on l.a = r.node),
+low as (select node, min(root) as component_id from reach group by node),
+n as (select a, count(*) as n_links from links group by a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join low on node = vec_id left join n on a = vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL, "op4_embeddings": _OP4_SQL}
