@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..model import state_dimension
-from ..operators import graph, metrics, refs, search, states, summary
+from ..operators import expressions, graph, metrics, refs, search, states, summary
 from ..rules import registry as rules
 from . import star
 from .star import OBJECTS_SQL, TRADE_SQL, table
@@ -575,3 +575,17 @@ def dashboard_stats(s: SparkSession, d: str) -> DataFrame:
 )
 def scan_digest(s: SparkSession, d: str) -> DataFrame:
     return summary.scan_digest(_stated(s, d))
+
+
+@query("select o_orderkey, case o_orderkey % 4 when 0 then 'join,upper' when 1 then 'lookup' when 2 then '' else 'max,min' end as calls, case o_orderkey % 4 when 0 then 'function' when 1 then 'interpolation' when 2 then 'number' else 'function' end as kind from orders")
+def function_calls(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 0, '${join("-", [upper(var.a)])}').when(k == 1, 'x-${lookup(var.m, "k")}').when(k == 2, "12.5").otherwise("${max(1, min(2, other(3)))}")
+    return table(s, d, "orders").select("o_orderkey", F.array_join(expressions.calls(text), ",").alias("calls"), expressions.value_kind(text).alias("kind"))
+
+
+@query("select 'local.' || o_orderkey as src, 'var.n' || (o_custkey % 25) as ref, 'variable' as ref_type, 'local' as scope, false as is_computed, true as is_conditional, 7 as complexity from orders")
+def block_references(s: SparkSession, d: str) -> DataFrame:
+    """References to variables, with their flags; templates make them conditional."""
+    x = expressions.block_refs(_ref_texts(s, d)).where("ref_type = 'variable'")
+    return x.select("src", "ref", "ref_type", "scope", "is_computed", "is_conditional", "complexity")
