@@ -265,9 +265,15 @@ def closure_dependents(s: SparkSession, d: str) -> DataFrame:
 _T = "with recursive " + TRADE_SQL.strip()
 
 
-@query(_T + ", p as (select 0 as node, [0] as path, 0 as n union all select t.dst, list_append(p.path, t.dst), p.n + 1 from p join trade t on t.src = p.node where not list_contains(p.path, t.dst) and p.n < 4), best as (select path from p where node = 7 order by len(path), path limit 1) select generate_subscripts(path, 1) - 1 as step, unnest(path) as node from best")
+@query(_catalog() + """, ab as (select 'output.' || o_orderkey as a, 'var.' || c_nationkey as b from orders join customer on o_custkey = c_custkey where o_orderkey = (select min(l_orderkey) from lineitem) order by 1, 2 limit 1),
+p as (select a as node, [a] as path, 0 as n from ab union all select e.dst, list_append(p.path, e.dst), p.n + 1 from p join (select distinct src, dst from edges) e on e.src = p.node where p.n < 4),
+best as (select path from p where node = (select b from ab) order by len(path), path limit 1) select generate_subscripts(path, 1) - 1 as step, unnest(path) as node from best""")
 def shortest_chain(s: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_chain(star.trade(s, d), 0, 7)
+    """From the first output to the variable of its customer; a supplier of the same nation shortens it."""
+    first = table(s, d, "lineitem").agg(F.min("l_orderkey").alias("k"))
+    o = table(s, d, "orders").join(first, F.col("o_orderkey") == F.col("k")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    at = o.select(F.concat(F.lit("output."), F.col("k").cast("string")).alias("a"), F.concat(F.lit("var."), F.col("c_nationkey").cast("string")).alias("b")).orderBy("a", "b").first()
+    return graph.shortest_chain(_edges(s, d), at.a, at.b)
 
 
 @query(_catalog() + """, c as (select full_name as start, full_name as node, full_name as path, 0 as n from objects where type = 'local'
@@ -355,9 +361,9 @@ def facet_search_degree(s: SparkSession, d: str) -> DataFrame:
     return _searched(s, d, "type:resource mindeps:12 cust_building")
 
 
-@query(_FACET + "o.type = 'data' and contains(coalesce(split_part(o.resource_type, '_', 1), ''), 'supp') and dependencies + dependents <= 20")
+@query(_FACET + "o.type = 'data' and contains(coalesce(split_part(o.resource_type, '_', 1), ''), 'supp') and dependencies + dependents >= 20")
 def facet_search_provider(s: SparkSession, d: str) -> DataFrame:
-    return _searched(s, d, "type:data provider:supp maxdeps:20")
+    return _searched(s, d, "type:data provider:supp mindeps:20")
 
 
 @query(_FACET + "contains(lower(o.name || ' ' || o.type), '1-urgent') and dependencies > 0")
