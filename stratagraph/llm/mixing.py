@@ -35,10 +35,14 @@ CELLS = 4096
 _SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def words_of(text: Column) -> Column:
+    one = F.translate(text, _SPACE, " " * len(_SPACE))
+    return F.filter(F.split(one, " +", -1), lambda w: w != "")
+
+
 def size_of(text: Column) -> Column:
     """Number of words."""
-    one = F.translate(text, _SPACE, " " * len(_SPACE))
-    return F.size(F.filter(F.split(one, " +", -1), lambda w: w != "")).cast("long")
+    return F.size(words_of(text)).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -127,13 +131,13 @@ def slots(planned: DataFrame, shard: int = SHARD) -> DataFrame:
     )
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """``doc_id, source, size, first`` of each row: its first word's number within its source.
+def placed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, source, size, first`` of each row: its first word's number within its source; and ``keep``.
 
     Rows are laid out by a hash of their id, in chunks; null texts have no words.
     """
     rows = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "doc_id", "source", "text")
-    rows = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash")), "sizes")
+    rows = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), *keep), "sizes")
     chunks = max(1, rows.count() // CHUNK)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)))
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
@@ -142,7 +146,7 @@ def placed(docs: DataFrame) -> DataFrame:
     inside = Window.partitionBy("source", "chunk").orderBy("doc_id", "hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(start, F.col("source").eqNullSafe(F.col("s_")) & (F.col("chunk") == F.col("c_")))
-    return written(rows.select("doc_id", "source", "size", (F.col("start") + F.col("before")).alias("first")), "placed")
+    return written(rows.select("doc_id", "source", "size", (F.col("start") + F.col("before")).alias("first"), *keep), "placed")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -167,3 +171,17 @@ def mix(docs: DataFrame) -> DataFrame:
     sized = planned.select(F.col("source").alias("t_"), "source_size", "target")
     out = out.join(sized, F.col("source").eqNullSafe(F.col("t_")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """The mix itself: ``shard, slot, source, block, text`` of each slot, words joined by spaces. What was
+    appended has no slot number. A block gathers at most ``BLOCK`` words."""
+    rows = placed(docs, "text")
+    planned = written(plan(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))), "plan")
+    end = F.col("first") + F.col("size")
+    parts = rows.where("size > 0").withColumn("words", words_of(F.col("text"))).select("source", "first", "size", "words", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
+    begin = F.greatest("first", F.col("block") * BLOCK)
+    piece = F.slice("words", (begin - F.col("first") + 1).cast("int"), (F.least(end, (F.col("block") + 1) * BLOCK) - begin).cast("int"))
+    block = parts.select("source", "block", F.struct("first", piece.alias("piece")).alias("p")).groupBy(F.col("source").alias("s_"), F.col("block").alias("b_")).agg(F.flatten(F.array_sort(F.collect_list("p"))["piece"]).alias("all_"))
+    s = slots(planned)
+    return s.join(block, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_"))).select("shard", "slot", "source", "block", F.array_join(F.slice("all_", F.lit(1), F.col("words")), " ").alias("text"))

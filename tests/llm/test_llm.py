@@ -244,6 +244,11 @@ def test_mixing(spark):
     by = mixing.plan(mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"))).collect()
     assert all(math.isclose(r.target, want[r.source], rel_tol=1e-12, abs_tol=1e-9) for r in by)
     assert sum(r.taken for r in got) == sum(math.floor(t + 0.5) for t in want.values())
+    texts = mixing.mixed_texts(d).collect()
+    said = Counter()
+    for r in texts:
+        said[r.source] += len(r.text.split())
+    assert said == Counter({s: math.floor(t + 0.5) for s, t in want.items() if t >= 0.5})
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, "")])).first().taken == 0
 
 
