@@ -9,12 +9,15 @@ by absolute discounting towards that of the next shorter suffix, down to the sin
 what discounting leaves is the probability of a token that was not learned (as a class of its own,
 like the base score has one). So each state's probabilities sum to one.
 
-All counts cover all training texts and are added up over the cluster. A context must have a share of
-all tokens of at least ``SHARE``, and a word that contexts tell apart one of at least ``SYMBOL``: as in
-the tree's definition these shares bound the number of contexts by length and of symbols, whatever
-the size of the input. The bound is what allows sending the tree to the workers. The counts of
-words with a share of at least ``FREQUENT`` (a bounded number again) are sent along; all other words
-are joined with their counts.
+All counts cover all training texts and are added up over the cluster. A context needs a count of
+``FLOOR`` and a pair of context and symbol one of ``PAIR``, whatever the size of the input; beyond that
+only the divergence test prunes, so the tree grows with the corpus. It is a written table of addends:
+a token's log probability is that of the token by itself, plus an addend for each of its contexts in
+the tree and for each of its pairs in it. Symbols, contexts and pairs go by 64-bit hashes.
+
+The addends and the word counts that are looked up most are sent to the workers (a bounded number), the
+others are joined by key; which is which changes no result. Nor do the bitmaps of hashes: what they let
+pass wrongly is counted, or looked up, in vain.
 """
 
 import math
@@ -27,32 +30,56 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remainder, texts, written
 
-SHARE, SYMBOL, FREQUENT = 5e-5, 1e-5, 2.5e-7
-#: Least count of a context and of a symbol, in small inputs.
-FLOOR = 8
+FREQUENT = 2.5e-7
+#: Least count of a context and of a symbol; of a symbol after a context.
+FLOOR, PAIR = 8, 2
 DEPTH = 3
 #: Nats by which a context must predict its symbols better than its suffix; discounts of contexts and of single tokens.
 GAIN, DISCOUNT, DISCOUNT0 = 12.0, 0.6, 0.2
 #: Numbers of what is no word.
 BEGIN, END, OTHER, FIRST = 0, 1, 2, 3
-#: Words that a worker keeps, rows it takes at a time, grouped rows it holds; they change no result.
-KEPT, ROWS, HELD = 400_000, 512, 2_000_000
+#: The symbol of a context's total.
+TOTAL = -1
+#: Words that a worker keeps, rows it takes at a time, grouped rows it holds, addends that are sent to it,
+#: bits of a bitmap (2 to the power of); they change no result.
+KEPT, ROWS, HELD, SENT, BITS = 400_000, 512, 2_000_000, 500_000, 27
 
 
 class Tree(NamedTuple):
-    """By length of context: sorted keys, logs of what is left to the suffix, sorted keys of context
-    and symbol with their log probabilities. ``order0``: log probability by symbol."""
+    """``order0``: log probability by symbol, where symbols are numbered. ``contexts``: sorted keys by length,
+    where they are listed. Of the entries that are sent: sorted keys and addends. ``bits``: a bitmap of all
+    entries' keys. ``more``: there are entries that aren't sent."""
 
     order0: np.ndarray
     contexts: list[np.ndarray]
-    left: list[np.ndarray]
-    pairs: list[np.ndarray]
-    logs: list[np.ndarray]
+    keys: np.ndarray
+    values: np.ndarray
+    bits: np.ndarray
+    more: bool
+
+
+class Hashed(dict):
+    """Symbols of words: their hashes, as ``xxhash64`` in Spark."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        x = xxhash.xxh64_intdigest(word, 42)
+        x = self[word] = x - (1 << 64) if x >> 63 else x
+        return x
+
+
+class Listed(dict):
+    """Symbols of listed words; the others are of a class."""
+
+    def __missing__(self, word: bytes) -> int:
+        return OTHER
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -70,11 +97,20 @@ def _pair(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return (context ^ (context >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + _mixed(symbol)
 
 
-def _among(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of ``h`` are among the sorted ``keys``."""
-    if not len(keys):
-        return np.zeros(len(h), bool)
-    return keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+def _bits(df: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of the column's values."""
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({key}, {64 - BITS}) & 63 as int))")
+    got = df.groupBy(F.shiftrightunsigned(key, 64 - BITS + 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be among those of the bitmap; all that are pass."""
+    size = np.uint64(len(bits).bit_length() + 5)
+    x = keys.view(np.uint64) >> (np.uint64(64) - size)
+    return (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
 
 
 def _grouped(rows: list[np.ndarray]) -> list[np.ndarray]:
@@ -108,51 +144,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _sequence(texts_: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def _sequence(texts_: list[bytes], number: Hashed | Listed) -> tuple[np.ndarray, np.ndarray]:
     """The texts' symbols one after the other, and each one's place in its text."""
-    get, out, size = number.get, [], []
+    out, size = [], []
     for text in texts_:
         words = text.lower().split()
         out.append(BEGIN)
-        out += [get(w, OTHER) for w in words]
+        out += [number[w] for w in words]
         out.append(END)
         size.append(len(words) + 2)
     ids, size = np.array(out, np.int64), np.array(size)
     return ids, np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _contexts(ids: np.ndarray, place: np.ndarray, depth: int, known: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: places, keys and keys of the suffixes of the contexts there, of symbols only.
-    ``known`` has the contexts of a length that are frequent enough, where that is known."""
+def _contexts(ids: np.ndarray, place: np.ndarray, depth: int, some: np.ndarray, pairs: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: places, keys and keys of the suffixes of the contexts there that may be frequent enough.
+    ``some``: which tokens may; ``pairs``: bitmap of the pairs that may."""
     at = np.flatnonzero(place > 0)
     h = np.zeros(len(at), np.uint64)
     for k in range(1, depth + 1):
         keep = place[at] >= k
-        keep[keep] = ids[at[keep] - k] != OTHER
+        keep[keep] = some[at[keep] - k]
+        if k > 1:
+            # A context of two occurs as often as its newer word stands after its older one.
+            i = at[keep] - k
+            keep[keep] = _maybe(pairs, _pair(_grown(np.zeros(len(i), np.uint64), ids[i]), ids[i + 1]))
         at, suffix = at[keep], h[keep]
         h = _grown(suffix, ids[at - k])
-        if k in known:
-            keep = _among(known[k], h)
-            at, suffix, h = at[keep], suffix[keep], h[keep]
         yield k, at, h, suffix
 
 
-def _level_counts(docs: DataFrame, number: dict[bytes, int], low: int, high: int, known: dict[int, np.ndarray], floor: int) -> DataFrame:
-    """``depth, context, suffix, symbol, n`` for contexts of ``low`` to ``high`` symbols that have the
-    count ``floor``; the symbol -1 is for the context's total."""
-    sent = docs.sparkSession.sparkContext.broadcast((number, known))
+def _level_counts(docs: DataFrame, number: Hashed | Listed, low: int, high: int, words: np.ndarray, pairs: np.ndarray | None) -> DataFrame:
+    """``depth, context, suffix, symbol, n, pair, below`` for contexts of ``low`` to ``high`` symbols that have
+    the count ``FLOOR`` (rows of the symbol ``TOTAL``), and symbols after them that have the count ``PAIR``.
+    ``pair`` and ``below`` are the keys of context and suffix with the symbol."""
+    sent = docs.sparkSession.sparkContext.broadcast((number, words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, known = sent.value
+        number, words, pairs = sent.value
         held: dict[int, list[list[np.ndarray]]] = {k: [] for k in range(low, high + 1)}
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 ids, place = _sequence(batch.column("text").slice(a, ROWS).cast(pa.binary()).to_pylist(), number)
-                for k, at, h, suffix in _contexts(ids, place, high, known):
+                some = ((ids == BEGIN) | _maybe(words, ids)) & (ids != OTHER)
+                for k, at, h, suffix in _contexts(ids, place, high, some, pairs):
                     if k >= low:
                         symbol, one = ids[at], np.ones(len(at), np.int64)
-                        named = symbol != OTHER
-                        held[k].append(_grouped([np.concatenate([h[named], h]), np.concatenate([suffix[named], suffix]), np.concatenate([symbol[named], np.full(len(at), -1)]), np.concatenate([one[named], one])]))
+                        named = some[at] | (symbol == END)
+                        held[k].append(_grouped([np.concatenate([h[named], h]), np.concatenate([suffix[named], suffix]), np.concatenate([symbol[named], np.full(len(at), TOTAL)]), np.concatenate([one[named], one])]))
                         if len(held[k]) >= 8:
                             held[k] = [_grouped([np.concatenate(c) for c in zip(*held[k], strict=True)])]
                             if len(held[k][0][0]) > HELD:
@@ -163,41 +202,98 @@ def _level_counts(docs: DataFrame, number: dict[bytes, int], low: int, high: int
 
     def of(k: int, rows: list[np.ndarray]) -> pa.RecordBatch:
         context, suffix, symbol, n = rows
-        columns = [pa.array(np.full(len(n), k), pa.int32()), pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(symbol, pa.int32()), pa.array(n, pa.int64())]
+        columns = [pa.array(np.full(len(n), k), pa.int32()), pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(symbol, pa.int64()), pa.array(n, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, names=["depth", "context", "suffix", "symbol", "n"])
 
-    found = docs.select("text").mapInArrow(run, "depth int, context long, suffix long, symbol int, n long")
-    found = found.groupBy("depth", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
-    return found.where(F.col("n") >= F.when(F.col("symbol") < 0, F.lit(floor)).otherwise(F.lit(max(2, floor // 16))))
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix, symbol = (batch.column(c).to_numpy() for c in ("context", "suffix", "symbol"))
+            keys = [pa.array(_pair(x.view(np.uint64), symbol).view(np.int64)) for x in (context, suffix)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, "pair", "below"])
+
+    kind = "depth int, context long, suffix long, symbol long, n long"
+    found = docs.select("text").mapInArrow(run, kind).groupBy("depth", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+    found = found.where(F.col("n") >= F.when(F.col("symbol") == TOTAL, F.lit(FLOOR)).otherwise(F.lit(PAIR)))
+    return found.mapInArrow(keyed, kind + ", pair long, below long")
+
+
+def _entries(docs: DataFrame, number: Hashed | Listed, words: DataFrame) -> DataFrame:
+    """``depth, key, n, value, context``: the tree's entries, of contexts and (``context`` false) of pairs, with
+    their counts and addends. ``words``: ``symbol, n, p0`` of the symbols."""
+    bits = _bits(words.where(F.col("n") >= FLOOR), "symbol")
+    first = written(_level_counts(docs, number, 1, 1, bits, None), "level")
+    pairs = _bits(first.where((F.col("symbol") != TOTAL) & (F.col("n") >= FLOOR)), "pair")
+    rest = written(_level_counts(docs, number, 2, DEPTH, bits, pairs), "level")
+    below = words.where(F.col("n") >= FLOOR).select(F.col("symbol").alias("below_"), F.col("p0").alias("lower"))
+    made = []
+    for k in range(1, DEPTH + 1):
+        level = (first if k == 1 else rest).where(F.col("depth") == k)
+        totals = level.where(F.col("symbol") == TOTAL).select("context", "suffix", F.col("n").alias("mass"))
+        # Whatever follows a context is counted after its suffix too, at least as often.
+        key = "symbol" if k == 1 else "below"
+        found = level.where(F.col("symbol") != TOTAL).join(below, F.col(key) == F.col("below_")).select("context", "pair", "n", "lower")
+        found = found.join(totals.select("context", "mass"), "context").select("*", ((F.col("n") - DISCOUNT) / F.col("mass")).alias("own"))
+        found = written(found, "pairs")
+        sums = found.groupBy("context").agg(F.sum("own").alias("own_"), F.sum("n").alias("n_"))
+        left = F.greatest(F.lit(1.0) - F.coalesce("own_", F.lit(0.0)), F.lit(1e-12))
+        contexts = written(totals.join(sums, "context", "left").select("context", "suffix", "mass", left.alias("left"), F.greatest(F.col("mass") - F.coalesce("n_", F.lit(0)), F.lit(0)).alias("rest")), "contexts")
+        found = found.join(contexts.select("context", "left"), "context").select("context", "pair", "n", "lower", "left", (F.col("own") + F.col("left") * F.col("lower")).alias("p"))
+        found = written(found, "pairs")
+        # Divergence from the suffix times the count; symbols too rare to be listed count as one.
+        gains = found.groupBy("context").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("lower"))).alias("gain"))
+        contexts = contexts.join(gains, "context", "left").withColumn("good", F.coalesce("gain", F.lit(0.0)) + F.col("rest") * F.ln("left") >= GAIN)
+        made.append((written(contexts.select("context", "suffix", "mass", "left", "good"), "contexts"), found))
+        below = found.select(F.col("pair").alias("below_"), F.col("p").alias("lower"))
+    out, needed = None, None
+    for k in range(DEPTH, 0, -1):
+        contexts, found = made[k - 1]
+        good = contexts.where("good").select("context", "suffix", "mass", "left")
+        if needed is not None:
+            good = written(good.unionAll(contexts.where("not good").select("context", "suffix", "mass", "left").join(needed, F.col("context") == F.col("needed"), "left_semi")), "kept")
+        needed = good.select(F.col("suffix").alias("needed")).distinct()
+        own = good.select(F.lit(k).alias("depth"), F.col("context").alias("key"), F.col("mass").alias("n"), F.log10("left").alias("value"), F.lit(True).alias("context"))
+        theirs = found.join(good.select("context"), "context", "left_semi").select(F.lit(k).alias("depth"), F.col("pair").alias("key"), "n", (F.log10("p") - F.log10("left") - F.log10("lower")).alias("value"), F.lit(False).alias("context"))
+        part = own.unionAll(theirs)
+        out = part if out is None else out.unionAll(part)
+    return written(out, "tree")
+
+
+def _sent(entries: DataFrame, most: int) -> tuple[Tree, DataFrame | None]:
+    """What the workers get, and the entries that they don't. The most frequent ones are sent."""
+    counts = entries.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toPandas()
+    fit = counts.k.cumsum() <= most
+    more = not bool(fit.all())
+    least = 0 if not more else int(counts.n[fit].min()) if fit.any() else 1 << 62
+    got = entries.where(F.col("n") >= least).select("key", "value").toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    tree = Tree(np.zeros(0), [], keys[order], got["value"].to_numpy()[order], _bits(entries, "key"), more)
+    return tree, entries.where(F.col("n") < least) if more else None
+
+
+def _words(spark: SparkSession, rows: DataFrame, n_texts: int, n: int) -> DataFrame:
+    """``symbol, n, p0`` of the symbols of ``rows`` (``symbol, n``) and of the text ends."""
+    ends = spark.createDataFrame([(END, n_texts)], "symbol long, n long")
+    p0: Column = (F.col("n") - F.lit(DISCOUNT0)) / F.lit(float(max(n, 1)))
+    # The ends are a symbol whatever their number, as a text has one; at least ``FLOOR`` lets them pass.
+    return rows.select("symbol", "n", p0.alias("p0")).unionAll(ends.where("n > 0").select("symbol", F.greatest("n", F.lit(FLOOR)).alias("n"), p0.alias("p0")))
 
 
 def grow(docs: DataFrame, symbols: list[tuple[bytes, int]], n_texts: int, n: int, types: int) -> Tree:
-    """The tree of ``docs``: of the words in ``symbols`` with their counts, and the text ends, out of
+    """The whole tree of ``docs``: of the words in ``symbols`` with their counts, and the text ends, out of
     ``n`` tokens of ``types`` kinds in all."""
-    number = {w: i for i, (w, _) in enumerate(symbols, FIRST)}
+    spark = docs.sparkSession
+    number = Listed({w: i for i, (w, _) in enumerate(symbols, FIRST)})
     p0 = np.full(FIRST + len(symbols), 1e-300)
     p0[FIRST:] = [(c - DISCOUNT0) / n for _, c in symbols]
     p0[OTHER] = unseen(n, types)
     if n_texts:
         p0[END] = (n_texts - DISCOUNT0) / n
-    floor = max(FLOOR, math.ceil(SHARE * n))
-    often = [i for i, (_, c) in enumerate(symbols, FIRST) if c >= floor] + [BEGIN] * (n_texts >= floor)
-    known = {1: np.sort(_grown(np.zeros(len(often), np.uint64), np.array(often, np.int64)))}
-    levels: list[list[np.ndarray]] = []
-    for low, high in ((1, 1), (2, DEPTH)):
-        got = _level_counts(docs, number, low, high, known, floor).toPandas()
-        for k in range(low, high + 1):
-            at = got[got.depth == k]
-            levels.append([at.context.to_numpy(np.int64).view(np.uint64), at.suffix.to_numpy(np.int64).view(np.uint64), at.symbol.to_numpy(np.int64), at.n.to_numpy(np.float64)])
-        # A word that stands often after a context of one is the newer word of a context of two. Its
-        # key needs the older word, which the context's key gives by a look at the few known ones.
-        context, _, symbol, count = levels[0]
-        named = {int(h): i for i, h in zip(often, _grown(np.zeros(len(often), np.uint64), np.array(often, np.int64)), strict=True)}
-        new = (symbol >= FIRST) & (count >= floor)
-        older = np.array([named[int(c)] for c in context[new]], np.int64)
-        newer = _grown(np.zeros(int(new.sum()), np.uint64), symbol[new])
-        known[2] = np.unique(_grown(newer, older))
-    return _smoothed(p0, levels)
+    rows = spark.createDataFrame([(i, c) for i, (_, c) in enumerate(symbols, FIRST)], "symbol long, n long")
+    entries = _entries(docs, number, _words(spark, rows, n_texts, n))
+    listed = entries.where("context").select("depth", "key").toPandas()
+    contexts = [np.sort(listed["key"][listed.depth == k].to_numpy(np.int64).view(np.uint64)) for k in range(1, DEPTH + 1)]
+    return _sent(entries, 1 << 62)[0]._replace(order0=np.log10(p0), contexts=contexts)
 
 
 def unseen(n: int, types: int) -> float:
@@ -205,71 +301,51 @@ def unseen(n: int, types: int) -> float:
     return DISCOUNT0 * types / n if n else 1.0
 
 
-def _smoothed(p0: np.ndarray, levels: list[list[np.ndarray]]) -> Tree:
-    made = []
-    below_keys, below = np.zeros(0, np.uint64), np.zeros(0)
-    for k, (context, suffix, symbol, n) in enumerate(levels, 1):
-        total = symbol < 0
-        keys, i = np.unique(context[total], return_index=True)
-        mass, up = n[total][i], suffix[total][i]
-        keep = ~total & _among(keys, context)
-        context, suffix, symbol, n = context[keep], suffix[keep], symbol[keep], n[keep]
-        at = np.searchsorted(keys, context)
-        kept = (n - DISCOUNT) / mass[at] if len(n) else np.zeros(0)
-        left = np.maximum(1 - np.bincount(at, weights=kept, minlength=len(keys)), 1e-12)
-        # Whatever follows a context is counted after its suffix too, at least as often.
-        lower = p0[symbol] if k == 1 else below[np.searchsorted(below_keys, _pair(suffix, symbol))] if len(symbol) else np.zeros(0)
-        p = kept + left[at] * lower
-        # Divergence from the suffix times the count; symbols too rare to be listed count as one.
-        rest = mass - np.bincount(at, weights=n, minlength=len(keys))
-        gain = np.bincount(at, weights=n * np.log(p / lower), minlength=len(keys)) + np.maximum(rest, 0) * np.log(left)
-        below_keys = _pair(context, symbol)
-        order = np.argsort(below_keys)
-        below_keys, below = below_keys[order], p[order]
-        made.append([keys, up, left, gain >= GAIN, at[order], below_keys, below])
-    for k in range(len(made) - 1, 0, -1):
-        made[k - 1][3] |= _among(np.unique(made[k][1][made[k][3]]), made[k - 1][0])
-    tree = Tree(np.log10(p0), [], [], [], [])
-    for keys, _, left, good, at, pairs, p in made:
-        tree.contexts.append(keys[good])
-        tree.left.append(np.log10(left[good]))
-        tree.pairs.append(pairs[good[at]])
-        tree.logs.append(np.log10(p[good[at]]))
-    return tree
-
-
-def token_logs(tree: Tree, ids: np.ndarray, place: np.ndarray, single: np.ndarray) -> np.ndarray:
+def _added(tree: Tree, keys: np.ndarray, at: np.ndarray, log: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Adds the addends of the keys at their places; which keys may be in the tree. Those that may be among
+    the entries that weren't sent go to ``asked`` with their places."""
+    there = _maybe(tree.bits, keys)
+    k, a = keys[there], at[there]
+    if len(tree.keys):
+        i = np.minimum(np.searchsorted(tree.keys, k), len(tree.keys) - 1)
+        hit = tree.keys[i] == k
+    else:
+        i, hit = np.zeros(len(k), np.int64), np.zeros(len(k), bool)
+    log[a[hit]] += tree.values[i[hit]]
+    if tree.more:
+        asked.append((a[~hit], k[~hit]))
+    else:
+        there[there] = hit
+    return there
+
+
+def token_logs(tree: Tree, ids: np.ndarray, place: np.ndarray, single: np.ndarray, asked: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
     """log10 probability of each token from its state. ``single``: that of each token by itself,
-    or 0 for those that are looked up elsewhere: of those the result has what the states add."""
+    or 0 for those that are looked up elsewhere: of those the result has what the states add.
+    ``asked`` gets places and keys of what is to be looked up in the entries that weren't sent."""
     log = single.copy()
+    asked = [] if asked is None else asked
     at = np.flatnonzero(place > 0)
     h = np.zeros(len(at), np.uint64)
-    for k, keys in enumerate(tree.contexts, 1):
+    for k in range(1, DEPTH + 1):
         keep = place[at] >= k
         keep[keep] = ids[at[keep] - k] != OTHER
         at = at[keep]
         h = _grown(h[keep], ids[at - k])
-        if not len(keys) or not len(at):
-            break
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        there = keys[i] == h
-        at, h, i = at[there], h[there], i[there]
-        log[at] += tree.left[k - 1][i]
-        pairs = tree.pairs[k - 1]
-        if len(pairs) and len(at):
-            key = _pair(h, ids[at])
-            j = np.minimum(np.searchsorted(pairs, key), len(pairs) - 1)
-            hit = (pairs[j] == key) & (ids[at] != OTHER)
-            log[at[hit]] = tree.logs[k - 1][j[hit]]
+        # The suffixes of a context in the tree are in it, and its pairs are its suffix's too.
+        there = _added(tree, h, at, log, asked)
+        at, h = at[there], h[there]
+        named = ids[at] != OTHER
+        _added(tree, _pair(h[named], ids[at[named]]), at[named], log, asked)
     return log
 
 
 class _Known(dict):
     """Numbers words as they come; the arrays have what is known of the numbered ones."""
 
-    def __init__(self, frequent: dict[bytes, int], number: dict[bytes, int], n: int, types: int) -> None:
+    def __init__(self, frequent: dict[bytes, int], n: int, types: int) -> None:
         super().__init__()
-        self.frequent, self.number, self.n, self.types = frequent, number, n, types
+        self.frequent, self.number, self.n, self.types = frequent, Hashed(), n, types
         self.words: list[bytes] = []
         self.count, self.symbol = np.zeros(0), np.zeros(0, np.int64)
 
@@ -281,12 +357,12 @@ class _Known(dict):
         if new := list(islice(self, len(self.words), None)):
             self.words += new
             self.count = np.concatenate([self.count, np.array([self.frequent.get(w, 0) for w in new], float)])
-            self.symbol = np.concatenate([self.symbol, np.array([self.number.get(w, OTHER) for w in new], np.int64)])
+            self.symbol = np.concatenate([self.symbol, np.array([self.number[w] for w in new], np.int64)])
 
 
 _SEEN: dict[str, _Known] = {}
 
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_often long, base_often double, score_often double, rare array<struct<word:binary,n:long>>"
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_often long, base_often double, score_often double, rare array<struct<word:binary,n:long>>, asked array<struct<key:long,n:long>>"
 
 
 def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
@@ -307,11 +383,9 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
     often = max(2, math.ceil(FREQUENT * n))
     got = counts.where(F.col("n") >= often).orderBy(F.desc("n"), "word").toPandas()
     frequent = dict(zip(map(bytes, got.word), got.n.tolist(), strict=True))
-    least = max(FLOOR, math.ceil(SYMBOL * n))
-    symbols = [(w, c) for w, c in frequent.items() if c >= least]
-    tree = grow(train, symbols, n_texts, n, types)
-    number = {w: i for i, (w, _) in enumerate(symbols, FIRST)}
-    sent = spark.sparkContext.broadcast(pickle.dumps((tuple(tree), frequent, number), protocol=5))
+    words = _words(spark, counts.where(F.col("n") >= FLOOR).select(F.xxhash64("word").alias("symbol"), "n"), n_texts, n)
+    tree, more = _sent(_entries(train, Hashed(), words), SENT)
+    sent = spark.sparkContext.broadcast(pickle.dumps((tuple(tree), frequent), protocol=5))
     name, trees = uuid.uuid4().hex, {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +394,9 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
                 known = _SEEN.get(name)
                 if known is None or len(known) > KEPT or name not in trees:
                     _SEEN.clear()
-                    tree, frequent, number = pickle.loads(sent.value)  # noqa: S301  made above
+                    tree, frequent = pickle.loads(sent.value)  # noqa: S301  made above
                     trees[name] = Tree(*tree)
-                    known = _SEEN[name] = _Known(frequent, number, n, types)
+                    known = _SEEN[name] = _Known(frequent, n, types)
                 yield _scored(batch.slice(a, ROWS), known, trees[name], n_texts)
 
     found = rows.select("doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
@@ -335,12 +409,17 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2) -> DataFrame:
         F.sum(F.col("n") * F.log10(F.when(seen, (F.col("c") - F.lit(DISCOUNT0)) / F.lit(float(max(n, 1)))).otherwise(F.lit(unseen(n, types))))).alias("score_rare"),
         F.sum(F.when(seen, F.col("n")).otherwise(0)).alias("n_rare"),
     )
+    added = F.lit(0.0)
+    if more is not None:
+        asked = found.select("row_", F.explode("asked").alias("a")).select("row_", F.col("a.key").alias("key"), F.col("a.n").alias("n"))
+        asked = asked.join(more.select("key", "value"), "key").groupBy("row_").agg(F.sum(F.col("n") * F.col("value")).alias("added"))
+        found, added = found.join(asked, "row_", "left"), F.coalesce("added", F.lit(0.0))
     return found.join(rare, "row_", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_often") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_often") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"),
-        (F.col("score_often") + F.coalesce("score_rare", F.lit(0.0))).alias("score"),
+        (F.col("score_often") + F.coalesce("score_rare", F.lit(0.0)) + added).alias("score"),
     )
 
 
@@ -367,13 +446,15 @@ def _scored(batch: pa.RecordBatch, known: _Known, tree: Tree, n_texts: int) -> p
     base[often] = np.log10((count[often] + 1) / (n + types + 1))
     if not n_texts:
         base[end], single[end] = np.log10(1 / (n + types + 1)), np.log10(unseen(n, types))
-    log = token_logs(tree, ids, place, single)
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    log = token_logs(tree, ids, place, single, asked)
     log[begin] = 0
     sums = lambda x: np.add.reduceat(x, begin) if total else np.zeros(0)
     rare = []
     for w in words:
         which, c = np.unique(w[known.count[w] == 0], return_counts=True)
         rare.append([{"word": known.words[i], "n": k} for i, k in zip(which.tolist(), c.tolist(), strict=True)])
+    wanted = _asked(asked, np.repeat(np.arange(len(size)), size), len(size))
     columns = [
         batch.column("doc_id"),
         batch.column("held_out"),
@@ -382,5 +463,18 @@ def _scored(batch: pa.RecordBatch, known: _Known, tree: Tree, n_texts: int) -> p
         pa.array(sums(base), pa.float64()),
         pa.array(sums(log), pa.float64()),
         pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+        wanted,
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_often", "base_often", "score_often", "rare"])
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_often", "base_often", "score_often", "rare", "asked"])
+
+
+def _asked(asked: list[tuple[np.ndarray, np.ndarray]], row: np.ndarray, rows: int) -> pa.ListArray:
+    """Keys and their numbers by row; ``row`` is that of each place."""
+    at = row[np.concatenate([a for a, _ in asked])] if asked else np.zeros(0, np.int64)
+    keys = np.concatenate([k for _, k in asked]).view(np.int64) if asked else np.zeros(0, np.int64)
+    order = np.lexsort((keys, at))
+    at, keys = at[order], keys[order]
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (keys[1:] != keys[:-1])])) if len(at) else np.zeros(0, np.int64)
+    n = np.diff(np.append(new, len(at)))
+    offsets = np.searchsorted(at[new], np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(keys[new]), pa.array(n, pa.int64())], names=["key", "n"]))

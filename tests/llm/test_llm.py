@@ -347,6 +347,21 @@ def test_distributions_sum_to_one(spark):
         assert math.isclose(total, 1, rel_tol=1e-6)
 
 
+def test_tree_grows_with_the_input(spark, monkeypatch):
+    rng = random.Random(12)
+    # 12 occurrences in over 400,000 tokens: far below a share of 5e-5.
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(1000))) for i in range(400)]
+    rows += [(1000 + i, "qa qb qc") for i in range(12)] + [(2000, "qa qb qc"), (2001, "qa qc qb")]
+    d = docs(spark, [r for r in rows if r[0] >= 2000 or zlib.crc32(str(r[0]).encode()) % 7 != 2])
+    got = {r.doc_id: r.score for r in suffixtree.score(d).collect()}
+    assert got[2000] > got[2001] + 3
+    # What is sent and what is joined changes nothing.
+    for most in (0, 1000):
+        monkeypatch.setattr(suffixtree, "SENT", most)
+        again = {r.doc_id: r.score for r in suffixtree.score(d).collect()}
+        assert again.keys() == got.keys() and all(math.isclose(again[i], got[i], rel_tol=1e-9) for i in got)
+
+
 # 9
 
 
