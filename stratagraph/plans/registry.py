@@ -168,10 +168,10 @@ def ref_resolve_prefix(s: SparkSession, d: str) -> DataFrame:
     return refs.resolve(*_prefix_case(s, d))[0]
 
 
-def _prefix_case(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _prefix_case(s: SparkSession, d: str, lines: str = "l_orderkey % 5 = 0", keys: str = "p_partkey % 3 = 0") -> tuple[DataFrame, DataFrame]:
     part, line = table(s, d, "part"), table(s, d, "lineitem")
-    names = part.select(F.concat(F.lit("part."), "p_name").alias("full_name")).union(part.where("p_partkey % 3 = 0").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string"), F.lit("_key"))))
-    rs = line.where("l_orderkey % 5 = 0").select(F.concat(F.lit("line."), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("ref")).distinct()
+    names = part.select(F.concat(F.lit("part."), "p_name").alias("full_name")).union(part.where(keys).select(F.concat(F.lit("part."), F.col("p_partkey").cast("string"), F.lit("_key"))))
+    rs = line.where(lines).select(F.concat(F.lit("line."), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("ref")).distinct()
     return rs, names
 
 
@@ -182,6 +182,23 @@ def ref_missing_prefix(s: SparkSession, d: str) -> DataFrame:
     return refs.resolve(*_prefix_case(s, d))[1]
 
 
+@query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part),
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem),
+ rest as (select * from refs where ref not in (select full_name from names)), b as (select ref, full_name from (select distinct ref from rest) join names on starts_with(full_name, ref))
+ select src, full_name as dst from rest join b using (ref) union select src, ref from refs where ref in (select full_name from names)""")
+def ref_resolve_prefix_all(s: SparkSession, d: str) -> DataFrame:
+    """Of every line, against both names of every part."""
+    return refs.resolve(*_prefix_case(s, d, "true", "true"))[0]
+
+
+@query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem)
+ select src, ref from refs where ref not in (select ref from (select distinct ref from refs) join names on starts_with(full_name, ref))""")
+def ref_missing_prefix_all(s: SparkSession, d: str) -> DataFrame:
+    """Of every line; with the keys of all parts as names, none would be missing."""
+    return refs.resolve(*_prefix_case(s, d, "true"))[1]
+
+
 @query(_catalog() + " select distinct dst as src, src as dst from edges")
 def reverse_edges(s: SparkSession, d: str) -> DataFrame:
     return graph.reverse(graph.distinct_edges(_edges(s, d)))
@@ -300,6 +317,11 @@ def components(s: SparkSession, d: str) -> DataFrame:
     return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d).where("src % 2 = dst % 2"))
 
 
+@query(_T + ", u as (select src, dst from trade union select dst, src from trade), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
+def components_all(s: SparkSession, d: str) -> DataFrame:
+    return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d))
+
+
 @query(_catalog() + " select count(*) filter (where r) as roots, count(*) filter (where l) as leaves, count(*) filter (where r and l) as orphans from (select full_name not in (select src from edges) as r, full_name not in (select dst from edges) as l from objects)")
 def roots_leaves_orphans(s: SparkSession, d: str) -> DataFrame:
     x = graph.roots_and_leaves(_nodes(star.objects(s, d)), _edges(s, d))
