@@ -222,6 +222,23 @@ def cycle_paths(edges: DataFrame, most: int = 12) -> DataFrame:
     return out if out is not None else e.select(F.array("src").alias("path")).limit(0)
 
 
+def cycle_witnesses(edges: DataFrame) -> DataFrame:
+    """``path``: for each edge on a cycle a shortest simple cycle through it, whatever its length, from its
+    smallest node and back to it; each path once. Every node and every component of cycles is on one."""
+    members = written(cycle_members(edges))
+    e = written(distinct_edges(edges).join(members.select(F.col("node").alias("src"), F.col("cycle").alias("c")), "src").join(members.select(F.col("node").alias("dst"), F.col("cycle").alias("d")), "dst").where("c = d").select("src", "dst"))
+    new = seen = written(e.select(F.col("dst").alias("start"), F.col("dst").alias("node"), F.array("dst").alias("path")).distinct())
+    while not new.isEmpty():
+        step = new.join(e, new["node"] == e["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        new = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
+        seen = written(seen.unionAll(new))
+    # The path from an edge's end to its start, which the edge closes.
+    closed = e.join(seen, (e["dst"] == seen["start"]) & (e["src"] == seen["node"])).select("path")
+    first = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1), F.array(F.array_min("path")))
+    return closed.select(turned.alias("path")).distinct()
+
+
 def reaches(nodes: DataFrame, edges: DataFrame, through: tuple[str, ...] = ("local", "variable"), to: tuple[str, ...] = ("resource", "module", "data", "provider", "output")) -> DataFrame:
     """``node`` of those that a node of the kinds ``to`` depends on, directly or by way of the kinds ``through`` alone.
 

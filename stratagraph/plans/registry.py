@@ -312,6 +312,18 @@ def cycle_paths(s: SparkSession, d: str) -> DataFrame:
     return graph.cycle_paths(star.trade(s, d), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
+@query(_T + """, step as (select distinct dst as start, dst as node, 0 as n from trade union select s.start, t.dst, s.n + 1 from step s join trade t on t.src = s.node where s.n < 25),
+dist as (select start, node, min(n) as n from step group by 1, 2),
+p as (select start, node, [node] as path, 0 as n from dist where n = 0
+ union all select p.start, t.dst, list_append(p.path, t.dst), p.n + 1 from p join trade t on t.src = p.node join dist d on d.start = p.start and d.node = t.dst and d.n = p.n + 1),
+best as (select start, node, min(path) as path from p group by 1, 2),
+closed as (select path, list_position(path, list_min(path)) as i from trade t join best b on b.start = t.dst and b.node = t.src)
+select distinct array_to_string(list_append(list_concat(path[i:], path[:i - 1]), list_min(path)), '>') as path from closed""")
+def cycle_witnesses(s: SparkSession, d: str) -> DataFrame:
+    """Cycles of any length: no cap as ``cycle_paths`` has it, but one of each edge."""
+    return graph.cycle_witnesses(star.trade(s, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 @query(_T + ", u as (select src, dst from trade where src % 2 = dst % 2 union select dst, src from trade where src % 2 = dst % 2), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
 def components(s: SparkSession, d: str) -> DataFrame:
     return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d).where("src % 2 = dst % 2"))

@@ -5,9 +5,10 @@ import os
 import pytest
 from test_queries import DATA, rows
 
+from stratagraph.operators import graph
 from stratagraph.plans import registry
 
-pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
 
 def in_sql(name):
@@ -18,11 +19,13 @@ def in_sql(name):
     return c.sql(registry.ORACLE_SQL[name]).df()
 
 
-@pytest.mark.parametrize("name", ["ref_resolve_prefix_all", "ref_missing_prefix_all", "components_all"])
+@tables
+@pytest.mark.parametrize("name", ["ref_resolve_prefix_all", "ref_missing_prefix_all", "components_all", "cycle_witnesses"])
 def test_whole_tables_against_sql(spark, name):
     assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(in_sql(name))
 
 
+@tables
 def test_every_line_is_resolved_or_missing(spark):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
     keys = [r.p_partkey for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect()]
@@ -34,3 +37,11 @@ def test_every_line_is_resolved_or_missing(spark):
             want = {(f"line.{r.l_orderkey}", f"part.{r.l_partkey}") for r in lines if not bound[r.l_partkey]}
         got = [tuple(r) for r in registry.QUERIES[name](spark, DATA).select("src", column).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_cycles_have_a_path(spark):
+    long = [f"n{i:02}" for i in range(15)]  # longer than the enumeration goes
+    pairs = [*zip(long, [*long[1:], long[0]], strict=True), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "n00")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    assert {">".join(r.path) for r in graph.cycle_witnesses(e).collect()} == {">".join([*long, "n00"]), "x>y>x"}
+    assert graph.cycle_witnesses(e.limit(0)).count() == 0
