@@ -3,8 +3,9 @@
 Vectors of a label are dealt by hash to shards of bounded size, and each shard has a graph. Every vector
 queries every shard of its label; blocks of queries and the shard's graph meet in a task. A search
 returns all vectors with a cosine of at least the threshold: what the beam finds, and what can be
-reached from there through such vectors. In every task some queries are also answered by comparing
-with the whole shard, and the beam is widened until the graph finds what that finds.
+reached from there through such vectors. In every task queries are also answered by comparing with the
+whole shard, until enough of them have links there or none is left, and the beam is widened until the
+graph finds what that finds. What was compared is taken as it is.
 
 Equal vectors of a label are one node of the graph with a count, so copies are never compared. A task
 emits counts and a spanning forest of the links that it found, never the pairs of a group.
@@ -23,7 +24,7 @@ from .common import components, written
 SHARD, QUERIES = 16_384, 4096
 #: Neighbours in the upper layers and (twice as many) in the lowest, beam of the build, first beam of a search.
 NEIGHBOURS, BUILD, BEAM = 12, 48, 32
-#: Queries of a task that are audited, and the recall that they must reach.
+#: Queries of a task with links that are audited, and the mean recall that they must reach.
 AUDIT, RECALL = 24, 0.99
 
 
@@ -173,9 +174,9 @@ def _search(least: float):  # noqa: ANN202
                 continue
             nodes, counts, graph = graphs[int(d)]
             v, ids = _unit(part.embedding), part.node.tolist()
-            width = _audited(graph, v, least)
-            for q, i in zip(v, ids, strict=True):
-                hits = graph.within(q, least, width)
+            width, truth = _audited(graph, v, least, part.node.to_numpy(), nodes)
+            for k, (q, i) in enumerate(zip(v, ids, strict=True)):
+                hits = truth[k] if k in truth else graph.within(q, least, width)
                 hits = hits[nodes[hits] != i]
                 if len(hits):
                     out["kind"].append(0)
@@ -194,17 +195,30 @@ def _search(least: float):  # noqa: ANN202
     return run
 
 
-def _audited(graph: Graph, v: np.ndarray, least: float) -> int:
-    """The beam with which the audited queries find what a comparison with the whole shard finds."""
-    some = v[:: max(1, len(v) // AUDIT)][:AUDIT]
-    truth = [set(np.flatnonzero(graph.v @ q >= least).tolist()) for q in some]
-    width, all_ = BEAM, sum(map(len, truth))
-    while width < len(graph.v):
-        got = sum(len(t & set(graph.within(q, least, width).tolist())) for q, t in zip(some, truth, strict=True))
-        if got >= RECALL * all_:
+def _audited(graph: Graph, v: np.ndarray, least: float, ids: np.ndarray, nodes: np.ndarray) -> tuple[int, dict[int, np.ndarray]]:
+    """The beam with which the audited queries find what a comparison with the whole shard finds, each
+    counted alike; and the true hits of the compared queries, by number. ``ids``: the queries' nodes.
+
+    Queries are compared until ``AUDIT`` of them have links to others, or all are."""
+    truth: dict[int, np.ndarray] = {}
+    some: list[tuple[int, set[int]]] = []
+    order = np.random.default_rng(4).permutation(len(v))
+    for a in range(0, len(v), 64):
+        for k, near in zip(order[a : a + 64].tolist(), v[order[a : a + 64]] @ graph.v.T >= least, strict=True):
+            truth[k] = np.flatnonzero(near)
+            if len(others := truth[k][nodes[truth[k]] != ids[k]]):
+                some.append((k, set(others.tolist())))
+        if len(some) >= AUDIT:
+            break
+    some = some[:AUDIT]
+    width = BEAM
+    # Where all are compared, no beam is searched with.
+    while len(truth) < len(v) and width < len(graph.v):
+        got = [len(t & set(graph.within(v[k], least, width).tolist())) / len(t) for k, t in some]
+        if sum(got) >= RECALL * len(got):
             break
         width *= 2
-    return width
+    return width, truth
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:

@@ -213,6 +213,36 @@ def test_embeddings(spark):
     assert hnsw.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_audit_sees_links(monkeypatch):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((3000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = hnsw.Graph(v[:200])
+    queries = np.concatenate([v[200:2600], v[:200]])  # many without a link, then near copies of the shard's
+    queries[2400:] += rng.standard_normal((200, 24)) * 0.005
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    searched = graph.within
+    # A graph that finds nothing with a narrow beam.
+    monkeypatch.setattr(graph, "within", lambda q, least, width: searched(q, least, width) if width >= 128 else np.zeros(0, np.int64))
+    width, truth = hnsw._audited(graph, queries, 0.98, np.arange(1000, 3600), np.arange(200))
+    assert width >= 128 and sum(len(t) > 0 for t in truth.values()) >= hnsw.AUDIT
+    assert all(set(t.tolist()) == set(np.flatnonzero(graph.v @ queries[k] >= 0.98).tolist()) for k, t in truth.items())
+
+
+def test_embeddings_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD", 200)
+    monkeypatch.setattr(hnsw, "QUERIES", 300)
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal((300, 16))
+    v = np.concatenate([base, base[:150] + rng.standard_normal((150, 16)) * 0.05, base[0] + rng.standard_normal((100, 16)) * 0.05]).astype(np.float32)
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(axis=1) - 1
+    assert all(got[i] <= n for i, n in enumerate(want))
+    assert np.mean([got[i] / n for i, n in enumerate(want) if n]) >= 0.99
+
+
 # 5
 
 
