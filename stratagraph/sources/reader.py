@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
 from . import hcl
 
 BLOCKS = "project string, file_path string, kind string, label1 string, label2 string, ord int, body string, line_start int, line_end int, error string"
@@ -143,22 +144,24 @@ def backend(objects_: DataFrame) -> DataFrame:
     return objects_.where("type = 'terraform'").select("project", "file_path", "ord", b.alias("backend")).where("backend is not null").orderBy("file_path", "ord").limit(1)
 
 
-def locals_flat(objects_: DataFrame, depth: int = 8) -> DataFrame:
-    """``full_name, value``: the leaves of nested locals, by dotted path; list items by number."""
+def locals_flat(objects_: DataFrame) -> DataFrame:
+    """``full_name, value``: the leaves of nested locals at any depth, by dotted path; list items by number."""
     rows = objects_.where("type = 'local'").select("full_name", F.try_variant_get("attributes", "$.value", "variant").alias("v"))
     done = None
-    for _ in range(depth):
+    while True:
+        rows = written(rows)
         kind = F.schema_of_variant("v")
         is_leaf = ~(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
         leaf = rows.where(is_leaf).select("full_name", F.col("v").cast("string").alias("value"))
         done = leaf if done is None else done.unionAll(leaf)
         inner = rows.where(~is_leaf)
+        if inner.isEmpty():
+            return done
         as_map = F.try_variant_get("v", "$", "map<string,variant>")
         as_list = F.try_variant_get("v", "$", "array<variant>")
         a = inner.where(as_map.isNotNull()).select("full_name", F.explode(as_map).alias("k", "v"))
         b = inner.where(as_map.isNull()).select("full_name", F.posexplode(as_list).alias("p", "v")).select("full_name", F.col("p").cast("string").alias("k"), "v")
         rows = a.unionAll(b).select(F.concat_ws(".", "full_name", "k").alias("full_name"), "v")
-    return done
 
 
 def lines(found: DataFrame) -> DataFrame:

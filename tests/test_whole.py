@@ -7,6 +7,7 @@ from test_queries import DATA, rows
 
 from stratagraph.operators import graph
 from stratagraph.plans import registry
+from stratagraph.sources import reader
 
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 
@@ -45,3 +46,10 @@ def test_long_cycles_have_a_path(spark):
     e = spark.createDataFrame(pairs, "src string, dst string")
     assert {">".join(r.path) for r in graph.cycle_witnesses(e).collect()} == {">".join([*long, "n00"]), "x>y>x"}
     assert graph.cycle_witnesses(e.limit(0)).count() == 0
+
+
+def test_locals_of_any_depth(spark):
+    value = '{"a":' * 12 + '[1, "x"]' + "}" * 12
+    rows = spark.createDataFrame([("local.deep", "local", f'{{"value": {value}}}'), ("local.flat", "local", '{"value": 3}')], "full_name string, type string, a string").selectExpr("full_name", "type", "parse_json(a) as attributes")
+    deep = "local.deep" + ".a" * 12
+    assert {r.full_name: r.value for r in reader.locals_flat(rows).collect()} == {f"{deep}.0": "1", f"{deep}.1": "x", "local.flat": "3"}
