@@ -58,11 +58,12 @@ class Project:
         flags = o.withColumns(
             {
                 "incomplete": states.incomplete(c("attributes"), c("type"), c("resource_type"), c("source"), c("nullable"), c("default_value"), c("output_value")),
+                "bare": c("attributes").isNull() | F.to_json("attributes").isin("{}", "null"),
                 "good_practice": states.good_practice(c("description"), c("tags"), c("name"), c("type") == "resource"),
             }
         )
-        f = states.features(flags.select("full_name", "type", "name", "resource_type", "provider", "description", "tags", "incomplete", "good_practice"), self.edges, self.missing)
-        return written(states.classify(f).drop("incomplete", "good_practice"))
+        f = states.features(flags.select("full_name", "type", "name", "resource_type", "provider", "description", "tags", "default_value", "file_path", "incomplete", "good_practice", "bare"), self.edges, self.missing)
+        return written(states.classify(f).drop("incomplete", "good_practice", "bare", "default_value"))
 
     def search(self, text: str) -> DataFrame:
         s = self.states.withColumns({"subtype": F.coalesce("resource_type", "type"), "details": F.concat_ws(" ", "description", "state_reason"), "provider": F.coalesce("provider", F.substring_index("resource_type", "_", 1))})

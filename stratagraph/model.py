@@ -19,12 +19,12 @@ SEVERITIES = ("error", "warning", "info")
 CATEGORIES = ("syntax", "references", "security", "best_practices", "performance", "cost", "naming", "compliance")
 HEALTHY_STATES = ("active", "input", "output_interface", "configuration")
 
-#: State, its severity group and its rank in listings.
+# Each state, its severity group and its rank in listings.
 STATE_GROUPS = (
-    ("active", "healthy", 1), ("integrated", "healthy", 2), ("healthy", "healthy", 3), ("leaf", "healthy", 4),
-    ("input", "healthy", 5), ("output_interface", "healthy", 6), ("configuration", "healthy", 7), ("external_data", "info", 8),
-    ("hub", "info", 9), ("complex", "warning", 10), ("underutilized", "info", 11), ("isolated", "warning", 12),
-    ("orphaned", "warning", 13), ("unused", "warning", 14), ("incomplete", "error", 15), ("missing_dependency", "error", 16), ("broken", "error", 17),
+    ("healthy", "healthy", 1), ("active", "healthy", 2), ("integrated", "healthy", 3),
+    ("input", "neutral", 4), ("output_interface", "neutral", 5), ("configuration", "neutral", 6), ("external_data", "neutral", 7), ("leaf", "neutral", 8), ("hub", "neutral", 9),
+    ("unused", "warning", 10), ("isolated", "warning", 11), ("orphaned", "warning", 12), ("underutilized", "warning", 13), ("complex", "warning", 14),
+    ("incomplete", "error", 15), ("broken", "error", 16), ("missing_dependency", "error", 17),
 )
 
 

@@ -9,11 +9,11 @@ from . import refs
 
 # Functions of the language that are recognised.
 FUNCTION_NAMES = (
-    "abs", "base64decode", "base64encode", "base64gzip", "basename", "can", "ceil", "chomp", "cidrhost", "cidrnetmask", "cidrsubnet", "coalesce", "coalescelist", "compact", "concat", "contains",
-    "csvdecode", "dirname", "distinct", "element", "endswith", "file", "filebase64", "fileexists", "fileset", "flatten", "floor", "format", "formatdate", "formatlist", "indent", "index", "join",
-    "jsondecode", "jsonencode", "keys", "length", "list", "log", "lookup", "lower", "map", "matchkeys", "max", "md5", "merge", "min", "parseint", "pathexpand", "pow", "range", "regex", "regexall",
-    "replace", "reverse", "setintersection", "setproduct", "setunion", "sha1", "sha256", "signum", "slice", "sort", "split", "startswith", "strrev", "substr", "sum", "templatefile", "timeadd",
-    "timestamp", "title", "tobool", "tolist", "tomap", "tonumber", "toset", "tostring", "transpose", "trim", "trimspace", "try", "upper", "urlencode", "uuid", "values", "yamldecode", "yamlencode", "zipmap",
+    "file", "filebase64", "templatefile", "jsonencode", "jsondecode", "yamlencode", "yamldecode", "base64encode", "base64decode", "join", "split", "concat", "lookup", "element", "length", "merge",
+    "flatten", "distinct", "keys", "values", "zipmap", "format", "formatlist", "regex", "regexall", "replace", "substr", "trim", "trimprefix", "trimsuffix", "lower", "upper", "title", "chomp", "indent",
+    "tostring", "tonumber", "tobool", "tolist", "toset", "tomap", "try", "can", "coalesce", "compact", "contains", "index", "reverse", "slice", "sort", "sum", "min", "max", "ceil", "floor", "abs", "log",
+    "pow", "signum", "parseint", "cidrhost", "cidrnetmask", "cidrsubnet", "cidrsubnets", "timestamp", "timeadd", "formatdate", "range", "chunklist", "setintersection", "setproduct", "setsubtract",
+    "setunion", "anytrue", "alltrue", "one", "sensitive", "nonsensitive",
 )
 
 

@@ -39,11 +39,11 @@ def health_score(states: DataFrame) -> DataFrame:
 
 
 def graph_health(states: DataFrame, dimension: DataFrame) -> DataFrame:
-    """From severity groups: healthy and informative states count, warnings cost 15, errors 30."""
+    """From severity groups: healthy states count, neutral ones don't, warnings cost 15, errors 30; 0 without a node."""
     g = states.join(dimension, "state", "left")
-    n = g.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == x).alias(f"n_{x}") for x in ("healthy", "info", "warning", "error")))
+    n = g.agg(F.count("*").alias("total"), *(F.count_if(F.col("severity") == x).alias(f"n_{x}") for x in ("healthy", "neutral", "warning", "error")))
     raw = (F.col("n_healthy") * 100.0 - F.col("n_warning") * 15.0 - F.col("n_error") * 30.0) / F.col("total")
-    return n.withColumn("score", F.when(F.col("total") == 0, 100.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)))
+    return n.withColumn("score", F.when(F.col("total") == 0, 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 2)))
 
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ PATTERNS = (
     (rf"\b(data\.{_ID}\.{_ID})", 1),
     (rf"\b([a-z][a-z0-9_]*\.{_ID})\.", 1),
 )
-PREFIXES = ("var", "local", "module", "data", "provider", "output", "each")
+PREFIXES = ("var", "local", "module", "data", "output", "provider", "terraform")
+# Types of references whose value is known only when the configuration is applied.
+COMPUTED = ("resource", "data", "module", "self", "terraform", "count", "each")
 # Base complexity of a reference by its type.
 TYPE_COMPLEXITY = {"local": 1, "variable": 2, "resource": 5, "data": 8, "module": 10, "function": 15, "path": 1, "terraform": 3, "count": 2, "each": 2, "self": 4}
 SENSITIVE = "password|secret|key|token|private_key|certificate"
@@ -46,14 +48,16 @@ def resolve(refs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(src, dst)`` and ``(src, ref)``: resolved and missing references against ``names`` (``full_name``).
 
     A reference binds to the object of its name, else to every object whose name starts with it. The
-    second is an equi-join too: the catalog's names are spread into their prefixes, of the lengths that
-    the unmatched references have.
+    second is an equi-join too: the catalog's names are spread into their prefixes, and only into those of
+    the lengths that unmatched references have (a row for each length, so small).
     """
     names = names.select("full_name").distinct()
     exact = refs.join(names, refs["ref"] == names["full_name"], "left_semi").select("src", F.col("ref").alias("dst"))
     rest = refs.join(names, refs["ref"] == names["full_name"], "left_anti")
     wanted = rest.select("ref").distinct()
-    prefixes = names.select("full_name", F.explode(F.transform(F.sequence(F.lit(1), F.length("full_name")), lambda n: F.substring(F.col("full_name"), F.lit(1), n))).alias("prefix"))
+    sizes = wanted.agg(F.coalesce(F.sort_array(F.collect_set(F.length("ref"))), F.array().cast("array<int>")).alias("sizes")).first().sizes
+    fitting = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("full_name"))
+    prefixes = names.select("full_name", F.explode(F.transform(fitting, lambda n: F.substring(F.col("full_name"), F.lit(1), n))).alias("prefix"))
     bound = wanted.join(prefixes, wanted["ref"] == prefixes["prefix"]).select("ref", "full_name")
     partial = rest.join(bound, "ref").select("src", F.col("full_name").alias("dst")).where("src <> dst")
     missing = rest.join(bound.select("ref").distinct(), "ref", "left_anti").select("src", "ref")
@@ -81,7 +85,7 @@ def sensitive(path: Column) -> Column:
 
 
 def computed(ref_type: Column) -> Column:
-    return ref_type.isin("resource", "data", "module", "count", "each", "self", "function")
+    return ref_type.isin(*COMPUTED)
 
 
 def reference_complexity(ref_type: Column, path_length: Column, conditional: Column, is_computed: Column, is_sensitive: Column) -> Column:

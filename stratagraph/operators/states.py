@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from . import graph
 
 # Substrings of resource types that name core and outward-facing infrastructure.
-CORE = "vpc|virtual_network|network|subnet|subnetwork|security_group|firewall|instance|virtual_machine|cluster|database|db_instance|sql|storage|bucket|load_balancer|lb|gateway|iam|role|key_vault|kms|dns|route|container|kubernetes"
-OUTWARD = "lb|load_balancer|api_gateway|gateway|cloudfront|cdn|dns|route53|public_ip|elastic_ip|eip|endpoint|frontdoor|waf|app_service|url_map|forwarding_rule"
+CORE = (
+    "vpc", "vnet", "network", "subnet", "security_group", "firewall", "nsg", "route_table", "routing", "internet_gateway", "nat_gateway", "vpn_gateway", "load_balancer", "lb", "alb", "nlb",
+    "database", "db", "rds", "sql", "cluster", "aks", "eks", "gke", "storage_account", "blob",
+)
+OUTWARD = (
+    "load_balancer", "alb", "nlb", "lb", "api_gateway", "apigw", "cloudfront", "cdn", "waf", "firewall", "nat_gateway", "vpn", "direct_connect", "public_ip", "eip", "dns", "route53",
+)
 NAME_STYLE = r"^([a-z][a-z0-9_]*|[a-z][a-z0-9-]*|[a-z][a-zA-Z0-9]*)$"
 COMPLEXITY_LIMIT = 30.0
 
@@ -27,11 +32,11 @@ def good_practice(description: Column, tags: Column, name: Column, is_resource:
 
 
 def core_infrastructure(resource_type: Column) -> Column:
-    return F.lower(F.coalesce(resource_type, F.lit(""))).rlike(CORE)
+    return F.lower(F.coalesce(resource_type, F.lit(""))).rlike("|".join(CORE))
 
 
 def external_facing(resource_type: Column) -> Column:
-    return F.lower(F.coalesce(resource_type, F.lit(""))).rlike(OUTWARD)
+    return F.lower(F.coalesce(resource_type, F.lit(""))).rlike("|".join(OUTWARD))
 
 
 def incomplete(attributes: Column, type_: Column, resource_type: Column, source: Column, nullable: Column, default: Column, output: Column) -> Column:
@@ -66,16 +71,17 @@ def _all(parts) -> Column:  # noqa: ANN001
 
 
 def classify(f: DataFrame) -> DataFrame:
-    """Adds ``state`` and ``state_reason`` to features ``type, dependencies, dependents, complexity,
-    n_missing, circular, incomplete, reaches, infra_ref, users, good_practice``."""
+    """Adds ``state`` and ``state_reason`` to what ``features`` gives."""
     t, d, n, c = F.col("type"), F.col("dependencies"), F.col("dependents"), F.col("complexity")
     lattice = F.when((d == 0) & (n == 0), "isolated").when((d > 0) & (n == 0), "active").when((d == 0) & (n > 0), "leaf").otherwise("integrated")
     tail = (
-        F.when((n >= 10) | (n >= 5) & (d <= 3), "hub")
+        F.when((d == 0) & (n == 0), "isolated")
+        .when(d == 0, "leaf")
+        .when((n >= 10) | (n >= 5) & (d <= 3), "hub")
         .when((d >= 5) & (n == 1), "underutilized")
         .when((c >= 20) | (d >= 10), "complex")
         .when(F.col("good_practice") & d.between(2, 8) & (n >= 2), "healthy")
-        .when((d > 0) & (n > 0), "integrated")
+        .when((d > 0) & (n >= 2), "integrated")
         .otherwise("active")
     )
     state = (
@@ -91,34 +97,125 @@ def classify(f: DataFrame) -> DataFrame:
         .when(t == "terraform", "configuration")
         .otherwise(tail)
     )
-    reason = (
-        F.when(F.col("n_missing") > 0, F.concat(F.lit("missing references: "), F.col("n_missing").cast("string")))
-        .when(F.col("circular"), "part of a dependency cycle")
-        .when(c > COMPLEXITY_LIMIT, F.concat(F.lit("complexity "), F.format_number(c, 1)))
-        .otherwise(F.concat(d.cast("string"), F.lit(" dependencies, "), n.cast("string"), F.lit(" dependents")))
+    return f.withColumn("state", state).withColumn("state_reason", _reason(f))
+
+
+def _said(text: str, *columns: str) -> Column:
+    return F.format_string(text, *(F.col(c) for c in columns))
+
+
+def _reason(f: DataFrame) -> Column:
+    """Why the state is what it is; the wordings are fixed values. Branches are those of ``classify``, in its order.
+
+    Missing names come by name; a cycle's length is that of its strongly connected component.
+    """
+    t, d, n, c = F.col("type"), F.col("dependencies"), F.col("dependents"), F.col("complexity")
+    kind = F.col("resource_type") if "resource_type" in f.columns else F.lit(None).cast("string")
+    has_default = F.col("default_value").isNotNull() if "default_value" in f.columns else F.lit(False)
+    low = F.lower(F.coalesce(kind, F.lit("")))
+    more = F.when(F.col("n_missing") > 3, F.format_string(" (+%d more)", F.col("n_missing") - 3)).otherwise("")
+    lacking = (
+        F.when((t == "resource") & F.coalesce(F.col("bare"), F.lit(False)), "Resource has no configuration attributes")
+        .when((t == "resource") & low.contains("instance"), "Instance resource missing required configuration (ami, instance_type, etc.)")
+        .when((t == "resource") & low.contains("bucket"), "Bucket resource missing required configuration")
+        .when((t == "resource") & low.contains("security_group"), "Security group missing name configuration")
+        .when((t == "resource") & low.contains("resource_group"), "Resource group missing location or name")
+        .when((t == "resource") & (low != ""), F.format_string("Resource '%s' missing required configuration", kind))
+        .when(t == "resource", "Resource missing required configuration")
+        .when(t == "module", "Module missing source attribute")
+        .when(t == "variable", "Required variable (nullable=false) missing default value")
+        .when(t == "output", "Output missing value attribute")
+        .otherwise("Missing required configuration")
+    )
+    resource = (
+        F.when((d == 0) & (n == 0), "Resource not connected to any infrastructure")
+        .when((n == 0) & core_infrastructure(kind), _said("Core infrastructure using %d dependencies", "dependencies"))
+        .when(n == 0, _said("Infrastructure resource using %d dependencies", "dependencies"))
+        .when(d == 0, _said("Independent infrastructure used by %d consumer(s)", "dependents"))
+        .otherwise(_said("Infrastructure using %d deps, used by %d consumer(s)", "dependencies", "dependents"))
+    )
+    module = (
+        F.when((d == 0) & (n == 0), "Module not connected to any infrastructure")
+        .when(n == 0, _said("Module provisions infrastructure using %d input(s)", "dependencies"))
+        .when(d == 0, _said("Module provides values to %d consumer(s)", "dependents"))
+        .otherwise(_said("Module processes %d input(s) and provides to %d consumer(s)", "dependencies", "dependents"))
+    )
+    output = (
+        F.when(d == 0, "Output declared but has no value source")
+        .when(F.col("infra_ref") & (n == 0), _said("Exports infrastructure value (external interface) from %d source(s)", "dependencies"))
+        .when(F.col("infra_ref"), _said("Exports value from %d source(s), also used by %d internal consumer(s)", "dependencies", "dependents"))
+        .when(n == 0, _said("Output references %d intermediate value(s) but may not be useful externally", "dependencies"))
+        .otherwise(_said("Transforms %d value(s), used by %d consumer(s)", "dependencies", "dependents"))
+    )
+    local = (
+        F.when(~F.col("reaches") & (d > 0), _said("Local value with %d input(s) but not used in infrastructure", "dependencies"))
+        .when(~F.col("reaches"), "Local value computed but not used in infrastructure")
+        .when(d == 0, _said("Local value used by %d infrastructure component(s)", "dependents"))
+        .otherwise(_said("Computed local using %d input(s), used by %d component(s)", "dependencies", "dependents"))
+    )
+    provider = (
+        F.when(F.col("users") > 0, _said("Provider used by %d resource(s)", "users"))
+        .when(n > 0, _said("Provider configured with %d input(s), awaiting resources", "dependents"))
+        .otherwise("Provider configured but no resources use it")
+    )
+    variable = (
+        F.when(F.col("reaches"), _said("Input variable used by %d object(s)", "dependents"))
+        .when(has_default, "Variable declared with default but never used in infrastructure")
+        .otherwise("Variable declared but never used in infrastructure")
+    )
+    tail = (
+        F.when((d == 0) & (n == 0), "Not connected to any infrastructure components")
+        .when((d == 0) & external_facing(kind), _said("External-facing resource used by %d object(s)", "dependents"))
+        .when(d == 0, _said("Independent resource used by %d object(s)", "dependents"))
+        .when(n >= 10, _said("Critical hub used by %d objects", "dependents"))
+        .when((n >= 5) & (d <= 3), _said("Central resource distributing to %d consumers", "dependents"))
+        .when((d >= 5) & (n == 1), _said("Complex resource (%d deps) used by only 1 object", "dependencies"))
+        .when(c >= 20, _said("High complexity (score: %.1f) - consider refactoring", "complexity"))
+        .when(d >= 10, _said("Very high dependency count (%d) - consider simplification", "dependencies"))
+        .when(F.col("good_practice") & d.between(2, 8) & (n >= 2), _said("Well-designed: %d deps, %d consumers, follows best practices", "dependencies", "dependents"))
+        .when(d.between(2, 8) & (n >= 2), _said("Well-integrated: %d deps, %d consumers", "dependencies", "dependents"))
+        .when(n >= 2, _said("Integrated: %d deps, %d consumers", "dependencies", "dependents"))
+        .otherwise(_said("Active: %d dependencies, %d consumers", "dependencies", "dependents"))
+    )
+    return (
+        F.when(F.col("n_missing") > 0, F.concat(_said("References %d undefined object(s): %s", "n_missing", "missing_names"), more))
+        .when(F.col("circular"), _said("Circular dependency detected involving %d object(s)", "cycle_size"))
+        .when(c > COMPLEXITY_LIMIT, _said("Critical complexity level (score: %.1f)", "complexity"))
+        .when(F.col("incomplete"), lacking)
+        .when(t == "variable", variable)
+        .when(t == "provider", provider)
+        .when(t == "output", output)
+        .when(t == "local", local)
+        .when(t == "resource", resource)
+        .when(t == "module", module)
+        .when(t == "data", F.when(n == 0, "Data source queried but result never used").otherwise(_said("External data used by %d object(s)", "dependents")))
+        .when(t == "terraform", "Terraform configuration block")
+        .otherwise(tail)
     )
-    return f.withColumns({"state": state, "state_reason": reason})
 
 
 def features(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
-    """The features of ``objects`` (``full_name, type`` and flags ``incomplete, good_practice`` where
-    there are any) under ``edges`` (``src, dst``) and ``missing`` (``src, ref``).
+    """The features of ``objects`` (``full_name, type`` and flags ``incomplete, good_practice, bare``: without
+    attributes, where there are any) under ``edges`` (``src, dst``) and ``missing`` (``src, ref``).
 
-    Degrees, users and infrastructure references come from a single aggregate over the edges.
+    Degrees, users and infrastructure references come from a single aggregate over the edges. An explicit
+    dependency counts even where there is no such object.
     """
     nodes = objects.select(F.col("full_name").alias("node"), "type")
     kinds = nodes.select(F.col("node").alias("k_"), F.col("type").alias("kt_"))
-    e = edges.select("src", "dst").join(kinds.withColumnRenamed("kt_", "dst_type"), F.col("dst") == F.col("k_")).drop("k_").join(kinds.withColumnRenamed("kt_", "src_type"), F.col("src") == F.col("k_")).drop("k_")
+    e = edges.select("src", "dst").join(kinds.withColumnRenamed("kt_", "dst_type"), F.col("dst") == F.col("k_"), "left").drop("k_").join(kinds.withColumnRenamed("kt_", "src_type"), F.col("src") == F.col("k_")).drop("k_")
     as_src = e.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
-    as_dst = e.distinct().groupBy(F.col("dst").alias("full_name")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
-    lost = missing.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("n_missing"))
-    loops = graph.cycle_members(edges).select(F.col("node").alias("full_name"), F.lit(True).alias("circular"))
+    as_dst = e.where("dst_type is not null").distinct().groupBy(F.col("dst").alias("full_name")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
+    lost = missing.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("n_missing"), F.array_join(F.slice(F.array_sort(F.collect_list("ref")), 1, 3), ", ").alias("missing_names"))
+    members = graph.cycle_members(edges)
+    sizes = members.groupBy("cycle").agg(F.count("*").alias("cycle_size"))
+    loops = members.join(sizes, "cycle").select(F.col("node").alias("full_name"), F.lit(True).alias("circular"), "cycle_size")
     reach = graph.reaches(nodes, edges).select(F.col("node").alias("full_name"), F.lit(True).alias("reaches"))
     f = objects
     for x in (as_src, as_dst, lost, loops, reach):
         f = f.join(x, "full_name", "left")
     f = f.na.fill(0, ["dependencies", "dependents", "users", "n_missing"]).na.fill(False, ["circular", "reaches", "infra_ref"])
-    for flag in ("incomplete", "good_practice"):
+    for flag in ("incomplete", "good_practice", "bare"):
         if flag not in f.columns:
             f = f.withColumn(flag, F.lit(False))
     f = f.withColumn("has_missing", F.col("n_missing") > 0)

@@ -106,10 +106,10 @@ def health_score(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     _STATES
-    + """ , sev as (select case when state in ('active','integrated','leaf','input','output_interface','configuration') then 'healthy' when state in ('external_data') then 'info'
-    when state in ('isolated','orphaned','unused') then 'warning' else 'error' end as severity from stated)
-    select total, n_healthy, n_info, n_warning, n_error, round(greatest(0, least(100, (n_healthy * 100.0 - n_warning * 15.0 - n_error * 30.0) / total)), 2) as score from (
-    select count(*) as total, count(*) filter (where severity = 'healthy') as n_healthy, count(*) filter (where severity = 'info') as n_info, count(*) filter (where severity = 'warning') as n_warning, count(*) filter (where severity = 'error') as n_error from sev)"""
+    + """ , sev as (select case when state in ('healthy','active','integrated') then 'healthy' when state in ('input','output_interface','configuration','external_data','leaf','hub') then 'neutral'
+    when state in ('unused','isolated','orphaned','underutilized','complex') then 'warning' else 'error' end as severity from stated)
+    select total, n_healthy, n_neutral, n_warning, n_error, round(greatest(0, least(100, (n_healthy * 100.0 - n_warning * 15.0 - n_error * 30.0) / total)), 2) as score from (
+    select count(*) as total, count(*) filter (where severity = 'healthy') as n_healthy, count(*) filter (where severity = 'neutral') as n_neutral, count(*) filter (where severity = 'warning') as n_warning, count(*) filter (where severity = 'error') as n_error from sev)"""
 )
 def graph_health(s: SparkSession, d: str) -> DataFrame:
     return metrics.graph_health(_stated(s, d).select("state"), state_dimension(s))
@@ -132,20 +132,20 @@ def degree_complexity(s: SparkSession, d: str) -> DataFrame:
     return deg.select("node", "dependencies", "dependents", graph.complexity().alias("complexity"))
 
 
-_REF_TEXT_SQL = "with t as (select 'local.' || o_orderkey as src, 'x = var.n' || (o_custkey % 25) || ' + \"${local.o' || (o_orderkey % 7) || '}\" ${module.m' || (o_custkey % 5) || '.out} data.aws_ami.d' || (o_orderkey % 3) || '.id aws_vpc.v' || (o_custkey % 4) || '.id' as text from orders)"
+_REF_TEXT_SQL = "with t as (select 'local.' || o_orderkey as src, 'x = var.n' || (o_custkey % 25) || ' + \"${local.o' || (o_orderkey % 7) || '}\" ${module.m' || (o_custkey % 5) || '.out} data.aws_ami.d' || (o_orderkey % 3) || '.id aws_vpc.v' || (o_custkey % 4) || '.id ${each.value.size} terraform.workspace.x ' as text from orders)"
 
 
 def _ref_texts(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
     c, k = F.col("o_custkey"), F.col("o_orderkey")
-    text = F.concat(F.lit("x = var.n"), (c % 25).cast("string"), F.lit(' + "${local.o'), (k % 7).cast("string"), F.lit('}" ${module.m'), (c % 5).cast("string"), F.lit(".out} data.aws_ami.d"), (k % 3).cast("string"), F.lit(".id aws_vpc.v"), (c % 4).cast("string"), F.lit(".id"))
+    text = F.concat(F.lit("x = var.n"), (c % 25).cast("string"), F.lit(' + "${local.o'), (k % 7).cast("string"), F.lit('}" ${module.m'), (c % 5).cast("string"), F.lit(".out} data.aws_ami.d"), (k % 3).cast("string"), F.lit(".id aws_vpc.v"), (c % 4).cast("string"), F.lit(".id ${each.value.size} terraform.workspace.x "))
     return o.select(F.concat(F.lit("local."), k.cast("string")).alias("full_name"), F.lit("local").alias("type"), text.alias("attributes_text"))
 
 
 @query(_REF_TEXT_SQL + """, r as (
  select src, unnest(list_distinct(regexp_extract_all(text, '\\b(var\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b(local\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b(module\\.[A-Za-z_][A-Za-z0-9_-]*)\\.', 1)
   || regexp_extract_all(text, '\\b(data\\.[A-Za-z_][A-Za-z0-9_-]*\\.[A-Za-z_][A-Za-z0-9_-]*)', 1) || regexp_extract_all(text, '\\b([a-z][a-z0-9_]*\\.[A-Za-z_][A-Za-z0-9_-]*)\\.', 1))) as ref from t)
-select src, ref from r where src <> ref and (split_part(ref, '.', 1) in ('var','local','module','data','provider','output','each') or contains(split_part(ref, '.', 1), '_'))""")
+select src, ref from r where src <> ref and (split_part(ref, '.', 1) in ('var','local','module','data','output','provider','terraform') or contains(split_part(ref, '.', 1), '_'))""")
 def ref_extract_regex(s: SparkSession, d: str) -> DataFrame:
     return refs.extract(_ref_texts(s, d))
 
