@@ -2,23 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from .registry import attr, falsy, items, registry, tag_keys, truthy
+from .registry import attr, falsy, items, number, numeric, registry, tag_keys, truthy
 
 rule = registry.rule
 # Longest names by type, others 64; types with a character rule; generic names; regions.
 NAME_LIMITS = {
-    "azurerm_storage_account": 24, "azurerm_virtual_machine": 15, "azurerm_key_vault": 24, "azurerm_resource_group": 90, "azurerm_virtual_network": 64,
-    "azurerm_subnet": 80, "azurerm_network_security_group": 80, "azurerm_public_ip": 80, "azurerm_network_interface": 80, "azurerm_sql_server": 63,
-    "azurerm_sql_database": 128, "azurerm_app_service": 60, "azurerm_kubernetes_cluster": 63, "azurerm_container_registry": 50, "azurerm_log_analytics_workspace": 63,
+    "azurerm_storage_account": 24, "azurerm_virtual_machine": 15, "azurerm_resource_group": 90, "azurerm_virtual_network": 64, "azurerm_subnet": 80,
+    "azurerm_network_interface": 80, "azurerm_public_ip": 80, "azurerm_network_security_group": 80, "azurerm_key_vault": 24, "azurerm_sql_server": 63,
+    "azurerm_sql_database": 128, "azurerm_app_service": 60, "azurerm_app_service_plan": 40, "azurerm_container_registry": 50, "azurerm_kubernetes_cluster": 63,
 }
-GENERIC_NAMES = ("storage", "storageaccount", "data", "test", "default")
+GENERIC_NAMES = ("storage", "mystorage", "account", "sa", "storageaccount")
 REGIONS = ("eastus", "westeurope", "canadacentral", "australiaeast")
 GOVERNANCE = ("confidentiality", "compliance", "owner", "data-classification")
 PUBLIC = ("*", "0.0.0.0/0", "Internet")
 
 
 def _name():
-    return F.col("name")
+    """The cloud's name, not the block's label; empty where none is set."""
+    return F.coalesce(attr("name"), F.lit(""))
 
 
 @rule("AZURE-NAMING-001", "error", "naming", scope="generic", suggestion="Shorten the name")
@@ -81,8 +82,8 @@ def _():
 @rule("AZURE-SECURITY-001", "error", "security", "azurerm_virtual_machine", suggestion="Encrypt the disks")
 def _():
     """Machine disks are encrypted."""
-    image = F.coalesce(attr("storage_image_reference"), F.lit("")).contains("AzureDiskEncryption")
-    data = F.exists(items("storage_data_disk", "encryption_settings:string"), lambda d: d["encryption_settings"].isNotNull())
+    image = F.exists(items("storage_image_reference", "type:string"), lambda x: F.coalesce(x["type"] == "AzureDiskEncryption", F.lit(False)))
+    data = F.exists(items("storage_data_disk", "encryption_settings:string"), lambda d: ~F.coalesce(d["encryption_settings"], F.lit("")).isin("", "[]", "{}", "false"))
     return [(~image & falsy("storage_os_disk.encryption_settings") & ~data, "Disks are not encrypted")]
 
 
@@ -195,7 +196,7 @@ def _():
 @rule("AZURE-SECURITY-303", "warning", "security", "azurerm_sql_firewall_rule", suggestion="Restrict the range")
 def _():
     """Database firewalls don't admit every address."""
-    start, end = F.coalesce(attr("start_ip_address"), attr("start_ip")), F.coalesce(attr("end_ip_address"), attr("end_ip"))
+    start, end = attr("start_ip_address"), attr("end_ip_address")
     return [((start == "0.0.0.0") & (end == "255.255.255.255"), "Every address is admitted")]  # noqa: S104
 
 
@@ -226,7 +227,7 @@ def _():
 @rule("AZURE-SECURITY-702", "warning", "security", "azurerm_log_analytics_workspace", suggestion="Keep logs for a year")
 def _():
     """Logs are kept for a year."""
-    return [(F.coalesce(attr("retention_in_days", "double"), F.lit(0.0)) < 365, "Logs are kept for less than a year")]
+    return numeric("retention_in_days", [(number("retention_in_days", 0) < 365, "Logs are kept for less than a year")])
 
 
 @rule("AZURE-SECURITY-801", "warning", "security", "azurerm_role_assignment", suggestion="Grant less")

@@ -6,9 +6,9 @@ from .registry import attr, falsy, registry, truthy
 
 rule = registry.rule
 # Fixed values.
-SECRET_NAMES = ("password", "secret", "token", "api_key", "private_key")
-SECRET_WORDS = "password|secret|token|key|credential|private|cert|auth|passwd|pwd|access"
-GENERIC_MODULES = ("module", "main", "test", "this", "default")
+REQUIRED_NAMES = ("access_key", "secret_key", "token", "password", "private_key")
+SECRET_WORDS = ("password", "secret", "key", "token", "credential", "private", "certificate", "ssh_key", "pem", "jwt", "api_key")
+GENERIC_MODULES = ("module", "main", "test", "example", "default")
 FILTERED_DATA = ("aws_ami", "aws_instance", "azurerm_resource_group", "google_compute_image")
 SNAKE = "^[a-z][a-z0-9_]*$"
 
@@ -33,14 +33,15 @@ _set("TF-CONFIG-003", "warning", "terraform", "required_providers", "No required
 @rule("TF-PROVIDER-001", "warning", "best_practices", "provider", priority=20, suggestion="Constrain the version")
 def _():
     """Main provider blocks have a version."""
-    return [(falsy("alias") & falsy("version"), "Provider has no version")]
+    return [(attr("alias").isNull() & falsy("version"), "Provider has no version")]
 
 
 @rule("TF-PROVIDER-002", "info", "best_practices", "provider", priority=15, suggestion="Complete the provider")
 def _():
     """Providers have what their cloud needs."""
     name = F.col("name")
-    no_features = F.try_variant_get(F.col("attributes"), "$.features", "string").isNull()
+    # A block stands in a list, so an empty one is there all the same.
+    no_features = attr("features").isNull() | attr("features").isin("{}", "[]")
     return [((name == "aws") & falsy("region"), "No region"), ((name == "azurerm") & no_features, "No features block"), ((name == "google") & falsy("region") & falsy("zone"), "No region or zone")]
 
 
@@ -59,7 +60,7 @@ def _():
 @rule("TF-VARIABLE-003", "info", "best_practices", "variable", priority=5, suggestion="Give a default or nullable = false")
 def _():
     """Optional variables have a default."""
-    return [(F.col("default_value").isNull() & F.coalesce(F.col("nullable"), F.lit(True)) & ~F.lower("name").isin(*SECRET_NAMES), "Variable has no default")]
+    return [(F.col("default_value").isNull() & F.coalesce(F.col("nullable"), F.lit(True)) & ~F.col("name").isin(*REQUIRED_NAMES), "Variable has no default")]
 
 
 @rule("TF-VARIABLE-004", "warning", "naming", "variable", priority=10, suggestion="Use snake case")
@@ -77,7 +78,7 @@ def _():
 @rule("TF-OUTPUT-002", "warning", "security", "output", priority=20, suggestion="Mark it sensitive")
 def _():
     """Outputs that look secret are marked."""
-    return [(F.lower("name").rlike(SECRET_WORDS) & ~F.coalesce(F.col("sensitive"), F.lit(False)), "Output looks secret and is not marked so")]
+    return [(F.lower("name").rlike("|".join(SECRET_WORDS)) & ~F.coalesce(F.col("sensitive"), F.lit(False)), "Output looks secret and is not marked so")]
 
 
 @rule("TF-LOCAL-001", "info", "best_practices", "local", priority=5, suggestion="Split the expression")
@@ -103,7 +104,7 @@ def _():
 @rule("TF-MODULE-002", "warning", "naming", "module", priority=10, suggestion="Say what it makes")
 def _():
     """Modules have telling names in snake case."""
-    generic = F.lower("name").isin(*GENERIC_MODULES)
+    generic = F.col("name").isin(*GENERIC_MODULES)
     return [(generic, "Module name is generic"), (~generic & ~F.col("name").rlike(SNAKE), "Name is not in snake case")]
 
 

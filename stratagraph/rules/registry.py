@@ -28,6 +28,8 @@ class Rule:
     description: str = ""
     suggestion: str = ""
     enabled: bool = True
+    #: A further predicate of the objects that the rule is for, if any.
+    condition: Callable[[], Column] | None = None
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,13 @@ class Each:
     messages: Column
 
 
+@dataclass(frozen=True)
+class Failed:
+    """Message of a check that tells that its rule can't be evaluated on the object."""
+
+    message: str
+
+
 class Registry:
     def __init__(self) -> None:
         self.rules: dict[str, Rule] = {}
@@ -46,11 +55,11 @@ class Registry:
             raise ValueError(f"rule {rule.rule_id} is registered already")
         self.rules[rule.rule_id] = rule
 
-    def rule(self, rule_id: str, severity: str, category: str, *types: str, priority: int = 0, scope: str = "resource_specific", suggestion: str = "") -> Callable[[Checks], Checks]:
+    def rule(self, rule_id: str, severity: str, category: str, *types: str, priority: int = 0, scope: str = "resource_specific", suggestion: str = "", condition: Callable[[], Column] | None = None) -> Callable[[Checks], Checks]:
         """Decorator: registers what the function returns as the checks of a rule; its docstring describes it."""
 
         def take(checks: Checks) -> Checks:
-            self.add(Rule(rule_id, severity, category, scope, types, priority, checks, (checks.__doc__ or "").strip(), suggestion))
+            self.add(Rule(rule_id, severity, category, scope, types, priority, checks, (checks.__doc__ or "").strip(), suggestion, condition=condition))
             return checks
 
         return take
@@ -80,24 +89,31 @@ class Registry:
     def stats(self, spark: SparkSession) -> DataFrame:
         return self.table(spark).groupBy("scope", "category").agg(F.count("*").alias("n"), F.count_if("enabled").alias("n_enabled"))
 
-    def evaluate(self, objects: DataFrame, categories: Iterable[str] | None = None, ignore: Iterable[str] = (), strict: bool = False) -> DataFrame:
-        """The issues of the objects. ``strict`` makes warnings errors. Interpolated names are skipped."""
+    def evaluate(self, objects: DataFrame, categories: Iterable[str] | None = None, ignore: Iterable[str] = (), strict: bool = False, fail_fast: bool = False) -> DataFrame:
+        """The issues of the objects. ``strict`` makes warnings errors. Interpolated names are skipped.
+
+        A check that can't be evaluated on an object (a number is expected and something else stands
+        there) is an issue ``VALIDATOR-ERROR``, not silence. With ``fail_fast`` project rules aren't
+        evaluated if an object has an error; issues of objects are all given, since they come from one pass.
+        """
         rules = self.chosen(categories, ignore)
         row = [r for r in rules if r.scope != "project_level"]
-        issues = objects.where(~F.coalesce(F.col("name").rlike(r"\$\{|\}"), F.lit(False)))
-        kind = F.when(F.col("type").isin("resource", "data") & F.col("resource_type").isNotNull(), F.col("resource_type")).otherwise(F.col("type"))
+        issues = _eligible(objects)
         each = []
         for r in row:
-            cloud = r.rule_id.split("-")[0]
-            applies = kind.isin(*r.types) | (F.col("type").isin(*r.types)) if r.scope != "generic" else _cloud(cloud) & (kind.isin(*r.types) if r.types else F.lit(True))
+            applies = _applies(r)
             for check, message in r.checks():
                 if isinstance(message, Each):
                     found = _each(r, message.messages, strict)
+                elif isinstance(message, Failed):
+                    found = F.array(_issue(replace(r, rule_id=FAILED, severity="error", category="syntax", suggestion=""), f"Rule {r.rule_id} failed: {message.message}", strict))
                 else:
                     found = F.array(_issue(r, message, strict))
                 each.append(F.when(applies & F.coalesce(check, F.lit(False)), found))
         empty = objects.sparkSession.createDataFrame([], _SCHEMA)
         out = issues.select("project", F.explode(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("i")).select("project", "i.*") if each else empty
+        if fail_fast and not out.where("severity = 'error'").isEmpty():
+            return out
         for r in rules:
             if r.scope == "project_level":
                 for check, message in r.checks():
@@ -106,6 +122,19 @@ class Registry:
                     out = out.unionByName(found.select("project", F.lit(r.rule_id).alias("rule_id"), F.lit(_level(r, strict)).alias("severity"), F.lit(r.category).alias("category"), text.alias("message"), F.lit(None).cast("string").alias("file_path"), F.lit(None).cast("int").alias("line_number"), F.lit("project").alias("resource_name"), F.lit("project").alias("resource_type"), F.lit(r.suggestion).alias("suggestion")))
         return out
 
+    def run_stats(self, objects: DataFrame, categories: Iterable[str] | None = None, ignore: Iterable[str] = (), strict: bool = False) -> DataFrame:
+        """One row: ``resources_validated, rules_executed, errors, warnings, info``. A rule is executed once for
+        each object that it applies to, and project rules once for each project."""
+        rules = self.chosen(categories, ignore)
+        row = [r for r in rules if r.scope != "project_level"]
+        run = sum((_applies(r).cast("long") for r in row), F.lit(0).cast("long"))
+        done = _eligible(objects).agg(F.count("*").alias("resources_validated"), F.coalesce(F.sum(run), F.lit(0)).alias("n_row"))
+        projects = objects.agg((F.count_distinct("project") * (len(rules) - len(row))).alias("n_project"))
+        found = self.evaluate(objects, categories, ignore, strict).agg(*(F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "info"))))
+        one = lambda df: df.withColumn("one_", F.lit(1))  # noqa: E731  a row each
+        x = one(done).join(one(projects), "one_").join(one(found), "one_")
+        return x.select("resources_validated", (F.col("n_row") + F.col("n_project")).alias("rules_executed"), "errors", "warnings", "info")
+
     def passed(self, spark: SparkSession, issues: DataFrame, categories: Iterable[str] | None = None) -> DataFrame:
         """Ids of the rules without an issue."""
         ids = spark.createDataFrame([(r.rule_id,) for r in self.chosen(categories)], "rule_id string")
@@ -117,8 +146,26 @@ _SCHEMA = "project string, rule_id string, severity string, category string, mes
 CLOUDS = {"AWS": "aws_", "AZURE": "azurerm_", "GCP": "google_"}
 
 
+#: Rule id of issues that tell that a rule can't be evaluated.
+FAILED = "VALIDATOR-ERROR"
+
+
 def _cloud(name: str) -> Column:
-    return F.col("resource_type").startswith(CLOUDS[name]) if name in CLOUDS else F.lit(True)
+    return F.coalesce(F.col("resource_type").startswith(CLOUDS[name]), F.lit(False)) if name in CLOUDS else F.lit(True)
+
+
+def _eligible(objects: DataFrame) -> DataFrame:
+    return objects.where(~F.coalesce(F.col("name").rlike(r"\$\{|\}"), F.lit(False)))
+
+
+def _applies(r: Rule) -> Column:
+    """Rules for all kinds are for those of their cloud, by the prefix of the resource type."""
+    kind = F.when(F.col("type").isin("resource", "data") & F.col("resource_type").isNotNull(), F.col("resource_type")).otherwise(F.col("type"))
+    if r.scope == "generic":
+        out = _cloud(r.rule_id.split("-")[0]) & (kind.isin(*r.types) if r.types else F.lit(True))
+    else:
+        out = kind.isin(*r.types) | F.col("type").isin(*r.types)
+    return out if r.condition is None else out & F.coalesce(r.condition(), F.lit(False))
 
 
 def _level(r: Rule, strict: bool) -> str:
@@ -147,8 +194,23 @@ def attr(path: str, kind: str = "string") -> Column:
 
 
 def falsy(path: str) -> Column:
-    """Missing, null, false, zero or empty."""
-    return F.coalesce(attr(path), F.lit("")).isin("", "false", "0", "[]", "{}", "null")
+    """Missing, null, false, zero or empty; the texts "0" and "false" are neither."""
+    return F.coalesce(F.to_json(attr(path, "variant")), F.lit("null")).isin('""', "false", "0", "0.0", "[]", "{}", "null")
+
+
+def no_number(path: str) -> Column:
+    """There, but neither a number nor null."""
+    return attr(path, "variant").isNotNull() & ~F.is_variant_null(attr(path, "variant")) & ~F.schema_of_variant(attr(path, "variant")).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
+
+
+def number(path: str, otherwise: float) -> Column:
+    """``otherwise`` only where there is none; null, and so no issue of its own, where it is no number."""
+    return F.when(attr(path, "variant").isNull(), F.lit(float(otherwise))).when(~no_number(path), attr(path, "double"))
+
+
+def numeric(path: str, checks: list) -> list:
+    """``checks`` that need a number, with the one that tells of its lack."""
+    return [*checks, (no_number(path), Failed(f"{path} is not a number"))]
 
 
 def truthy(path: str) -> Column:

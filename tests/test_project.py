@@ -111,8 +111,8 @@ def test_catalogue(spark):
 
 def test_azure_rules(spark):
     rows = [
-        ("azurerm_storage_account", "Storage", "{}"),
-        ("azurerm_storage_account", "goodname1", json.dumps({"enable_https_traffic_only": True, "encryption": {"enabled": True, "infrastructure_encryption_enabled": True}, "network_rules": [{"default_action": "Deny"}], "location": "eastus", "tags": {"owner": "a", "confidentiality": "b", "compliance": "c", "data-classification": "d"}})),
+        ("azurerm_storage_account", "Storage", json.dumps({"name": "Storage"})),
+        ("azurerm_storage_account", "goodname1", json.dumps({"name": "goodname1", "enable_https_traffic_only": True, "encryption": {"enabled": True, "infrastructure_encryption_enabled": True}, "network_rules": [{"default_action": "Deny"}], "location": "eastus", "tags": {"owner": "a", "confidentiality": "b", "compliance": "c", "data-classification": "d"}})),
         ("azurerm_network_security_group", "nsg", json.dumps({"security_rule": [{"access": "Allow", "direction": "Inbound", "destination_port_range": "22", "source_address_prefix": "*"}, {"access": "Deny", "source_address_prefix": "*", "destination_address_prefix": "*", "priority": 4096}], "location": "eastus"})),
     ]
     o = spark.createDataFrame(rows, "resource_type string, name string, a string").select(
