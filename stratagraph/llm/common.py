@@ -49,6 +49,11 @@ def texts(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct: beside it, an operator's own columns can't clash with any."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table ``(a, b)`` of longs, as ``(node, component)``.
 

@@ -2,17 +2,16 @@
 
 The fingerprint of a text has 64 bits; two texts are linked where at most two bits differ. By the
 triangle inequality, the distances of two linked fingerprints to any reference differ by at most
-two. The references here are a base and the base with one block of two bits inverted, for each of 32
-blocks: the distance to a block's reference less the distance to the base tells how many bits of
-that block agree with the base, and nothing else. Two changed bits touch two blocks at most, so of
-four groups of eight blocks two or more keep all their coordinates: linked fingerprints are equal in
-the sixteen coordinates of at least one of the six pairs of groups. These are the join keys. What
-shares a key is compared in further coordinates (the base and random references), discarded where
-any differs by more than two, and the rest is verified bit by bit.
-
-A key that many different fingerprints share is not compared in pairs: its members go through the
-65 fingerprints within one bit of themselves. Two fingerprints are linked exactly if they have one of
-those in common, and no more than 65 fingerprints can meet in one, so the work stays in proportion.
+two. The references are a base, the base with one bit inverted, for each of the 64 bits, and some random
+ones. A coordinate less the base's is one more or one less as that bit agrees with the base, so equal
+coordinates are equal bits: of four groups of sixteen coordinates, linked fingerprints are equal in two or more.
+Each pair of groups is a join key. What shares a key is compared in the further coordinates (base and random
+references), discarded where any differs by more than two, and the rest is verified bit by bit.
+
+A key that many different fingerprints share takes more coordinates: those that it leaves open form four
+groups again, of which linked fingerprints are equal in two or more, and so on. Three times finer, a key leaves
+four coordinates open, so that sixteen fingerprints can share it at most: whatever the input, no key is
+crowded, and no link is lost.
 """
 
 from collections.abc import Iterator
@@ -26,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import components, texts, written
+from .common import components, packed, texts, written
 
 SEED = 42
 BASE = 0x5BD1E9955BD1E995
-GROUPS, BLOCKS = 4, 8
+GROUPS, LEVELS = 4, 4
 #: Random references for the last comparison of coordinates.
 EXTRA = tuple(int.from_bytes(xxhash.xxh64_digest(f"reference {i}")) for i in range(6))
-#: Different fingerprints in a key from which on they meet in their neighbours instead.
+#: Different fingerprints in a key from which on it takes more coordinates.
 PAIRWISE = 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -77,52 +76,67 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_batches, "doc_id long, fp long")
 
 
-def _mask(group: int, block: int) -> int:
-    """The block's two bits; 32 apart, so that no block lies within a byte."""
-    i = group * BLOCKS + block
-    return 1 << i | 1 << (i + 32)
-
-
 def _distance(reference: int, fp: str = "fp") -> Column:
     return F.bit_count(F.col(fp).bitwiseXOR(F.lit(_signed(reference))))
 
 
 def pivot_table(fps: DataFrame) -> DataFrame:
-    """Distances of each ``fp`` to every reference: ``fp, base, g0..g3`` (a group's eight block
-    coordinates as one number to the base three) and ``e0, e1, ...``, those to random references."""
-    cols = [F.col("fp"), _distance(BASE).alias("base")]
-    for g in range(GROUPS):
-        key = F.lit(0)
-        for b in range(BLOCKS):
-            key = key * 3 + ((_distance(BASE ^ _mask(g, b)) - _distance(BASE)) / 2 + 1).cast("int")
-        cols.append(key.alias(f"g{g}"))
-    return fps.select(*cols, *(_distance(p).alias(f"e{i}") for i, p in enumerate(EXTRA)))
+    """Distances of each ``fp`` to every reference: ``fp, base``, ``near`` (those to the base with one bit
+    inverted, in order of the bits), ``e0, e1, ...`` (those to the random ones)."""
+    near = F.array(*(_distance(BASE ^ 1 << i) for i in range(64)))
+    return fps.select("fp", _distance(BASE).alias("base"), near.alias("near"), *(_distance(p).alias(f"e{i}") for i, p in enumerate(EXTRA)))
+
+
+def _code() -> Column:
+    """The 64 coordinates that tell a bit each, as one number."""
+    bits = F.array(*(F.lit(_signed(1 << i)).cast("long") for i in range(64)))
+    at = F.zip_with("near", bits, lambda d, bit: F.when(d > F.col("base"), bit).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(at, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def _finer(open_: tuple[int, ...]) -> list[tuple[int, tuple[int, ...]]]:
+    """Of the coordinates that a key leaves open, those that each finer key takes (as a mask), and leaves."""
+    size = len(open_) // GROUPS
+    groups = [open_[g * size : (g + 1) * size] for g in range(GROUPS)]
+    out = []
+    for pair in combinations(range(GROUPS), 2):
+        left = tuple(i for g in range(GROUPS) if g not in pair for i in groups[g])
+        out.append((sum(1 << i for g in pair for i in groups[g]), left))
+    return out
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges ``(a, b)`` between different fingerprints of ``fps`` (one row each) whose components
-    are those of all pairs at two differing bits or fewer. Every edge is such a pair."""
+    """Edges ``(a, b)`` between different fingerprints of ``fps`` (one row each): all pairs at two
+    differing bits or fewer."""
+    spark = fps.sparkSession
     near = ["base", *(f"e{i}" for i in range(len(EXTRA)))]
-    keys = [F.struct(F.lit(i).alias("pair"), F.col(f"g{a}").alias("x"), F.col(f"g{b}").alias("y")) for i, (a, b) in enumerate(combinations(range(GROUPS), 2))]
-    keyed = written(pivot_table(fps).select("fp", *near, F.explode(F.array(*keys)).alias("k")).select("fp", *near, "k.*"), "pivots")
-    key = ["pair", "x", "y"]
-    size = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(size, key), "candidates")
-
-    few = shared.where(F.col("n") <= PAIRWISE)
-    other = few.select(*key, *(F.col(c).alias(f"{c}_") for c in ("fp", *near)))
-    close = F.lit(True)
-    for c in near:
-        close = close & (F.abs(F.col(c) - F.col(f"{c}_")) <= 2)
-    pairs = few.join(other, key).where((F.col("fp") < F.col("fp_")) & close & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= 2))
-    pairs = pairs.select(F.col("fp").alias("a"), F.col("fp_").alias("b"))
-
-    around = F.array(F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64)))
-    many = shared.where(F.col("n") > PAIRWISE).select("fp").distinct()
-    many = many.select("fp", F.explode(around).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z"))
-    low = many.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("n")).where("n > 1")
-    stars = many.join(low, "z").where("fp <> m").select(F.col("m").alias("a"), F.col("fp").alias("b"))
-    return pairs.unionAll(stars).distinct()
+    key = ["mask", "code"]
+    table = written(pivot_table(fps).select("fp", *near, _code().alias("all")), "pivots")
+    open_ = {0: tuple(range(64))}
+    many = table.withColumn("above", F.lit(0).cast("long"))
+    pairs = None
+    for level in range(LEVELS):
+        # A row for each kind of key of the level: 6 to the power of its number at most.
+        below = [(_signed(m), _signed(m | finer), left) for m, kept in open_.items() for finer, left in _finer(kept)]
+        open_ = {mask % (1 << 64): left for _, mask, left in below}
+        masks = spark.createDataFrame([(a, m) for a, m, _ in below], "above long, mask long")
+        keyed = many.join(masks, "above").select("fp", *near, "all", "mask", F.col("all").bitwiseAND(F.col("mask")).alias("code"))
+        keyed = written(keyed.distinct(), "keys") if level else written(keyed, "keys")
+        size = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+        shared = written(keyed.join(size, key), "candidates")
+        crowded = F.col("n") > PAIRWISE if level + 1 < LEVELS else F.lit(False)
+        few = shared.where(~crowded)
+        other = few.select(*key, *(F.col(c).alias(f"{c}_") for c in ("fp", *near)))
+        close = F.lit(True)
+        for c in near:
+            close = close & (F.abs(F.col(c) - F.col(f"{c}_")) <= 2)
+        found = few.join(other, key).where((F.col("fp") < F.col("fp_")) & close & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_"))) <= 2))
+        found = found.select(F.col("fp").alias("a"), F.col("fp_").alias("b"))
+        pairs = found if pairs is None else pairs.unionAll(found)
+        many = shared.where(crowded).select("fp", *near, "all", F.col("mask").alias("above"))
+        if many.isEmpty():
+            break
+    return pairs.distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -146,20 +160,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the smallest ``doc_id``, then the smallest text.
 
-    An id that occurs once needs no look at the text. Only the few rows that share the kept id (or
-    have none) are ranked.
+    Null and blank texts are one component; rows without an id are kept only where their whole component
+    has none. An id that occurs once needs no look at the text; only the few rows that share the kept id
+    (or have none) are ranked, by all their columns. Columns of any name keep their values; an empty table
+    stays empty.
     """
     names = docs.columns
     found = written(near_duplicates(docs), "near-duplicates")
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    same = kept.groupBy("doc_id").agg(F.count("*").alias("same_"))
-    row = docs.withColumn("key_", F.col("doc_id").cast("long"))
-    once = row.join(same.where("same_ = 1 and doc_id is not null").select(F.col("doc_id").alias("key_")), "key_", "left_semi").select(*names)
-    tied = same.where("same_ > 1 or doc_id is null").select(F.col("doc_id").alias("tie_"))
-    tied = row.join(tied, F.col("key_").eqNullSafe(F.col("tie_")), "left_semi").withColumn("fp_", _fp_of(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    tied = tied.join(kept.select(F.col("fp").alias("fp_"), F.col("root").alias("root_")).distinct(), "fp_")
-    order = ["doc_id", "text", *(c for c in names if c not in ("doc_id", "text"))]
-    one = tied.groupBy("root_").agg(F.min(F.struct(*order)).alias("row_")).select(*(F.col("row_")[c].alias(c) for c in names))
+    same = kept.groupBy("doc_id").agg(F.count("*").alias("same"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), packed(docs).alias("row"))
+    whole = [F.col("row")[c].alias(c) for c in names]
+    once = rows.join(same.where("same = 1 and doc_id is not null").select(F.col("doc_id").alias("key")), "key", "left_semi").select(*whole)
+    tied = same.where("same > 1 or doc_id is null").select(F.col("doc_id").alias("tie"))
+    tied = rows.join(tied, F.col("key").eqNullSafe(F.col("tie")), "left_semi").withColumn("fp", _fp_of(F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))))
+    tied = tied.join(kept.select("fp", "root").distinct(), "fp")
+    first = F.struct(F.col("row")["doc_id"].alias("doc_id"), F.col("row")["text"].alias("text"), "row")
+    one = tied.groupBy("root").agg(F.min(first)["row"].alias("row")).select(*whole)
     return once.unionAll(one)
 
 

@@ -8,6 +8,10 @@ state is the one token ending here that is compatible with the state before it,
 two tokens side by side encode to themselves (Berglund and van der Merwe, 2023). States are made
 when first reached and kept, and so are whole paths between two synchronising points.
 
+Runs of spaces are the exception: their pieces hold nothing but one character, so which of them may stand
+beside which depends on where the run begins. What holds such a run up to the next point is encoded by
+the merges themselves, with a heap.
+
 A point between two characters synchronises if no piece of the vocabulary holds them side by side:
 no merge can cross it, so what follows starts anew. A chunk of a text is thereby a map on states:
 what stands before its first such point goes on in the incoming state (head), what lies between its
@@ -18,6 +22,7 @@ parallel prefix scan.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -31,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import texts
 
 SPACE = "▁"
-#: Characters in a chunk, paths kept by a worker, rows at a time: they bound memory and change no result.
-CHUNK, KEPT, ROWS = 1 << 16, 600_000, 512
+#: Characters in a chunk, paths kept by a worker and their longest, rows at a time: they bound memory and change
+#: no result. Nor does up to which length a pair is looked for without a heap.
+CHUNK, KEPT, LONG, ROWS, SHORT = 1 << 16, 600_000, 256, 512, 16
 
 
 class ChunkMap(NamedTuple):
@@ -74,6 +80,8 @@ class Transducer:
     def merged(self, text: str) -> list[str]:
         """The encoding by its definition: the best pair merges first, of equals the leftmost."""
         parts = list(text)
+        if len(parts) > SHORT:
+            return self._merged_long(parts)
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
@@ -84,6 +92,28 @@ class Transducer:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _merged_long(self, parts: list[str]) -> list[str]:
+        """The same with a heap of the pairs, so a long run takes little more than its length in steps. A part that
+        was merged into the one before it is empty; pairs that are no more are passed over."""
+        n, get = len(parts), self.rank.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, p) for i in range(n - 1) if (r := get(p := parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, p = heapq.heappop(heap)
+            j = after[i]
+            if j >= n or not parts[i] or len(parts[i]) + len(parts[j]) != len(p) or parts[i] + parts[j] != p:
+                continue
+            parts[i], parts[j] = p, ""
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(q := p + parts[k])) is not None:
+                    heapq.heappush(heap, (r, i, q))
+            if (h := before[i]) >= 0 and (r := get(q := parts[h] + p)) is not None:
+                heapq.heappush(heap, (r, h, q))
+        return [p for p in parts if p]
+
     def weight(self, token: str) -> int:
         return 1 if token in self.rank else len(token.encode())
 
@@ -207,13 +237,15 @@ class Transducer:
                 out[i] = self.count(text)
             elif text:
                 seen = self.seen
-                ids.append(np.array([seen[p] for p in _WORDS.findall(text)], np.int64))
+                ids.append(np.array([seen[p] for p in _WORDS.findall(text) if len(p) <= LONG], np.int64))
+                # Long parts are rare and hardly recur: they would only fill the worker's memory.
+                out[i] = sum(self.closed(p) for p in _WORDS.findall(text) if len(p) > LONG) if len(text) > LONG else 0
                 short.append(i)
                 if len(seen) - len(self.made) > 50_000:
                     self._make()
         self._make()
         for i, x in zip(short, ids, strict=True):
-            out[i] = int(self.made[x].sum())
+            out[i] += int(self.made[x].sum())
         if len(self.seen) > KEPT:
             self.seen, self.made = _Numbered(), np.zeros(0, np.int64)
         return out
@@ -226,9 +258,11 @@ class Transducer:
     def closed(self, text: str) -> int:
         """Tokens of a text between two synchronising points of the fast kind (spaces)."""
         if (c := self.paths.get(text)) is None:
-            if len(self.paths) > KEPT:
-                self.paths.clear()
-            c = self.paths[text] = sum(self.path(t) if SPACE * 2 not in t else sum(map(self.weight, self.merged(t))) for t in self.split(text))
+            c = sum(self.path(t) if SPACE * 2 not in t else sum(map(self.weight, self.merged(t))) for t in self.split(text))
+            if len(text) <= LONG:
+                if len(self.paths) > KEPT:
+                    self.paths.clear()
+                self.paths[text] = c
         return c
 
     def split(self, text: str) -> list[str]:

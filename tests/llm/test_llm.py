@@ -123,11 +123,20 @@ def test_links_against_brute_force(spark, monkeypatch):
             out[find(f)].add(f)
         return {frozenset(x) for x in out.values()}
 
-    for limit in (64, 3):  # the second sends the crowded keys through the neighbours
+    for limit in (64, 3):  # the second makes keys finer
         monkeypatch.setattr(simhash, "PAIRWISE", limit)
-        got = {tuple(x & (1 << 64) - 1 for x in (r.a, r.b)) for r in simhash.links(df).collect()}
+        got = {tuple(sorted(x & (1 << 64) - 1 for x in (r.a, r.b))) for r in simhash.links(df).collect()}
         assert all((a ^ b).bit_count() <= 2 for a, b in got)
-        assert groups(got) == groups(truth)
+        assert got == truth and groups(got) == groups(truth)
+
+
+def test_crowded_keys(spark, monkeypatch):
+    # 40 fingerprints that differ in three of the same four bits, and three bits elsewhere: keys stay crowded down to the last.
+    monkeypatch.setattr(simhash, "PAIRWISE", 2)
+    base = 0x0123456789ABCDEF
+    fps = sorted({base ^ x << 5 ^ 1 << y for x in range(16) for y in (40, 50, 63)})
+    got = {tuple(x & (1 << 64) - 1 for x in (r.a, r.b)) for r in simhash.links(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).collect()}
+    assert {frozenset(x) for x in got} == {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 2}
 
 
 def test_near_duplicates(spark):
@@ -137,7 +146,7 @@ def test_near_duplicates(spark):
     by = dict(map(tuple, got))
     assert by[1] == by[2] == by[3] == 1 and by[9] == by[8] == 8 and by[4] == 4 and by[None] is None
     kept = simhash.keep_one(d)
-    assert kept.columns == d.columns
+    assert kept.columns == d.columns and {(r.key_, r.s, r.fp) for r in kept.collect()} == {("k", 1, 7)}
     assert sorted(((r.doc_id is None, r.doc_id or 0) for r in kept.collect())) == [(False, i) for i in (1, 4, 5, 6, 7, 8)] + [(True, 0)]
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
@@ -311,6 +320,20 @@ def test_token_counts(spark):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == Counter((i, len((x or "").encode()), n := len(sp.encode(x or "")), n > 4096) for i, x in ODD)
 
 
+def test_tokens_of_long_runs():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    t = tokencount.compile_model(MODEL)
+    mark = lambda x: tokencount.SPACE + x.replace(" ", tokencount.SPACE)
+    texts = [" " * 1_000_000, "  a" * 30_000, "x" * 5000 + " " * 3001 + "the", "日" * 70_000, " " * 65_535 + "b" + " " * 65_537]
+    assert t.counts([mark(x) for x in texts]) == [len(x) for x in sp.encode(texts)]
+    rng = random.Random(3)
+    for _ in range(200):  # the heap merges as the definition does
+        x = "".join(rng.choice(["▁", "▁▁▁", "a", "e", "t", "h", " "]) for _ in range(rng.randrange(1, 16)))[:16]
+        assert t._merged_long(list(x)) == t.merged(x)
+
+
 # 7
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>"</script></head><body><nav><a href="/">Home</a></nav>
@@ -418,6 +441,56 @@ def test_secrets(spark):
     assert secrets.redact(two).columns == two.columns
 
 
+def slow_spans(text):
+    """All reported spans, by comparing every pair."""
+    of = {"assign": secrets.ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "ident": secrets.IDENT, "secret": secrets.SECRET, "endpoint": secrets.ENDPOINT}
+    f = {k: list(re.finditer(p, text)) for k, p in of.items()}
+    f["assign"] = [m for m in f["assign"] if len(m[2]) >= 12]
+    f["access"] = [m for m in f["access"] if len(m[0]) >= 18]
+    f["hex"] = [m for m in f["hex"] if len(m[0]) >= 16]
+    near = lambda kinds, m, n: any(o.start() < m.end() + n and m.start() < o.end() + n for k in kinds for o in f[k])
+    base = ["assign", "access", "hex"]
+    f["secret"] = [m for m in f["secret"] if all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]")) and not near(base, m, 0)]
+    f["ident"] = [m for m in f["ident"] if not near(base, m, 0)]
+    secret, ident, n = ["assign", "hex", "secret"], ["access", "ident"], secrets.SCOPE
+    kept = {k: f[k] for k in base}
+    kept["ident"] = [m for m in f["ident"] if near(secret, m, n)]
+    kept["secret"] = [m for m in f["secret"] if near([*ident, "endpoint"], m, n)]
+    kept["endpoint"] = [m for m in f["endpoint"] if near(ident, m, n) and near(secret, m, n)]
+    return [(s, k, e) for s, i, e, k in sorted((m.start(), secrets.KINDS.index(k), m.end(), k) for k in kept for m in kept[k])]
+
+
+def slow_mask(text, spans):
+    at, out = 0, ""
+    for s, _, e in spans:
+        if s >= at:
+            out += text[at:s] + secrets.MASK
+        at = max(at, e)
+    return out + text[at:]
+
+
+def test_linked_parts_against_brute_force(spark):
+    rng = random.Random(21)
+    parts = ["token", ": ", "=", "password", '"', "abcdef012345", "AKIA", "ABCDEFGH1234567", "é", " ", "API_key", "0123456789abcdef", "x" * 12, "\n", "login: bob ", "https://x.org/a ", "Abcdefghijklmnopqrstuvw1234 ", "日" * 50]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(60) if i % 40 else 3000)), "mine", 5, "t") for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, secret string, all_ int, text_ string").withColumns({"row_": F.lit(3), "hex": F.lit("h"), "masked_": F.lit("m"), "n_chars": F.lit(1)})
+    want = {i: slow_spans(t) for i, t, *_ in rows}
+    assert {r.doc_id: r.spans for r in secrets.report(d).collect()} == {i: ",".join(f"{k}:{s}:{e}" for s, k, e in x) for i, x in want.items()}
+    masked = secrets.redact(d)
+    assert masked.columns == d.columns
+    for r, (i, t, *_) in zip(masked.orderBy("doc_id").collect(), rows, strict=True):
+        assert r.text == slow_mask(t, want[i]) and (r.secret, r.all_, r.text_, r.row_, r.hex, r.masked_) == ("mine", 5, "t", 3, "h", "m")
+        assert r.n_chars == (len(r.text) if want[i] else 1)
+
+
+def test_many_matches(spark):
+    n = 100_000
+    d = spark.createDataFrame([(1, "0123456789abcdef01 " * n), (2, "login: bob https://x.org/a Abcdefghijklmnopqrstuvw1234 " * (n // 3))], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.report(d).collect()}
+    assert got[1].n_hex == n and got[2].spans.count(",") == 3 * (n // 3) - 1
+    assert secrets.redact(d).where("doc_id = 1").first().text == f"{secrets.MASK} " * n
+
+
 # 10
 
 
