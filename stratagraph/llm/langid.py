@@ -30,10 +30,11 @@ START = "▁"
 #: Labelled rows of a language that the model is fitted on at most, about; chosen by a hash of the id.
 FIT_ROWS = 1500
 ROUNDS = 3
-#: Added to each expected count, and letters of the longest piece.
-PRIOR, LONGEST = 0.01, 12
-#: Scored words that a worker keeps, and rows it takes at a time; neither changes a result.
-KEPT, ROWS = 500_000, 512
+#: Added to each expected count.
+PRIOR = 0.01
+#: Scored words that a worker keeps and their longest, rows it takes at a time, letters of a word that it looks at
+#: at a time, files of the training words: none of them changes a result.
+KEPT, LONG, ROWS, SPAN, FILES = 500_000, 256, 512, 1 << 15, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -46,13 +47,58 @@ class Model(NamedTuple):
     probs: np.ndarray
 
 
+class Trie:
+    """The pieces read backwards, in sorted arrays, to find those that end at many places at a time."""
+
+    def __init__(self, pieces: dict[str, int]) -> None:
+        number, edges, self.size, self.longest = {"": 0}, {}, len(pieces), max(map(len, pieces), default=1)
+        piece = [-1]
+        for p, i in sorted(pieces.items(), key=lambda x: len(x[0])):
+            for k in range(1, len(p) + 1):
+                if (tail := p[-k:]) not in number:
+                    number[tail] = len(piece)
+                    edges[number[tail[1:]] << 21 | ord(tail[0])] = len(piece)
+                    piece.append(-1)
+            piece[number[p]] = i
+        self.keys = np.array(sorted(edges) or [-1], np.int64)
+        self.to = np.array([edges[k] for k in sorted(edges)] or [0], np.int64)
+        self.piece = np.array(piece, np.int64)
+
+    def ending(self, codes: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """For words of one length (a row each): by word, place from ``begin`` to ``end`` and length, the piece
+        that ends there. ``size`` is a lone letter without a piece, one more is no piece."""
+        w, m = len(codes), end - begin
+        row, at = np.divmod(np.arange(w * m), m)
+        flat, node, found = np.arange(w * m), np.zeros(w * m, np.int64), []
+        for k in range(min(self.longest, end)):
+            keep = at + begin >= k
+            flat, row, at, node = flat[keep], row[keep], at[keep], node[keep]
+            key = node << 21 | codes[row, at + begin - k]
+            i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            keep = self.keys[i] == key
+            flat, row, at, node = flat[keep], row[keep], at[keep], self.to[i[keep]]
+            if not len(flat):
+                break
+            piece = self.piece[node]
+            found.append((flat[piece >= 0], piece[piece >= 0]))
+        out = np.full((w * m, max(1, len(found))), self.size + 1, np.int32)
+        out[:, 0] = self.size
+        for k, (i, x) in enumerate(found):
+            out[i, k] = x
+        return out.reshape(w, m, -1)
+
+
+def _codes(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(len(words), -1)
+
+
 def vocabulary(path: str) -> dict[str, int]:
     """Pieces of letters, in lower case and with the mark, of a sentencepiece model; numbered."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    usable = (p for p in found if len(p) <= LONGEST and p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
+    usable = (p for p in found if p == p.lower() and (p == START or p.removeprefix(START).isalpha()))
     return {p: i for i, p in enumerate(dict.fromkeys(usable))}
 
 
@@ -62,93 +108,96 @@ def words_of(text: str) -> list[str]:
     return found if any(w.isalpha() for w in found) or any(c.isalpha() for w in found for c in w) else []
 
 
-def _piece_ids(words: list[str], pieces: dict[str, int]) -> np.ndarray:
-    """For marked words of one length: by word, end and length, the piece that ends there.
-
-    ``len(pieces)`` is a lone letter without a piece, one more is no piece.
-    """
-    n, lone = len(words[0]), len(pieces)
-    out = np.full((len(words), n, min(n, LONGEST)), lone + 1, np.int32)
-    get = pieces.get
-    for w, row in zip(words, out, strict=True):
-        for e in range(n):
-            for k in range(min(e + 1, LONGEST)):
-                if (i := get(w[e - k : e + 1])) is not None:
-                    row[e, k] = i
-                elif not k:
-                    row[e, 0] = lone
-    return out
-
-
-def _forward(ids: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward sums ``(word, position, language)`` and the log of what they were scaled by."""
-    w, n, longest = ids.shape
-    alpha, logs = np.zeros((w, n + 1, probs.shape[1])), np.zeros(w)
-    alpha[:, 0] = 1
-    for e in range(n):
-        for k in range(min(e + 1, longest)):
-            alpha[:, e + 1] += alpha[:, e - k] * probs[ids[:, e, k]]
-        if e % 8 == 7:
-            small = alpha[:, e + 1].max(axis=1) < 1e-60
-            if small.any():
-                by = alpha[small, e + 1].max(axis=1)
-                by = np.where(by > 0, by, 1e-300)
-                alpha[small, max(0, e + 1 - longest) : e + 2] /= by[:, None, None]
-                logs[small] += np.log(by)
-    return alpha, logs
-
-
-def log_scores(words: list[str], pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """Natural log of each word's probability by language."""
-    out = np.zeros((len(words), probs.shape[1]))
+def _batches(words: list[str], longest: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The words by length, marked, so many at a time as fit the memory: their numbers and letters."""
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_size.setdefault(len(w) + 1, []).append(i)
     for n, which in by_size.items():
-        step = max(1, 2_000_000 // (n * LONGEST))
+        step = max(1, 2_000_000 // (min(n, SPAN) * longest))
         for a in range(0, len(which), step):
-            part = which[a : a + step]
-            alpha, logs = _forward(_piece_ids([START + words[i] for i in part], pieces), probs)
-            out[part] = np.log(np.maximum(alpha[:, -1], 1e-300)) + logs[:, None]
-    return out
+            yield which[a : a + step], _codes([START + words[i] for i in which[a : a + step]])
+
+
+def _forward(ids: np.ndarray, probs: np.ndarray, back: np.ndarray, logs: np.ndarray, arcs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Forward sums over a stretch of places: those of the last places, for the next stretch (``back``: those
+    before this one; the last is where it begins), scaled as ``logs``, to which it adds, tells. With ``arcs``
+    (of one language) also by word, place and length the share of the sum at the place that came by that
+    piece: ratios, so no scale is in them."""
+    (w, m, most), before = ids.shape, back.shape[1]
+    alpha = np.concatenate([back, np.zeros((w, m, back.shape[2]))], axis=1)
+    share = np.zeros((w, m, most)) if arcs else None
+    for e in range(m):
+        at = before + e
+        for k in range(min(most, at)):
+            term = alpha[:, at - 1 - k] * probs[ids[:, e, k]]
+            alpha[:, at] += term
+            if share is not None:
+                share[:, e, k] = term[:, 0]
+        if share is not None:
+            share[:, e] /= np.maximum(alpha[:, at], 1e-300)
+        if e % 4 == 3 or e == m - 1:
+            by = alpha[:, at].max(axis=1)
+            small = by < 1e-40
+            if small.any():
+                by = np.maximum(by[small], 1e-300)
+                alpha[small, at - before + 1 : at + 1] /= by[:, None, None]
+                logs[small] += np.log(by)
+    return alpha[:, m:], share
 
 
-def expected(words: list[str], weights: np.ndarray, pieces: dict[str, int], probs: np.ndarray) -> np.ndarray:
-    """Expected count of each piece in weighted words, for one language's probabilities."""
-    out = np.zeros(len(pieces) + 2)
-    by_size: dict[int, list[int]] = {}
-    for i, w in enumerate(words):
-        if len(w) <= 60:  # longer runs are no words; they are scored, but teach nothing
-            by_size.setdefault(len(w) + 1, []).append(i)
-    column = probs[:, None]
-    for n, which in by_size.items():
-        step = max(1, 2_000_000 // (n * LONGEST))
-        for a in range(0, len(which), step):
-            part = which[a : a + step]
-            ids = _piece_ids([START + words[i] for i in part], pieces)
-            alpha = _forward_plain(ids, column)
-            beta = np.zeros_like(alpha)
-            beta[:, n] = 1
-            for e in range(n - 1, -1, -1):
-                for k in range(min(e + 1, LONGEST)):
-                    beta[:, e - k] += beta[:, e + 1] * probs[ids[:, e, k]]
-            total = np.maximum(alpha[:, n], 1e-300)
-            for e in range(n):
-                for k in range(min(e + 1, LONGEST)):
-                    p = weights[part] * alpha[:, e - k] * probs[ids[:, e, k]] * beta[:, e + 1] / total
-                    out += np.bincount(ids[:, e, k], weights=p, minlength=len(out))
-    out[-1] = 0
+def _begin(w: int, longest: int, langs: int) -> np.ndarray:
+    back = np.zeros((w, longest, langs))
+    back[:, -1] = 1
+    return back
+
+
+def log_scores(words: list[str], trie: Trie, probs: np.ndarray) -> np.ndarray:
+    """Natural log of each word's probability by language. A word of any length counts whole; what is held of
+    a long one is a stretch."""
+    out = np.zeros((len(words), probs.shape[1]))
+    for which, codes in _batches(words, trie.longest):
+        back, logs = _begin(len(which), trie.longest, probs.shape[1]), np.zeros(len(which))
+        for a in range(0, codes.shape[1], SPAN):
+            back, _ = _forward(trie.ending(codes, a, min(a + SPAN, codes.shape[1])), probs, back, logs)
+        out[which] = np.log(np.maximum(back[:, -1], 1e-300)) + logs[:, None]
     return out
 
 
-def _forward_plain(ids: np.ndarray, column: np.ndarray) -> np.ndarray:
-    w, n, longest = ids.shape
-    alpha = np.zeros((w, n + 1))
-    alpha[:, 0] = 1
-    for e in range(n):
-        for k in range(min(e + 1, longest)):
-            alpha[:, e + 1] += alpha[:, e - k] * column[ids[:, e, k], 0]
-    return alpha
+def expected(words: list[str], weights: np.ndarray, trie: Trie, probs: np.ndarray) -> np.ndarray:
+    """Expected count of each piece in weighted words, for one language's probabilities.
+
+    The chance that a word is cut at a place follows backwards from those after it: what is cut at a place
+    came there by a piece with the share that the forward sums give it. Long words go by stretches, whose
+    shares are worked out again from the sums at their begin.
+    """
+    out = np.zeros(trie.size + 2)
+    column, longest = probs[:, None], trie.longest
+    for which, codes in _batches(words, longest):
+        w, n = codes.shape
+        back, logs = _begin(w, longest, 1), np.zeros(w)
+        begins, backs = list(range(0, n, SPAN)), []
+        for a in begins:
+            backs.append(back)
+            ids = trie.ending(codes, a, min(a + SPAN, n))
+            back, share = _forward(ids, column, back, logs, arcs=len(begins) == 1)
+        cut = np.zeros((w, longest + 1))  # at the places up to the end of the stretch, the last being the end
+        cut[:, -1] = weights[which]
+        for a, back in zip(reversed(begins), reversed(backs), strict=True):
+            if len(begins) > 1:
+                ids = trie.ending(codes, a, min(a + SPAN, n))
+                share = _forward(ids, column, back, logs, arcs=True)[1]
+            m, most = ids.shape[1:]
+            cut = np.concatenate([np.zeros((w, m)), cut], axis=1)
+            for e in range(m - 1, -1, -1):
+                at = longest + e + 1
+                share[:, e] *= cut[:, at, None]
+                for k in range(most):
+                    cut[:, at - 1 - k] += share[:, e, k]
+            out += np.bincount(ids.ravel(), weights=share.ravel(), minlength=len(out))
+            cut = cut[:, : longest + 1]
+    out[-1] = 0
+    return out
 
 
 def fit(labelled: DataFrame, path: str, rows: int = FIT_ROWS) -> Model:
@@ -156,10 +205,12 @@ def fit(labelled: DataFrame, path: str, rows: int = FIT_ROWS) -> Model:
 
     It is fitted on about ``rows`` rows of each language at most: those whose id's hash is below the
     share that gives so many. Counts of the languages' rows, and with them the prior, cover all.
-    What comes to the driver is bounded by the vocabulary times the languages.
+    What comes to the driver is bounded by the vocabulary times the languages: 22,000 numbers for each
+    different ``lang``, which are meant to be few (a thousand take 180 MB). A language none of whose texts has
+    a letter is learned from its share of rows alone. No labelled row gives a model that knows no language.
     """
     pieces = vocabulary(path)
-    size = len(pieces)
+    size, trie = len(pieces), Trie(pieces)
     known = labelled.where("lang is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     n = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(n))
@@ -180,21 +231,21 @@ def fit(labelled: DataFrame, path: str, rows: int = FIT_ROWS) -> Model:
         yield _counted(found)
 
     counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "langid-words")
+    counts = written(counts.repartition(FILES), "langid-words")
     probs = np.full((size + 2, len(langs)), 1.0 / (size + 1))
     probs[-1] = 0
     for _ in range(ROUNDS):
-        now = pickle.dumps((langs, pieces, probs))
+        now = pickle.dumps((langs, trie, probs))
 
         def step(batches: Iterator[pa.RecordBatch], now: bytes = now) -> Iterator[pa.RecordBatch]:
-            langs, pieces, probs = pickle.loads(now)  # noqa: S301  made above
-            total = np.zeros((len(pieces) + 2, len(langs)))
+            langs, trie, probs = pickle.loads(now)  # noqa: S301  made above
+            total = np.zeros((trie.size + 2, len(langs)))
             for batch in batches:
                 which = np.array([langs.index(x) for x in batch.column("lang").to_pylist()])
                 words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
                 for k in set(which.tolist()):
                     i = np.flatnonzero(which == k)
-                    total[:, k] += expected([words[j] for j in i], n[i], pieces, probs[:, k])
+                    total[:, k] += expected([words[j] for j in i], n[i], trie, probs[:, k])
             i, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(total[i, k])], names=["piece", "lang", "n"])
 
@@ -217,7 +268,7 @@ class _Scored(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.table = model, np.zeros((0, len(model.langs)))
+        self.model, self.table, self.trie = model, np.zeros((0, len(model.langs))), Trie(model.pieces)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
@@ -225,24 +276,28 @@ class _Scored(dict):
 
     def score(self) -> None:
         if new := list(islice(self, len(self.table), None)):
-            self.table = np.concatenate([self.table, log_scores(new, self.model.pieces, self.model.probs)])
+            self.table = np.concatenate([self.table, log_scores(new, self.trie, self.model.probs)])
 
 
 def predict_texts(batch: list[str], seen: _Scored) -> tuple[list[str], list[float]]:
     langs, prior = seen.model.langs, seen.model.prior
-    ids = []
+    ids, rest = [], {}
     for text in batch:
-        ids.append(np.array([seen[w] for w in words_of(text)], np.int64) if langs and text else np.zeros(0, np.int64))
+        words = words_of(text) if langs and text else []
+        if text and len(text) > LONG and (long := [w for w in words if len(w) > LONG]):
+            # They hardly recur, and would only fill the worker's memory.
+            rest[len(ids)] = log_scores(long, seen.trie, seen.model.probs).sum(axis=0)
+        ids.append(np.array([seen[w] for w in words if len(w) <= LONG], np.int64))
         if len(seen) - len(seen.table) > 50_000:
             seen.score()
     seen.score()
     pred, score = [], []
-    for i in ids:
-        if not len(i):
+    for k, i in enumerate(ids):
+        if not len(i) and k not in rest:
             pred.append("und")
             score.append(0.0)
             continue
-        total = prior + seen.table[i].sum(axis=0)
+        total = prior + seen.table[i].sum(axis=0) + rest.get(k, 0.0)
         best = int(total.argmax())
         pred.append(langs[best])
         score.append(1.0 / math.fsum(np.exp(total - total[best]).tolist()))
@@ -282,7 +337,11 @@ def predict(docs: DataFrame, model: Model, held_out: Column | None = None) -> Da
 
 
 def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of ``docs``, with their columns, whose text has a language with score ``least`` or more."""
+    """The rows of ``docs``, with their columns, whose text has a language with score ``least`` or more.
+
+    Null and empty texts and those without a letter have none, and no text has one if the model knows none.
+    Repeated rows are kept or go alike; columns of any name are handed through; an empty table stays empty.
+    """
     packed, name = pickle.dumps(tuple(model)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

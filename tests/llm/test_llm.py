@@ -66,17 +66,48 @@ def test_language(spark):
     assert langid.predict(docs(spark, [(1, "words")]), none).first().lang_pred == "und"
 
 
-def test_forward_sums_all_segmentations():
-    pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "▁ab": 5}
-    p = np.array([[0.1], [0.2], [0.3], [0.05], [0.15], [0.1], [0.1], [0.0]])
-
-    def brute(w):
-        return 1.0 if not w else sum(p[pieces[w[:k]], 0] * brute(w[k:]) for k in range(1, len(w) + 1) if w[:k] in pieces)
-
-    for w in ("ab", "abab", "ba" * 20):
-        assert math.isclose(langid.log_scores([w], pieces, p)[0, 0], math.log(brute("▁" + w) if len(w) < 9 else math.exp(langid.log_scores([w], pieces, p)[0, 0])), rel_tol=1e-9)
-    long = langid.log_scores(["ab" * 400], pieces, p)[0, 0]
-    assert -2000 < long < -100
+TINY = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4, "▁ab": 5}
+TINY_P = np.array([0.1, 0.2, 0.3, 0.05, 0.15, 0.1, 0.1, 0.0])
+
+
+def segmentations(w):
+    """Every way to cut a marked word, as pieces' numbers; a letter without a piece stands alone."""
+    if not w:
+        return [[]]
+    heads = [(k, TINY[w[:k]]) for k in range(1, len(w) + 1) if w[:k] in TINY] or [(1, 6)]
+    if w[0] not in TINY:
+        heads = [*{*heads, (1, 6)}]
+    return [[i, *rest] for k, i in heads for rest in segmentations(w[k:])]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    trie, words = langid.Trie(TINY), ["ab", "abab", "b", "ba" * 4, "axb"]
+    want = [math.log(sum(math.prod(TINY_P[i] for i in cut) for cut in segmentations("▁" + w))) for w in words]
+    counts = np.zeros(8)
+    for w, n in zip(words, (1, 2, 3, 4, 5), strict=True):
+        cuts = segmentations("▁" + w)
+        chance = np.array([math.prod(TINY_P[i] for i in c) for c in cuts])
+        for c, p in zip(cuts, chance / chance.sum(), strict=True):
+            np.add.at(counts, c, n * p)
+    for span in (1 << 15, 1, 3):  # a word in one stretch, and in many
+        monkeypatch.setattr(langid, "SPAN", span)
+        assert np.allclose(langid.log_scores(words, trie, TINY_P[:, None])[:, 0], want, rtol=1e-12)
+        assert np.allclose(langid.expected(words, np.array([1.0, 2, 3, 4, 5]), trie, TINY_P), counts, rtol=1e-9)
+
+
+def test_long_words_count_whole():
+    trie = langid.Trie(TINY)
+    for n in (30, 31, 5000, 40_000):
+        # A matrix power gives the sum over all segmentations of (ab)*n after the mark: states are cut or not after an a.
+        step = lambda first, two: np.array([[first * 0.3 + two, 0.0], [0.0, 0.0]])[0, 0]
+        log = math.log(0.1 * step(0.2, 0.05) + 0.15 * 0.3 + 0.1) + (n - 1) * math.log(step(0.2, 0.05))
+        assert math.isclose(langid.log_scores(["ab" * n], trie, TINY_P[:, None])[0, 0], log, rel_tol=1e-9)
+        got = langid.expected(["ab" * n], np.array([1.0]), trie, TINY_P)
+        share = 0.05 / 0.11
+        assert math.isclose(got[3], (n - 1) * share + 0.1 * 0.05 / (0.1 * 0.11 + 0.15 * 0.3 + 0.1), rel_tol=1e-6)
+        assert math.isclose(got @ [1, 1, 1, 2, 2, 3, 1, 0], 2 * n + 1, rel_tol=1e-6)  # letters and the mark
+    pieces = langid.vocabulary(MODEL)
+    assert all(p in pieces for p in ("▁the", "▁")) and langid.Trie(pieces).longest == max(map(len, pieces))
 
 
 # 2
