@@ -382,6 +382,62 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def sentence(rng):
+    return " ".join("".join(rng.choice(["ka", "mo", "ri", "te", "lu", "sen", "pho"]) for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(12, 30))).capitalize() + "."
+
+
+def site(rng, kind):
+    """A page of one of several templates, and its article's lines."""
+    s = [sentence(rng) for _ in range(12)]
+    menu = "<nav><ul><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul></nav>"
+    talk = f"<div class='comments-area'><h3>Replies</h3>{''.join(f'<article class=comment><p>{sentence(rng)}</p></article>' for _ in range(9))}</div>"
+    if kind == "sections":
+        body = f"{menu}<article><h1>{s[0]}</h1><p>{s[1]}</p><div class='section s1'><p>{s[2]}</p><p>{s[3]}</p></div><div class='section s2'><p>{s[4]}</p><p>{s[5]}</p></div></article>{talk}"
+        return body, s[:6]
+    if kind == "intro":
+        body = f"<div id=top class=site-header>{s[6]}</div><div class=post><h1>{s[0]}</h1><div class=intro><p>{s[1]}</p><p>{s[2]}</p></div><div class=text><p>{s[3]}</p><p>{s[4]}</p><p>{s[5]}</p></div></div><div class=sidebar><p>{s[7]}</p></div>{talk}<div id=footer>{s[8]}</div>"
+        return body, s[:6]
+    if kind == "policy":
+        body = f"{menu}<div class='cookie-notice'><p>{s[9]}</p></div><div class='social-policy'><h2>{s[0]}</h2><p>{s[1]}</p><blockquote>{s[2]}</blockquote><ul><li>{s[3]}<li>{s[4]}</ul></div>"
+        return body, s[:5]
+    if kind == "topic":
+        return f"{menu}<div class='post related-topic-search'><h1>{s[0]}</h1><p>{s[1]}</p><pre>{s[2]}</pre></div><footer>{s[5]}</footer>", s[:3]
+    if kind == "quotes":
+        return f"<main><p data-t='it's'>{s[0]}</p><p title=\"a>b\">{s[1]}</p><table><tr><td>{s[2]}<td>{s[3]}</table></main>{menu}", s[:4]
+    # Columns without a telling class: the same text on page after page, links, and short lines are no article.
+    body = f"<div id=a><p>{'The same words are here on each and every page of the host.'}</p></div><div id=content><h1>{s[0]}</h1><p>{s[1]}</p><p>{s[2]}</p></div><div id=b><h3>Latest</h3><ul><li><a href=x>{s[5]}</a><li><a href=y>{s[6]}</a></ul></div><div id=c><p>12 C</p><p>Sunny</p></div>"
+    return body, s[:3]
+
+
+def test_html_templates(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for k, kind in enumerate(("sections", "intro", "policy", "topic", "quotes", "columns")):
+        for i in range(8):
+            body, lines = site(rng, kind)
+            page_id = 100 * k + i
+            rows.append((page_id, f"https://h{k}.example.org/{i}", f"<!DOCTYPE html><html><head><title>t</title></head><body>{body}</body></html>"))
+            want[page_id] = "\n".join(lines)
+    rows += [(900 + i, "https://h0.example.org/x", rows[0][2]) for i in range(30)]  # copies of a page outvote nothing
+    want |= {900 + i: want[0] for i in range(30)}
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("core", F.lit("x"))).collect()
+    assert {r.page_id: r.text for r in got} == want
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_html_markup():
+    def alone(page):
+        found = htmltext.blocks(page)
+        return htmltext.extracted(found, *htmltext.judged({k: s for k, (s, _) in htmltext.scores(found).items()}))
+
+    assert alone("<article><p>a <svg><text>b</text></svg> <math><mi>x</mi></math> <object>o</object> <noscript>n</noscript><button>Go</button></article>") == ["a b x o n"]
+    assert alone("<article><header><h1>Head</h1></header><p>Text</p><footer>by me</footer></article><header>Site</header>") == ["Head", "Text"]
+    assert alone("<p>1 < 2 &amp;&lt; 3<!-- <p>no</p> --><p hidden>no</p><p>a<?php x ?>b</>c</p>") == ["1 < 2 &< 3", "abc"]
+    assert alone("<body><div class=ad>Buy</div>") == [] and alone("<p class=>y<p =z>w") == ["y", "w"]
+    assert alone("<p a='" + "x" * 200_000 + "<p>b") == ["b"] and alone("<p " * 20_000 + ">z") == ["z"]
+    assert alone("<div>" * 3000 + "deep") == ["deep"]
+
+
 # 8
 
 
