@@ -43,7 +43,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import hnsw
 
-    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

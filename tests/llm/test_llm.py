@@ -253,34 +253,65 @@ def test_embeddings(spark):
     assert hnsw.near_duplicates(d.limit(0)).count() == 0
 
 
-def test_audit_sees_links(monkeypatch):
-    rng = np.random.default_rng(9)
-    v = rng.standard_normal((3000, 24))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    graph = hnsw.Graph(v[:200])
-    queries = np.concatenate([v[200:2600], v[:200]])  # many without a link, then near copies of the shard's
-    queries[2400:] += rng.standard_normal((200, 24)) * 0.005
-    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
-    searched = graph.within
-    # A graph that finds nothing with a narrow beam.
-    monkeypatch.setattr(graph, "within", lambda q, least, width: searched(q, least, width) if width >= 128 else np.zeros(0, np.int64))
-    width, truth = hnsw._audited(graph, queries, 0.98, np.arange(1000, 3600), np.arange(200))
-    assert width >= 128 and sum(len(t) > 0 for t in truth.values()) >= hnsw.AUDIT
-    assert all(set(t.tolist()) == set(np.flatnonzero(graph.v @ queries[k] >= 0.98).tolist()) for k, t in truth.items())
+def crowds(rng, alone, groups, size, dim, noise):
+    v = np.concatenate([rng.standard_normal((alone, dim)), np.repeat(rng.standard_normal((groups, dim)), size, 0) + rng.standard_normal((groups * size, dim)) * noise])
+    return v[rng.permutation(len(v))]
+
+
+def linked(v):
+    u = hnsw._unit(v)
+    return np.concatenate([(u[k : k + 2048] @ u.T >= 0.98).sum(axis=1) - 1 for k in range(0, len(u), 2048)])
+
+
+@pytest.mark.parametrize(("alone", "groups", "size", "noise"), [(8000, 200, 40, 0.05), (8000, 200, 40, 0.135), (3000, 60, 50, 0.12), (2000, 1, 3000, 0.145)])
+def test_crowds_keep_their_links(alone, groups, size, noise):
+    v = crowds(np.random.default_rng(9), alone, groups, size, 64, noise)
+    want, n = linked(v), len(v)
+    got = np.zeros(n, int)
+    one = hnsw.shard(np.arange(n), np.ones(n, int), v, 0.98)
+    got[one.nodes] = hnsw.between(one, one, 0.98, True)[0]
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+    assert one.recall >= hnsw.RECALL and (one.width < 128 or groups == 1)
+    # In two shards a link is counted at both ends, and no vector is linked with itself.
+    half, got = n // 2, np.zeros(n, int)
+    parts = [hnsw.shard(ids, np.ones(len(ids), int), v[ids], 0.98) for ids in (np.arange(half), np.arange(half, n))]
+    for p in parts:
+        got[p.nodes] += hnsw.between(p, p, 0.98, True)[0]
+    x, y, pairs, (recall, _, _) = hnsw.between(*parts, 0.98, False)
+    assert x.sum() == y.sum() and recall >= hnsw.RECALL and pairs.shape[0] == 2
+    got[parts[0].nodes] += x
+    got[parts[1].nodes] += y
+    assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
+
+
+def test_a_bad_graph_is_found_out(monkeypatch):
+    v = crowds(np.random.default_rng(3), 3000, 20, 10, 24, 0.05)
+    monkeypatch.setattr(hnsw.Graph, "search", lambda self, q, least, width: (np.zeros(0, np.int64),) * 2)
+    bad = hnsw.shard(np.arange(len(v)), np.ones(len(v), int), v, 0.98)
+    na, _, _, (recall, audited, exact) = hnsw.between(bad, bad, 0.98, True)
+    assert bad.width == 0 and exact and recall == 1 and (na == linked(v)[bad.nodes]).all()
+    # Its own audit passed, that of the real queries doesn't.
+    na, _, _, (_, audited, exact) = hnsw.between(bad._replace(width=16), bad._replace(width=16), 0.98, True)
+    assert audited > 0 and exact and (na == linked(v)[bad.nodes]).all()
+
+
+def test_leaders():
+    v = hnsw._unit(crowds(np.random.default_rng(4), 300, 5, 400, 8, 0.2))
+    of = hnsw.led(v, 0.1)
+    assert ((v * v[of]).sum(axis=1) >= math.cos(0.1) - 1e-12).all() and (of[of] == of).all()
+    heads = np.unique(of)
+    assert (np.triu(v[heads] @ v[heads].T, 1) < math.cos(0.1)).all()
 
 
 def test_embeddings_in_many_shards(spark, monkeypatch):
     monkeypatch.setattr(hnsw, "SHARD", 200)
-    monkeypatch.setattr(hnsw, "QUERIES", 300)
     rng = np.random.default_rng(10)
     base = rng.standard_normal((300, 16))
     v = np.concatenate([base, base[:150] + rng.standard_normal((150, 16)) * 0.05, base[0] + rng.standard_normal((100, 16)) * 0.05]).astype(np.float32)
-    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
-    u = v.astype(np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    want = (u @ u.T >= 0.98).sum(axis=1) - 1
-    assert all(got[i] <= n for i, n in enumerate(want))
-    assert np.mean([got[i] / n for i, n in enumerate(want) if n]) >= 0.99
+    got = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")).collect()}
+    want = linked(v.astype(np.float64))
+    assert all(got[i].n_links <= n for i, n in enumerate(want)) and all(r.recall >= hnsw.RECALL for r in got.values())
+    assert np.mean([got[i].n_links / n for i, n in enumerate(want) if n]) >= 0.99
 
 
 # 5
