@@ -1,7 +1,7 @@
 """Language-model scores by a probabilistic suffix tree (Ron, Singer and Tishby, 1996).
 
 A text is a sequence of tokens: its words, then one end. The tree's contexts are the tokens before a
-position, of variable length, back to the text's begin at most. A context is kept if it is frequent
+position, of variable length: up to ``DEPTH`` of them, the text's begin among them. A context is kept if it is frequent
 enough and if its next-symbol distribution differs from that of its suffix by more than chance would
 (the divergence times its count exceeds a threshold); the suffixes of kept contexts are kept. To score
 a token, the longest kept suffix of what stands before it is the state. Its distribution is smoothed
@@ -39,6 +39,7 @@ from .common import remainder, texts, written
 FREQUENT = 2.5e-7
 #: Least count of a context and of a symbol; of a symbol after a context.
 FLOOR, PAIR = 8, 2
+#: Tokens of the longest context.
 DEPTH = 3
 #: Nats by which a context must predict its symbols better than its suffix; discounts of contexts and of single tokens.
 GAIN, DISCOUNT, DISCOUNT0 = 12.0, 0.6, 0.2

@@ -632,6 +632,59 @@ def test_decontamination(spark):
     assert lsa.leaks(docs(spark, rows), bench.limit(0)).count() == 0 and lsa.leaks(docs(spark, []), bench).count() == 0
 
 
+def held_share(item, text, idf):
+    """Share of an item's weight in its heaviest common subsequence with any stretch of a text twice its length, by plain dynamic programming."""
+    best = [0.0] * (len(text) + 1)
+    for w in item:
+        last = best[:]
+        for j, x in enumerate(text, 1):
+            best[j] = max(last[j], best[j - 1], last[j - 1] + idf[w] if x == w else 0.0)
+    return best[-1] / sum(idf[w] for w in item)
+
+
+def test_candidates_against_every_pair(spark):
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice(["ka", "mo", "ri", "te", "lu", "sen", "pho"]) for _ in range(rng.randrange(2, 5)))
+    common_words = [word() for _ in range(30)]
+    text = lambda n: [rng.choice(common_words) if rng.random() < 0.5 else word() for _ in range(n)]
+    items = {i: text(rng.randrange(16, 40)) for i in range(25)}
+    rows, planted = [], {}
+    for k in range(200):
+        w = text(60)
+        if k % 2:
+            i = rng.randrange(25)
+            part = [x if rng.random() > 0.2 else word() for x in items[i]] if k % 4 == 1 else items[i][: int(len(items[i]) * 0.8)]
+            w[20:20] = part
+            planted[k] = i
+        rows.append((k, " ".join(w)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    d = docs(spark, rows)
+    got = {(r.doc_id, r.item_id) for r in lsa.leaks(d, bench).collect()}
+    df = Counter(w for _, t in rows for w in set(t.split()))
+    idf = {w: math.log((len(rows) + 1) / (df[w] + 1)) + 1e-3 for x in items.values() for w in x}
+    share = {(k, i): held_share(w, t.split(), idf) for k, t in rows for i, w in items.items()}
+    assert all(share[p] >= lsa.HELD for p in got)  # what is reported holds so much by the plain count too
+    sure = {p for p, x in share.items() if x >= 0.75}  # in one passage, as nothing else puts so much together
+    assert sure <= {(k, i) for k, i in planted.items()} and len(sure) > 40
+    # Those whose last quarter holds half of its weight, or most of the item in one piece: the rest lacks the answer.
+    answered = {(k, i) for k, i in sure if held_share(items[i][-(len(items[i]) // 4) :], dict(rows)[k].split(), idf) >= 0.6 or k % 4 == 3}
+    assert len(answered & got) >= 0.95 * len(answered) and len(answered) > 40
+    weight = lambda w: sum(idf[x] for x in w)
+    cut = {(k, i) for k, i in planted.items() if k % 4 == 3 and weight(items[i][: int(len(items[i]) * 0.8)]) >= 0.62 * weight(items[i])}
+    assert cut <= got and len(cut) > 30  # without their ends, word for word
+    assert {d_ for d_, _ in got} <= set(planted)
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(12)], "item_id long, text string")
+    d = docs(spark, [(i, "some filler words " + " ".join(f"w{i}x{k}" for k in range(20)) + " more") for i in range(15)])
+    whole = {tuple(r)[:2] for r in lsa.leaks(d, bench).collect()}
+    monkeypatch.setattr(lsa, "ITEM_WORDS", 100)
+    assert len(lsa.item_blocks(bench)) > 2
+    assert {tuple(r)[:2] for r in lsa.leaks(d, bench).collect()} == whole == {(i, i) for i in range(12)}
+    assert sorted(r.doc_id for r in lsa.keep(d, bench).collect()) == [12, 13, 14]
+
+
 def test_common_subsequence():
     rng = random.Random(14)
     for _ in range(50):
