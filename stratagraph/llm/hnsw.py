@@ -2,13 +2,14 @@
 
 Vectors of a label and length are dealt by hash to shards of bounded size. Within a shard, vectors that lie
 within half the angle of a link of a leader are its members, so all of them are linked with each other by
-the triangle inequality; the graph is over the leaders alone. A crowd of near copies is thereby one node and can't fill
-the neighbour lists, and the links within it are known without comparing any.
+the triangle inequality, and the links within a crowd of near copies are known without comparing any. Leaders
+within twice the angle of a link of another are of its district, and the graph is over the districts' heads
+alone. They lie so far apart that no crowd can fill neighbour lists or beams.
 
-Every shard is queried with every shard's leaders. A search returns the leaders within the angle of a link and
-both radii: what the beam finds, and what can be reached from there through such leaders. By their angle two
-leaders' members are all linked, not linked at all, or compared pair by pair in double precision. A link is
-counted at both of its ends.
+Every shard is queried with every shard's leaders. A search returns the districts within the angle of a link and
+all radii: what the beam finds, and what can be reached from there through such districts; their leaders are
+then compared. By their angle two leaders' members are all linked, not linked at all, or compared pair by pair
+in double precision. A link is counted at both of its ends.
 
 The beam of a graph is widened until planted queries, made of its own vectors by turning them a little, find
 what a comparison with the whole shard finds; each is counted alike, and no query is without something to find.
@@ -35,6 +36,8 @@ SHARD, NUMBERS = 32_768, 1 << 21
 NEIGHBOURS, LINKED, CANDIDATES = 12, 24, 48
 #: First and widest beam; planted and real queries of an audit; the mean recall that they must reach.
 BEAM, WIDEST, PLANTED, REAL, RECALL = 16, 512, 64, 16, 0.99
+#: Vectors of a layer that is looked at as a whole, and places at which a search enters the lowest from there.
+SMALL, ENTRIES = 4096, 8
 #: Queries that are searched with at a time; pairs of vectors that are compared at a time.
 QUERIES, PAIRS = 512, 1 << 18
 #: Radians, and cosine in single precision, by which a bound is widened so that rounding loses nothing.
@@ -124,24 +127,11 @@ class Graph:
             ids = np.flatnonzero(level >= k)
             self.layers.append((ids, _layer(v[ids])))
 
-    def _entry(self, q: np.ndarray) -> np.ndarray:
-        """Where the queries enter the lowest layer: greedily down the layers above it."""
-        at = np.zeros(len(q), np.int64)
-        for k in range(len(self.layers) - 1, 0, -1):
-            ids, lists = self.layers[k]
-            v = self.v[ids]
-            best = np.einsum("qd,qd->q", v[at], q)
-            moving = np.arange(len(q))
-            while len(moving):
-                near = lists[at[moving]]
-                sims = np.where(near >= 0, np.einsum("qcd,qd->qc", v[near], q[moving]), -2)
-                to = sims.argmax(axis=1)
-                sim = sims[np.arange(len(moving)), to]
-                better = sim > best[moving]
-                moving, to = moving[better], near[better, to[better]]
-                at[moving], best[moving] = to, sim[better]
-            at = np.searchsorted(self.layers[k - 1][0], ids[at])
-        return at
+    def _entry(self, q: np.ndarray, most: int) -> np.ndarray:
+        """Where the queries enter the lowest layer: the nearest of the first layer above it
+        that is small enough to be looked at as a whole, which no crowd of that layer's size can hide from."""
+        ids = next((ids for ids, _ in self.layers[1:] if len(ids) <= SMALL), self.layers[-1][0])
+        return ids[_ranked(q @ self.v[ids].T, min(most, len(ids)))[1]]
 
     def search(self, q: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of a query and a vector with a cosine of the query's ``least`` or more, as the search finds them."""
@@ -150,13 +140,14 @@ class Graph:
 
     def _searched(self, q: np.ndarray, least: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         v, lists, n = self.v, self.layers[0][1], len(q)
-        at = self._entry(q)
+        at = self._entry(q, min(ENTRIES, width))
         seen = np.zeros((n, len(v)), bool)
-        seen[np.arange(n), at] = True
+        seen[np.arange(n)[:, None], at] = True
         ids = np.full((n, width), -1, np.int64)
         sims = np.full((n, width), -3, q.dtype)
         open_ = np.zeros((n, width), bool)
-        ids[:, 0], sims[:, 0], open_[:, 0] = at, np.einsum("qd,qd->q", v[at], q), True
+        k = at.shape[1]
+        ids[:, :k], sims[:, :k], open_[:, :k] = at, np.einsum("qcd,qd->qc", v[at], q), True
         going = np.arange(n)
         while len(going):
             todo = np.where(open_[going], sims[going], -4)
@@ -219,14 +210,18 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 class Shard(NamedTuple):
-    """Members in order of their leaders: ids, counts, vectors as given, where each leader's begin. A leader is
-    the first of its members. ``radius``: the greatest angle of its members. ``width``: the beam, 0 to compare."""
+    """Members in order of their districts and leaders: ids, counts, vectors as given, where each leader's begin. A
+    leader is the first of its members. ``radius``: the greatest angle of its members. ``district``: where the
+    leaders of each begin, the first being its head; ``reach``: the greatest angle of its leaders. ``width``:
+    the beam, 0 to compare."""
 
     nodes: np.ndarray
     counts: np.ndarray
     raw: np.ndarray
     begin: np.ndarray
     radius: np.ndarray
+    district: np.ndarray
+    reach: float
     graph: Graph
     width: int
     recall: float
@@ -261,16 +256,28 @@ def led(v: np.ndarray, radius: float) -> np.ndarray:
     return out
 
 
+def _radii(v: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """The greatest angle to each leader (0 for others, and where it leads itself alone)."""
+    out = np.zeros(len(v))
+    other = leader != np.arange(len(v))
+    np.maximum.at(out, leader[other], _angle(np.einsum("nd,nd->n", v[other], v[leader[other]])))
+    return out
+
+
 def shard(nodes: np.ndarray, counts: np.ndarray, raw: np.ndarray, least: float) -> Shard:
-    theta = float(np.arccos(least))
+    theta, at = float(np.arccos(least)), np.arange(len(raw))
     v = _unit(raw)
     leader = led(v, max(0.0, theta / 2 - ANGLE))
-    order = np.lexsort((np.arange(len(v)), leader != np.arange(len(v)), leader))
-    _, begin = np.unique(leader[order], return_index=True)
-    radius = _angle(np.einsum("nd,nd->n", v[order], v[leader[order]]))
-    radius = np.where(np.bincount(leader, minlength=len(v))[leader[order]] > 1, radius, 0.0)
-    radius = np.maximum.reduceat(radius, begin)
-    heads = v[order[begin]]
+    heads = np.flatnonzero(leader == at)
+    over = led(v[heads], 2 * theta)
+    # By district and leader, heads first.
+    of = heads[over][np.searchsorted(heads, leader)]
+    order = np.lexsort((at, leader != at, leader, leader != of, of))
+    begin = np.flatnonzero(leader[order] == order)
+    radius = _radii(v, leader)[order[begin]]
+    district = np.flatnonzero(of[order[begin]] == order[begin])
+    reach = float(_radii(v[heads], over).max())
+    heads = v[order[begin[district]]]
     graph = Graph(heads.astype(np.float32))
     # Planted queries: vectors of the graph, turned by angles up to the widest that is asked for.
     rng = np.random.default_rng(5)
@@ -278,10 +285,10 @@ def shard(nodes: np.ndarray, counts: np.ndarray, raw: np.ndarray, least: float)
     side = rng.standard_normal((len(some), v.shape[1]))
     side -= np.einsum("nd,nd->n", side, heads[some])[:, None] * heads[some]
     side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
-    wide = theta + 2 * radius.max()
+    wide = theta + 2 * radius.max() + reach
     turn = rng.random((len(some), 1)) * wide
     q = (np.cos(turn) * heads[some] + np.sin(turn) * side).astype(np.float32)
-    bound = np.full(len(q), np.cos(min(wide + ANGLE, np.pi)) - SINGLE, np.float32)
+    bound = np.full(len(q), _cosine(wide), np.float32)
     width = BEAM
     while (recall := _recall(graph, q, bound, min(width, len(heads)))[0]) < RECALL and width:
         width = width * 2 if width < WIDEST and width < len(heads) else 0
@@ -289,7 +296,33 @@ def shard(nodes: np.ndarray, counts: np.ndarray, raw: np.ndarray, least: float)
             recall = 1.0
             break
     same = raw.astype(np.float32)
-    return Shard(nodes[order], counts[order], same[order] if (same == raw).all() else raw[order], begin, radius, graph, width, recall)
+    return Shard(nodes[order], counts[order], same[order] if (same == raw).all() else raw[order], begin, radius, district, reach, graph, width, recall)
+
+
+def _cosine(angle: np.ndarray | float) -> np.ndarray:
+    """The least cosine in single precision of what lies within an angle."""
+    return (np.cos(np.minimum(angle + ANGLE, np.pi)) - SINGLE).astype(np.float32)
+
+
+def _leaders(q: np.ndarray, v: np.ndarray, least: np.ndarray, i: np.ndarray, ends: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of queries ``i`` and stretches of ``v`` from the first to the second of ``ends``, the pairs that are near enough."""
+    order = np.argsort(ends[0], kind="stable")
+    i, low, size = i[order], ends[0][order], (ends[1] - ends[0])[order]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    big = np.flatnonzero(size >= 64)
+    for part in np.split(big, np.flatnonzero(np.diff(low[big])) + 1) if len(big) else ():
+        to = v[low[part[0]] : low[part[0]] + size[part[0]]]
+        for a in range(0, len(part), step := max(1, 4 * PAIRS // len(to))):
+            x, y = np.nonzero(q[i[part[a : a + step]]] @ to.T >= least[i[part[a : a + step]], None])
+            out.append((i[part[a : a + step]][x], low[part[0]] + y))
+    i, low, size = i[size < 64], low[size < 64], size[size < 64]
+    for a in range(0, len(i), PAIRS // 64):
+        m = size[a : a + PAIRS // 64]
+        x = np.repeat(i[a : a + len(m)], m)
+        y = np.repeat(low[a : a + len(m)] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        hit = np.einsum("pd,pd->p", q[x], v[y]) >= least[x]
+        out.append((x[hit], y[hit]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
 def between(a: Shard, b: Shard, least: float, one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[float, int, bool]]:
@@ -299,15 +332,17 @@ def between(a: Shard, b: Shard, least: float, one: bool) -> tuple[np.ndarray, np
     theta = float(np.arccos(least))
     va, vb = _unit(a.raw), _unit(b.raw)
     ha, hb = va[a.begin], vb[b.begin]
-    bound = (np.cos(np.minimum(theta + a.radius + b.radius.max() + ANGLE, np.pi)) - SINGLE).astype(np.float32)
+    wide = theta + a.radius + b.radius.max()
+    bound = _cosine(wide + b.reach)
     q, graph = ha.astype(np.float32), b.graph
-    width, recall, audited = min(b.width, len(hb)), 1.0, 0
+    width, recall, audited = min(b.width, len(graph.v)), 1.0, 0
     if width:
         some = np.random.default_rng(6).choice(len(q), min(REAL, len(q)), replace=False)
         recall, audited = _recall(graph, q[some], bound[some], width)
     exact = not width or recall < RECALL
     i, j = graph.compared(q, bound) if exact else graph.search(q, bound, width)
     recall = 1.0 if exact else recall
+    i, j = _leaders(q, hb.astype(np.float32), _cosine(wide), i, (b.district[j], np.append(b.district, len(hb))[j + 1]))
     if one:
         # Found from either end is found.
         pair = np.unique(np.minimum(i, j) * len(hb) + np.maximum(i, j))
