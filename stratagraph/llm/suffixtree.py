@@ -158,53 +158,58 @@ def _sequence(texts_: list[bytes], number: Hashed | Listed) -> tuple[np.ndarray,
     return ids, np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
 
 
-def _contexts(ids: np.ndarray, place: np.ndarray, depth: int, some: np.ndarray, pairs: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: places, keys and keys of the suffixes of the contexts there that may be frequent enough.
-    ``some``: which tokens may; ``pairs``: bitmap of the pairs that may."""
-    at = np.flatnonzero(place > 0)
-    h = np.zeros(len(at), np.uint64)
+def _contexts(ids: np.ndarray, place: np.ndarray, depth: int, some: np.ndarray, often: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, keys and keys of the suffixes of the contexts of ``depth`` tokens that may be frequent enough.
+    ``some``: which tokens may; ``often``: bitmap of the pairs of the level before that may. A context occurs
+    as often as its newest token stands after its others, so it is one of those pairs."""
+    at = np.flatnonzero(place >= depth)
     for k in range(1, depth + 1):
-        keep = place[at] >= k
-        keep[keep] = some[at[keep] - k]
-        if k > 1:
-            # A context of two occurs as often as its newer word stands after its older one.
-            i = at[keep] - k
-            keep[keep] = _maybe(pairs, _pair(_grown(np.zeros(len(i), np.uint64), ids[i]), ids[i + 1]))
-        at, suffix = at[keep], h[keep]
-        h = _grown(suffix, ids[at - k])
-        yield k, at, h, suffix
-
-
-def _level_counts(docs: DataFrame, number: Hashed | Listed, low: int, high: int, words: np.ndarray, pairs: np.ndarray | None) -> DataFrame:
-    """``depth, context, suffix, symbol, n, pair, below`` for contexts of ``low`` to ``high`` symbols that have
-    the count ``FLOOR`` (rows of the symbol ``TOTAL``), and symbols after them that have the count ``PAIR``.
-    ``pair`` and ``below`` are the keys of context and suffix with the symbol."""
-    sent = docs.sparkSession.sparkContext.broadcast((number, words, pairs))
+        at = at[some[at - k]]
+    if depth > 1:
+        before = np.zeros(len(at), np.uint64)
+        for k in range(2, depth + 1):
+            before = _grown(before, ids[at - k])
+        at = at[_maybe(often, _pair(before, ids[at - 1]))]
+    h = suffix = np.zeros(len(at), np.uint64)
+    for k in range(1, depth + 1):
+        suffix, h = h, _grown(h, ids[at - k])
+    return at, h, suffix
+
+
+def _level_counts(docs: DataFrame, number: Hashed | Listed, depth: int, words: np.ndarray, often: np.ndarray | None, twice: np.ndarray | None) -> DataFrame:
+    """``context, suffix, symbol, n, pair, below`` for contexts of ``depth`` symbols that have the count ``FLOOR``
+    (rows of the symbol ``TOTAL``), and symbols after them that have the count ``PAIR``. ``pair`` and ``below``
+    are the keys of context and suffix with the symbol.
+
+    Of the level before, ``often`` and ``twice`` are bitmaps of the pairs that have those counts: a symbol is
+    counted after a context only if it may have the count after the suffix, where it stands as often at least.
+    So what is shuffled is little more than what is kept, and nothing that counts is left out."""
+    sent = docs.sparkSession.sparkContext.broadcast((number, words, often, twice))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, words, pairs = sent.value
-        held: dict[int, list[list[np.ndarray]]] = {k: [] for k in range(low, high + 1)}
+        number, words, often, twice = sent.value
+        held: list[list[np.ndarray]] = []
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 ids, place = _sequence(batch.column("text").slice(a, ROWS).cast(pa.binary()).to_pylist(), number)
                 some = ((ids == BEGIN) | _maybe(words, ids)) & (ids != OTHER)
-                for k, at, h, suffix in _contexts(ids, place, high, some, pairs):
-                    if k >= low:
-                        symbol, one = ids[at], np.ones(len(at), np.int64)
-                        named = some[at] | (symbol == END)
-                        held[k].append(_grouped([np.concatenate([h[named], h]), np.concatenate([suffix[named], suffix]), np.concatenate([symbol[named], np.full(len(at), TOTAL)]), np.concatenate([one[named], one])]))
-                        if len(held[k]) >= 8:
-                            held[k] = [_grouped([np.concatenate(c) for c in zip(*held[k], strict=True)])]
-                            if len(held[k][0][0]) > HELD:
-                                yield of(k, held[k].pop())
-        for k, parts in held.items():
-            if parts:
-                yield of(k, _grouped([np.concatenate(c) for c in zip(*parts, strict=True)]))
-
-    def of(k: int, rows: list[np.ndarray]) -> pa.RecordBatch:
+                at, h, suffix = _contexts(ids, place, depth, some, often)
+                symbol, one = ids[at], np.ones(len(at), np.int64)
+                named = some[at] | (symbol == END)
+                if depth > 1:
+                    named[named] = _maybe(twice, _pair(suffix[named], symbol[named]))
+                held.append(_grouped([np.concatenate([h[named], h]), np.concatenate([suffix[named], suffix]), np.concatenate([symbol[named], np.full(len(at), TOTAL)]), np.concatenate([one[named], one])]))
+                if len(held) >= 8:
+                    held = [_grouped([np.concatenate(c) for c in zip(*held, strict=True)])]
+                    if len(held[0][0]) > HELD:
+                        yield of(held.pop())
+        if held:
+            yield of(_grouped([np.concatenate(c) for c in zip(*held, strict=True)]))
+
+    def of(rows: list[np.ndarray]) -> pa.RecordBatch:
         context, suffix, symbol, n = rows
-        columns = [pa.array(np.full(len(n), k), pa.int32()), pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(symbol, pa.int64()), pa.array(n, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, names=["depth", "context", "suffix", "symbol", "n"])
+        columns = [pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(symbol, pa.int64()), pa.array(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["context", "suffix", "symbol", "n"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +217,8 @@ def _level_counts(docs: DataFrame, number: Hashed | Listed, low: int, high: int,
             keys = [pa.array(_pair(x.view(np.uint64), symbol).view(np.int64)) for x in (context, suffix)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *keys], names=[*batch.schema.names, "pair", "below"])
 
-    kind = "depth int, context long, suffix long, symbol long, n long"
-    found = docs.select("text").mapInArrow(run, kind).groupBy("depth", "context", "suffix", "symbol").agg(F.sum("n").alias("n"))
+    kind = "context long, suffix long, symbol long, n long"
+    found = docs.select("text").mapInArrow(run, kind).groupBy("context", "suffix", "symbol").agg(F.sum("n").alias("n"))
     found = found.where(F.col("n") >= F.when(F.col("symbol") == TOTAL, F.lit(FLOOR)).otherwise(F.lit(PAIR)))
     return found.mapInArrow(keyed, kind + ", pair long, below long")
 
@@ -221,14 +226,14 @@ def _level_counts(docs: DataFrame, number: Hashed | Listed, low: int, high: int,
 def _entries(docs: DataFrame, number: Hashed | Listed, words: DataFrame) -> DataFrame:
     """``depth, key, n, value, context``: the tree's entries, of contexts and (``context`` false) of pairs, with
     their counts and addends. ``words``: ``symbol, n, p0`` of the symbols."""
-    bits = _bits(words.where(F.col("n") >= FLOOR), "symbol")
-    first = written(_level_counts(docs, number, 1, 1, bits, None), "level")
-    pairs = _bits(first.where((F.col("symbol") != TOTAL) & (F.col("n") >= FLOOR)), "pair")
-    rest = written(_level_counts(docs, number, 2, DEPTH, bits, pairs), "level")
+    bits, often, twice = _bits(words.where(F.col("n") >= FLOOR), "symbol"), None, None
     below = words.where(F.col("n") >= FLOOR).select(F.col("symbol").alias("below_"), F.col("p0").alias("lower"))
     made = []
     for k in range(1, DEPTH + 1):
-        level = (first if k == 1 else rest).where(F.col("depth") == k)
+        level = written(_level_counts(docs, number, k, bits, often, twice), "level")
+        if k < DEPTH:
+            named = level.where(F.col("symbol") != TOTAL)
+            often, twice = _bits(named.where(F.col("n") >= FLOOR), "pair"), _bits(named, "pair")
         totals = level.where(F.col("symbol") == TOTAL).select("context", "suffix", F.col("n").alias("mass"))
         # Whatever follows a context is counted after its suffix too, at least as often.
         key = "symbol" if k == 1 else "below"

@@ -502,6 +502,77 @@ def test_suffix_tree(spark):
     assert suffixtree.score(docs(spark, [])).count() == 0
 
 
+def slow_scores(train, texts):
+    """log10 probabilities by the tree's definition, with dictionaries of word tuples."""
+    S = suffixtree
+    rows = [["<", *t, ">"] for t in train]
+    count = Counter(w for r in rows for w in r[1:])
+    n, types = sum(count.values()), len(count)
+    named = {w for w, c in count.items() if c >= S.FLOOR or w == ">"}
+    lower = {((), w): (count[w] - S.DISCOUNT0) / n for w in named}
+    levels = []
+    for k in range(1, S.DEPTH + 1):
+        mass, pair = Counter(), Counter()
+        for r in rows:
+            for i in range(max(1, k), len(r)):
+                c = tuple(r[i - k : i])
+                if all(w == "<" or count[w] >= S.FLOOR for w in c):
+                    mass[c] += 1
+                    pair[c, r[i]] += r[i] in named
+        mass = {c: m for c, m in mass.items() if m >= S.FLOOR}
+        pair = {(c, w): m for (c, w), m in pair.items() if m >= S.PAIR and c in mass and (c[1:], w) in lower}
+        own, seen, gain, p = Counter(), Counter(), Counter(), {}
+        for (c, w), m in pair.items():
+            own[c] += (m - S.DISCOUNT) / mass[c]
+            seen[c] += m
+        left = {c: max(1 - own[c], 1e-12) for c in mass}
+        for (c, w), m in pair.items():
+            p[c, w] = (m - S.DISCOUNT) / mass[c] + left[c] * lower[c[1:], w]
+            gain[c] += m * math.log(p[c, w] / lower[c[1:], w])
+        good = {c for c in mass if gain[c] + (mass[c] - seen[c]) * math.log(left[c]) >= S.GAIN}
+        levels.append((good, left, p, lower))
+        lower = p
+    for k in range(S.DEPTH - 1, 0, -1):
+        levels[k - 1][0].update(c[1:] for c in levels[k][0])
+    out = []
+    for t in texts:
+        r, total = ["<", *t, ">"], 0.0
+        for i in range(1, len(r)):
+            x = (count[r[i]] - S.DISCOUNT0) / n if count[r[i]] else S.unseen(n, types)
+            total += math.log10(x)
+            for k in range(1, min(S.DEPTH, i) + 1):
+                good, left, p, low = levels[k - 1]
+                c = tuple(r[i - k : i])
+                if c not in good:
+                    break
+                total += math.log10(left[c])
+                if (c, r[i]) in p:
+                    total += math.log10(p[c, r[i]] / left[c] / low[c[1:], r[i]])
+        out.append(total)
+    return out, sum(len(g) for g, *_ in levels)
+
+
+def test_scores_against_the_definition(spark):
+    rng = random.Random(41)
+    follow = {a + b: rng.sample("abcdefg", 3) for a in "abcdefg" for b in "abcdefg"}  # of the second order, so long contexts tell
+
+    def text():
+        w = [rng.choice("abcdefg"), rng.choice("abcdefg")]
+        while rng.random() < 0.96:
+            w.append(rng.choice(follow[w[-2] + w[-1]]) if rng.random() < 0.9 else rng.choice(["rare", f"x{rng.randrange(300)}"]) if rng.random() < 0.2 else rng.choice("abcdefg"))
+            if len(w[-1]) > 1:
+                w.append(rng.choice("abcdefg"))
+                w.append(rng.choice("abcdefg"))
+        return w
+
+    rows = [(i, text()) for i in range(500)] + [(1000, []), (1001, ["never", "seen"])]
+    want, size = slow_scores([w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2], [w for _, w in rows])
+    got = {r.doc_id: r.score for r in suffixtree.score(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()}
+    assert size > 40
+    for (i, _), x in zip(rows, want, strict=True):
+        assert math.isclose(got[i], x, rel_tol=1e-9)
+
+
 def test_distributions_sum_to_one(spark):
     rows = [(i, "a b a c " * 20) for i in range(40)]
     train = docs(spark, rows)
