@@ -123,7 +123,7 @@ def links(fps: DataFrame) -> DataFrame:
         keyed = many.join(masks, "above").select("fp", *near, "all", "mask", F.col("all").bitwiseAND(F.col("mask")).alias("code"))
         keyed = written(keyed.distinct(), "keys") if level else written(keyed, "keys")
         size = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-        shared = written(keyed.join(size, key), "candidates")
+        shared = written(keyed.join(size, key), "candidates", keyed)
         crowded = F.col("n") > PAIRWISE if level + 1 < LEVELS else F.lit(False)
         few = shared.where(~crowded)
         other = few.select(*key, *(F.col(c).alias(f"{c}_") for c in ("fp", *near)))

@@ -240,15 +240,16 @@ def _entries(docs: DataFrame, number: Hashed | Listed, words: DataFrame) -> Data
         found = level.where(F.col("symbol") != TOTAL).join(below, F.col(key) == F.col("below_")).select("context", "pair", "n", "lower")
         found = found.join(totals.select("context", "mass"), "context").select("*", ((F.col("n") - DISCOUNT) / F.col("mass")).alias("own"))
         found = written(found, "pairs")
+        mid = found
         sums = found.groupBy("context").agg(F.sum("own").alias("own_"), F.sum("n").alias("n_"))
         left = F.greatest(F.lit(1.0) - F.coalesce("own_", F.lit(0.0)), F.lit(1e-12))
         contexts = written(totals.join(sums, "context", "left").select("context", "suffix", "mass", left.alias("left"), F.greatest(F.col("mass") - F.coalesce("n_", F.lit(0)), F.lit(0)).alias("rest")), "contexts")
         found = found.join(contexts.select("context", "left"), "context").select("context", "pair", "n", "lower", "left", (F.col("own") + F.col("left") * F.col("lower")).alias("p"))
-        found = written(found, "pairs")
+        found = written(found, "pairs", mid)
         # Divergence from the suffix times the count; symbols too rare to be listed count as one.
         gains = found.groupBy("context").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("lower"))).alias("gain"))
         contexts = contexts.join(gains, "context", "left").withColumn("good", F.coalesce("gain", F.lit(0.0)) + F.col("rest") * F.ln("left") >= GAIN)
-        made.append((written(contexts.select("context", "suffix", "mass", "left", "good"), "contexts"), found))
+        made.append((written(contexts.select("context", "suffix", "mass", "left", "good"), "contexts", level), found))
         below = found.select(F.col("pair").alias("below_"), F.col("p").alias("lower"))
     out, needed = None, None
     for k in range(DEPTH, 0, -1):
@@ -261,7 +262,7 @@ def _entries(docs: DataFrame, number: Hashed | Listed, words: DataFrame) -> Data
         theirs = found.join(good.select("context"), "context", "left_semi").select(F.lit(k).alias("depth"), F.col("pair").alias("key"), "n", (F.log10("p") - F.log10("left") - F.log10("lower")).alias("value"), F.lit(False).alias("context"))
         part = own.unionAll(theirs)
         out = part if out is None else out.unionAll(part)
-    return written(out, "tree")
+    return written(out, "tree", *(t for pair in made for t in pair))
 
 
 def _sent(entries: DataFrame, most: int) -> tuple[Tree, DataFrame | None]:
