@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import HEALTHY_STATES, KINDS
+from . import catalog
 
 
 def kind_counts(objects: DataFrame) -> DataFrame:
@@ -22,6 +23,21 @@ def resource_types(objects: DataFrame) -> DataFrame:
     return objects.where("type = 'resource'").groupBy("resource_type").agg(F.count("*").alias("n"))
 
 
+def providers(objects: DataFrame) -> DataFrame:
+    """``provider, n``: the providers of resources and data, in lower case."""
+    return objects.select(F.lower(catalog.provider()).alias("provider")).where("provider is not null").groupBy("provider").agg(F.count("*").alias("n"))
+
+
+def top_providers(objects: DataFrame, k: int = 3) -> DataFrame:
+    return providers(objects).orderBy(F.desc("n"), "provider").limit(k)
+
+
+def module_sources(objects: DataFrame) -> DataFrame:
+    """``source, n, r``: the modules' sources, ranked by how often they are used. A row for each source is ranked."""
+    x = catalog.by_kind(objects, "module").groupBy("source").agg(F.count("*").alias("n"))
+    return x.withColumn("r", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
+
+
 def top_types(objects: DataFrame, k: int = 10) -> DataFrame:
     return resource_types(objects).orderBy(F.desc("n"), "resource_type").limit(k)
 
@@ -53,6 +69,17 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("n_nodes"), F.sum("o").alias("n_edges"), F.round(F.sum(F.col("o") + F.col("i")) / F.count("*"), 2).alias("avg_degree"), F.max("i").alias("max_in"), F.max("o").alias("max_out"), F.count_if((F.col("o") == 0) & (F.col("i") == 0)).alias("isolated"))
 
 
+def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``grouping, key, n, share``: nodes by type and by state, edges by kind, and the mean out and in degree (as
+    ``share``, rounded). ``nodes`` has ``node, type, state``, ``edges`` also ``edge_type``. One aggregate each."""
+    none = F.lit(None).cast("double")
+    by = lambda df, column, name: df.groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("grouping"), "key", "n", none.alias("share"))
+    size = edges.agg(F.count("*").alias("e")).withColumn("j", F.lit(1)).join(nodes.agg(F.count("*").alias("n")).withColumn("j", F.lit(1)), "j")
+    mean = F.when(F.col("n") > 0, F.round(F.col("e") / F.col("n"), 2)).otherwise(0.0)
+    degree = size.select(F.lit("mean").alias("grouping"), F.explode(F.array(F.lit("in"), F.lit("out"))).alias("key"), F.col("e").alias("n"), mean.alias("share"))
+    return by(nodes, "type", "type").unionAll(by(nodes, "state", "state")).unionAll(by(edges, "edge_type", "edge")).unionAll(degree)
+
+
 def edge_kinds(edges: DataFrame) -> DataFrame:
     """Edges with their type and strength: to a provider, else explicit or implicit."""
     kind = F.when(F.col("dst").startswith("provider."), "provider").otherwise(F.col("kind"))

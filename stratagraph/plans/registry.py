@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..model import state_dimension
-from ..operators import expressions, graph, metrics, refs, search, states, summary
+from ..operators import catalog, expressions, graph, metrics, refs, search, states, summary
 from ..rules import registry as rules
-from . import star
+from ..rules.registry import Registry, attr, hardened, lacking
+from ..sinks import documents
+from ..sources import reader
+from . import cases, star
 from .star import OBJECTS_SQL, TRADE_SQL, table
 from .storage import written
 
@@ -221,9 +224,9 @@ def provider_join(s: SparkSession, d: str) -> DataFrame:
 
 @query("select lower(r_name) as provider, count(*) as n from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey group by 1 order by n desc, 1 limit 3")
 def provider_histogram_top3(s: SparkSession, d: str) -> DataFrame:
-    c, n, r = table(s, d, "customer"), table(s, d, "nation"), table(s, d, "region")
-    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
-    return x.groupBy(F.lower("r_name").alias("provider")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "provider").limit(3)
+    c, n, t = table(s, d, "customer"), table(s, d, "nation"), table(s, d, "region")
+    x = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(t, F.col("n_regionkey") == F.col("r_regionkey"))
+    return metrics.top_providers(x.select(F.lit("resource").alias("type"), F.col("r_name").alias("provider"), F.lit("acct_x").alias("resource_type")))
 
 
 _REACH = _catalog() + """, typed as (select e.src, e.dst, o.type as st from edges e join objects o on o.full_name = e.src),
@@ -407,17 +410,20 @@ def facet_search_phrase(s: SparkSession, d: str) -> DataFrame:
 
 @query("with p as (select p_partkey, p_name, p_brand, p_type, p_size from part) select p_partkey, 'NAME' as rule_id from p where length(p_name) > 15 union all select p_partkey, 'STYLE' from p where not regexp_matches(p_name, '^[a-z][a-z0-9_]*$') union all select p_partkey, 'SIZE' from p where p_size > 45 union all select p_partkey, 'ONE-OF' from p where p_brand in ('Brand#11','Brand#22','Brand#33')")
 def rules_row_predicates(s: SparkSession, d: str) -> DataFrame:
-    p = table(s, d, "part")
-    n = F.col("p_name")
-    checks = (("NAME", F.length(n) > 15), ("STYLE", ~n.rlike("^[a-z][a-z0-9_]*$")), ("SIZE", F.col("p_size") > 45), ("ONE-OF", F.col("p_brand").isin("Brand#11", "Brand#22", "Brand#33")))
-    return p.select("p_partkey", F.explode(F.filter(F.array(*(F.when(c, F.lit(i)) for i, c in checks)), lambda x: x.isNotNull())).alias("rule_id"))
+    own, n = Registry(), F.col("name")
+    for i, check in (("NAME", F.length(n) > 15), ("STYLE", ~n.rlike("^[a-z][a-z0-9_]*$")), ("SIZE", attr("size", "int") > 45), ("ONE-OF", attr("brand").isin("Brand#11", "Brand#22", "Brand#33"))):
+        own.rule(i, "info", "naming", "module")(lambda check=check: [(check, "found")])
+    body = F.parse_json(F.to_json(F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand"))))
+    o = table(s, d, "part").select(F.lit("p").alias("project"), F.col("p_partkey").cast("string").alias("full_name"), F.lit("module").alias("type"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("resource_type"), F.lit("f").alias("file_path"), F.lit(1).alias("line_number"), body.alias("attributes"))
+    return own.evaluate(o).select(F.col("resource_name").cast("long").alias("p_partkey"), "rule_id")
 
 
 @query("with t as (select o_orderkey, case when o_orderkey % 2 = 0 then ['Environment','Owner'] else ['Owner','Project','Extra'] end as tags from orders) select o_orderkey, array_to_string(list_sort(list_filter(['Environment','Owner','Project'], lambda x: not list_contains(tags, x))), ', ') as missing from t")
 def rules_tag_difference(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders")
-    tags = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("Environment"), F.lit("Owner"))).otherwise(F.array(F.lit("Owner"), F.lit("Project"), F.lit("Extra")))
-    return o.select("o_orderkey", F.array_join(F.array_sort(F.array_except(F.array(*map(F.lit, ("Environment", "Owner", "Project"))), tags)), ", ").alias("missing"))
+    some = F.when(F.col("o_orderkey") % 2 == 0, F.lit('{"Environment": "e", "Owner": "o"}')).otherwise(F.lit('{"Owner": "o", "Project": "p", "Extra": "x"}'))
+    o = o.select("o_orderkey", F.parse_json(F.concat(F.lit('{"tags": '), some, F.lit("}"))).alias("attributes"))
+    return o.select("o_orderkey", F.array_join(F.array_sort(lacking("Environment", "Owner", "Project")), ", ").alias("missing"))
 
 
 _ISSUES_SQL = "with issues as (select case when l_quantity > 45 then 'error' when l_quantity > 25 then 'warning' else 'info' end as severity, case l_returnflag when 'A' then 'security' when 'R' then 'cost' else 'naming' end as category, l_linestatus as file_path from lineitem)"
@@ -440,38 +446,37 @@ def issue_summary(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ISSUES_SQL + " select case severity when 'warning' then 'error' else severity end as severity, count(*) as n from issues group by 1")
 def strict_mode(s: SparkSession, d: str) -> DataFrame:
-    return _issues(s, d).groupBy(F.when(F.col("severity") == "warning", "error").otherwise(F.col("severity")).alias("severity")).agg(F.count("*").alias("n"))
+    return hardened(_issues(s, d)).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(_catalog(PART) + " select 'undefined' as problem, src as subject, ref as detail from missing where not regexp_matches(ref, '^(var|local|data|module)\\.') union all select 'cycle', null, null where false")
+@query(_catalog(PART) + " select 'undefined' as problem, src as subject, ref as detail from missing where not regexp_matches(ref, '^(var|local|data|module)\\.') union all select 'no value', full_name, null from objects where type = 'output' and cast(name as bigint) % 7 = 0")
 def integrity_check(s: SparkSession, d: str) -> DataFrame:
     objects, edges, missing = _bound(s, d, PART)
     cycles = graph.cycle_members(edges)
-    return metrics.integrity(objects.withColumn("output_value", F.lit("x")), missing, cycles)
+    return metrics.integrity(objects.withColumn("output_value", F.when(F.col("name").cast("bigint") % 7 != 0, F.lit("x"))), missing, cycles)
 
 
 @query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
 def json_navigate(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    return table(s, d, "events").select("event_id", F.try_parse_json("props").alias("attributes")).select("event_id", attr("k", "bigint").alias("k"))
 
 
 @query("select key, count(*) as n, cast(sum(cast(json_extract(props, '$.' || key) as bigint)) as bigint) as total from (select props, unnest(json_keys(props)) as key from events) group by 1")
 def json_explode(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select(F.explode(F.from_json("props", "map<string,bigint>")).alias("key", "value"))
-    return e.groupBy("key").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    e = reader.entries(table(s, d, "events"), "props")
+    return e.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
 
 @query("select doc_id, i as line_number, lines[i] as line from (select doc_id, string_split(text, chr(10)) as lines, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents)")
 def line_table(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    return x.select("doc_id", (F.col("i") + 1).cast("long").alias("line_number"), "line")
+    found = table(s, d, "documents").select(F.lit("p").alias("project"), F.col("doc_id").alias("file_path"), F.col("text").alias("content"))
+    return reader.lines(found).select(F.col("file_path").alias("doc_id"), F.col("line_number").cast("long"), "line")
 
 
 @query("select o_custkey, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) where r = 1")
 def overwrite_last_wins(s: SparkSession, d: str) -> DataFrame:
     """The last object of a name replaces the others: an aggregate, not a window, so a hot name is combined before the shuffle."""
-    o = table(s, d, "orders")
-    return o.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus"), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("o_custkey", "x.*")
+    return catalog.last_wins(table(s, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
 @query("select p_partkey, p_name, regexp_matches(lower(p_name), '^([a-z][a-z0-9_]*|[a-z][a-z0-9-]*|[a-z][a-zA-Z0-9]*)$') and not regexp_matches(lower(p_name), '[_-]{2,}') and length(p_name) between 2 and 63 as good from part")
@@ -485,11 +490,6 @@ def good_practice_vote(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select("p_partkey", states.good_practice(F.col("p_type"), tags, F.col("p_brand"), F.lit(True)).alias("good"))
 
 
-@query("select event_type, count(*) as n, count(*) filter (where value > 50) as high, round(avg(value), 4) as avg_value from events group by 1")
-def rule_run_stats(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("high"), F.round(F.avg("value"), 4).alias("avg_value"))
-
-
 _LAYOUT = _catalog() + """, r as (select distinct dst as src, src as dst from edges), lv as (select full_name as node, 0 as level from objects where full_name not in (select src from r)
  union select e.src, l.level + 1 from r e join lv l on l.node = e.dst), levels as (select node, max(level) as layer from lv group by 1), k as (select *, row_number() over (partition by layer order by node) as j, count(*) over (partition by layer) as c, (select count(distinct layer) from levels) as l from levels)"""
 
@@ -543,13 +543,12 @@ def reference_complexity(s: SparkSession, d: str) -> DataFrame:
 @query("select s_name as Name, 'supplier_acct' as Type, r_name as Provider, 'supplier.tf' as File, s_suppkey as Line from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def csv_projection(s: SparkSession, d: str) -> DataFrame:
     x = table(s, d, "supplier").join(table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return x.select(F.col("s_name").alias("Name"), F.lit("supplier_acct").alias("Type"), F.col("r_name").alias("Provider"), F.lit("supplier.tf").alias("File"), F.col("s_suppkey").alias("Line"))
+    return documents.csv_table(x.select(F.lit("resource").alias("type"), F.col("s_name").alias("name"), F.lit("supplier_acct").alias("resource_type"), F.col("r_name").alias("provider"), F.lit("supplier.tf").alias("file_path"), F.col("s_suppkey").alias("line_number")))
 
 
 @query("select p_type as source, count(*) as n, rank() over (order by count(*) desc) as r from part group by 1")
 def module_sources_ranked(s: SparkSession, d: str) -> DataFrame:
-    x = table(s, d, "part").groupBy(F.col("p_type").alias("source")).agg(F.count("*").alias("n"))
-    return x.withColumn("r", F.rank().over(Window.orderBy(F.desc("n"))).cast("long"))
+    return metrics.module_sources(table(s, d, "part").select(F.lit("module").alias("type"), F.col("p_type").alias("source")))
 
 
 _RULED = """with o as (select p_partkey, case p_partkey % 3 when 0 then 'aws_instance' when 1 then 'aws_ebs_volume' else 'google_compute_network' end as rt, p_size from part),
@@ -593,6 +592,46 @@ def rules_strict_cost(s: SparkSession, d: str) -> DataFrame:
     return issues.select("rule_id", "severity", F.substring_index("resource_name", ".", -1).cast("long").alias("p_partkey"))
 
 
+@query(
+    _RULED
+    + """, n as (select count(*) filter (where rt = 'aws_instance') as i, count(*) filter (where rt = 'aws_ebs_volume') as v, count(*) filter (where rt = 'google_compute_network') as g from o)
+ select (select count(*) from o) as resources_validated, i * 7 + v * 2 + g + 5 as rules_executed, (select count(*) from issues where severity = 'error') as errors,
+ (select count(*) from issues where severity = 'warning') as warnings, (select count(*) from issues where severity = 'info') + 4 as info from n"""
+)
+def rule_run_stats(s: SparkSession, d: str) -> DataFrame:
+    """Seven rules are for instances, two for volumes, one for networks, five for the project, which lacks four files."""
+    return rules.run_stats(_ruled(s, d))
+
+
+@query(cases.expected_sql())
+def rules_cases(s: SparkSession, d: str) -> DataFrame:
+    """Every rule of objects on ones that it raises issues on and ones that it doesn't."""
+    o = cases.objects(table(s, d, "part"))
+    issues = rules.evaluate(o).groupBy("resource_name", "rule_id").agg(F.count("*").alias("n"))
+    key = F.split("full_name", "\\.")
+    want = o.select("full_name", key[0].alias("rule_id"), key[1].cast("long").alias("p_partkey"))
+    found = want.join(issues, (F.col("full_name") == F.col("resource_name")) & (want["rule_id"] == issues["rule_id"]), "left")
+    return found.select(want["rule_id"], "p_partkey", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+@query("""with f as (select n_nationkey as n, n_regionkey as k, case n_nationkey % 5 when 0 then 'main.tf' when 1 then 'variables.tf' when 2 then 'README.md' when 3 then 'outputs.tf' else 'x.tf' end as file from nation),
+p as (select k, bool_or(file = 'main.tf') as m, bool_or(file = 'variables.tf') as v, bool_or(file = 'outputs.tf') as o, bool_or(file = 'README.md') as r from f group by 1)
+select k, 'TF-STRUCTURE-001' as rule_id, cast((not m)::int + (not v)::int + (not o)::int as bigint) as n from p union all select k, 'TF-DOCS-001', cast((not r)::int as bigint) from p
+union all select k, unnest(['TF-STATE-001', 'TF-QUALITY-001', 'TF-QUALITY-002']), 0 from p""")
+def rules_of_projects(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey") % 5
+    file = F.when(n == 0, "main.tf").when(n == 1, "variables.tf").when(n == 2, "README.md").when(n == 3, "outputs.tf").otherwise("x.tf")
+    none = lambda kind: F.lit(None).cast(kind)
+    o = table(s, d, "nation").select(
+        F.col("n_regionkey").cast("string").alias("project"), F.concat(F.lit("local.n"), F.col("n_nationkey").cast("string")).alias("full_name"), F.lit("local").alias("type"), F.lit("n").alias("name"), file.alias("file_path"), F.lit(1).alias("line_number"),
+        *(none("string").alias(c) for c in ("resource_type", "description", "variable_type", "source", "module_version")), *(none("variant").alias(c) for c in ("attributes", "default_value")), *(none("boolean").alias(c) for c in ("nullable", "sensitive")),
+    )
+    issues = rules.evaluate(o).groupBy("project", "rule_id").agg(F.count("*").alias("n"))
+    ids = s.createDataFrame([(r.rule_id,) for r in rules.rules.values() if r.scope == "project_level"], "rule_id string")
+    every = o.select("project").distinct().join(ids.withColumn("j", F.lit(1)), F.col("j") == 1)
+    return every.join(issues, ["project", "rule_id"], "left").select(F.col("project").cast("int").alias("k"), "rule_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 @query("select p_brand || '.tf' as file_path, 'resource' as type, count(*) as n from part group by 1")
 def file_summary(s: SparkSession, d: str) -> DataFrame:
     return summary.by_file(_ruled(s, d))

@@ -181,6 +181,11 @@ def _each(r: Rule, messages: Column, strict: bool) -> Column:
     return F.transform(messages, lambda m: _issue(r, m, strict))
 
 
+def hardened(issues: DataFrame) -> DataFrame:
+    """Issues with warnings as errors."""
+    return issues.withColumn("severity", F.when(F.col("severity") == "warning", "error").otherwise(F.col("severity")))
+
+
 registry = Registry()
 
 

@@ -85,7 +85,9 @@ def write_csv(objects: DataFrame, path: str) -> None:
 
 
 def write_xml(objects: DataFrame, path: str) -> None:
-    csv_table(objects).write.format("xml").option("rootTag", "terraform_project").option("rowTag", "resource").save(path)
+    """Resources with their name as an attribute, and type and provider as elements."""
+    rows = objects.where("type = 'resource'").select(F.col("full_name").alias("_name"), F.col("resource_type").alias("type"), F.coalesce("provider", F.substring_index("resource_type", "_", 1)).alias("provider"))
+    rows.write.format("xml").option("rootTag", "terraform_project").option("rowTag", "resource").save(path)
 
 
 def write_split(objects: DataFrame, path: str, by: str = "type") -> None:

@@ -95,7 +95,7 @@ def objects(read: DataFrame) -> DataFrame:
     o = read.where("error is null").select(
         "project", full.alias("full_name"), k.alias("type"), F.when(two, b).otherwise(F.coalesce(a, F.lit("terraform"))).alias("name"), F.when(two, a).alias("resource_type"),
         F.when(two, _bare(text("provider"))).alias("provider"), F.when(k == "provider", text("alias")).alias("provider_alias"), F.when(k == "provider", text("version")).alias("provider_version"),
-        "file_path", F.col("line_start").alias("line_number"), F.when(k == "variable", _bare(text("type"))).alias("variable_type"), F.when(k == "variable", F.try_variant_get(v, "$.default", "variant")).alias("default_value"),
+        "file_path", F.coalesce("line_start", F.lit(1)).alias("line_number"), F.when(k == "variable", _bare(text("type"))).alias("variable_type"), F.when(k == "variable", F.try_variant_get(v, "$.default", "variant")).alias("default_value"),
         F.when(k == "variable", F.try_variant_get(v, "$.nullable", "boolean")).alias("nullable"), F.coalesce(F.try_variant_get(v, "$.sensitive", "boolean"), F.lit(False)).alias("sensitive"),
         F.when(k == "output", F.try_variant_get(v, "$.value", "variant")).alias("output_value"), F.when(k == "module", text("source")).alias("source"), F.when(k == "module", text("version")).alias("module_version"),
         text("description").alias("description"), F.from_json(text("tags"), "map<string,string>").alias("tags"), F.from_json(text("depends_on"), "array<string>").alias("depends_on"),
@@ -128,13 +128,18 @@ def tfvars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def simple_vars(lines: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
-    """``name, value`` of ``name = value`` lines (column ``value``): quotes are stripped, comments skipped;
-    ``overrides`` win."""
+    """``name, value, kind`` of ``name = value`` lines (column ``value``): what stands in double quotes is a string
+    without them, then there are truth values and whole numbers; comments are skipped. ``overrides`` win,
+    and are strings."""
     parts = F.split("value", "=", 2)
-    rows = lines.where(~F.trim("value").startswith("#") & F.col("value").contains("=")).select(F.trim(parts[0]).alias("name"), F.btrim(F.trim(parts[1]), F.lit("\"'")).alias("value"))
+    rows = lines.where(~F.trim("value").startswith("#") & F.col("value").contains("=")).select(F.trim(parts[0]).alias("name"), F.trim(parts[1]).alias("v"))
+    v = F.col("v")
+    quoted, truth = v.rlike('^".*"$') & (F.length(v) > 1), F.lower(v).isin("true", "false")
+    value = F.when(quoted, F.substring(v, F.lit(2), F.length(v) - 2)).when(truth, F.lower(v)).otherwise(v)
+    rows = rows.select("name", value.alias("value"), F.when(quoted, "string").when(truth, "bool").when(v.rlike("^[0-9]+$"), "number").otherwise("string").alias("kind"))
     if not overrides:
         return rows
-    own = lines.sparkSession.createDataFrame(list(overrides.items()), "name string, value string")
+    own = lines.sparkSession.createDataFrame([(k, x, "string") for k, x in overrides.items()], "name string, value string, kind string")
     return rows.join(own, "name", "left_anti").unionByName(own)
 
 
@@ -169,6 +174,12 @@ def lines(found: DataFrame) -> DataFrame:
     return found.select("project", "file_path", F.posexplode(F.split("content", "\r?\n", -1)).alias("i", "line")).select("project", "file_path", (F.col("i") + 1).alias("line_number"), "line")
 
 
+def entries(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """``key, value`` (VARIANT) of each entry of a JSON object in a text column, with the columns in ``keep``."""
+    v = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "map<string,variant>")
+    return rows.select(*keep, F.explode(v).alias("key", "value"))
+
+
 def settings(objects_: DataFrame) -> DataFrame:
     """``provider, constraint`` that the settings blocks require."""
     need = F.from_json(F.try_variant_get("attributes", "$.required_providers[0]", "string"), "map<string,string>")

@@ -152,7 +152,7 @@ def test_side_files(spark, project):
     assert flat["local.nested.a.0"] == "1" and flat["local.name"] == "app-${var.env}"
     assert [tuple(r) for r in reader.settings(p.objects).collect()] == [("aws", "~> 5.0")]
     text = spark.createDataFrame([("a = 'x'",), ("# c = 1",), ("b=2",)], "value string")
-    assert {tuple(r) for r in reader.simple_vars(text, {"b": "3"}).collect()} == {("a", "x"), ("b", "3")}
+    assert {tuple(r) for r in reader.simple_vars(text, {"b": "3"}).collect()} == {("a", "'x'", "string"), ("b", "3", "string")}
     with pytest.raises(ValueError, match="does not exist|No configuration"):
         reader.files(spark, d + "/none").count()
 
