@@ -7,6 +7,7 @@ stand. What can't be resolved stays verbatim in templates and is None on its own
 from __future__ import annotations
 
 import base64
+import datetime
 import ipaddress
 import json
 import re
@@ -29,7 +30,11 @@ def _flatten(xs: Any) -> list:  # noqa: ANN401
 
 
 def _distinct(xs: list) -> list:
-    return list({x if isinstance(x, str | int | float | bool) or x is None else json.dumps(x, sort_keys=True): x for x in reversed(xs)}.values())[::-1]
+    """The first of equals stays, in its place; what has parts is equal by its text."""
+    first: dict[Any, Any] = {}
+    for x in xs:
+        first.setdefault(x if isinstance(x, str | int | float | bool) or x is None else json.dumps(x, sort_keys=True), x)
+    return list(first.values())
 
 
 def _element(xs: list, i: int) -> Any:  # noqa: ANN401
@@ -96,9 +101,17 @@ def arguments(text: str) -> list[str]:
 
 
 class Scope:
-    """Variables, locals and fixed names of a project."""
+    """Variables, locals, fixed names and resources of a project, its files' texts by path, and the time.
 
-    def __init__(self, variables: dict[str, Any], locals_: dict[str, Any]) -> None:
+    Attributes of resources are folded when they are referred to; one that refers to itself is not resolved.
+    """
+
+    def __init__(self, variables: dict[str, Any], locals_: dict[str, Any], resources: dict[str, dict] | None = None, files: dict[str, str] | None = None, now: str | None = None) -> None:
+        self.resources, self.stack = resources or {}, []
+        self.functions = dict(FUNCTIONS)
+        if files is not None:
+            self.functions |= {"file": files.get, "filebase64": lambda p: base64.b64encode(files[p].encode()).decode()}
+        self.functions["timestamp"] = lambda: now or datetime.datetime.now(datetime.UTC).isoformat().removesuffix("+00:00") + "Z"
         self.names: dict[str, Any] = {f"var.{k}": v for k, v in variables.items()} | {"terraform.workspace": "default", "path.module": ".", "path.root": ".", "path.cwd": "."}
         self.open = dict(locals_)
         for _ in range(PASSES):
@@ -110,7 +123,18 @@ class Scope:
 
     def reference(self, text: str) -> Any:  # noqa: ANN401
         parts = text.split(".")
-        at = self.names.get(".".join(parts[:2]), _MISSING)
+        head = ".".join(parts[:2])
+        at = self.names.get(head, _MISSING)
+        if at is _MISSING and head in self.resources and len(parts) > 2:
+            name = ".".join(parts[:3])
+            if parts[2] not in self.resources[head] or name in self.stack:
+                return _MISSING
+            self.stack.append(name)
+            at = self.fold(self.resources[head][parts[2]])
+            self.stack.pop()
+            if unresolved(at):
+                return _MISSING
+            parts = parts[1:]
         for p in parts[2:]:
             if isinstance(at, dict):
                 at = at.get(p, _MISSING)
@@ -122,12 +146,12 @@ class Scope:
 
     def expression(self, text: str) -> Any:  # noqa: ANN401
         text = text.strip()
-        if (m := _CALL.match(text)) and m[1] in FUNCTIONS:
+        if (m := _CALL.match(text)) and m[1] in self.functions:
             args = [self.expression(a) for a in arguments(m[2])]
             if any(a is _MISSING for a in args):
                 return _MISSING
             try:
-                return FUNCTIONS[m[1]](*args)
+                return self.functions[m[1]](*args)
             except Exception:  # noqa: BLE001  a failing function gives null
                 return None
         if text in ("true", "false", "null"):
@@ -167,17 +191,17 @@ def unresolved(value: Any) -> bool:  # noqa: ANN401
     return isinstance(value, str) and "${" in value
 
 
-def resolved(objects: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+def resolved(objects: DataFrame, supplied: DataFrame | None = None, files: dict[str, str] | None = None, now: str | None = None) -> DataFrame:
     """``project, full_name, attributes`` (JSON), ``is_resolved``: all attributes folded, by project. A
     project's objects come together in one task, as its locals depend on each other. ``supplied`` has
-    ``name, value`` (JSON) and wins over defaults."""
+    ``name, value`` (JSON) and wins over defaults; ``files`` are texts that expressions may read, by path."""
     given = {r.name: json.loads(r.value) for r in supplied.collect()} if supplied is not None else {}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bodies = [json.loads(x) if x else {} for x in pdf.attributes_text]
         rows = list(zip(pdf.type, pdf.name, pdf.full_name, bodies, strict=True))
         variables = {n: b.get("default") for t, n, _, b in rows if t == "variable" and "default" in b} | given
-        scope = Scope(variables, {n: b.get("value") for t, n, _, b in rows if t == "local"})
+        scope = Scope(variables, {n: b.get("value") for t, n, _, b in rows if t == "local"}, {f: b for t, _, f, b in rows if t == "resource"}, files, now)
         out = [(f, scope.fold(b)) for _, _, f, b in rows]
         return pd.DataFrame({"project": pdf.project.iloc[0], "full_name": [f for f, _ in out], "attributes": [json.dumps(x) for _, x in out], "is_resolved": [not unresolved(x) for _, x in out]})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import HEALTHY_STATES, KINDS
-from . import catalog
+from . import catalog, graph
 
 
 def kind_counts(objects: DataFrame) -> DataFrame:
@@ -80,6 +80,15 @@ def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by(nodes, "type", "type").unionAll(by(nodes, "state", "state")).unionAll(by(edges, "edge_type", "edge")).unionAll(degree)
 
 
+def hud(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: ``n_nodes, n_edges, avg_degree`` (half the degrees, to one place), ``max_depth``, ``complexity`` (of
+    ten). Depth is that of the longest chain; cycles have none."""
+    n = graph_stats(nodes, edges).select("n_nodes", "n_edges", F.round(F.when(F.col("n_nodes") > 0, F.col("n_edges") / F.col("n_nodes")).otherwise(0.0), 1).alias("avg_degree"))
+    deep = graph.depths(nodes, edges).agg(F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+    x = n.withColumn("j", F.lit(1)).join(deep.withColumn("j", F.lit(1)), "j").drop("j")
+    return x.withColumn("complexity", F.least(F.round(F.col("avg_degree") * F.col("max_depth") / 2), F.lit(10)).cast("int"))
+
+
 def edge_kinds(edges: DataFrame) -> DataFrame:
     """Edges with their type and strength: to a provider, else explicit or implicit."""
     kind = F.when(F.col("dst").startswith("provider."), "provider").otherwise(F.col("kind"))

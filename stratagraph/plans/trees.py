@@ -51,15 +51,15 @@ module "m{n}" {{
 _JSON = '{"resource": {"google_compute_network": {"g0": {"routing_mode": "GLOBAL"}}}}'
 
 #: The nations with the line before their blocks.
-NATIONS_SQL = "with recursive t as (select n_nationkey as n, n_name as name, n_regionkey as k, 24 * (row_number() over (partition by n_regionkey order by n_nationkey) - 1) as at from nation)"
+NATIONS_SQL = "with recursive t as (select n_nationkey as n, n_name as name, n_regionkey as k, 24 * (row_number() over (partition by n_regionkey order by n_nationkey) - 1) as pos from nation)"
 OBJECTS_SQL = NATIONS_SQL + """, objects as (
- select 'var.v' || n as full_name, 'variable' as type, 'v' || n as name, cast(null as varchar) as resource_type, 'r' || k || '.tf' as file, at + 1 as line from t
- union all select 'aws_vpc.n' || n, 'resource', 'n' || n, 'aws_vpc', 'r' || k || '.tf', at + 5 from t
- union all select 'local.l' || n, 'local', 'l' || n, null, 'r' || k || '.tf', at + 10 from t
- union all select 'local.nested' || n, 'local', 'nested' || n, null, 'r' || k || '.tf', at + 10 from t
- union all select 'output.o' || n, 'output', 'o' || n, null, 'r' || k || '.tf', at + 14 from t
- union all select 'data.aws_ami.d' || n, 'data', 'd' || n, 'aws_ami', 'r' || k || '.tf', at + 18 from t
- union all select 'module.m' || n, 'module', 'm' || n, null, 'r' || k || '.tf', at + 21 from t
+ select 'var.v' || n as full_name, 'variable' as type, 'v' || n as name, cast(null as varchar) as resource_type, 'r' || k || '.tf' as file, pos + 1 as line from t
+ union all select 'aws_vpc.n' || n, 'resource', 'n' || n, 'aws_vpc', 'r' || k || '.tf', pos + 5 from t
+ union all select 'local.l' || n, 'local', 'l' || n, null, 'r' || k || '.tf', pos + 10 from t
+ union all select 'local.nested' || n, 'local', 'nested' || n, null, 'r' || k || '.tf', pos + 10 from t
+ union all select 'output.o' || n, 'output', 'o' || n, null, 'r' || k || '.tf', pos + 14 from t
+ union all select 'data.aws_ami.d' || n, 'data', 'd' || n, 'aws_ami', 'r' || k || '.tf', pos + 18 from t
+ union all select 'module.m' || n, 'module', 'm' || n, null, 'r' || k || '.tf', pos + 21 from t
  union all select 'terraform.block_0', 'terraform', 'terraform', null, 'providers.tf', 1
  union all select 'provider.aws', 'provider', 'aws', null, 'providers.tf', 10
  union all select 'google_compute_network.g0', 'resource', 'g0', 'google_compute_network', 'more.tf.json', 1),

@@ -169,6 +169,12 @@ def test_resolver(project):
     assert s.expression('cidrsubnet("10.0.0.0/16", 8, 2)') == "10.0.2.0/24"
     assert s.expression("flatten([[1, [2]], 3])") == [1, 2, 3] and s.expression('lookup(var.m, "z", "d")') == "d"
     assert s.fold("${1 + 2}") == "${1 + 2}"
+    blocks = {"aws_vpc.a": {"cidr": "${var.c}", "name": "n", "self": "${aws_vpc.a.self}", "tags": {"k": ["x", "y"]}}}
+    s = resolve.Scope({"c": "10.0.0.0/8"}, {"v": "${aws_vpc.a.cidr}"}, blocks, {"a.txt": "hi"}, "2026-01-01T00:00:00Z")
+    assert s.fold("${aws_vpc.a.cidr}-${aws_vpc.a.tags.k.1}") == "10.0.0.0/8-y" and s.names["local.v"] == "10.0.0.0/8"
+    assert s.fold("${aws_vpc.a.id}") == "${aws_vpc.a.id}" and s.fold("${aws_vpc.a.self}") == "${aws_vpc.a.self}"
+    assert s.expression('file("a.txt")') == "hi" and s.expression('filebase64("a.txt")') == "aGk=" and s.expression('file("b.txt")') is None
+    assert s.expression("timestamp()") == "2026-01-01T00:00:00Z" and s.expression("distinct([1, true, 2, 1])") == [1, 2]
 
 
 @pytest.mark.parametrize("raw", ["var.name", '"var.name"', "'var.name'", "var.name.", " var.name "])
