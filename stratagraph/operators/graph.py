@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.storage import written
+from ..plans.storage import discard, written
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,13 @@ def reverse(edges: DataFrame) -> DataFrame:
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, dependencies, dependents``: explicit edges count as often as they stand, dependents once.
 
-    Both ends go through one aggregate: a node's rows of either side meet in a single shuffle.
+    Edges are read once: equal ones are counted, and both ends of what is left go through one aggregate,
+    which is combined before its shuffle.
     """
-    out = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("peer"))
-    in_ = edges.select(F.col("dst"), F.col("src")).distinct().select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.col("src").cast("string").alias("peer"))
-    both = out.unionAll(in_).groupBy("node").agg(F.sum("o").alias("dependencies"), F.count("peer").alias("dependents"))
+    pairs = edges.groupBy("src", "dst").agg(F.count("*").alias("c"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    ends = F.array(F.struct(F.col("src").alias("node"), F.col("c").alias("o"), zero.alias("i")), F.struct(F.col("dst").alias("node"), zero.alias("o"), one.alias("i")))
+    both = pairs.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.o").alias("dependencies"), F.sum("e.i").alias("dependents"))
     return nodes.select("node").join(both, "node", "left").na.fill(0, ["dependencies", "dependents"])
 
 
@@ -45,23 +47,29 @@ def roots_and_leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("node", root.alias("is_root"), leaf.alias("is_leaf"), (root & leaf).alias("is_orphan"))
 
 
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
 def closure(edges: DataFrame, start: DataFrame, most: int = 1_000_000) -> DataFrame:
     """``start, node, depth`` of everything reachable from ``start`` (column ``node``), without itself.
 
-    Semi-naive: a round joins only the pairs that the last one added. Cycles end it, since a pair
-    is kept once, with its shortest distance.
+    Semi-naive: a round joins only the pairs that the last one added, and writes only what it adds. Cycles
+    end it, since a pair is kept once, with its shortest distance.
     """
     e = written(distinct_edges(edges))
-    done = written(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())
-    new, depth = done, 0
-    while depth < most:
-        depth += 1
+    rounds = [written(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())]
+    for depth in range(1, most + 1):
+        new = rounds[-1]
         step = new.join(e, new["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        new = written(step.join(done, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)).select("start", "node", "depth"))
+        new = written(step.join(_all(rounds), ["start", "node"], "left_anti").select("start", "node", F.lit(depth).alias("depth")))
         if new.isEmpty():
             break
-        done = written(done.unionAll(new))
-    return done.where("depth > 0")
+        rounds.append(new)
+    return _all(rounds).where("depth > 0")
 
 
 def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -70,31 +78,49 @@ def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, level``: Kahn's order by levels. Level 0 depends on nothing; what is on a cycle or
-    depends on one has no level (null) and comes last."""
-    left = written(distinct_edges(edges))
-    open_ = written(nodes.select("node").distinct())
-    done, level = None, 0
+    depends on one has no level (null) and comes last.
+
+    Every node has the number of its dependencies that are still open; a round takes off those that the last
+    one closed. Edges are written once and never again.
+    """
+    e = written(distinct_edges(edges))
+    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
+    open_ = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
+    done, level, spent = [], 0, None
     while True:
-        blocked = left.select(F.col("src").alias("node")).distinct()
-        free = written(open_.join(blocked, "node", "left_anti").withColumn("level", F.lit(level)))
+        free = written(open_.where("open = 0").select("node", F.lit(level).alias("level")))
         if free.isEmpty():
             break
-        done = free if done is None else done.unionAll(free)
-        open_ = written(open_.join(free, "node", "left_anti"))
-        left = written(left.join(free, left["dst"] == free["node"], "left_anti"))
+        done.append(free)
+        hits = e.join(free.select(F.col("node").alias("free")), F.col("dst") == F.col("free")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("closed"))
+        spent, open_ = open_, written(open_.where("open > 0").join(hits, "node", "left").select("node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        discard(spent)
         level += 1
-    rest = open_.withColumn("level", F.lit(None).cast("int"))
-    return rest if done is None else done.unionAll(rest)
+    discard(e)
+    return _all([*done, open_.select("node", F.lit(None).cast("int").alias("level"))])
+
+
+def _ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds ``rank``, from 0, in each ``group`` by ``order``, without a group in one task: rows are laid out by range,
+    ranked within their piece, and the pieces' sizes are added up."""
+    rows = written(rows.repartitionByRange(group, order).withColumn("piece", F.spark_partition_id()))
+    size = rows.groupBy(group, "piece").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(group).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    size = size.select(F.col(group).alias("g_"), F.col("piece").alias("p_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy(group, "piece").orderBy(order)) - 1
+    ranked = rows.withColumn("inside", inside).join(size, (F.col(group) == F.col("g_")) & (F.col("piece") == F.col("p_")))
+    return ranked.withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "piece", "g_", "p_")
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, level, position``: by level, within it by name, leftovers last. Positions are added up
-    from the levels' sizes, so only a level's own rows are ranked together."""
-    lv = levels(nodes, edges).withColumn("key", F.coalesce("level", F.lit(2_000_000_000)))
-    size = lv.groupBy("key").agg(F.count("*").alias("n"))
-    first = size.select("key", F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    inside = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    return lv.withColumn("in_level", inside).join(first, "key").select("node", "level", (F.col("first") + F.col("in_level") - 1).alias("position"))
+    from the levels' sizes, and ranks within a level from those of its pieces."""
+    lv = written(levels(nodes, edges).withColumn("key", F.coalesce("level", F.lit(2_000_000_000))))
+    size = lv.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("n"))
+    # A row for each level.
+    first = size.select("k_", F.coalesce(F.sum("n").over(Window.orderBy("k_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    ranked = _ranked(lv, "key", "node").join(first, F.col("key") == F.col("k_"))
+    return ranked.select("node", "level", (F.col("first") + F.col("rank")).alias("position"))
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -168,41 +194,53 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        e = written(small.select("a", F.col("m").alias("b")).unionAll(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
+        e = written(small.select("a", F.col("m").alias("b")).unionAll(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), e)
     return nodes.select("node").distinct().join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """``node, cycle``: the nodes on cycles, each with the smallest node of its strongly connected component.
 
-    First whatever has no dependency or no dependent left is trimmed, round by round; only what
-    remains is closed over. A node is on a cycle if it reaches itself.
+    What Kahn's order leaves over from either end is trimmed first: a graph without cycles is known from one
+    pass. The rest goes by forward and backward colouring: each node takes the greatest name that reaches it; those
+    that reach the node of their colour, within the colour, are its component, and leave. No pairs are made.
     """
     e = written(distinct_edges(edges))
-    n = e.count()
-    while n:
-        out, in_ = e.select(F.col("src").alias("k")).distinct(), e.select(F.col("dst").alias("k")).distinct()
-        e = written(e.join(out, e["dst"] == out["k"], "left_semi").join(in_, F.col("src") == in_["k"], "left_semi").select("src", "dst"))
-        m = e.count()
-        if m == n:
-            break
-        n = m
-    start = e.select(F.col("src").alias("node")).distinct()
-    reach = written(_pairs(e, start))
-    back = reach.select(F.col("start").alias("node"), F.col("node").alias("start"))
-    mutual = reach.join(back, ["start", "node"])
-    return mutual.groupBy(F.col("start").alias("node")).agg(F.min("node").alias("cycle"))
-
-
-def _pairs(e: DataFrame, start: DataFrame) -> DataFrame:
-    """All ``start, node`` with a path of one edge or more, a start included if it reaches itself."""
-    new = done = written(e.join(start, e["src"] == start["node"], "left_semi").select(F.col("src").alias("start"), F.col("dst").alias("node")))
-    while True:
-        step = new.join(e, new["node"] == e["src"]).select("start", F.col("dst").alias("node")).distinct()
-        new = written(step.join(done, ["start", "node"], "left_anti"))
-        if new.isEmpty():
-            return done
-        done = written(done.unionAll(new))
+    for turn in (False, True):
+        turned = reverse(e) if turn else e
+        both = turned.select(F.col("src").alias("node")).unionAll(turned.select(F.col("dst").alias("node")))
+        left = levels(both, turned).where("level is null").select("node")
+        on = lambda column, left=left: left.select(F.col("node").alias(column))
+        e = written(e.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("src", "dst"), e)
+    found = []
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("node")).unionAll(e.select(F.col("dst").alias("node"))).distinct()
+        colour = written(nodes.select("node", F.col("node").alias("colour")))
+        new = colour
+        while True:
+            better = e.join(new, e["src"] == new["node"]).groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("better"))
+            new = written(better.join(colour, "node").where("better > colour").select("node", F.col("better").alias("colour")))
+            if new.isEmpty():
+                break
+            changed = new.select("node", F.col("colour").alias("new"))
+            colour = written(colour.join(changed, "node", "left").select("node", F.coalesce("new", "colour").alias("colour")), colour)
+        at = lambda column: colour.select(F.col("node").alias(column), F.col("colour").alias(f"{column}_colour"))
+        inside = written(e.join(at("src"), "src").join(at("dst"), "dst").where("src_colour = dst_colour").select("src", "dst", F.col("src_colour").alias("colour")))
+        rounds = [written(colour.where("node = colour").select("node", "colour"))]
+        while True:
+            back = inside.join(rounds[-1].select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour").distinct()
+            more = written(back.join(_all(rounds).select("node"), "node", "left_anti"))
+            if more.isEmpty():
+                break
+            rounds.append(more)
+        parts = written(_all(rounds))
+        # A component of one is no cycle: edges to itself were left out.
+        low = parts.groupBy("colour").agg(F.min("node").alias("cycle"), F.count("*").alias("n")).where("n > 1")
+        found.append(written(parts.join(low, "colour").select("node", "cycle")))
+        gone = lambda column, parts=parts: parts.select(F.col("node").alias(column))
+        # Between the colours there is no way back.
+        e = written(inside.join(gone("src"), "src", "left_anti").join(gone("dst"), "dst", "left_anti").select("src", "dst"), e, inside)
+    return _all(found) if found else e.select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
 
 
 def cycle_paths(edges: DataFrame, most: int = 12) -> DataFrame:
@@ -247,13 +285,13 @@ def reaches(nodes: DataFrame, edges: DataFrame, through: tuple[str, ...] = ("loc
     kinds = nodes.select("node", "type")
     e = distinct_edges(edges).join(kinds.withColumnRenamed("node", "src").withColumnRenamed("type", "src_type"), "src")
     e = written(e.select("src", "dst", "src_type"))
-    new = done = written(e.where(F.col("src_type").isin(*to)).select(F.col("dst").alias("node")).distinct())
+    rounds = [written(e.where(F.col("src_type").isin(*to)).select(F.col("dst").alias("node")).distinct())]
     via = e.where(F.col("src_type").isin(*through))
-    while not new.isEmpty():
+    while not rounds[-1].isEmpty():
+        new = rounds[-1]
         step = via.join(new, via["src"] == new["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        new = written(step.join(done, "node", "left_anti"))
-        done = written(done.unionAll(new))
-    return done
+        rounds.append(written(step.join(_all(rounds), "node", "left_anti")))
+    return _all(rounds)
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -273,9 +311,8 @@ def hierarchical_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0
     lv = lv.withColumn("layer", F.coalesce("level", F.lit(last + 1)))
     n_layers = lv.select("layer").distinct().count()
     size = lv.groupBy("layer").agg(F.count("*").alias("k"))
-    j = F.row_number().over(Window.partitionBy("layer").orderBy("node"))
-    placed = lv.withColumn("j", j).join(size, "layer")
-    return placed.select("node", "layer", (F.lit(width) / (F.col("k") + 1) * F.col("j")).alias("x"), (F.lit(height) / (n_layers + 1) * (F.col("layer") + 1)).alias("y"))
+    placed = _ranked(lv.select("node", "layer"), "layer", "node").join(size, "layer")
+    return placed.select("node", "layer", (F.lit(width) / (F.col("k") + 1) * (F.col("rank") + 1)).alias("x"), (F.lit(height) / (n_layers + 1) * (F.col("layer") + 1)).alias("y"))
 
 
 def force_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0, height: float = 600.0, rounds: int = 100, seed: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
 from . import graph
 
 # Substrings of resource types that name core and outward-facing infrastructure.
@@ -201,19 +202,22 @@ def features(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFr
     Degrees, users and infrastructure references come from a single aggregate over the edges. An explicit
     dependency counts even where there is no such object.
     """
-    nodes = objects.select(F.col("full_name").alias("node"), "type")
-    kinds = nodes.select(F.col("node").alias("k_"), F.col("type").alias("kt_"))
-    e = edges.select("src", "dst").join(kinds.withColumnRenamed("kt_", "dst_type"), F.col("dst") == F.col("k_"), "left").drop("k_").join(kinds.withColumnRenamed("kt_", "src_type"), F.col("src") == F.col("k_")).drop("k_")
-    as_src = e.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
-    as_dst = e.where("dst_type is not null").distinct().groupBy(F.col("dst").alias("full_name")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
+    # Names are numbered once; all that follows goes by number.
+    f = written(objects.withColumn("id", F.monotonically_increasing_id()))
+    at = lambda name, id_, type_: f.select(F.col("full_name").alias(name), F.col("id").alias(id_), F.col("type").alias(type_))
+    e = edges.select(F.col("src").alias("s_"), F.col("dst").alias("d_")).join(at("s_", "src", "src_type"), "s_").join(at("d_", "dst", "dst_type"), "d_", "left")
+    e = written(e.groupBy("src", "d_", "dst", "src_type", "dst_type").agg(F.count("*").alias("c")).drop("d_"))
+    as_src = e.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
+    known = e.where("dst is not null")
+    as_dst = known.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
     lost = missing.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("n_missing"), F.array_join(F.slice(F.array_sort(F.collect_list("ref")), 1, 3), ", ").alias("missing_names"))
-    members = graph.cycle_members(edges)
+    members = graph.cycle_members(known)
     sizes = members.groupBy("cycle").agg(F.count("*").alias("cycle_size"))
-    loops = members.join(sizes, "cycle").select(F.col("node").alias("full_name"), F.lit(True).alias("circular"), "cycle_size")
-    reach = graph.reaches(nodes, edges).select(F.col("node").alias("full_name"), F.lit(True).alias("reaches"))
-    f = objects
-    for x in (as_src, as_dst, lost, loops, reach):
-        f = f.join(x, "full_name", "left")
+    loops = members.join(sizes, "cycle").select(F.col("node").alias("id"), F.lit(True).alias("circular"), "cycle_size")
+    reach = graph.reaches(f.select(F.col("id").alias("node"), "type"), known).select(F.col("node").alias("id"), F.lit(True).alias("reaches"))
+    for x in (as_src, as_dst, loops, reach):
+        f = f.join(x, "id", "left")
+    f = f.join(lost, "full_name", "left").drop("id")
     f = f.na.fill(0, ["dependencies", "dependents", "users", "n_missing"]).na.fill(False, ["circular", "reaches", "infra_ref"])
     for flag in ("incomplete", "good_practice", "bare"):
         if flag not in f.columns:
