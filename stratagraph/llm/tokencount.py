@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import texts
 
 SPACE = "▁"
-#: Characters in a chunk, paths kept by a worker and their longest, rows at a time: they bound memory and change
-#: no result. Nor does up to which length a pair is looked for without a heap.
-CHUNK, KEPT, LONG, ROWS, SHORT = 1 << 16, 600_000, 256, 512, 16
+#: Characters in a chunk, paths kept by a worker, their characters and their longest, rows at a time: they bound
+#: memory and change no result. Nor does up to which length a pair is looked for without a heap.
+CHUNK, KEPT, LETTERS, LONG, ROWS, SHORT = 1 << 16, 600_000, 1 << 25, 256, 512, 16
 
 
 class ChunkMap(NamedTuple):
@@ -51,10 +51,13 @@ class ChunkMap(NamedTuple):
 
 
 class _Numbered(dict):
-    """Gives each new key the next number."""
+    """Gives each new key the next number, and counts the keys' characters."""
+
+    chars = 0
 
     def __missing__(self, key: str) -> int:
         n = self[key] = len(self)
+        self.chars += len(key)
         return n
 
 
@@ -237,16 +240,14 @@ class Transducer:
                 out[i] = self.count(text)
             elif text:
                 seen = self.seen
-                ids.append(np.array([seen[p] for p in _WORDS.findall(text) if len(p) <= LONG], np.int64))
-                # Long parts are rare and hardly recur: they would only fill the worker's memory.
-                out[i] = sum(self.closed(p) for p in _WORDS.findall(text) if len(p) > LONG) if len(text) > LONG else 0
+                ids.append(np.array([seen[p] for p in _WORDS.findall(text)], np.int64))
                 short.append(i)
                 if len(seen) - len(self.made) > 50_000:
                     self._make()
         self._make()
         for i, x in zip(short, ids, strict=True):
-            out[i] += int(self.made[x].sum())
-        if len(self.seen) > KEPT:
+            out[i] = int(self.made[x].sum())
+        if len(self.seen) > KEPT or self.seen.chars > LETTERS:
             self.seen, self.made = _Numbered(), np.zeros(0, np.int64)
         return out
 
