@@ -32,9 +32,9 @@ FIT_ROWS = 1500
 ROUNDS = 3
 #: Added to each expected count.
 PRIOR = 0.01
-#: Scored words that a worker keeps and their longest, rows it takes at a time, letters of a word that it looks at
+#: Scored words that a worker keeps and their letters, rows it takes at a time, letters of a word that it looks at
 #: at a time, files of the training words: none of them changes a result.
-KEPT, LONG, ROWS, SPAN, FILES = 500_000, 256, 512, 1 << 15, 64
+KEPT, LETTERS, ROWS, SPAN, FILES = 500_000, 1 << 25, 512, 1 << 15, 64
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -268,10 +268,12 @@ class _Scored(dict):
 
     def __init__(self, model: Model) -> None:
         super().__init__()
+        self.letters = 0
         self.model, self.table, self.trie = model, np.zeros((0, len(model.langs))), Trie(model.pieces)
 
     def __missing__(self, word: str) -> int:
         n = self[word] = len(self)
+        self.letters += len(word)
         return n
 
     def score(self) -> None:
@@ -281,23 +283,19 @@ class _Scored(dict):
 
 def predict_texts(batch: list[str], seen: _Scored) -> tuple[list[str], list[float]]:
     langs, prior = seen.model.langs, seen.model.prior
-    ids, rest = [], {}
+    ids = []
     for text in batch:
-        words = words_of(text) if langs and text else []
-        if text and len(text) > LONG and (long := [w for w in words if len(w) > LONG]):
-            # They hardly recur, and would only fill the worker's memory.
-            rest[len(ids)] = log_scores(long, seen.trie, seen.model.probs).sum(axis=0)
-        ids.append(np.array([seen[w] for w in words if len(w) <= LONG], np.int64))
+        ids.append(np.array([seen[w] for w in words_of(text)], np.int64) if langs and text else np.zeros(0, np.int64))
         if len(seen) - len(seen.table) > 50_000:
             seen.score()
     seen.score()
     pred, score = [], []
-    for k, i in enumerate(ids):
-        if not len(i) and k not in rest:
+    for i in ids:
+        if not len(i):
             pred.append("und")
             score.append(0.0)
             continue
-        total = prior + seen.table[i].sum(axis=0) + rest.get(k, 0.0)
+        total = prior + seen.table[i].sum(axis=0)
         best = int(total.argmax())
         pred.append(langs[best])
         score.append(1.0 / math.fsum(np.exp(total - total[best]).tolist()))
@@ -356,7 +354,7 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
 def _seen(name: str, packed: bytes) -> _Scored:
     seen = _SEEN.get(name)
-    if seen is None or len(seen) > KEPT:
+    if seen is None or len(seen) > KEPT or seen.letters > LETTERS:
         _SEEN.clear()
         seen = _SEEN[name] = _Scored(Model(*pickle.loads(packed)))  # noqa: S301  made by this module
     return seen
