@@ -49,7 +49,7 @@ BEGIN, END, OTHER, FIRST = 0, 1, 2, 3
 TOTAL = -1
 #: Words that a worker keeps, rows it takes at a time, grouped rows it holds, addends that are sent to it,
 #: bits of a bitmap (2 to the power of); they change no result.
-KEPT, ROWS, HELD, SENT, BITS = 400_000, 512, 2_000_000, 500_000, 27
+KEPT, ROWS, HELD, SENT, BITS = 400_000, 512, 500_000, 500_000, 27
 
 
 class Tree(NamedTuple):
