@@ -6,7 +6,9 @@ import pytest
 from test_queries import DATA, rows
 
 from stratagraph.operators import graph
-from stratagraph.plans import registry
+from stratagraph.plans import registry, scans  # noqa: F401  scans registers its queries
+from stratagraph.plans.cases import CASES
+from stratagraph.rules import registry as rules
 from stratagraph.sources import reader
 
 tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
@@ -26,6 +28,17 @@ def test_whole_tables_against_sql(spark, name):
     assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(in_sql(name))
 
 
+@tables
+@pytest.mark.parametrize("name", ["rules_cases", "rules_of_projects", "rule_run_stats", "integrity_check", "tree_objects", "tree_states", "tree_lookups", "tree_filters", "tree_values", "resolver_functions", "reference_kinds", "incomplete_objects", "sink_xml", "sink_split", "sink_document", "sink_sarif", "topo_order", "scc_members"])
+def test_catalogue_and_trees_against_sql(spark, name):
+    assert rows(registry.QUERIES[name](spark, DATA).toPandas()) == rows(in_sql(name))
+
+
+def test_every_rule_has_a_case():
+    have = {rule for rule, *_ in CASES}
+    assert {r.rule_id for r in rules.rules.values() if r.scope != "project_level"} <= have
+
+
 @tables
 def test_every_line_is_resolved_or_missing(spark):
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
