@@ -82,8 +82,8 @@ class Project:
     def resolved(self, supplied: DataFrame | None = None) -> DataFrame:
         return resolve.resolved(self.objects, supplied)
 
-    def validate(self, categories: list[str] | None = None, ignore: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
-        return registry.evaluate(self.objects, categories, ignore, strict)
+    def validate(self, categories: list[str] | None = None, ignore: tuple[str, ...] = (), strict: bool = False, fail_fast: bool = False) -> DataFrame:
+        return registry.evaluate(self.objects, categories, ignore, strict, fail_fast)
 
     def document(self) -> str:
         return documents.project_document(self.objects, self.edges, self.states).first().document

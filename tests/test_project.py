@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph import cli
 from stratagraph.api import Project
 from stratagraph.functions import resolve, scalars
 from stratagraph.operators import refs, search
@@ -202,6 +203,24 @@ def test_search_terms():
     assert search.terms('type:resource "two words" free mindeps:3') == [("type", "resource"), (None, "two words"), (None, "free"), ("mindeps", "3")]
 
 
+def test_command_line(spark, project, tmp_path, capsys):
+    _, d = project
+    assert cli.categories([]) == ["syntax", "references"] and cli.categories(["best-practices", "none"]) == ["best_practices"] and cli.categories(["all", "security"]) is None
+    assert cli.main(["examples"]) == 0 and "validate" in capsys.readouterr().out
+    assert cli.main(["validate", d]) == 0 and cli.main(["validate", d, "-c", "security"]) == 1
+    assert "ERROR [AWS-SG-SEC-001] aws_security_group.open" in capsys.readouterr().out
+    assert cli.main(["validate", d, "-c", "all", "-o", str(tmp_path / "i.txt"), "--ignore", "TF-DOCS-001"]) == 1
+    text = (tmp_path / "i.txt").read_text().splitlines()
+    assert text[0].startswith("ERROR") and not any("TF-DOCS-001" in x for x in text) and any("TF-STRUCTURE-001" in x for x in text)
+    assert cli.main(["validate", d, "-c", "security", "--fail-fast", "-o", str(tmp_path / "i.sarif")]) == 1 and "2.1.0" in (tmp_path / "i.sarif").read_text()
+    assert cli.main(["export", d, "-o", str(tmp_path / "g.dot")]) == 0 and (tmp_path / "g.dot").read_text().startswith("digraph")
+    assert cli.main(["export", d, "-o", str(tmp_path / "v"), "--var", 'env=a"b']) == 0
+    got = spark.read.json(str(tmp_path / "v")).where("full_name = 'local.name'").first()
+    assert json.loads(got.attributes) == {"value": 'app-a"b'}
+    assert cli.main(["export", d, "-o", str(tmp_path / "s"), "--split-by", "provider"]) == 0 and any((tmp_path / "s").glob("provider=*"))
+    assert cli.main(["scan", d + "/none"]) == 1
+
+
 def test_grammar():
     doc = hcl.loads('a "b" { x = <<EOT\nline ${y}\nEOT\n z = y == 1 ? "a" : "b" /* c */\n l = [for k, v in m : k]\n e { f = null } }')
     inner = doc["a"][0]["b"]
