@@ -49,8 +49,9 @@ def health(total: Column, good: Column, unused: Column, orphaned: Column, incomp
 
 
 def health_score(states: DataFrame) -> DataFrame:
+    """One row. Settings blocks are not in the total, but their states are counted."""
     s = F.col("state")
-    n = states.where("type <> 'terraform'").agg(F.count("*").alias("total"), F.count_if(s.isin(*HEALTHY_STATES)).alias("good"), *(F.count_if(s == x).alias(x) for x in ("unused", "orphaned", "incomplete")))
+    n = states.agg(F.count_if(F.col("type") != "terraform").alias("total"), F.count_if(s.isin(*HEALTHY_STATES)).alias("good"), *(F.count_if(s == x).alias(x) for x in ("unused", "orphaned", "incomplete")))
     return n.select("total", "good", "unused", "orphaned", "incomplete", health(*(F.col(x) for x in ("total", "good", "unused", "orphaned", "incomplete"))).alias("score"))
 
 
