@@ -532,6 +532,18 @@ def fn_collections(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""select n_nationkey, n_name || '.tf' as base, case when length(n_name) > 6 then n_name[1:6] || '...' else n_name end as short, round(n_nationkey * 100.0 / 25, 2) as share, '{"a":' || n_nationkey || '}' as encoded, n_nationkey as decoded,
+ 'a,' || n_name || ',b' as joined, 'k,' || n_name as keys, 'v,' || n_regionkey as vals, '2026-01-01T00:00:00Z' as at, case when n_nationkey % 2 = 0 then 'aws' end as provider from nation""")
+def fn_more(s: SparkSession, d: str) -> DataFrame:
+    n, k, r = F.col("n_name"), F.col("n_nationkey"), F.col("n_regionkey").cast("string")
+    m = F.create_map(F.lit("k"), F.lit("v"), n, r)
+    return table(s, d, "nation").select(
+        "n_nationkey", fn.base_name(F.concat(F.lit("/conf/"), n, F.lit(".tf"))).alias("base"), fn.shortened(n, 6).alias("short"), fn.percent(k, F.lit(25)).alias("share"), fn.TABLE["jsonencode"](F.struct(k.alias("a"))).alias("encoded"),
+        F.try_variant_get(fn.json_decode(fn.json_encode(F.struct(k.alias("a")))), "$.a", "int").alias("decoded"), fn.join(",", fn.concat(F.array(F.lit("a"), n), F.lit(None).cast("array<string>"), F.array(F.lit("b")))).alias("joined"),
+        fn.join(",", fn.TABLE["keys"](m)).alias("keys"), fn.join(",", fn.TABLE["values"](m)).alias("vals"), fn.timestamp(F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")).alias("at"), fn.provider_of(F.when(k % 2 == 0, "aws_vpc").otherwise("")).alias("provider"),
+    )
+
+
 @query("select 'local.' || o_orderkey as ref, 'local' as ref_type, 'local' as scope, 1 + 2 * (o_orderkey % 3) as complexity from orders")
 def reference_complexity(s: SparkSession, d: str) -> DataFrame:
     o = table(s, d, "orders").select(F.concat(F.lit("local."), F.col("o_orderkey").cast("string")).alias("ref"), (F.col("o_orderkey") % 3).alias("n"))
