@@ -84,6 +84,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsa.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import contentsort
+
+    return contentsort.groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op13_content_sort": op13_content_sort,
 }
 
 _OP3_SQL = r"""
@@ -130,4 +137,10 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component
 from embeddings join low on node = vec_id left join n on a = vec_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL, "op4_embeddings": _OP4_SQL}
+_OP13_SQL = """
+select doc_id, max(doc_id) over alike as keep_id, count(*) over alike as group_size, doc_id = max(doc_id) over alike as kept,
+  sha256(coalesce(text, '')) as text_sha256
+from documents window alike as (partition by coalesce(text, ''))
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL, "op4_embeddings": _OP4_SQL, "op13_content_sort": _OP13_SQL}
