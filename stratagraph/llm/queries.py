@@ -84,6 +84,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsa.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import distancekeys
+
+    vectors, seventh = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7 == 0
+    label = F.when(seventh, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return distancekeys.mine(vectors.select("vec_id", "embedding", label.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import resample
+
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import contentsort
 
@@ -101,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_resampling": op12_resampling,
     "op13_content_sort": op13_content_sort,
 }
 
@@ -137,10 +153,55 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component
 from embeddings join low on node = vec_id left join n on a = vec_id
 """
 
+_OP11_SQL = """
+with good as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, cast(list_dot_product(a.v, b.v) as bigint) as score
+  from good a join good b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over best as int) as rank, other_id as negative_id, positive_score, score as negative_score
+from positives join scored using (anchor_id)
+where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+window best as (partition by anchor_id, positive_id order by score desc, other_id)
+qualify row_number() over best <= 3
+"""
+
+#: A checksum is reduced from a list: a byte is mixed in, and each -1 behind it is one of its eight steps.
+_OP12_SQL = r"""
+with counts as (
+  select w, count(*) filter (where kind = 0) as s, count(*) filter (where kind = 1) as t
+  from (select 0 as kind, text from documents union all select 1, text from benchmark),
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as x(w)
+  group by w),
+hashed as (
+  select w, s, t, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, 2 * octet_length(encode(w)), 2),
+    lambda i: list_prepend(('0x' || substr(hex(encode(w)), i::int, 2))::bigint, [-1::bigint, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda a, b: case when b >= 0 then xor(a, b) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end)) % 10000 as bucket
+  from counts),
+whole as (select coalesce(sum(s), 0)::double as all_s, coalesce(sum(t), 0)::double as all_t from counts),
+gains as (select bucket, cast(floor(1000 * ln((sum(t)::double + 1) * (any_value(all_s) + 10000) / ((sum(s)::double + 1) * (any_value(all_t) + 10000)))) as bigint) as gain from hashed, whole group by bucket),
+valued as (select w, gain from hashed join gains using (bucket)),
+docs as (
+  select row_number() over () as row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+  from documents),
+weighed as (select row, cast(sum(gain) as bigint) as weight from (select row, unnest(words) as w from docs) join valued using (w) group by row),
+scored as (
+  select row, doc_id, len(words)::bigint as n_features, coalesce(weight, 0) as weight, len(words) >= 20 as fit,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296))) as bigint) as score
+  from docs left join weighed using (row)),
+ranked as (select *, row_number() over (partition by fit order by score desc, doc_id nulls last) as place, count(*) filter (where fit) over () as fits from scored)
+select doc_id, n_features, weight, score, case when fit and place <= 10 * fits // 100 then place end as rank from ranked
+"""
+
 _OP13_SQL = """
 select doc_id, max(doc_id) over alike as keep_id, count(*) over alike as group_size, doc_id = max(doc_id) over alike as kept,
   sha256(coalesce(text, '')) as text_sha256
 from documents window alike as (partition by coalesce(text, ''))
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL, "op4_embeddings": _OP4_SQL, "op13_content_sort": _OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": _OP3_SQL, "op4_embeddings": _OP4_SQL, "op11_hard_negatives": _OP11_SQL, "op12_resampling": _OP12_SQL, "op13_content_sort": _OP13_SQL}
