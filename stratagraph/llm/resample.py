@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: A string of up to LENGTH bytes that is one of SHARE features is sent to every task, a longer one if it is so many times as
-#: often as it is longer: by that rule they are SHARE strings at most, of 2 * SHARE * LENGTH bytes (2 MB) in all.
-SHARE, LENGTH = 1 << 16, 16
+#: often as it is longer: by that rule they are SHARE strings at most, of 2 * SHARE * LENGTH bytes (16 MB) in all.
+SHARE, LENGTH = 1 << 20, 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words: ASCII but for digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -63,15 +63,15 @@ def weights(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_00
     whole = valued.agg(F.coalesce(F.sum("docs_count"), F.lit(0))).first()[0]
     often = valued.where(F.col("docs_count") * (1.0 * SHARE * LENGTH) >= F.greatest(F.lit(LENGTH), F.octet_length("feature")) * F.lit(float(whole)))
     w = words(F.col("text"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), w.alias("w")).select("row", "doc_id", F.size("w").alias("n_words"), F.explode_outer(features(F.col("w"), n)).alias("feature"))
+    # A row for each feature, and one for the document itself, which alone carries its id.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), w.alias("w")).select("row", "doc_id", F.size("w").alias("n_words"), F.explode(F.concat(features(F.col("w"), n), F.array(F.lit(None).cast("string")))).alias("feature"))
     rows = rows.join(F.broadcast(often.select("feature", "gain")), "feature", "left").withColumn("seldom", F.when(F.col("gain").isNull(), F.col("feature")))
-    # A row for each document, and one for each of its seldom features.
-    parts = rows.groupBy("row", "doc_id", "n_words", "seldom").agg(F.count("feature").alias("n"), F.coalesce(F.sum("gain"), F.lit(0)).alias("gain"))
-    parts = written(parts, "features")
-    key = ["row", "doc_id", "n_words"]
-    joined = parts.where("seldom is not null").drop("gain").join(valued.withColumnRenamed("gain", "each"), F.col("seldom") == F.col("feature"))
-    every = parts.where("seldom is null").select(*key, "n", "gain").unionAll(joined.select(*key, "n", (F.col("n") * F.col("each")).alias("gain")))
-    return every.groupBy(*key).agg(F.sum("n").alias("n_features"), F.sum("gain").alias("weight"))
+    own = F.col("seldom").isNull()
+    parts = rows.select("row", "seldom", F.when(own, F.col("doc_id")).alias("doc_id"), F.when(own, F.col("n_words")).alias("n_words"), "feature", "gain")
+    parts = written(parts.groupBy("row", "seldom", "doc_id", "n_words").agg(F.count("feature").alias("n"), F.coalesce(F.sum("gain"), F.lit(0)).alias("gain")), "features")
+    joined = parts.where("seldom is not null").select("row", "n", "seldom").join(valued.select("feature", F.col("gain").alias("each")), F.col("seldom") == F.col("feature"))
+    every = parts.where("seldom is null").select("row", "doc_id", "n_words", "n", "gain").unionAll(joined.select("row", F.lit(None), F.lit(None), "n", (F.col("n") * F.col("each")).alias("gain")))
+    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("n").alias("n_features"), F.sum("gain").alias("weight"))
 
 
 def noise(doc_id: Column, seed: int) -> Column:

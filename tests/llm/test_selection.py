@@ -90,7 +90,7 @@ def test_resampling(spark, n, monkeypatch):
     rows = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 19, 20, 45])))) for i in range(120)] + [(500, "same words " * 20)] * 3 + ODD
     target = [None, "", *(" ".join(rng.choices(vocabulary[:12], k=30)) for _ in range(9))]
     want, drawn = resampled(rows, target, n)
-    for share in (1 << 16, 40):  # nearly all strings are sent; few are
+    for share in (1 << 20, 40):  # nearly all strings are sent; few are
         monkeypatch.setattr(resample, "SHARE", share)
         got = resample.resample(docs(spark, rows), spark.createDataFrame([(t,) for t in target], "text string"), n=n).collect()
         assert sorted(((r.doc_id, r.n_features, r.weight, r.score) for r in got), key=str) == want
