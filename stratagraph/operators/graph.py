@@ -76,28 +76,53 @@ def dependents_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return closure(reverse(edges), start)
 
 
+def _jumps(pointers: DataFrame) -> DataFrame:
+    """``node, at, steps``: where a chain of ``pointers`` (``node, next``, one for each node) leads: to the first node without one.
+
+    Pointers are doubled: a round takes each as far again as it has come, so there are as many rounds as the length of the longest chain has binary
+    digits. Pointers that lead into a circle never end, and still point at a node that has one.
+    """
+    jump = written(pointers.select("node", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")))
+    for _ in range(jump.count().bit_length()):
+        ahead = jump.select(F.col("node").alias("via"), F.col("at").alias("further"), F.col("steps").alias("more"))
+        doubled = jump.join(ahead, F.col("at") == F.col("via"), "left")
+        jump = written(doubled.select("node", F.coalesce("further", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("via").isNotNull().alias("moved")), jump)
+        if jump.where("moved").isEmpty():
+            break
+    return jump.drop("moved")
+
+
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, level``: Kahn's order by levels. Level 0 depends on nothing; what is on a cycle or
     depends on one has no level (null) and comes last.
 
-    Every node has the number of its dependencies that are still open; a round takes off those that the last
-    one closed. Edges are written once and never again.
+    A node with one dependency lies a level above it, so stretches of such nodes are left out first, by doubled pointers. Between the others there are
+    edges as long as what they stand for. A round closes those of the nodes that the last one settled, and only nodes that it touches are counted: those
+    with all dependencies closed are settled, at the longest way down. There are as many rounds as a way has branchings, however long it is.
     """
     e = written(distinct_edges(edges))
-    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
-    open_ = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
-    done, level, spent = [], 0, None
+    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.min("dst").alias("next"))
+    every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), "next"))
+    jump = _jumps(every.where("open = 1").select("node", "next"))
+    several = every.where("open > 1").select(F.col("node").alias("src"), "open")
+    long = e.join(several.select("src"), "src", "left_semi").join(jump, F.col("dst") == F.col("node"), "left")
+    long = written(long.select("src", F.coalesce("at", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")), e)
+    free, waiting = every.where("open = 0").select("node", F.lit(0).cast("long").alias("level")), None
+    done = [free]
     while True:
-        free = written(open_.where("open = 0").select("node", F.lit(level).alias("level")))
+        closed = long.join(free, F.col("dst") == F.col("node")).groupBy("src").agg(F.count("*").alias("closed"), F.max(F.col("level") + F.col("length")).alias("level"))
+        if waiting is not None:
+            closed = closed.unionAll(waiting).groupBy("src").agg(F.sum("closed").alias("closed"), F.max("level").alias("level"))
+        counted = written(closed.join(several, "src"))
+        free = counted.where("closed = open").select(F.col("src").alias("node"), "level")
+        waiting = counted.where("closed < open").select("src", "closed", "level")
         if free.isEmpty():
             break
         done.append(free)
-        hits = e.join(free.select(F.col("node").alias("free")), F.col("dst") == F.col("free")).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("closed"))
-        spent, open_ = open_, written(open_.where("open > 0").join(hits, "node", "left").select("node", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
-        discard(spent)
-        level += 1
-    discard(e)
-    return _all([*done, open_.select("node", F.lit(None).cast("int").alias("level"))])
+    settled = _all(done)
+    single = jump.join(settled.select(F.col("node").alias("at"), "level"), "at").select("node", (F.col("level") + F.col("steps")).alias("level"))
+    known = settled.unionAll(single).select("node", F.col("level").cast("int").alias("level"))
+    return every.select("node").join(known, "node", "left")
 
 
 def _ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -129,36 +154,67 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``step, node`` of a longest chain, from its foundation up; ties by name; empty without edges."""
+    """``step, node`` of a longest chain, from its foundation up; ties by name; empty without edges.
+
+    Every node points at the first of its deepest dependencies. Pointers are doubled, each round's kept; then the path is unfolded from its top, the longest jumps first, each of which
+    doubles what is known of it.
+    """
     e = distinct_edges(edges)
     d = written(depths(nodes, edges))
-    spark = d.sparkSession
-    top = d.where("depth > 0").orderBy(F.desc("depth"), "node").limit(1).collect()
-    path: list[tuple[int, str]] = []
-    if top:
-        at, depth = top[0].node, top[0].depth
-        path.append((depth, at))
-        while depth:
-            depth -= 1
-            at = e.where(F.col("src") == F.lit(at)).join(d.where(F.col("depth") == depth), F.col("dst") == F.col("node")).agg(F.min("node")).first()[0]
-            path.append((depth, at))
     kind = dict(d.dtypes)["node"]
-    return spark.createDataFrame(path, f"step int, node {kind}")
+    top = d.where("depth > 0").orderBy(F.desc("depth"), "node").limit(1).collect()
+    if not top:
+        return d.sparkSession.createDataFrame([], f"step int, node {kind}")
+    below = e.join(d.select(F.col("node").alias("src"), F.col("depth").alias("own")), "src").join(d.select(F.col("node").alias("dst"), "depth"), "dst").where("depth = own - 1")
+    jumps = [written(below.groupBy("src").agg(F.min("dst").alias("dst")))]
+    while 1 << len(jumps) <= top[0].depth:
+        one, two = jumps[-1], jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("further"))
+        jumps.append(written(one.join(two, "dst").select("src", F.col("further").alias("dst"))))
+    path = written(d.sparkSession.createDataFrame([(top[0].depth, top[0].node)], f"step int, node {kind}"))
+    for k in range(len(jumps) - 1, -1, -1):
+        path = written(path.unionAll(path.join(jumps[k], F.col("node") == F.col("src")).select((F.col("step") - (1 << k)).alias("step"), F.col("dst").alias("node"))), path)
+    discard(*jumps)
+    return path
 
 
 def shortest_chain(edges: DataFrame, a: object, b: object) -> DataFrame:
-    """``step, node`` of a shortest path from ``a`` to ``b``, the first by names; empty if there is none."""
+    """``step, node`` of a shortest path from ``a`` to ``b``, the first by names; empty if there is none.
+
+    Nodes with one edge in and one out are left out first, by doubled pointers to the last of their stretch, and an edge stands for each stretch, with its length and the name that it
+    begins with. Paths over those are lengthened by an edge a round and the best to each node is kept (equally long ones differ first where
+    they part, by a stretch's first name). Where none gets better, the stretches of the path to ``b`` are filled in.
+    """
     e = written(distinct_edges(edges))
     spark, kind = e.sparkSession, dict(e.dtypes)["src"]
-    start = spark.createDataFrame([(a,)], f"node {kind}").select("node", F.array("node").alias("path"))
-    seen, new = start.select("node"), start
+    if a == b:
+        return spark.createDataFrame([(0, a)], f"step int, node {kind}")
+    out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).where("n = 1")
+    into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
+    inner = written(out.join(into, "node").where((F.col("node") != F.lit(a)) & (F.col("node") != F.lit(b))).select("node", "next"))
+    # Pointers stay within their stretch; its last node has none.
+    ahead = inner.join(inner.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next")
+    jump = _jumps(ahead)
+    held = inner.join(jump, "node", "left").select("node", F.coalesce("at", "node").alias("last"), F.coalesce("steps", F.lit(0)).alias("left_"))
+    end = inner.select(F.col("node").alias("last"), F.col("next").alias("end"))
+    held = written(held.join(end, "last"))
+    outer = e.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(held.select(F.col("node").alias("dst"), "end", "left_"), "dst", "left")
+    outer = written(outer.select("src", F.coalesce("end", "dst").alias("to"), F.coalesce(F.col("left_") + 2, F.lit(1)).alias("length"), F.col("dst").alias("first")))
+    best = new = spark.createDataFrame([(a,)], f"node {kind}").select("node", F.struct(F.lit(0).cast("long").alias("length"), F.array().cast(f"array<{kind}>").alias("names"), F.array().cast("array<bigint>").alias("at")).alias("way"))
     while True:
-        hit = new.where(F.col("node") == F.lit(b)).agg(F.min("path").alias("path")).first().path
-        if hit is not None or new.isEmpty():
-            return spark.createDataFrame([(i, x) for i, x in enumerate(hit or [])], f"step int, node {kind}")
-        step = new.join(e, new["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        new = written(step.join(seen, "node", "left_anti"))
-        seen = written(seen.unionAll(new.select("node")))
+        longer = F.struct((F.col("way.length") + F.col("length")).alias("length"), F.concat("way.names", F.array("first")).alias("names"), F.concat("way.at", F.array(F.col("way.length"))).alias("at"))
+        step = new.join(outer, F.col("node") == F.col("src")).groupBy(F.col("to").alias("node")).agg(F.min(longer).alias("way"))
+        new = written(step.join(best.select("node", F.col("way").alias("known")), "node", "left").where("known is null or way < known").drop("known"))
+        if new.isEmpty():
+            break
+        best = written(best.unionAll(new).groupBy("node").agg(F.min("way").alias("way")))
+    way = best.where(F.col("node") == F.lit(b)).select(F.explode(F.arrays_zip("way.names", "way.at")).alias("x")).select(F.col("x.names").alias("first"), F.col("x.at").alias("begun"))
+    # A stretch holds the nodes with its last one that lie no further from it than its first.
+    begin = held.select(F.col("node").alias("first"), "last", F.col("left_").alias("whole"))
+    filled = way.join(begin, "first").join(held.select("node", "last", "left_"), "last").where("left_ <= whole").select((F.col("begun") + 1 + F.col("whole") - F.col("left_")).alias("step"), "node")
+    plain = way.join(begin.select("first"), "first", "left_anti").select((F.col("begun") + 1).alias("step"), F.col("first").alias("node"))
+    ends = way.join(begin, "first").join(end, "last").select((F.col("begun") + 2 + F.col("whole")).alias("step"), F.col("end").alias("node"))
+    start = way.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(0).cast("long").alias("step"), F.lit(a).cast(kind).alias("node"))
+    return _all([start, filled, plain, ends]).select(F.col("step").cast("int").alias("step"), "node")
 
 
 def all_chains(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..api import Project
 from ..functions import resolve
 from ..model import state_dimension
-from ..operators import catalog, metrics, refs, search, states, summary
+from ..operators import catalog, inspection, metrics, refs, search, states, summary
 from ..sinks import documents
 from ..sources import reader
 from .registry import query
@@ -166,15 +166,23 @@ _CALLS = (
 )
 
 
-@query("select * from (values " + ", ".join(f"({k}, {'null' if x is None else chr(39) + x + chr(39)})" for k, (_, x) in enumerate(_CALLS) if x is not None) + ") v(k, value)")
+def _quoted(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_KNOWN = [(call, x) for call, x in _CALLS if x is not None]
+
+
+@query(f"select p_partkey as k, value from part join (values {', '.join(f'({k}, {_quoted(x)})' for k, (_, x) in enumerate(_KNOWN))}) v(k, value) on p_partkey % {len(_KNOWN)} = k")
 def resolver_functions(s: SparkSession, d: str) -> DataFrame:
-    """The functions of the resolver, each on a value of its own."""
-    rows = [(k, json.dumps({"value": f"${{{call}}}"})) for k, (call, x) in enumerate(_CALLS) if x is not None]
-    o = s.createDataFrame(rows, "k int, body string").select(F.lit("p").alias("project"), F.lit("local").alias("type"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("name"), F.concat(F.lit("local.c"), F.col("k").cast("string")).alias("full_name"), F.col("body").alias("attributes_text"))
+    """The functions of the resolver: every part is a project with a local that calls one of them."""
+    body = F.element_at(F.array(*(F.lit(json.dumps({"value": f"${{{call}}}"})) for call, _ in _KNOWN)), (F.col("p_partkey") % len(_KNOWN) + 1).cast("int"))
+    key = F.col("p_partkey").cast("string")
+    o = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("p"), F.col("p_partkey") % 64).alias("project"), F.lit("local").alias("type"), F.concat(F.lit("c"), key).alias("name"), F.concat(F.lit("local.c"), key).alias("full_name"), body.alias("attributes_text"))
     m = s.createDataFrame([("m", '{"a": 1, "b": 2}')], "name string, value string")
     v = resolve.resolved(o, m)
     whole = F.from_json("attributes", "map<string,string>")["value"]
-    return v.select(F.regexp_extract("full_name", "[0-9]+", 0).cast("int").alias("k"), F.coalesce(F.when(F.get_json_object("attributes", "$.value").isNull(), F.lit("null")), F.regexp_replace(whole, ",(?! )", ", ")).alias("value"))
+    return v.select(F.regexp_extract("full_name", "[0-9]+", 0).cast("long").alias("k"), F.coalesce(F.when(F.get_json_object("attributes", "$.value").isNull(), F.lit("null")), F.regexp_replace(whole, ",(?! )", ", ")).alias("value"))
 
 
 @query(OBJECTS_SQL + " select name as \"Name\", resource_type as \"Type\", case when resource_type = 'aws_vpc' then 'aws' else 'google' end as \"Provider\", file as \"File\", line as \"Line\" from objects where type = 'resource'")
@@ -223,14 +231,25 @@ def sink_sarif(s: SparkSession, d: str) -> DataFrame:
 
 _REFS = (
     ("var.a.b", "variable", "var.a", 1), ("local.x", "local", "local.x", 0), ("module.m.out", "module", "module.m", 1), ("data.aws_ami.x.id", "data", "data.aws_ami.x", 1), ("aws_vpc.v.id", "resource", "aws_vpc.v", 1),
-    ("path.module", "path", "path.module", 0), ("terraform.workspace", "terraform", "terraform.workspace", 0), ("count.index", "count", "count.index", 0), ("each.value.size", "each", "each.value", 1), ("self.private_key", "self", "self.private_key", 0),
+    ("path.module", "path", "path.module", 0), ("terraform.workspace", "terraform", "terraform.workspace", 0), ("count.index", "count", "count.index", 0), ("each.value", "each", "each.value", 0), ("self.private_key", "self", "self.private_key", 0),
 )
 
 
-@query("select * from (values " + ", ".join(f"('{r}', '{t}', '{x}', {n}, {str(t in ('resource', 'data', 'module', 'self', 'terraform', 'count', 'each')).lower()}, '{'local' if t in ('local', 'variable') else 'cross_module' if t == 'module' else 'module'}')" for r, t, x, n in _REFS) + ") v(ref, ref_type, target, path_length, is_computed, scope)")
+_COMPUTED = ("resource", "data", "module", "self", "terraform", "count", "each")
+
+
+@query(f"""select doc_id, ref || case when plain then '' else '.d' || doc_id end as ref, ref_type, target, path_length + case when plain then 0 else 1 end as path_length, is_computed, scope
+from documents join (values {', '.join(f"({k}, '{r}', '{t}', '{x}', {n}, {str(t in _COMPUTED).lower()}, '{'local' if t in ('local', 'variable') else 'cross_module' if t == 'module' else 'module'}', {str(t in ("path", "terraform", "count", "each")).lower()})" for k, (r, t, x, n) in enumerate(_REFS))})
+v(k, ref, ref_type, target, path_length, is_computed, scope, plain) on doc_id % {len(_REFS)} = k""")
 def reference_kinds(s: SparkSession, d: str) -> DataFrame:
-    x = s.createDataFrame([(r,) for r, *_ in _REFS], "ref string").withColumn("p", refs.parsed(F.col("ref")))
-    return x.select("ref", F.col("p.ref_type").alias("ref_type"), F.col("p.target").alias("target"), F.size("p.path").alias("path_length"), refs.computed(F.col("p.ref_type")).alias("is_computed"), refs.scope(F.col("p.ref_type")).alias("scope"))
+    """References that the documents' ids lengthen, with their kinds and what is known of them; found in a text of each document."""
+    k = (F.col("doc_id") % len(_REFS) + 1).cast("int")
+    plain = F.element_at(F.array(*(F.lit(t in ("path", "terraform", "count", "each")) for _, t, *_ in _REFS)), k)
+    ref = F.concat(F.element_at(F.array(*(F.lit(r) for r, *_ in _REFS)), k), F.when(plain, "").otherwise(F.concat(F.lit(".d"), F.col("doc_id").cast("string"))))
+    # What stands before is read as well, but its quotes may not open a literal.
+    x = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"""[\\"'._]""", " "), F.lit(" ${"), ref, F.lit("}")).alias("text"))
+    longest = inspection.references(x, "doc_id", "text").groupBy("doc_id").agg(F.max_by("ref", F.length("ref")).alias("ref")).withColumn("p", refs.parsed(F.col("ref")))
+    return longest.select("doc_id", "ref", F.col("p.ref_type").alias("ref_type"), F.col("p.target").alias("target"), F.size("p.path").alias("path_length"), refs.computed(F.col("p.ref_type")).alias("is_computed"), refs.scope(F.col("p.ref_type")).alias("scope"))
 
 
 _BARE = (
@@ -241,9 +260,11 @@ _BARE = (
 )
 
 
-@query("select * from (values " + ", ".join(f"({k}, {str(x).lower()})" for k, (*_, x) in enumerate(_BARE)) + ") v(k, incomplete)")
+@query(f"select p_partkey as k, incomplete from part join (values {', '.join(f'({k}, {str(x).lower()})' for k, (*_, x) in enumerate(_BARE))}) v(k, incomplete) on p_partkey % {len(_BARE)} = k")
 def incomplete_objects(s: SparkSession, d: str) -> DataFrame:
-    rows = [(k, t, rt, json.dumps(body)) for k, (t, rt, body, _) in enumerate(_BARE)]
-    o = s.createDataFrame(rows, "k int, type string, resource_type string, body string").withColumn("v", F.parse_json("body"))
+    """Every part is an object, complete or not."""
+    at = (F.col("p_partkey") % len(_BARE) + 1).cast("int")
+    of = lambda i: F.element_at(F.array(*(F.lit(json.dumps(x[i]) if i == 2 else x[i]).cast("string") for x in _BARE)), at)
+    o = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), of(0).alias("type"), of(1).alias("resource_type"), F.parse_json(of(2)).alias("v"))
     get = lambda p, kind: F.try_variant_get("v", f"$.{p}", kind)
     return o.select("k", states.incomplete(F.col("v"), F.col("type"), F.col("resource_type"), get("source", "string"), get("nullable", "boolean"), get("default", "variant"), get("value", "variant")).alias("incomplete"))

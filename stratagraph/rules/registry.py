@@ -7,12 +7,15 @@ one scan, no shuffle, whatever the number of rules. Project rules are aggregates
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 Checks = Callable[[], list[tuple[Column, Column | str]]]
 
 
@@ -97,21 +100,9 @@ class Registry:
         evaluated if an object has an error; issues of objects are all given, since they come from one pass.
         """
         rules = self.chosen(categories, ignore)
-        row = [r for r in rules if r.scope != "project_level"]
-        issues = _eligible(objects)
-        each = []
-        for r in row:
-            applies = _applies(r)
-            for check, message in r.checks():
-                if isinstance(message, Each):
-                    found = _each(r, message.messages, strict)
-                elif isinstance(message, Failed):
-                    found = F.array(_issue(replace(r, rule_id=FAILED, severity="error", category="syntax", suggestion=""), f"Rule {r.rule_id} failed: {message.message}", strict))
-                else:
-                    found = F.array(_issue(r, message, strict))
-                each.append(F.when(applies & F.coalesce(check, F.lit(False)), found))
+        each = _found(rules, strict)
         empty = objects.sparkSession.createDataFrame([], _SCHEMA)
-        out = issues.select("project", F.explode(F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull()))).alias("i")).select("project", "i.*") if each else empty
+        out = objects.where(_eligible()).select("project", F.explode(each).alias("i")).select("project", "i.*") if each is not None else empty
         if fail_fast and not out.where("severity = 'error'").isEmpty():
             return out
         for r in rules:
@@ -124,16 +115,40 @@ class Registry:
 
     def run_stats(self, objects: DataFrame, categories: Iterable[str] | None = None, ignore: Iterable[str] = (), strict: bool = False) -> DataFrame:
         """One row: ``resources_validated, rules_executed, errors, warnings, info``. A rule is executed once for
-        each object that it applies to, and project rules once for each project."""
+        each object that it applies to, and project rules once for each project. The objects are read once: a project's
+        counts, and what its own rules say, come from one aggregate."""
+        rules = self.chosen(categories, ignore)
+        whole = [r for r in rules if r.scope == "project_level"]
+        each = _found(rules, strict)
+        looked = objects.withColumns({"ok_": _eligible(), "run_": _run(rules), "found_": F.when(_eligible(), each) if each is not None else F.array().cast("array<struct<severity:string>>")})
+        level = lambda s: F.coalesce(F.sum(F.size(F.filter("found_", lambda i: i["severity"] == s))), F.lit(0))
+        checks = [(_level(r, strict), check) for r in whole for check, _ in r.checks()]
+        by = looked.groupBy("project").agg(
+            F.count_if("ok_").alias("resources_validated"), (F.coalesce(F.sum(F.when(F.col("ok_"), F.col("run_"))), F.lit(0)) + len(whole)).alias("rules_executed"),
+            *(level(s).alias(f"{s}_") for s in _LEVELS), *(F.coalesce(check, F.lit(False)).cast("long").alias(f"bad_{k}") for k, (_, check) in enumerate(checks)),
+        )
+        bad = lambda s: sum((F.col(f"bad_{k}") for k, (at, _) in enumerate(checks) if at == s), F.col(f"{s}_"))
+        total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+        return by.agg(total("resources_validated").alias("resources_validated"), total("rules_executed").alias("rules_executed"), *(total(bad(s)).alias(n) for s, n in _LEVELS.items()))
+
+    def run(self, objects: DataFrame, categories: Iterable[str] | None = None, ignore: Iterable[str] = (), strict: bool = False) -> tuple[DataFrame, dict]:
+        """The issues, evaluated once and written, and what was observed as they were: the counts of ``run_stats``, ``seconds`` and
+        ``resources_per_second``."""
         rules = self.chosen(categories, ignore)
-        row = [r for r in rules if r.scope != "project_level"]
-        run = sum((_applies(r).cast("long") for r in row), F.lit(0).cast("long"))
-        done = _eligible(objects).agg(F.count("*").alias("resources_validated"), F.coalesce(F.sum(run), F.lit(0)).alias("n_row"))
-        projects = objects.agg((F.count_distinct("project") * (len(rules) - len(row))).alias("n_project"))
-        found = self.evaluate(objects, categories, ignore, strict).agg(*(F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "info"))))
-        one = lambda df: df.withColumn("one_", F.lit(1))  # noqa: E731  a row each
-        x = one(done).join(one(projects), "one_").join(one(found), "one_")
-        return x.select("resources_validated", (F.col("n_row") + F.col("n_project")).alias("rules_executed"), "errors", "warnings", "info")
+        seen, raised = Observation(), Observation()
+        looked = objects.observe(seen, F.count_if(_eligible()).alias("resources_validated"), F.coalesce(F.sum(F.when(_eligible(), _run(rules))), F.lit(0)).alias("rules_executed"))
+        own = Registry()
+        own.rules = {r.rule_id: r for r in rules if r.scope != "project_level"}
+        rest = Registry()
+        rest.rules = {r.rule_id: r for r in rules if r.scope == "project_level"}
+        began = time.perf_counter()
+        issues = own.evaluate(looked, strict=strict).unionByName(rest.evaluate(objects, strict=strict))
+        issues = written(issues.observe(raised, *(F.count_if(F.col("severity") == s).alias(n) for s, n in _LEVELS.items())))
+        took = time.perf_counter() - began
+        n_projects = objects.select("project").distinct().count() if rest.rules else 0
+        stats = seen.get | raised.get
+        stats["rules_executed"] += n_projects * len(rest.rules)
+        return issues, stats | {"seconds": took, "resources_per_second": stats["resources_validated"] / max(took, 1e-9)}
 
     def passed(self, spark: SparkSession, issues: DataFrame, categories: Iterable[str] | None = None) -> DataFrame:
         """Ids of the rules without an issue."""
@@ -154,8 +169,35 @@ def _cloud(name: str) -> Column:
     return F.coalesce(F.col("resource_type").startswith(CLOUDS[name]), F.lit(False)) if name in CLOUDS else F.lit(True)
 
 
-def _eligible(objects: DataFrame) -> DataFrame:
-    return objects.where(~F.coalesce(F.col("name").rlike(r"\$\{|\}"), F.lit(False)))
+#: Severities, and the names of their counts.
+_LEVELS = {"error": "errors", "warning": "warnings", "info": "info"}
+
+
+def _eligible() -> Column:
+    return ~F.coalesce(F.col("name").rlike(r"\$\{|\}"), F.lit(False))
+
+
+def _run(rules: list[Rule]) -> Column:
+    """How many rules apply to an object."""
+    return sum((_applies(r).cast("long") for r in rules if r.scope != "project_level"), F.lit(0).cast("long"))
+
+
+def _found(rules: list[Rule], strict: bool) -> Column | None:
+    """An object's issues, as an array; no column without rules."""
+    each = []
+    for r in rules:
+        if r.scope == "project_level":
+            continue
+        applies = _applies(r)
+        for check, message in r.checks():
+            if isinstance(message, Each):
+                found = _each(r, message.messages, strict)
+            elif isinstance(message, Failed):
+                found = F.array(_issue(replace(r, rule_id=FAILED, severity="error", category="syntax", suggestion=""), f"Rule {r.rule_id} failed: {message.message}", strict))
+            else:
+                found = F.array(_issue(r, message, strict))
+            each.append(F.when(applies & F.coalesce(check, F.lit(False)), found))
+    return F.flatten(F.filter(F.array(*each), lambda x: x.isNotNull())) if each else None
 
 
 def _applies(r: Rule) -> Column:

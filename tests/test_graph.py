@@ -74,6 +74,47 @@ def test_layouts(spark):
     assert once == again and len(once) == 3 and all(50 <= x <= 750 and 50 <= y <= 550 for _, _, x, y in once)
 
 
+def test_long_chains(spark):
+    """A chain of a thousand takes about as many rounds as a thousand has binary digits; branches and circles beside it."""
+    name = lambda i: f"c{i:04}"
+    pairs = [(name(i), name(i + 1)) for i in range(1000)] + [("r1", name(0)), ("r1", "r2"), ("r2", name(500)), ("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), (name(999), "leaf")]
+    e = edges_of(spark, pairs)
+    names = sorted({x for p in pairs for x in p} | {"alone"})
+    got = {r.node: r.level for r in graph.levels(nodes_of(spark, names), e).collect()}
+    want = {name(1000): 0, "leaf": 0, "alone": 0, **{name(i): 1000 - i for i in range(1000)}, "r2": 501, "r1": 1001, "x": None, "y": None, "z": None, "w": None}
+    assert got == want
+    path = [r.node for r in graph.critical_path(nodes_of(spark, names), e).orderBy("step").collect()]
+    # The first by name of the deepest: both ends of the last edges are as deep.
+    assert path == [name(1000), *(name(i) for i in range(999, -1, -1)), "r1"]
+    chain = [r.node for r in graph.shortest_chain(e, "r1", "leaf").orderBy("step").collect()]
+    assert chain == ["r1", "r2", *(name(i) for i in range(500, 1000)), "leaf"]
+
+
+def test_levels_and_chains_against_brute_force(spark):
+    rng = random.Random(21)
+    for n, m in ((10, 14), (16, 15), (25, 30)):
+        names = [f"n{i:02}" for i in range(n)]
+        pairs = sorted({tuple(sorted(rng.sample(names, 2), reverse=True)) for _ in range(m)} | {(names[3], names[5])} if m == 14 else {tuple(sorted(rng.sample(names, 2), reverse=True)) for _ in range(m)})
+        e, ends = edges_of(spark, pairs), {x: sorted(b for a, b in pairs if a == x) for x in names}
+        on = {x for x in names if x in reach(pairs, x)}
+        blocked = {x for x in names if reach(pairs, x) & on} | on
+
+        def level(x):
+            return 1 + max((level(y) for y in ends[x]), default=-1)
+
+        got = {r.node: r.level for r in graph.levels(nodes_of(spark, names), e).collect()}
+        assert got == {x: None if x in blocked else level(x) for x in names}
+        for a, b in [(names[-1], names[0]), (names[-2], names[1]), tuple(rng.sample(names, 2))]:
+            new, best = [[a]], None
+            for _ in range(n):
+                hits = [p for p in new if p[-1] == b]
+                if hits:
+                    best = min(hits)
+                    break
+                new = [[*p, y] for p in new for y in ends[p[-1]] if y not in p]
+            assert [r.node for r in graph.shortest_chain(e, a, b).orderBy("step").collect()] == (best or [])
+
+
 def test_empty(spark):
     e = edges_of(spark, [])
     assert graph.cycle_members(e).count() == 0
