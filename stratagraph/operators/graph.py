@@ -101,28 +101,34 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     with all dependencies closed are settled, at the longest way down. There are as many rounds as a way has branchings, however long it is.
     """
     e = written(distinct_edges(edges))
-    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.min("dst").alias("next"))
-    every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), "next"))
-    jump = _jumps(every.where("open = 1").select("node", "next"))
-    several = every.where("open > 1").select(F.col("node").alias("src"), "open")
-    long = e.join(several.select("src"), "src", "left_semi").join(jump, F.col("dst") == F.col("node"), "left")
-    long = written(long.select("src", F.coalesce("at", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")), e)
+    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
+    every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
+    ones = written(e.join(every.where("open = 1").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    # Only where one of them depends on another is there a stretch to leave out.
+    jump = None if ones.join(ones.select(F.col("node").alias("next")), "next", "left_semi").isEmpty() else _jumps(ones)
+    several = every.where("open > 1" if jump is not None else "open > 0").select(F.col("node").alias("src"), "open")
+    long = e.withColumn("length", F.lit(1))
+    if jump is not None:
+        long = e.join(several.select("src"), "src", "left_semi").join(jump, F.col("dst") == F.col("node"), "left")
+        long = written(long.select("src", F.coalesce("at", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")), e)
     free, waiting = every.where("open = 0").select("node", F.lit(0).cast("long").alias("level")), None
     done = [free]
     while True:
         closed = long.join(free, F.col("dst") == F.col("node")).groupBy("src").agg(F.count("*").alias("closed"), F.max(F.col("level") + F.col("length")).alias("level"))
         if waiting is not None:
-            closed = closed.unionAll(waiting).groupBy("src").agg(F.sum("closed").alias("closed"), F.max("level").alias("level"))
+            before = waiting.select(F.col("src").alias("s_"), F.col("closed").alias("c_"), F.col("level").alias("l_"))
+            closed = closed.join(before, F.col("src") == F.col("s_"), "full").select(F.coalesce("src", "s_").alias("src"), (F.coalesce("closed", F.lit(0)) + F.coalesce("c_", F.lit(0))).alias("closed"), F.greatest("level", "l_").alias("level"))
         counted = written(closed.join(several, "src"))
         free = counted.where("closed = open").select(F.col("src").alias("node"), "level")
         waiting = counted.where("closed < open").select("src", "closed", "level")
         if free.isEmpty():
             break
         done.append(free)
-    settled = _all(done)
-    single = jump.join(settled.select(F.col("node").alias("at"), "level"), "at").select("node", (F.col("level") + F.col("steps")).alias("level"))
-    known = settled.unionAll(single).select("node", F.col("level").cast("int").alias("level"))
-    return every.select("node").join(known, "node", "left")
+    known = _all(done)
+    if jump is not None:
+        known = known.unionAll(jump.join(known.select(F.col("node").alias("at"), "level"), "at").select("node", (F.col("level") + F.col("steps")).alias("level")))
+    known = known.select("node", F.col("level").cast("int").alias("level"))
+    return known if known.count() == every.count() else every.select("node").join(known, "node", "left")
 
 
 def _ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
