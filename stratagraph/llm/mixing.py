@@ -22,7 +22,7 @@ numbered within chunks of a source, and only the chunks' sums are added up along
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import packed, texts, written
 
 BLOCK, SHARD, ROUNDS = 256, 65_536, 12
 #: Rows of a source in a chunk, about.
@@ -137,7 +137,7 @@ def placed(docs: DataFrame, *keep: str) -> DataFrame:
     Rows are laid out by a hash of their id, in chunks; null texts have no words.
     """
     rows = texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"), "doc_id", "source", "text")
-    rows = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), *keep), "sizes")
+    rows = written(rows.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("hash"), *(c for c in keep if c != "hash")), "sizes")
     chunks = max(1, rows.count() // CHUNK)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "hash"), F.lit(chunks)))
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
@@ -155,7 +155,12 @@ def mix(docs: DataFrame) -> DataFrame:
     Rows that repeat an id are documents of their own. A row without words is never taken; where no
     row has a word, no slot is drawn. A null source is a source, the last.
     """
-    rows = placed(docs)
+    return mix_hashed(docs).drop("hash")
+
+
+def mix_hashed(docs: DataFrame) -> DataFrame:
+    """The same with ``hash``, that of the row's text."""
+    rows = placed(docs, "hash")
     planned = written(plan(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))), "plan")
     used = slots(planned).groupBy("source", "block").agg(F.sum(F.when(F.col("words") == BLOCK, 1).otherwise(0)).alias("times"), F.max(F.when(F.col("words") < BLOCK, F.col("words"))).alias("part"))
     used = used.select(F.col("source").alias("s_"), F.col("block").alias("b_"), "times", "part")
@@ -170,7 +175,29 @@ def mix(docs: DataFrame) -> DataFrame:
     out = rows.join(taken, F.col("source").eqNullSafe(F.col("s_")) & (F.col("first") == F.col("f_")) & (F.col("size") > 0), "left")
     sized = planned.select(F.col("source").alias("t_"), "source_size", "target")
     out = out.join(sized, F.col("source").eqNullSafe(F.col("t_")))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("n", F.lit(0)).cast("long").alias("taken"), "hash")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the mix takes words of, with all their columns, and ``taken_words``: how many, repeats counted.
+
+    A row's words are found again by its id and a hash of its text, so texts are neither written nor sorted here. Rows that repeat both are
+    alike: each has a number of its own, dealt by their other columns. Nulls are as in ``mix``; columns of any name keep their values (one
+    called ``taken_words`` is replaced); an empty table stays empty.
+    """
+    names = [c for c in docs.columns if c != "taken_words"]
+    hash_ = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), hash_.alias("hash"), packed(docs).alias("row"))
+    mixed = written(mix_hashed(docs).select(F.col("doc_id").alias("k_"), F.col("hash").alias("h_"), "taken"), "taken")
+    by = mixed.groupBy("k_", "h_").agg(F.count("*").alias("n_"), F.max("taken").alias("taken_")).where("taken_ > 0")
+    same = F.col("key").eqNullSafe(F.col("k_")) & (F.col("hash") == F.col("h_"))
+    out = [F.col("row")[c].alias(c) for c in names]
+    once = rows.join(by.where("n_ = 1"), same).select(*out, F.col("taken_").alias("taken_words"))
+    more = by.where("n_ > 1").select("k_", "h_")
+    again = rows.join(more, same, "left_semi").withColumn("nth_", F.row_number().over(Window.partitionBy("key", "hash").orderBy("row")))
+    dealt = mixed.where("taken > 0").join(more.select(F.col("k_").alias("key"), F.col("h_").alias("hash")), same, "left_semi")
+    dealt = dealt.withColumn("m_", F.row_number().over(Window.partitionBy("k_", "h_").orderBy(F.desc("taken"))))
+    return once.unionAll(again.join(dealt, same & (F.col("nth_") == F.col("m_"))).select(*out, F.col("taken").alias("taken_words")))
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
