@@ -2,8 +2,11 @@
 
 Language ID (rejected documents go), SimHash near-duplicates (one document of each group stays),
 benchmark decontamination (documents that hold an item go), secret scans (secrets are masked in
-the text) and mixing of sources (documents that the mix takes nothing of go; the others tell how many of
-their words it takes).
+the text) and mixing of sources (documents that the mix takes nothing of go; the others keep their columns and tell how
+many of their words it takes).
+
+In every stage null texts are empty, columns of any name and type keep their values, an empty table stays empty, and
+each stage says what it does with ties and repeated rows.
 """
 
 import public_tokenizers
@@ -19,25 +22,32 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language. The decision is a function of the row's text, so it is made
-    beside the row, without a join."""
+    beside the row, without a join. Texts without letters have none and go; repeated rows stay or go alike."""
     model = langid.fit(docs.where(remainder("doc_id", 5) != 0), public_tokenizers.path("piece_bpe_32k.model"))
     return langid.keep(docs, model, LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates: the smallest id, of equal ids the smallest text; of
+    repeated rows one. Texts without words are one component."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item. Texts without words hold none; repeated rows stay or go alike; without a
+    benchmark all stay."""
     return lsa.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the text, and keeps every document. Repeated rows are masked alike."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where("taken > 0")
+    """Documents that the mix takes words of, with ``taken_words``. Texts without words are never taken; repeated rows are
+    documents of their own; a null source is a source."""
+    return mixing.keep(docs)
 
 
 STAGES = [
@@ -55,5 +65,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}")
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0].lower()}", docs)
     return docs
