@@ -9,8 +9,8 @@ scored: by its share of the page's text that isn't in links, how long its blocks
 The scores are votes. In Spark they are added up by host and path, with the number of different texts that
 were seen there. A host's core is the path with the greatest share. Around it everything is article unless
 the votes say that it is furniture: within an ``article`` or ``main`` element that holds the core, a class
-that hints at furniture with less than half of the text; elsewhere also what is mostly links, what is the same
-on page after page while the core isn't, and what has short lines only. Each page is then extracted again by its
+that hints at furniture with less than half of the text; elsewhere also what is mostly links, and what is the same
+on page after page while the core isn't. How long lines are tells nothing: lists, talk and code are text too. Each page is then extracted again by its
 host's core and verdicts. A path needs a quorum of the host's pages; rarer ones, and pages without the host's
 core, are judged by the page's own scores, in the same way.
 """
@@ -47,21 +47,24 @@ SCOPE = frozenset("html table td th caption".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote ul ol dl figcaption figure td th tr tbody thead tfoot table caption summary address".split())
 #: Words of class names, ids and roles that hint at furniture.
 MARKS = frozenset(
-    "nav navbar navigation menu menubar sidebar side aside footer foot header masthead topbar banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended comment comments disqus reply replies discussion breadcrumb breadcrumbs pagination pager widget search searchbox toolbar contentinfo complementary hidden".split()
+    "nav navbar navigation menu menubar sidebar side aside footer foot header masthead topbar banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended comment comments disqus reply replies responses respond feedback discussion breadcrumb breadcrumbs pagination pager widget search searchbox toolbar contentinfo complementary hidden".split()
 )
 #: Words that add nothing to them: a name of such words and hints alone is furniture, one with another word may be.
 PLAIN = frozenset(
     "site page main top bottom left right primary secondary global list links link box bar area block container wrapper wrap section inner outer slot unit buttons button icons posts post articles stories items item content user users reader readers widgets form group panel col column row results thread body".split()
 )
 
+#: Of those, what takes an inline element away; others (a comment in code, a side note) are often text.
+INLINE = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion hidden".split())
+
 _NAME = r"[^\s/>][^\s/>=]*+"
 _VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)"""
 _ATTRS = rf"(?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+"
 _TAG = re.compile(rf"<!--.*?(?:--!?>|$)|<[!?][^>]*(?:>|$)|</(?=[^a-zA-Z])[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})(?:>|$)", re.S)
 _ATTR = re.compile(rf"({_NAME})(?:\s*+=\s*+({_VALUE}))?+", re.S)
 
-#: Share of a host's pages that a path must be on for a vote, pages from which on sameness tells, chars of a line.
-QUORUM, PAGES, LINE = 0.05, 3, 25
+#: Share of a host's pages that a path must be on for a vote, and pages from which on sameness tells.
+QUORUM, PAGES = 0.05, 3
 #: Open elements from which on further ones are siblings, as in browsers; no text is lost.
 DEEPEST = 512
 #: What a container whose class hints at furniture weighs as a core.
@@ -115,22 +118,39 @@ def _element(name: str, attrs: str, inside: list[Element]) -> Element:
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true"
     if name in ("html", "body"):
         hint = 0
-    # An article's own header is its begin.
-    tag = name in FURNITURE and not (name == "header" and any(e.name in ("article", "main") for e in inside))
+    # A header within a part of a page begins it; the votes tell whether that part is the article.
+    tag = name in FURNITURE and not (name == "header" and any(e.name not in ("html", "body") for e in inside))
     up = inside[-1] if inside else None
     return Element(name, name + (classes or own), tag or hidden or hint == 2 or bool(up and up.furniture), hint == 1)
 
 
+def _taken_away(attrs: str) -> bool:
+    """Whether an inline element is an advert or hidden, by its class names, id, role or attributes."""
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'"))
+        if key == "hidden" or key == "aria-hidden" and value == "true":
+            return True
+        if key in ("class", "id", "role"):
+            for name in value.lower().split():
+                words = [w for w in re.split(r"[-_]+", re.sub(r"\d+", "", name)) if w]
+                if any(w in INLINE for w in words) and all(w in INLINE or w in PLAIN for w in words):
+                    return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order, without furniture. A block's path is that of its container: headings,
+    """The page's blocks in order, without furniture. An inline advert is none of a block's text; it ends with its element or block. A block's path is that of its container: headings,
     paragraphs and the like belong to what holds them."""
     stack: list[Element] = []
     out: list[Block] = []
     run: list[str] = []
     linked: list[str] = []
     at, n, anchor = 0, len(page), False
+    away, deep = "", 0  # the inline element that is left out, and how often it is open
 
     def say(text: str) -> None:
+        if away:
+            return
         text = html.unescape(text)
         run.append(text)
         if anchor:
@@ -163,6 +183,12 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         name = m[2].lower()
+        if away and name in BLOCK:
+            away = ""
+        if name == away:
+            deep += -1 if m[1] else not m[3].rstrip().endswith("/")
+            away = away if deep else ""
+            continue
         if m[1]:
             if name in BLOCK:
                 flush()
@@ -195,6 +221,8 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             if name not in VOID and len(stack) < DEEPEST:
                 stack.append(_element(name, m[3], stack))
+        elif not away and name not in VOID and m[3] and _taken_away(m[3]):
+            away, deep = name, 1
     flush()
     return out
 
@@ -266,7 +294,7 @@ def article(path: str, s: Score, core: str, of_core: Score) -> bool:
         return False
     if s.n >= PAGES and 2 * s.texts <= min(s.n, of_core.texts):
         return False
-    return s.chars >= LINE * s.blocks or s.titles > 0
+    return True
 
 
 def judged(votes: dict[str, Score]) -> tuple[str | None, dict[str, bool]]:
