@@ -101,6 +101,11 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def source_segment(source: Column) -> Column:
+    """The last part of a module's source; ``module`` where there is none."""
+    return F.when(F.coalesce(source, F.lit("")) == "", "module").otherwise(base_name(source))
+
+
 def shortened(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 

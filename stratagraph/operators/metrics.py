@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import HEALTHY_STATES, KINDS
+from ..plans.storage import written
 from . import catalog, graph
 
 
@@ -115,3 +116,14 @@ def integrity(objects: DataFrame, missing: DataFrame, cycles: DataFrame) -> Data
     b = missing.where(~F.col("ref").rlike(known)).select(F.lit("undefined"), "src", "ref")
     c = objects.where("type = 'output' and output_value is null").select(F.lit("no value"), "full_name", F.lit(None).cast("string"))
     return a.unionAll(b).unionAll(c)
+
+
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Adds ``place``, from 1, by ``order``: rows are laid out by range and numbered within, and the ranges before are counted."""
+    laid = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    laid = laid.withColumn("range_", F.shiftright("at_", 33))
+    size = laid.groupBy("range_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    size = size.select(F.col("range_").alias("r_"), F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    inside = F.col("at_").bitwiseAND((1 << 33) - 1) + 1
+    return laid.join(size, F.col("range_") == F.col("r_")).withColumn("place", F.col("before_") + inside).drop("at_", "range_", "r_", "before_")

@@ -92,3 +92,11 @@ def dependencies_at_least(many: bool) -> Column:
 
 def critical_state() -> Column:
     return F.col("state").isin("external_data", "orphaned", "incomplete")
+
+
+def sort_keys(by: str, name: str = "name", kind: str = "type", subtype: str = "subtype", degree: str = "degree") -> list[Column]:
+    """What nodes are sorted by: ``name``, ``type`` (then subtype) or ``dependencies`` (most first); ties by name, so that reruns agree."""
+    keys = {"name": [F.asc(name)], "type": [F.asc(kind), F.asc(F.coalesce(F.col(subtype), F.lit("")))], "dependencies": [F.desc(degree)]}
+    if by not in keys:
+        raise ValueError(f"no order {by}; there are {', '.join(sorted(keys))}")
+    return [*keys[by], F.asc(name)]

@@ -156,6 +156,14 @@ class Registry:
         return ids.join(issues.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
+def narrowed(issues: DataFrame, category: str | None = None, severity: str | None = None) -> DataFrame:
+    """The issues of a category, of a severity, or of both."""
+    for column, wanted in (("category", category), ("severity", severity)):
+        if wanted is not None:
+            issues = issues.where(F.col(column) == wanted)
+    return issues
+
+
 _SCHEMA = "project string, rule_id string, severity string, category string, message string, file_path string, line_number int, resource_name string, resource_type string, suggestion string"
 # The type prefix of each cloud's resources.
 CLOUDS = {"AWS": "aws_", "AZURE": "azurerm_", "GCP": "google_"}

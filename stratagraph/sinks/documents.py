@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 # Colours of node kinds, and the levels of SARIF.
 COLOURS = {"resource": "lightblue", "data": "lightgreen", "module": "orange", "variable": "lightyellow", "output": "lightpink", "provider": "lightgrey", "local": "white", "terraform": "grey"}
 SARIF_LEVELS = {"error": "error", "warning": "warning", "info": "note"}
@@ -33,19 +35,98 @@ def project_document(objects: DataFrame, edges: DataFrame, states: DataFrame) ->
     return whole.select(F.concat(F.lit('{"objects":{'), body, F.lit('},"statistics":{"counts":{'), counts, F.lit("}}}")).alias("document"))
 
 
+#: Columns of an object that a document shows, where there are such.
+SHOWN = ("full_name", "type", "name", "resource_type", "provider", "state", "state_reason", "file_path", "line_number", "description", "tags", "dependencies", "dependents", "attributes")
+_ORDER = ("section", "kind", "step", "name")
+
+
+def _counted(rows: DataFrame, by: str) -> DataFrame:
+    """A JSON object of counts by a column of few values, as one row's column ``json``."""
+    n = rows.where(F.col(by).isNotNull()).groupBy(F.col(by).cast("string").alias("k")).agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))), F.lit("{}")).alias("json"))
+
+
+def project_lines(objects: DataFrame, edges: DataFrame, metadata: dict | None = None, variables: DataFrame | None = None, backend: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+    """``section, kind, step, name, line``: a project as one JSON document, in lines that stand in the order of the first four columns.
+
+    It holds ``metadata``, the variables given (``name, value``), the backend (``backend``, as JSON), statistics, a summary of
+    the issues, and every object by kind, with its dependencies and dependents, on a line of its own. No row holds more than one object, so
+    a document may be of any size; see ``write_lines``.
+    """
+    spark = objects.sparkSession
+    deps = edges.groupBy(F.col("src").alias("full_name")).agg(F.array_sort(F.collect_set("dst")).alias("dependencies"))
+    users = edges.groupBy(F.col("dst").alias("full_name")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
+    o = objects.join(deps, "full_name", "left").join(users, "full_name", "left")
+    shown = F.to_json(F.struct(*(c for c in SHOWN if c in o.columns)))
+    line = lambda section, text, step=0: F.struct(F.lit(section).alias("section"), F.lit("").alias("kind"), F.lit(step).alias("step"), F.lit("").alias("name"), text.alias("line"))
+    first = objects.groupBy(F.col("type").alias("kind")).agg(F.min("full_name").alias("first"))  # a row for each kind
+    lead = first.agg(F.min("kind").alias("lead"))
+    body = o.join(F.broadcast(first), F.col("type") == F.col("kind")).select(F.lit(6).alias("section"), "kind", F.lit(1).alias("step"), F.col("full_name").alias("name"), F.concat(F.when(F.col("full_name") == F.col("first"), "").otherwise(","), shown).alias("line"))
+    heads = first.crossJoin(lead)  # one row of the least kind
+    opened = heads.select(F.lit(6).alias("section"), "kind", F.lit(0).alias("step"), F.lit("").alias("name"), F.concat(F.when(F.col("kind") == F.col("lead"), "").otherwise(","), F.to_json(F.array("kind")).substr(F.lit(2), F.length("kind") + 2), F.lit(": [")).alias("line"))
+    closed = heads.select(F.lit(6).alias("section"), "kind", F.lit(2).alias("step"), F.lit("").alias("name"), F.lit("]").alias("line"))
+    start = spark.createDataFrame([(json.dumps(metadata or {}, ensure_ascii=False),)], "m string").select(line(0, F.concat(F.lit('{"metadata": '), "m", F.lit(","))).alias("x"))
+    rows = [start]
+    if variables is None:
+        rows.append(spark.range(1).select(line(1, F.lit('"variables": {},')).alias("x")))
+    else:
+        least = variables.agg(F.min("name").alias("least"))
+        each = variables.groupBy("name").agg(F.max("value").alias("value")).crossJoin(F.broadcast(least))  # one row of the least name
+        text = F.concat(F.when(F.col("name") == F.col("least"), "").otherwise(","), F.to_json(F.create_map("name", "value")))
+        entry = F.regexp_replace(text, r"^(,?)\{(.*)\}$", "$1$2")
+        rows.append(each.select(F.struct(F.lit(1).alias("section"), F.lit("").alias("kind"), F.lit(1).alias("step"), "name", entry.alias("line")).alias("x")))
+        rows.append(spark.range(1).select(F.explode(F.array(line(1, F.lit('"variables": {')), line(1, F.lit("},"), 2))).alias("x")))
+    back = spark.range(1).select(F.lit(None).cast("string").alias("backend")) if backend is None else backend.select("backend").limit(1)
+    rows.append(back.agg(F.coalesce(F.max("backend"), F.lit("null")).alias("b")).select(line(2, F.concat(F.lit('"backend": '), "b", F.lit(","))).alias("x")))
+    rows.append(_counted(objects, "type").select(line(3, F.concat(F.lit('"statistics": {"counts": '), "json", F.lit(","))).alias("x")))
+    states = _counted(objects, "state") if "state" in objects.columns else spark.range(1).select(F.lit("{}").alias("json"))
+    rows.append(states.select(line(4, F.concat(F.lit('"states": '), "json", F.lit("},"))).alias("x")))
+    severities = _counted(issues, "severity") if issues is not None else spark.range(1).select(F.lit("{}").alias("json"))
+    rows.append(severities.select(line(5, F.concat(F.lit('"validation": '), "json", F.lit(', "objects": {'))).alias("x")))
+    rows.append(spark.range(1).select(line(7, F.lit("}}")).alias("x")))
+    out = body.unionAll(opened).unionAll(closed)
+    for r in rows:
+        out = out.unionAll(r.select("x.*"))
+    return out
+
+
+def sarif_lines(issues: DataFrame) -> DataFrame:
+    """``section, kind, step, name, line``: issues as one SARIF document, each on a line of its own; see ``write_lines``."""
+    spark = issues.sparkSession
+    rank = F.concat_ws("\x00", "rule_id", F.coalesce("file_path", F.lit("")), F.format_string("%012d", F.coalesce("line_number", F.lit(1)).cast("long")), F.coalesce("resource_name", F.lit("")))
+    # Written, so that the numbers stay the same; the one that comes first has no comma before it.
+    rows = written(issues.select(rank.alias("name"), F.to_json(_result()).alias("json"), F.monotonically_increasing_id().alias("id")))
+    first = rows.agg(F.min_by("id", F.struct("name", "id")).alias("first"))
+    lead = F.col("id") == F.col("first")
+    each = rows.crossJoin(F.broadcast(first))  # one row
+    each = each.select(F.lit(1).alias("section"), F.lit("").alias("kind"), F.when(lead, 0).otherwise(1).alias("step"), "name", F.concat(F.when(lead, "").otherwise(","), "json").alias("line"))
+    ends = [(0, "", 0, "", '{"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "stratagraph"}}, "results": ['), (2, "", 0, "", "]}]}")]
+    return each.unionAll(spark.createDataFrame(ends, "section int, kind string, step int, name string, line string"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes lines as text files, in order: those of a folder, one after the other by name, are the document. They are laid out by range, so none is
+    gathered in a task or on the driver."""
+    lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line").write.text(path)
+
+
 def issues_document(issues: DataFrame) -> str:
     rows = [json.loads(x) for x in issues.toJSON().collect()]
     count = {s: sum(r["severity"] == s for r in rows) for s in SARIF_LEVELS}
     return json.dumps({"summary": count | {"total": len(rows)}, "issues": rows}, indent=2)
 
 
-def sarif(issues: DataFrame) -> DataFrame:
-    """One row, ``document``: the issues as SARIF 2.1.0, built on the cluster."""
+def _result() -> Column:
+    """An issue as a result of SARIF."""
     level = F.element_at(F.create_map(*(F.lit(x) for kv in SARIF_LEVELS.items() for x in kv)), F.col("severity"))
     text = F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat_ws(" ", F.concat("message", F.lit(".")), "suggestion")).otherwise(F.col("message"))
     place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line_number", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
-    result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"))
-    rows = issues.agg(F.array_sort(F.collect_list(result)).alias("results"))
+    return F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(text.alias("text")).alias("message"), F.array(place).alias("locations"))
+
+
+def sarif(issues: DataFrame) -> DataFrame:
+    """One row, ``document``: the issues as SARIF 2.1.0, built on the cluster. It has to fit a row; ``sarif_lines`` need not."""
+    rows = issues.agg(F.array_sort(F.collect_list(_result())).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit("stratagraph").alias("name")).alias("driver")).alias("tool"), F.col("results"))
     return rows.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 

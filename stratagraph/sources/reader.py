@@ -181,7 +181,8 @@ def entries(rows: DataFrame, column: str, *keep: str) -> DataFrame:
 
 
 def settings(objects_: DataFrame) -> DataFrame:
-    """``provider, constraint`` that the settings blocks require."""
-    need = F.from_json(F.try_variant_get("attributes", "$.required_providers[0]", "string"), "map<string,string>")
-    x = objects_.where("type = 'terraform'").select(F.explode(need).alias("provider", "spec"))
+    """``provider, constraint`` that the settings blocks require, each of them and all of their ``required_providers``."""
+    need = F.try_variant_get("attributes", "$.required_providers", "string")
+    every = F.when(need.startswith("["), need).otherwise(F.concat(F.lit("["), need, F.lit("]")))
+    x = objects_.where("type = 'terraform'").select(F.explode(F.from_json(every, "array<map<string,string>>")).alias("block")).select(F.explode("block").alias("provider", "spec"))
     return x.select("provider", F.coalesce(F.get_json_object("spec", "$.version"), F.when(~F.col("spec").startswith("{"), F.col("spec"))).alias("constraint")).where("provider <> '__lines__'")
