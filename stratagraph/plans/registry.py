@@ -164,22 +164,22 @@ def ref_missing(s: SparkSession, d: str) -> DataFrame:
 
 
 @query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
- refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem where l_orderkey % 5 = 0),
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem),
  rest as (select * from refs where ref not in (select full_name from names)), b as (select ref, full_name from (select distinct ref from rest) join names on starts_with(full_name, ref))
  select src, full_name as dst from rest join b using (ref) union select src, ref from refs where ref in (select full_name from names)""")
 def ref_resolve_prefix(s: SparkSession, d: str) -> DataFrame:
     return refs.resolve(*_prefix_case(s, d))[0]
 
 
-def _prefix_case(s: SparkSession, d: str, lines: str = "l_orderkey % 5 = 0", keys: str = "p_partkey % 3 = 0") -> tuple[DataFrame, DataFrame]:
+def _prefix_case(s: SparkSession, d: str, keys: str = "p_partkey % 3 = 0") -> tuple[DataFrame, DataFrame]:
     part, line = table(s, d, "part"), table(s, d, "lineitem")
     names = part.select(F.concat(F.lit("part."), "p_name").alias("full_name")).union(part.where(keys).select(F.concat(F.lit("part."), F.col("p_partkey").cast("string"), F.lit("_key"))))
-    rs = line.where(lines).select(F.concat(F.lit("line."), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("ref")).distinct()
+    rs = line.select(F.concat(F.lit("line."), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("part."), F.col("l_partkey").cast("string")).alias("ref")).distinct()
     return rs, names
 
 
 @query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
- refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem where l_orderkey % 5 = 0)
+ refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem)
  select src, ref from refs where ref not in (select ref from (select distinct ref from refs) join names on starts_with(full_name, ref))""")
 def ref_missing_prefix(s: SparkSession, d: str) -> DataFrame:
     return refs.resolve(*_prefix_case(s, d))[1]
@@ -190,16 +190,16 @@ def ref_missing_prefix(s: SparkSession, d: str) -> DataFrame:
  rest as (select * from refs where ref not in (select full_name from names)), b as (select ref, full_name from (select distinct ref from rest) join names on starts_with(full_name, ref))
  select src, full_name as dst from rest join b using (ref) union select src, ref from refs where ref in (select full_name from names)""")
 def ref_resolve_prefix_all(s: SparkSession, d: str) -> DataFrame:
-    """Of every line, against both names of every part."""
-    return refs.resolve(*_prefix_case(s, d, "true", "true"))[0]
+    """Against both names of every part."""
+    return refs.resolve(*_prefix_case(s, d, "true"))[0]
 
 
 @query("""with names as (select 'part.' || p_name as full_name from part union select 'part.' || p_partkey || '_key' from part where p_partkey % 3 = 0),
  refs as (select distinct 'line.' || l_orderkey as src, 'part.' || l_partkey as ref from lineitem)
  select src, ref from refs where ref not in (select ref from (select distinct ref from refs) join names on starts_with(full_name, ref))""")
 def ref_missing_prefix_all(s: SparkSession, d: str) -> DataFrame:
-    """Of every line; with the keys of all parts as names, none would be missing."""
-    return refs.resolve(*_prefix_case(s, d, "true"))[1]
+    """With the keys of all parts as names, none would be missing."""
+    return refs.resolve(*_prefix_case(s, d))[1]
 
 
 @query(_catalog() + " select distinct dst as src, src as dst from edges")
@@ -327,9 +327,9 @@ def cycle_witnesses(s: SparkSession, d: str) -> DataFrame:
     return graph.cycle_witnesses(star.trade(s, d)).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
-@query(_T + ", u as (select src, dst from trade where src % 2 = dst % 2 union select dst, src from trade where src % 2 = dst % 2), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
+@query(_T + ", u as (select src, dst from trade union select dst, src from trade), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
 def components(s: SparkSession, d: str) -> DataFrame:
-    return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d).where("src % 2 = dst % 2"))
+    return graph.components(table(s, d, "nation").select(F.col("n_nationkey").alias("node")), star.trade(s, d))
 
 
 @query(_T + ", u as (select src, dst from trade union select dst, src from trade), c as (select n_nationkey as node, n_nationkey as root from nation union select u.dst, c.root from c join u on u.src = c.node) select node, min(root) as component from c group by 1")
@@ -639,8 +639,8 @@ def rules_of_projects(s: SparkSession, d: str) -> DataFrame:
         *(none("string").alias(c) for c in ("resource_type", "description", "variable_type", "source", "module_version")), *(none("variant").alias(c) for c in ("attributes", "default_value")), *(none("boolean").alias(c) for c in ("nullable", "sensitive")),
     )
     issues = rules.evaluate(o).groupBy("project", "rule_id").agg(F.count("*").alias("n"))
-    ids = s.createDataFrame([(r.rule_id,) for r in rules.rules.values() if r.scope == "project_level"], "rule_id string")
-    every = o.select("project").distinct().join(ids.withColumn("j", F.lit(1)), F.col("j") == 1)
+    ids = F.array(*(F.lit(r.rule_id) for r in rules.rules.values() if r.scope == "project_level"))
+    every = o.select("project").distinct().select("project", F.explode(ids).alias("rule_id"))
     return every.join(issues, ["project", "rule_id"], "left").select(F.col("project").cast("int").alias("k"), "rule_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

@@ -58,10 +58,11 @@ def project_lines(objects: DataFrame, edges: DataFrame, metadata: dict | None =
     users = edges.groupBy(F.col("dst").alias("full_name")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
     o = objects.join(deps, "full_name", "left").join(users, "full_name", "left")
     shown = F.to_json(F.struct(*(c for c in SHOWN if c in o.columns)))
+    o = written(o.select("type", "full_name", *(c for c in ("state",) if c in o.columns), shown.alias("json")))
     line = lambda section, text, step=0: F.struct(F.lit(section).alias("section"), F.lit("").alias("kind"), F.lit(step).alias("step"), F.lit("").alias("name"), text.alias("line"))
-    first = objects.groupBy(F.col("type").alias("kind")).agg(F.min("full_name").alias("first"))  # a row for each kind
+    first = o.groupBy(F.col("type").alias("kind")).agg(F.min("full_name").alias("first"))  # a row for each kind
     lead = first.agg(F.min("kind").alias("lead"))
-    body = o.join(F.broadcast(first), F.col("type") == F.col("kind")).select(F.lit(6).alias("section"), "kind", F.lit(1).alias("step"), F.col("full_name").alias("name"), F.concat(F.when(F.col("full_name") == F.col("first"), "").otherwise(","), shown).alias("line"))
+    body = o.join(F.broadcast(first), F.col("type") == F.col("kind")).select(F.lit(6).alias("section"), "kind", F.lit(1).alias("step"), F.col("full_name").alias("name"), F.concat(F.when(F.col("full_name") == F.col("first"), "").otherwise(","), "json").alias("line"))
     heads = first.crossJoin(lead)  # one row of the least kind
     opened = heads.select(F.lit(6).alias("section"), "kind", F.lit(0).alias("step"), F.lit("").alias("name"), F.concat(F.when(F.col("kind") == F.col("lead"), "").otherwise(","), F.to_json(F.array("kind")).substr(F.lit(2), F.length("kind") + 2), F.lit(": [")).alias("line"))
     closed = heads.select(F.lit(6).alias("section"), "kind", F.lit(2).alias("step"), F.lit("").alias("name"), F.lit("]").alias("line"))
@@ -78,8 +79,8 @@ def project_lines(objects: DataFrame, edges: DataFrame, metadata: dict | None =
         rows.append(spark.range(1).select(F.explode(F.array(line(1, F.lit('"variables": {')), line(1, F.lit("},"), 2))).alias("x")))
     back = spark.range(1).select(F.lit(None).cast("string").alias("backend")) if backend is None else backend.select("backend").limit(1)
     rows.append(back.agg(F.coalesce(F.max("backend"), F.lit("null")).alias("b")).select(line(2, F.concat(F.lit('"backend": '), "b", F.lit(","))).alias("x")))
-    rows.append(_counted(objects, "type").select(line(3, F.concat(F.lit('"statistics": {"counts": '), "json", F.lit(","))).alias("x")))
-    states = _counted(objects, "state") if "state" in objects.columns else spark.range(1).select(F.lit("{}").alias("json"))
+    rows.append(_counted(o, "type").select(line(3, F.concat(F.lit('"statistics": {"counts": '), "json", F.lit(","))).alias("x")))
+    states = _counted(o, "state") if "state" in o.columns else spark.range(1).select(F.lit("{}").alias("json"))
     rows.append(states.select(line(4, F.concat(F.lit('"states": '), "json", F.lit("},"))).alias("x")))
     severities = _counted(issues, "severity") if issues is not None else spark.range(1).select(F.lit("{}").alias("json"))
     rows.append(severities.select(line(5, F.concat(F.lit('"validation": '), "json", F.lit(', "objects": {'))).alias("x")))
