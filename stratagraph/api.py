@@ -33,7 +33,7 @@ class Project:
     def _bound(self) -> tuple[DataFrame, DataFrame]:
         names = self.objects.select("full_name")
         explicit = self.objects.select(F.col("full_name").alias("src"), F.explode("depends_on").alias("ref")).select("src", refs.normalised(F.col("ref")).alias("dst"), F.lit("explicit").alias("kind"))
-        found, missing = refs.resolve(refs.extract(self.objects), names)
+        found, missing = refs.resolve(refs.extract_in_order(self.objects), names)
         implicit = found.join(explicit, ["src", "dst"], "left_anti").withColumn("kind", F.lit("implicit"))
         provider = refs.provider_edges(self.objects).withColumn("kind", F.lit("implicit"))
         missing = missing.join(explicit.select("src", F.col("dst").alias("ref")), ["src", "ref"], "left_anti")

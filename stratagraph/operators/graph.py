@@ -377,6 +377,14 @@ def hierarchical_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0
     return placed.select("node", "layer", (F.lit(width) / (F.col("k") + 1) * (F.col("rank") + 1)).alias("x"), (F.lit(height) / (n_layers + 1) * (F.col("layer") + 1)).alias("y"))
 
 
+def laid_out(nodes: DataFrame, edges: DataFrame, width: float = 1000.0, height: float = 800.0) -> tuple[DataFrame, DataFrame]:
+    """A graph to be drawn: ``nodes`` with ``layer, x, y`` beside their columns, and ``edges`` with ``x1, y1, x2, y2``, where they
+    begin and end. An edge from or to what is no node isn't drawn."""
+    at = written(hierarchical_layout(nodes, edges, width, height))
+    end = lambda name, k: at.select(F.col("node").alias(name), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    return nodes.join(at, "node"), edges.join(end("src", 1), "src").join(end("dst", 2), "dst")
+
+
 def force_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0, height: float = 600.0, rounds: int = 100, seed: int = 0) -> DataFrame:
     """``project, node, x, y``: spring layout of each project's graph, which has to fit a task: it is
     meant for pictures. ``nodes`` has ``project, node``, ``edges`` also ``strength``. Seeded, so reruns agree."""

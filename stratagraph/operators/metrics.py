@@ -43,6 +43,16 @@ def top_types(objects: DataFrame, k: int = 10) -> DataFrame:
     return resource_types(objects).orderBy(F.desc("n"), "resource_type").limit(k)
 
 
+def top_types_told(objects: DataFrame, k: int = 10, order: str = "full_name") -> DataFrame:
+    """``place, label, n``: the ``k`` most frequent resource types, those that came first by ``order`` before others as
+    frequent, and below them how many types there are more (``n`` null), if any."""
+    counts = written(objects.where("type = 'resource'").groupBy("resource_type").agg(F.count("*").alias("n"), F.min(order).alias("first_")))
+    shown = counts.orderBy(F.desc("n"), "first_", "resource_type").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("n"), "first_", "resource_type"))  # k rows
+    rest = counts.agg((F.count("*") - k).alias("m")).where("m > 0").select(F.lit(k + 1).alias("place"), F.format_string("... and %d more", "m").alias("label"), F.lit(None).cast("long").alias("n"))
+    return shown.select(place.alias("place"), F.col("resource_type").alias("label"), "n").unionAll(rest)
+
+
 def health(total: Column, good: Column, unused: Column, orphaned: Column, incomplete: Column) -> Column:
     """0 to 100; an empty catalog is healthy."""
     raw = (good * 100.0 - unused * 15.0 - orphaned * 10.0 - incomplete * 20.0) / total

@@ -40,7 +40,12 @@ def found_in(text: Column) -> Column:
 
 def extract(objects: DataFrame, text: str = "attributes_text") -> DataFrame:
     """``src, ref`` of every object but variables and settings, itself excluded."""
-    rows = objects.where(~F.col("type").isin("variable", "terraform")).select(F.col("full_name").alias("src"), F.explode(found_in(F.col(text))).alias("ref"))
+    return extract_in_order(objects, text).drop("place")
+
+
+def extract_in_order(objects: DataFrame, text: str = "attributes_text") -> DataFrame:
+    """``src, place, ref`` as ``extract`` gives them, ``place`` being how many were found in the object before."""
+    rows = objects.where(~F.col("type").isin("variable", "terraform")).select(F.col("full_name").alias("src"), F.posexplode(found_in(F.col(text))).alias("place", "ref"))
     return rows.where("src <> ref")
 
 
@@ -49,7 +54,8 @@ def resolve(refs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A reference binds to the object of its name, else to every object whose name starts with it. The
     second is an equi-join too: the catalog's names are spread into their prefixes, and only into those of
-    the lengths that unmatched references have (a row for each length, so small).
+    the lengths that unmatched references have (a row for each length, so small). If references have a
+    ``place``, missing ones have their first.
     """
     names = names.select("full_name").distinct()
     exact = refs.join(names, refs["ref"] == names["full_name"], "left_semi").select("src", F.col("ref").alias("dst"))
@@ -60,8 +66,10 @@ def resolve(refs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     prefixes = names.select("full_name", F.explode(F.transform(fitting, lambda n: F.substring(F.col("full_name"), F.lit(1), n))).alias("prefix"))
     bound = wanted.join(prefixes, wanted["ref"] == prefixes["prefix"]).select("ref", "full_name")
     partial = rest.join(bound, "ref").select("src", F.col("full_name").alias("dst")).where("src <> dst")
-    missing = rest.join(bound.select("ref").distinct(), "ref", "left_anti").select("src", "ref")
-    return exact.unionAll(partial).distinct(), missing.distinct()
+    missing = rest.join(bound.select("ref").distinct(), "ref", "left_anti")
+    first = [F.min("place").alias("place")] if "place" in refs.columns else []
+    missing = missing.groupBy("src", "ref").agg(*first) if first else missing.select("src", "ref").distinct()
+    return exact.unionAll(partial).distinct(), missing
 
 
 def parsed(ref: Column) -> Column:

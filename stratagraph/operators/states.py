@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import written
@@ -108,7 +108,7 @@ def _said(text: str, *columns: str) -> Column:
 def _reason(f: DataFrame) -> Column:
     """Why the state is what it is; the wordings are fixed values. Branches are those of ``classify``, in its order.
 
-    Missing names come by name; a cycle's length is that of its strongly connected component.
+    Missing names come as they were found; a cycle's length is that of its strongly connected component.
     """
     t, d, n, c = F.col("type"), F.col("dependencies"), F.col("dependents"), F.col("complexity")
     kind = F.col("resource_type") if "resource_type" in f.columns else F.lit(None).cast("string")
@@ -195,9 +195,19 @@ def _reason(f: DataFrame) -> Column:
     )
 
 
+def _lost(missing: DataFrame) -> DataFrame:
+    """``full_name, n_missing, missing_names``: the first three names in the order of places, else by name. Ranks beyond
+    three are dropped before the shuffle, so an object may miss any number."""
+    order = [c for c in ("place", "ref") if c in missing.columns]
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(*order))
+    few = missing.withColumn("r", rank).where("r <= 3").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("r", "ref"))).alias("few"))
+    n = missing.groupBy("src").agg(F.count("*").alias("n_missing"))
+    return n.join(few, "src").select(F.col("src").alias("full_name"), "n_missing", F.array_join(F.col("few.ref"), ", ").alias("missing_names"))
+
+
 def features(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
     """The features of ``objects`` (``full_name, type`` and flags ``incomplete, good_practice, bare``: without
-    attributes, where there are any) under ``edges`` (``src, dst``) and ``missing`` (``src, ref``).
+    attributes, where there are any) under ``edges`` (``src, dst``) and ``missing`` (``src, ref`` and the ``place`` where it was found, if known).
 
     Degrees, users and infrastructure references come from a single aggregate over the edges. An explicit
     dependency counts even where there is no such object.
@@ -210,7 +220,7 @@ def features(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFr
     as_src = e.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
     known = e.where("dst is not null")
     as_dst = known.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
-    lost = missing.groupBy(F.col("src").alias("full_name")).agg(F.count("*").alias("n_missing"), F.array_join(F.slice(F.array_sort(F.collect_list("ref")), 1, 3), ", ").alias("missing_names"))
+    lost = _lost(missing)
     members = graph.cycle_members(known)
     sizes = members.groupBy("cycle").agg(F.count("*").alias("cycle_size"))
     loops = members.join(sizes, "cycle").select(F.col("node").alias("id"), F.lit(True).alias("circular"), "cycle_size")

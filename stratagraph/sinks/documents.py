@@ -13,12 +13,19 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import graph, metrics
 from ..plans.storage import written
 
 # Colours of node kinds, and the levels of SARIF.
 COLOURS = {"resource": "lightblue", "data": "lightgreen", "module": "orange", "variable": "lightyellow", "output": "lightpink", "provider": "lightgrey", "local": "white", "terraform": "grey"}
 SARIF_LEVELS = {"error": "error", "warning": "warning", "info": "note"}
 
+# A diagram's classes of nodes with fill and stroke, and the signs of kinds.
+CLASSES = (
+    ("variable", "#e1f5fe", "#01579b"), ("local", "#e8f5e8", "#1b5e20"), ("output", "#fffde7", "#f57f17"), ("resource", "#ffebee", "#c62828"), ("data", "#f3e5f5", "#7b1fa2"), ("module", "#fff3e0", "#ef6c00"), ("provider", "#fff9c4", "#f9a825"), ("default", "#f5f5f5", "#616161"),
+)
+SIGNS = {"variable": "📝", "local": "💬", "output": "📤", "resource": "🛠️", "data": "📊", "module": "📦", "provider": "⚙️"}
+
 
 def project_document(objects: DataFrame, edges: DataFrame, states: DataFrame) -> DataFrame:
     """One row, ``document``: the whole project as JSON: objects by kind with their dependencies, and counts."""
@@ -157,6 +164,54 @@ def mermaid(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame | None = None)
     return nodes.sparkSession.createDataFrame([(0, "flowchart TD")], "o int, line string").unionAll(n).unionAll(e).orderBy("o", "line").select("line")
 
 
+def shortened(address: Column) -> Column:
+    """Addresses of over 30 characters without what stands before their last part but the first two."""
+    p = F.split(address, r"\.")
+    first, last = F.get(p, 0), F.element_at(p, -1)
+    return F.when((F.length(address) > 30) & (F.size(p) > 3), F.concat(first, F.lit("."), F.get(p, 1), F.lit("..."), last)).when((F.length(address) > 30) & (F.size(p) == 3), F.concat(first, F.lit("..."), last)).otherwise(address)
+
+
+def diagram_lines(nodes: DataFrame, edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+    """``section, kind, step, name, line``: a Mermaid chart with nodes by depth and cycles marked, in lines that stand in
+    the order of the first four columns; see ``write_lines``.
+
+    ``nodes`` has ``node, type``, ``edges`` ``src, dst`` between them, ``cycles`` paths from a node back to it (``path``). Nodes without
+    a depth, as they depend on a cycle, come last. The chart's edges are numbered as they stand, by ``metrics.placed``, so those of cycles are styled by their numbers.
+    """
+    spark = nodes.sparkSession
+    pairs = written(graph.distinct_edges(edges))
+    n = nodes.join(graph.depths(nodes, pairs), "node").join(graph.degrees(nodes, pairs), "node")
+    depth = F.when(F.col("depth").isNull(), "~").otherwise(F.format_string("%012d", "depth"))
+    n = written(n.select("node", "type", "depth", depth.alias("group"), "dependencies", "dependents"))
+    id_ = lambda c: F.regexp_replace(_id(c), "^(?=[0-9])", "n")
+    sign = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SIGNS.items() for x in kv)), F.col("type")), F.lit("📄"))
+    name = F.when(F.col("type").isin(*(c for c, *_ in CLASSES)), F.col("type")).otherwise("default")
+    told = F.coalesce(F.col("depth").cast("string"), F.lit("cycle"))
+    label = F.concat_ws("<br>", F.concat_ws(" ", sign, F.upper("type")), F.concat(F.lit("`"), shortened(F.col("node")), F.lit("`")), F.concat(F.lit("Depth: "), told), F.concat(F.lit("╭─ Dependencies: "), "dependencies"), F.concat(F.lit("╰─ Dependents: "), "dependents"))
+    row = lambda section, kind, step, name, line: F.struct(F.lit(section).alias("section"), kind.alias("kind"), F.lit(step).cast("long").alias("step") if isinstance(step, int) else step.cast("long").alias("step"), name.alias("name"), line.alias("line"))
+    blank = F.lit("")
+    head = "graph TD\n" + "\n".join(f"    classDef {c} fill:{fill},stroke:{stroke},stroke-width:2px" for c, fill, stroke in CLASSES)
+    parts = [spark.range(1).select(F.explode(F.array(row(0, blank, 0, blank, F.lit(head)), row(2, blank, 0, blank, F.lit("    %% Dependencies")))).alias("r"))]
+    comment = F.when(F.col("group") == "~", "    %% On a cycle or depending on one").otherwise(F.concat(F.lit("    %% Depth "), F.col("depth").cast("string"), F.when(F.col("depth") == 0, " - Root nodes").otherwise("")))
+    parts.append(n.groupBy("group", "depth").count().select(row(1, F.col("group"), 0, blank, comment).alias("r")))
+    shown = F.concat(F.lit("    "), id_("node"), F.lit('["'), label, F.lit('"]\n    class '), id_("node"), F.lit(" "), name)
+    parts.append(n.select(row(1, F.col("group"), 1, F.col("node"), shown).alias("r")))
+    numbered = written(metrics.placed(pairs, [F.col("src"), F.col("dst")]).select("src", "dst", (F.col("place") - 1).alias("at")))
+    parts.append(numbered.select(row(3, blank, F.col("at"), blank, F.concat(F.lit("    "), id_("src"), F.lit(" --> "), id_("dst"))).alias("r")))
+    if cycles is not None:
+        c = written(metrics.placed(cycles.select("path"), [F.col("path")]))
+        kind = F.format_string("%018d", "place")
+        first = c.where("place = 1").select(row(4, blank, 0, blank, F.lit("    %% Circular Dependencies (highlighted)\n    linkStyle default fill:none,stroke:#ff0000,stroke-width:2px,stroke-dasharray:5,5")).alias("r"))
+        parts += [first, c.select(row(5, kind, 0, blank, F.concat(F.lit("    %% Cycle "), F.col("place").cast("string"))).alias("r"))]
+        steps = c.select("place", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))).alias("i", "e")).select("place", "i", F.col("e.a").alias("src"), F.col("e.b").alias("dst"))
+        style = F.concat(F.lit("    linkStyle "), F.col("at").cast("string"), F.lit(" stroke:#ff0000,stroke-width:3px,stroke-dasharray:0"))
+        parts.append(steps.join(numbered, ["src", "dst"]).select(row(5, kind, F.col("i") + 1, blank, style).alias("r")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.select("r.*")
+
+
 def csv_table(objects: DataFrame) -> DataFrame:
     """The resources as the columns Name, Type, Provider, File, Line."""
     return objects.where("type = 'resource'").select(F.col("name").alias("Name"), F.col("resource_type").alias("Type"), F.coalesce("provider", F.substring_index("resource_type", "_", 1)).alias("Provider"), F.col("file_path").alias("File"), F.col("line_number").alias("Line"))

@@ -5,10 +5,10 @@ import os
 
 import pytest
 
-from stratagraph.plans import inspections, registry  # noqa: F401  inspections registers its queries
+from stratagraph.plans import inspections, registry, reports  # noqa: F401  these register their queries
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ("catalog_counts", "type_histogram_top10", "ref_extract_regex", "ref_resolve_prefix", "edge_types_strength", "provider_join", "issues_by_group", "overwrite_last_wins", "fn_scalars", "fn_collections", "json_navigate", "name_style", "components", "all_chains", "located_references", "argument_nodes", "block_lines", "issues_narrowed", "node_order")
+QUICK = ("catalog_counts", "type_histogram_top10", "ref_extract_regex", "ref_resolve_prefix", "edge_types_strength", "provider_join", "issues_by_group", "overwrite_last_wins", "fn_scalars", "fn_collections", "json_navigate", "name_style", "components", "all_chains", "located_references", "argument_nodes", "block_lines", "issues_narrowed", "node_order", "explicit_and_implicit", "scan_summary", "types_told", "scan_in_short", "graph_with_layout")
 
 
 def rows(df):
