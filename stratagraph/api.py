@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import resolve
 from .model import state_dimension
-from .operators import graph, metrics, refs, search, states
+from .operators import graph, metrics, refs, search, states, summary
 from .plans.storage import written
 from .rules import registry
 from .sinks import documents
@@ -62,7 +62,7 @@ class Project:
                 "good_practice": states.good_practice(c("description"), c("tags"), c("name"), c("type") == "resource"),
             }
         )
-        f = states.features(flags.select("full_name", "type", "name", "resource_type", "provider", "description", "tags", "default_value", "file_path", "incomplete", "good_practice", "bare"), self.edges, self.missing)
+        f = states.features(flags.select("full_name", "type", "name", "resource_type", "provider", "description", "tags", "default_value", "file_path", "incomplete", "good_practice", "bare", *(x for x in ("ord",) if x in o.columns)), self.edges, self.missing)
         return written(states.classify(f).drop("incomplete", "good_practice", "bare", "default_value"))
 
     def search(self, text: str) -> DataFrame:
@@ -73,6 +73,20 @@ class Project:
         s = self.states
         return {"counts": metrics.kind_counts(self.objects), "states": metrics.state_distribution(s), "types": metrics.top_types(self.objects), "health": metrics.health_score(s), "graph_health": metrics.graph_health(s.select("state"), state_dimension(self.spark)), "graph": metrics.graph_stats(self.nodes, self.edges)}
 
+    def summary(self, samples: int = 5) -> DataFrame:
+        """What a scan tells, in rows; names in the catalog's order, where it has one."""
+        return summary.scan_summary(self.states, samples, "ord" if "ord" in self.states.columns else "full_name")
+
+    def drawing(self, width: float = 1000.0, height: float = 800.0) -> tuple[DataFrame, DataFrame]:
+        """Nodes with their states and places, and edges from end to end."""
+        return graph.laid_out(self.states.select(F.col("full_name").alias("node"), "type", "state"), self.edges, width, height)
+
+    def diagram(self) -> DataFrame:
+        """Lines of a chart by depth with its cycles marked, for ``documents.write_lines``."""
+        known = self.objects.select(F.col("full_name").alias("dst"))
+        edges = self.edges.join(known, "dst", "left_semi").select("src", "dst")
+        return documents.diagram_lines(self.nodes.distinct(), edges, graph.cycle_witnesses(edges))
+
     def cycles(self) -> DataFrame:
         return graph.cycle_members(self.edges)
 

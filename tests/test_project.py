@@ -221,6 +221,21 @@ def test_command_line(spark, project, tmp_path, capsys):
     assert cli.main(["scan", d + "/none"]) == 1
 
 
+def test_command_line_scans_and_draws(spark, project, tmp_path, capsys):
+    p, d = project
+    assert cli.main(["scan", d, "--simple"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0] == f"Total objects: {p.objects.where(F.col('type') != 'terraform').count()}" and lines[4].startswith("Health: ")
+    assert cli.main(["scan", d]) == 0
+    out = capsys.readouterr().out
+    assert "counts\ttotal\t" in out and "most frequent types" in out
+    assert cli.main(["export", d, "-f", "diagram", "-o", str(tmp_path / "c")]) == 0
+    text = "".join(x.read_text() for x in sorted((tmp_path / "c").glob("part-*")))
+    assert text.startswith("graph TD") and text.count("    class ") == p.nodes.distinct().count()
+    nodes, edges = p.drawing()
+    assert nodes.where("x > 0 and x < 1000 and y > 0 and y < 800").count() == p.nodes.count() and edges.where("x1 is null or x2 is null").isEmpty()
+
+
 def test_grammar():
     doc = hcl.loads('a "b" { x = <<EOT\nline ${y}\nEOT\n z = y == 1 ? "a" : "b" /* c */\n l = [for k, v in m : k]\n e { f = null } }')
     inner = doc["a"][0]["b"]
