@@ -120,7 +120,9 @@ def links(fps: DataFrame) -> DataFrame:
         below = [(_signed(m), _signed(m | finer), left) for m, kept in open_.items() for finer, left in _finer(kept)]
         open_ = {mask % (1 << 64): left for _, mask, left in below}
         masks = spark.createDataFrame([(a, m) for a, m, _ in below], "above long, mask long")
-        keyed = many.join(masks, "above").select("fp", *near, "all", "mask", F.col("all").bitwiseAND(F.col("mask")).alias("code"))
+        # All rows of the first level take each of its masks; a join by a constant would be planned as a product.
+        masked = many.join(masks, "above") if level else many.withColumn("mask", F.explode(F.array(*(F.lit(m).cast("long") for _, m, _ in below))))
+        keyed = masked.select("fp", *near, "all", "mask", F.col("all").bitwiseAND(F.col("mask")).alias("code"))
         keyed = written(keyed.distinct(), "keys") if level else written(keyed, "keys")
         size = keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
         shared = written(keyed.join(size, key), "candidates", keyed)
