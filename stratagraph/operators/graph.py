@@ -7,6 +7,8 @@ execution broadcasts what turns out small and splits what turns out skewed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,25 +94,50 @@ def _jumps(pointers: DataFrame) -> DataFrame:
     return jump.drop("moved")
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _pruned(need: DataFrame, free: DataFrame, e: DataFrame) -> list[DataFrame]:
+    """``node, level`` by level, where every edge is one long. A round drops the edges to what the last one settled; what has none left is settled, so
+    nothing is counted, and an edge is looked at until its end is settled only. ``need``: the nodes with edges; ``free``: those without."""
+    done, level, left, rest = [free.withColumn("level", F.lit(0).cast("long"))], 0, need, e
+    while not free.isEmpty() and not left.isEmpty():
+        level += 1
+        rest = written(rest.join(free.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), *([rest] if level > 1 else []))
+        open_ = left.join(rest.select(F.col("src").alias("node")).distinct().withColumn("open_", F.lit(True)), "node", "left")
+        split = written(open_)
+        free, left = split.where("open_ is null").select("node"), split.where("open_").select("node")
+        done.append(free.withColumn("level", F.lit(level).cast("long")))
+    return done
+
+
+def levels(nodes: DataFrame, edges: DataFrame, distinct: bool = False) -> DataFrame:
     """``node, level``: Kahn's order by levels. Level 0 depends on nothing; what is on a cycle or
-    depends on one has no level (null) and comes last.
+    depends on one has no level (null) and comes last. ``distinct``: the edges are a written table of distinct ones.
 
-    A node with one dependency lies a level above it, so stretches of such nodes are left out first, by doubled pointers. Between the others there are
+    Where no node with one dependency depends on another such, edges are dropped by rounds (``_pruned``). Else a node with one dependency lies a level
+    above it, so stretches of such nodes are left out first, by doubled pointers. Between the others there are
     edges as long as what they stand for. A round closes those of the nodes that the last one settled, and only nodes that it touches are counted: those
     with all dependencies closed are settled, at the longest way down. There are as many rounds as a way has branchings, however long it is.
     """
-    e = written(distinct_edges(edges))
-    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"))
-    every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open")))
-    ones = written(e.join(every.where("open = 1").select(F.col("node").alias("src")), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("next")))
-    # Only where one of them depends on another is there a stretch to leave out.
-    jump = None if ones.join(ones.select(F.col("node").alias("next")), "next", "left_semi").isEmpty() else _jumps(ones)
-    several = every.where("open > 1" if jump is not None else "open > 0").select(F.col("node").alias("src"), "open")
-    long = e.withColumn("length", F.lit(1))
-    if jump is not None:
-        long = e.join(several.select("src"), "src", "left_semi").join(jump, F.col("dst") == F.col("node"), "left")
-        long = written(long.select("src", F.coalesce("at", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")), e)
+    # A node's edges are laid out together, so that they are counted where they lie.
+    e = edges.select("src", "dst") if distinct else written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.min("dst").alias("next"))
+    every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open") == 1, F.col("next")).alias("next")))
+    ones = every.where("open = 1").select("node", "next")
+    if ones.join(ones.select(F.col("node").alias("next")), "next", "left_semi").isEmpty():
+        known = _all(_pruned(every.where("open > 0").select("node"), every.where("open = 0").select("node"), e))
+    else:
+        known = _counted(every, ones, e)
+    if not distinct:
+        discard(e)
+    known = known.select("node", F.col("level").cast("int").alias("level"))
+    return known if known.count() == every.count() else every.select("node").join(known, "node", "left")
+
+
+def _counted(every: DataFrame, ones: DataFrame, e: DataFrame) -> DataFrame:
+    """``node, level`` of the nodes that have one, where there are stretches to leave out."""
+    jump = _jumps(ones)
+    several = every.where("open > 1").select(F.col("node").alias("src"), "open")
+    long = e.join(several.select("src"), "src", "left_semi").join(jump, F.col("dst") == F.col("node"), "left")
+    long = written(long.select("src", F.coalesce("at", "dst").alias("dst"), (F.coalesce("steps", F.lit(0)) + 1).alias("length")))
     free, waiting = every.where("open = 0").select("node", F.lit(0).cast("long").alias("level")), None
     done = [free]
     while True:
@@ -125,10 +152,7 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
         done.append(free)
     known = _all(done)
-    if jump is not None:
-        known = known.unionAll(jump.join(known.select(F.col("node").alias("at"), "level"), "at").select("node", (F.col("level") + F.col("steps")).alias("level")))
-    known = known.select("node", F.col("level").cast("int").alias("level"))
-    return known if known.count() == every.count() else every.select("node").join(known, "node", "left")
+    return known.unionAll(jump.join(known.select(F.col("node").alias("at"), "level"), "at").select("node", (F.col("level") + F.col("steps")).alias("level")))
 
 
 def _ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
@@ -143,10 +167,14 @@ def _ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
     return ranked.withColumn("rank", F.col("first") + F.col("inside")).drop("inside", "first", "piece", "g_", "p_")
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _as_is(node: Column) -> Column:
+    return node
+
+
+def topological_order(nodes: DataFrame, edges: DataFrame, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """``node, level, position``: by level, within it by name, leftovers last. Positions are added up
-    from the levels' sizes, and ranks within a level from those of its pieces."""
-    lv = written(levels(nodes, edges).withColumn("key", F.coalesce("level", F.lit(2_000_000_000))))
+    from the levels' sizes, and ranks within a level from those of its pieces. ``name`` gives the names of nodes that are numbers."""
+    lv = written(levels(nodes, edges).select(name(F.col("node")).alias("node"), "level").withColumn("key", F.coalesce("level", F.lit(2_000_000_000))))
     size = lv.groupBy(F.col("key").alias("k_")).agg(F.count("*").alias("n"))
     # A row for each level.
     first = size.select("k_", F.coalesce(F.sum("n").over(Window.orderBy("k_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
@@ -159,20 +187,20 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return levels(nodes, edges).select("node", F.col("level").alias("depth"))
 
 
-def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``step, node`` of a longest chain, from its foundation up; ties by name; empty without edges.
+def critical_path(nodes: DataFrame, edges: DataFrame, name: Callable[[Column], Column] = _as_is) -> DataFrame:
+    """``step, node`` of a longest chain, from its foundation up; ties by name; empty without edges. ``name`` gives the names of nodes that are numbers.
 
     Every node points at the first of its deepest dependencies. Pointers are doubled, each round's kept; then the path is unfolded from its top, the longest jumps first, each of which
     doubles what is known of it.
     """
-    e = distinct_edges(edges)
-    d = written(depths(nodes, edges))
+    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    d = written(levels(nodes, e, distinct=True).select("node", F.col("level").alias("depth")))
     kind = dict(d.dtypes)["node"]
-    top = d.where("depth > 0").orderBy(F.desc("depth"), "node").limit(1).collect()
+    top = d.where("depth > 0").orderBy(F.desc("depth"), name(F.col("node"))).limit(1).collect()
     if not top:
-        return d.sparkSession.createDataFrame([], f"step int, node {kind}")
+        return d.sparkSession.createDataFrame([], f"step int, node {kind}").select("step", name(F.col("node")).alias("node"))
     below = e.join(d.select(F.col("node").alias("src"), F.col("depth").alias("own")), "src").join(d.select(F.col("node").alias("dst"), "depth"), "dst").where("depth = own - 1")
-    jumps = [written(below.groupBy("src").agg(F.min("dst").alias("dst")))]
+    jumps = [written(below.groupBy("src").agg(F.min_by("dst", name(F.col("dst"))).alias("dst")))]
     while 1 << len(jumps) <= top[0].depth:
         one, two = jumps[-1], jumps[-1].select(F.col("src").alias("dst"), F.col("dst").alias("further"))
         jumps.append(written(one.join(two, "dst").select("src", F.col("further").alias("dst"))))
@@ -180,7 +208,7 @@ def critical_path(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for k in range(len(jumps) - 1, -1, -1):
         path = written(path.unionAll(path.join(jumps[k], F.col("node") == F.col("src")).select((F.col("step") - (1 << k)).alias("step"), F.col("dst").alias("node"))), path)
     discard(*jumps)
-    return path
+    return path.select("step", name(F.col("node")).alias("node"))
 
 
 def shortest_chain(edges: DataFrame, a: object, b: object) -> DataFrame:
@@ -260,18 +288,22 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def cycle_members(edges: DataFrame) -> DataFrame:
-    """``node, cycle``: the nodes on cycles, each with the smallest node of its strongly connected component.
+def cycle_members(edges: DataFrame, distinct: bool = False) -> DataFrame:
+    """``node, cycle``: the nodes on cycles, each with the smallest node of its strongly connected component. ``distinct``: the edges are a
+    written table of distinct ones.
 
     What Kahn's order leaves over from either end is trimmed first: a graph without cycles is known from one
     pass. The rest goes by forward and backward colouring: each node takes the greatest name that reaches it; those
     that reach the node of their colour, within the colour, are its component, and leave. No pairs are made.
     """
-    e = written(distinct_edges(edges))
+    e = edges.select("src", "dst") if distinct else written(distinct_edges(edges.select("src", "dst").repartition("src")))
     for turn in (False, True):
         turned = reverse(e) if turn else e
         both = turned.select(F.col("src").alias("node")).unionAll(turned.select(F.col("dst").alias("node")))
-        left = levels(both, turned).where("level is null").select("node")
+        left = levels(both, turned, distinct=True).where("level is null").select("node")
+        if left.isEmpty():
+            # Everything has a level, so there is no cycle.
+            return e.where("false").select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
         on = lambda column, left=left: left.select(F.col("node").alias(column))
         e = written(e.join(on("src"), "src", "left_semi").join(on("dst"), "dst", "left_semi").select("src", "dst"), e)
     found = []
@@ -342,11 +374,15 @@ def cycle_witnesses(edges: DataFrame) -> DataFrame:
 def reaches(nodes: DataFrame, edges: DataFrame, through: tuple[str, ...] = ("local", "variable"), to: tuple[str, ...] = ("resource", "module", "data", "provider", "output")) -> DataFrame:
     """``node`` of those that a node of the kinds ``to`` depends on, directly or by way of the kinds ``through`` alone.
 
-    ``nodes`` has ``node, type``. Goes from the dependents down, so each node is settled once.
+    ``nodes`` has ``node, type``. Goes from the dependents down, so each node is settled once. A written table of distinct edges that has ``src_type``
+    needs no look at the nodes.
     """
-    kinds = nodes.select("node", "type")
-    e = distinct_edges(edges).join(kinds.withColumnRenamed("node", "src").withColumnRenamed("type", "src_type"), "src")
-    e = written(e.select("src", "dst", "src_type"))
+    if "src_type" in edges.columns:
+        e = edges.where("src <> dst").select("src", "dst", "src_type")
+    else:
+        kinds = nodes.select("node", "type")
+        e = distinct_edges(edges).join(kinds.withColumnRenamed("node", "src").withColumnRenamed("type", "src_type"), "src")
+        e = written(e.select("src", "dst", "src_type"))
     rounds = [written(e.where(F.col("src_type").isin(*to)).select(F.col("dst").alias("node")).distinct())]
     via = e.where(F.col("src_type").isin(*through))
     while not rounds[-1].isEmpty():
@@ -365,10 +401,10 @@ def neighbourhood(edges: DataFrame, start: DataFrame) -> DataFrame:
     return out.unionAll(in_).unionAll(s.select("start", F.col("start").alias("node"))).distinct()
 
 
-def hierarchical_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0, height: float = 600.0) -> DataFrame:
+def hierarchical_layout(nodes: DataFrame, edges: DataFrame, width: float = 800.0, height: float = 600.0, name: Callable[[Column], Column] = _as_is) -> DataFrame:
     """``node, layer, x, y``: layers from what nobody depends on downward, cycles in the last layer,
-    evenly spaced, in order of names."""
-    lv = written(levels(nodes, reverse(distinct_edges(edges))))
+    evenly spaced, in order of names. ``name`` gives the names of nodes that are numbers."""
+    lv = written(levels(nodes, reverse(edges)).select(name(F.col("node")).alias("node"), "level"))
     last = lv.agg(F.coalesce(F.max("level"), F.lit(-1)).alias("m")).first().m
     lv = lv.withColumn("layer", F.coalesce("level", F.lit(last + 1)))
     n_layers = lv.select("layer").distinct().count()

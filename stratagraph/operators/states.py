@@ -220,14 +220,28 @@ def features(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFr
     as_src = e.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
     known = e.where("dst is not null")
     as_dst = known.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
-    lost = _lost(missing)
-    members = graph.cycle_members(known)
+    lost = _lost(missing).join(at("full_name", "id", "type").select("full_name", "id"), "full_name").drop("full_name")
+    return _joined(f, as_src, as_dst, lost, known)
+
+
+def features_by_number(objects: DataFrame, edges: DataFrame, missing: DataFrame) -> DataFrame:
+    """``features`` of objects that have a number, ``id``, by which their edges go: a written table of distinct ``src, dst, src_type, dst_type`` with
+    their count ``c``. Missing references, ``src, c``, are counted, not named. All joins are by number, so objects are shuffled once."""
+    as_src = edges.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("dependencies"), F.max(F.col("dst_type").isin("resource", "module", "data")).alias("infra_ref"))
+    as_dst = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("dependents"), F.count_if(F.col("src_type").isin("resource", "data")).alias("users"))
+    lost = missing.groupBy(F.col("src").alias("id")).agg(F.sum("c").alias("n_missing"), F.lit(None).cast("string").alias("missing_names"))
+    return _joined(objects, as_src, as_dst, lost, edges)
+
+
+def _joined(f: DataFrame, as_src: DataFrame, as_dst: DataFrame, lost: DataFrame, known: DataFrame) -> DataFrame:
+    """Objects with what was found of them by ``id``, cycles and reach among it. ``known``: a written table of distinct edges."""
+    members = graph.cycle_members(known.where("src <> dst"), distinct=True)
     sizes = members.groupBy("cycle").agg(F.count("*").alias("cycle_size"))
     loops = members.join(sizes, "cycle").select(F.col("node").alias("id"), F.lit(True).alias("circular"), "cycle_size")
-    reach = graph.reaches(f.select(F.col("id").alias("node"), "type"), known).select(F.col("node").alias("id"), F.lit(True).alias("reaches"))
-    for x in (as_src, as_dst, loops, reach):
+    reach = graph.reaches(f.select(F.col("id").alias("node"), "type"), known.select("src", "dst", "src_type")).select(F.col("node").alias("id"), F.lit(True).alias("reaches"))
+    for x in (as_src, as_dst, loops, reach, lost):
         f = f.join(x, "id", "left")
-    f = f.join(lost, "full_name", "left").drop("id")
+    f = f.drop("id")
     f = f.na.fill(0, ["dependencies", "dependents", "users", "n_missing"]).na.fill(False, ["circular", "reaches", "infra_ref"])
     for flag in ("incomplete", "good_practice", "bare"):
         if flag not in f.columns:

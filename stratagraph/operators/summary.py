@@ -46,6 +46,7 @@ def scan_digest(states: DataFrame, samples: int = 5) -> DataFrame:
     """One row: total, health and grade, and up to ``samples`` names, by name, of unused, orphaned, isolated and
     incomplete objects. The samples are taken from one ranked pass by state, so no list of all names is made."""
     s = F.col("state")
+    states = written(states.select("type", "state", F.when(s.isin("unused", "orphaned", "isolated", "incomplete"), F.col("full_name")).alias("full_name")))
     n = states.agg(F.count_if(F.col("type") != "terraform").alias("total"), F.count_if(s.isin("active", "input", "output_interface", "configuration")).alias("good"), *(F.count_if(s == x).alias(x) for x in ("unused", "orphaned", "isolated", "incomplete")))
     n = n.withColumn("score", health(*(F.col(x) for x in ("total", "good", "unused", "orphaned", "incomplete")))).withColumn("grade", grade(F.col("score")))
     rank = F.row_number().over(Window.partitionBy("state").orderBy("full_name"))

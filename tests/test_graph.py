@@ -120,3 +120,28 @@ def test_empty(spark):
     assert graph.cycle_members(e).count() == 0
     assert graph.components(nodes_of(spark, "a"), e).count() == 1
     assert graph.critical_path(nodes_of(spark, "a"), e).count() == 0
+
+
+def test_levels_where_edges_are_dropped_by_rounds(spark):
+    """No stretches: every node that depends on one depends on several. What isn't there, and what is on a cycle, holds back all above it."""
+    pairs = [(3, 1), (3, 2), (4, 1), (4, 2), (5, 3), (5, 4), (5, 1), (6, 1), (6, 99), (7, 6), (7, 1), (8, 9), (8, 1), (9, 8), (9, 1), (5, 3), (1, 1), (None, 1), (3, None)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 11)], "node long")
+    want = {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: None, 7: None, 8: None, 9: None, 10: 0}
+    assert {r.node: r.level for r in graph.levels(nodes, e).collect()} == want
+    assert {r.node: r.cycle for r in graph.cycle_members(e).collect()} == {8: 8, 9: 8}
+    name = lambda c: F.concat(F.lit("n"), (F.lit(100) - c).cast("string"))
+    first = {r.step: r.node for r in graph.critical_path(nodes, e, name=name).collect()}
+    assert first == {2: "n95", 1: "n96", 0: "n98"}
+    assert {(r.node, r.position) for r in graph.topological_order(nodes, e, name=name).where("level = 1").collect()} == {("n96", 3), ("n97", 4)}
+
+
+def test_numbers_of_objects_stand_for_their_names(spark):
+    from stratagraph.plans import star
+
+    d = "/root/testdata/sf0.001"
+    names = {r.full_name: r.type for r in star.objects(spark, d).collect()}
+    node = F.col("node")
+    assert {r.name: r.type for r in star.numbers(spark, d).select(star.named(node).alias("name"), star.typed(node).alias("type")).collect()} == names
+    both = [sorted(map(tuple, x.collect())) for x in (star.references(spark, d).select("src", "ref"), star.links(spark, d).select(star.named(F.col("src")), star.named(F.col("dst"))))]
+    assert both[0] == both[1]
