@@ -770,3 +770,14 @@ def test_common_subsequence():
 
 def test_queries_are_registered():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES) == list(range(1, 11))
+
+
+def test_decontamination_model_is_of_no_sample(spark):
+    """The same texts under other ids, more of them than were ever sampled, give the same model; an item may be of one word."""
+    from stratagraph.llm import lsa
+
+    items = spark.createDataFrame([(1, "the red fox jumps over nine lazy dogs today"), (2, "zebra")], "item_id long, text string")
+    text = F.when(F.col("k") % 3 == 0, "the red fox sleeps").when(F.col("k") % 3 == 1, "nine dogs jumps over a zebra").otherwise("today")
+    a, b = (lsa.fit(spark.range(6000).withColumn("k", F.col("id")).select((F.col("id") + by).alias("doc_id"), text.alias("text")), items) for by in (0, 1_000_000))
+    assert (a.idf == b.idf).all()
+    assert (a.basis == b.basis).all()
