@@ -60,9 +60,9 @@ def closure(edges: DataFrame, start: DataFrame, most: int = 1_000_000) -> DataFr
     """``start, node, depth`` of everything reachable from ``start`` (column ``node``), without itself.
 
     Semi-naive: a round joins only the pairs that the last one added, and writes only what it adds. Cycles
-    end it, since a pair is kept once, with its shortest distance.
+    end it, since a pair is kept once, with its shortest distance. After the first round only edges that go on from another one's end are joined.
     """
-    e = written(distinct_edges(edges))
+    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
     rounds = [written(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())]
     for depth in range(1, most + 1):
         new = rounds[-1]
@@ -71,6 +71,8 @@ def closure(edges: DataFrame, start: DataFrame, most: int = 1_000_000) -> DataFr
         if new.isEmpty():
             break
         rounds.append(new)
+        if depth == 1:
+            e = written(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst"), e)
     return _all(rounds).where("depth > 0")
 
 
