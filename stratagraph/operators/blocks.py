@@ -61,14 +61,16 @@ def dependencies(rows: DataFrame, key: str, body: str = "attributes") -> DataFra
     resources; other kinds (paths, counters, functions) are no objects. What ``depends_on`` lists is named as it stands, and
     ``provider`` names a provider.
     """
-    # A row for each scalar; it gets a number, so that its key can be of any kind.
-    flat = written(values(rows, key, body).withColumn("row_", F.monotonically_increasing_id()))
+    flat = written(values(rows, key, body))
     plain = F.col("source").isin("depends_on", "provider")
     named = flat.where(plain).select(F.col(key), "path", "source", _named(F.col("value")).alias("ref"))
     named = named.select(key, "path", "source", "ref", F.when(F.col("source") == "provider", F.concat(F.lit("provider."), F.col("ref"))).otherwise(F.col("ref")).alias("target"))
-    found = inspection.walked(flat.where(~plain), "row_", "value").where(F.col("ref_type").isin("variable", "local", "module", "data", "resource"))
+    # Blocks say the same over and over: each different text is walked once, by a number of its own.
+    texts = written(flat.where(~plain).select("value").distinct().withColumn("row_", F.monotonically_increasing_id()))
+    found = inspection.walked(texts, "row_", "value").where(F.col("ref_type").isin("variable", "local", "module", "data", "resource"))
     # A resource's pattern also fits within a longer reference of the same text; that is no other object.
     found = found.select(F.col("row_").alias("r_"), "ref", "target", "position", "ref_type")
     part = found.where("ref_type <> 'resource'").select(F.col("r_").alias("o_"), F.col("position").alias("from_"), (F.col("position") + F.length("ref")).alias("to_"))
     found = found.join(part, (F.col("r_") == F.col("o_")) & (F.col("ref_type") == "resource") & (F.col("position") > F.col("from_")) & (F.col("position") < F.col("to_")), "left_anti")
-    return flat.join(found, F.col("row_") == F.col("r_")).select(F.col(key), "path", "source", "ref", "target").unionAll(named)
+    told = written(texts.join(found, F.col("row_") == F.col("r_")).select(F.col("value").alias("text_"), "ref", "target"), texts)
+    return flat.where(~plain).join(told, F.col("value") == F.col("text_")).select(F.col(key), "path", "source", "ref", "target").unionAll(named)
