@@ -604,6 +604,21 @@ def test_tree_grows_with_the_input(spark, monkeypatch):
         assert again.keys() == got.keys() and all(math.isclose(again[i], got[i], rel_tol=1e-9) for i in got)
 
 
+def test_counts_go_in_blocks(spark, monkeypatch):
+    """Blank ends, other scripts and words that are begun by a blank of no ASCII are split as bytes are; blocks and pieces of any size change no count."""
+    rows = [(0, " a  B\tb\n"), (1, ""), (2, " \n "), (3, "É é \u00a0x \x1fa a"), (4, "b " * 700)]
+    want = Counter(w for _, t in rows for w in t.encode().lower().split())
+    d = docs(spark, rows).select("doc_id", F.lit(False).alias("held_out"), "text")
+    for held in (suffixtree.HELD, 3):
+        monkeypatch.setattr(suffixtree, "HELD", held)
+        monkeypatch.setattr(suffixtree, "SYMBOLS", held)
+        coded = suffixtree._coded(d, suffixtree.Hashed())
+        got = suffixtree.word_counts(coded, sum(want.values())).collect()
+        assert len(got) == len(want) and {r.symbol: r.n for r in got} == {suffixtree.Hashed()[w]: n for w, n in want.items()}
+        sizes = {r.doc_id: (r.size, len(r.symbols)) for r in coded.collect()}
+        assert sizes == {i: (len(t.encode().split()), 8 * len(t.encode().split())) for i, t in rows}
+
+
 # 9
 
 
