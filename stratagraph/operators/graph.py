@@ -213,17 +213,18 @@ def critical_path(nodes: DataFrame, edges: DataFrame, name: Callable[[Column], C
     return path.select("step", name(F.col("node")).alias("node"))
 
 
-def shortest_chain(edges: DataFrame, a: object, b: object) -> DataFrame:
-    """``step, node`` of a shortest path from ``a`` to ``b``, the first by names; empty if there is none.
+def shortest_chain(edges: DataFrame, a: object, b: object, name: Callable[[Column], Column] = _as_is) -> DataFrame:
+    """``step, node`` of a shortest path from ``a`` to ``b``, the first by names; empty if there is none. ``name`` gives the names of nodes that are numbers.
 
     Nodes with one edge in and one out are left out first, by doubled pointers to the last of their stretch, and an edge stands for each stretch, with its length and the name that it
     begins with. Paths over those are lengthened by an edge a round and the best to each node is kept (equally long ones differ first where
     they part, by a stretch's first name). Where none gets better, the stretches of the path to ``b`` are filled in.
     """
-    e = written(distinct_edges(edges))
+    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
     spark, kind = e.sparkSession, dict(e.dtypes)["src"]
+    called = dict(e.select(name(F.col("src")).alias("name")).dtypes)["name"]
     if a == b:
-        return spark.createDataFrame([(0, a)], f"step int, node {kind}")
+        return spark.createDataFrame([(0, a)], f"step int, node {kind}").select("step", name(F.col("node")).alias("node"))
     out = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("dst").alias("next")).where("n = 1")
     into = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).where("n = 1").select("node")
     inner = written(out.join(into, "node").where((F.col("node") != F.lit(a)) & (F.col("node") != F.lit(b))).select("node", "next"))
@@ -235,22 +236,22 @@ def shortest_chain(edges: DataFrame, a: object, b: object) -> DataFrame:
     held = written(held.join(end, "last"))
     outer = e.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(held.select(F.col("node").alias("dst"), "end", "left_"), "dst", "left")
     outer = written(outer.select("src", F.coalesce("end", "dst").alias("to"), F.coalesce(F.col("left_") + 2, F.lit(1)).alias("length"), F.col("dst").alias("first")))
-    best = new = spark.createDataFrame([(a,)], f"node {kind}").select("node", F.struct(F.lit(0).cast("long").alias("length"), F.array().cast(f"array<{kind}>").alias("names"), F.array().cast("array<bigint>").alias("at")).alias("way"))
+    best = new = spark.createDataFrame([(a,)], f"node {kind}").select("node", F.struct(F.lit(0).cast("long").alias("length"), F.array().cast(f"array<struct<name:{called},node:{kind}>>").alias("names"), F.array().cast("array<bigint>").alias("at")).alias("way"))
     while True:
-        longer = F.struct((F.col("way.length") + F.col("length")).alias("length"), F.concat("way.names", F.array("first")).alias("names"), F.concat("way.at", F.array(F.col("way.length"))).alias("at"))
+        longer = F.struct((F.col("way.length") + F.col("length")).alias("length"), F.concat("way.names", F.array(F.struct(name(F.col("first")).alias("name"), F.col("first").alias("node")))).alias("names"), F.concat("way.at", F.array(F.col("way.length"))).alias("at"))
         step = new.join(outer, F.col("node") == F.col("src")).groupBy(F.col("to").alias("node")).agg(F.min(longer).alias("way"))
         new = written(step.join(best.select("node", F.col("way").alias("known")), "node", "left").where("known is null or way < known").drop("known"))
         if new.isEmpty():
             break
         best = written(best.unionAll(new).groupBy("node").agg(F.min("way").alias("way")))
-    way = best.where(F.col("node") == F.lit(b)).select(F.explode(F.arrays_zip("way.names", "way.at")).alias("x")).select(F.col("x.names").alias("first"), F.col("x.at").alias("begun"))
+    way = best.where(F.col("node") == F.lit(b)).select(F.explode(F.arrays_zip("way.names", "way.at")).alias("x")).select(F.col("x.names.node").alias("first"), F.col("x.at").alias("begun"))
     # A stretch holds the nodes with its last one that lie no further from it than its first.
     begin = held.select(F.col("node").alias("first"), "last", F.col("left_").alias("whole"))
     filled = way.join(begin, "first").join(held.select("node", "last", "left_"), "last").where("left_ <= whole").select((F.col("begun") + 1 + F.col("whole") - F.col("left_")).alias("step"), "node")
     plain = way.join(begin.select("first"), "first", "left_anti").select((F.col("begun") + 1).alias("step"), F.col("first").alias("node"))
     ends = way.join(begin, "first").join(end, "last").select((F.col("begun") + 2 + F.col("whole")).alias("step"), F.col("end").alias("node"))
     start = way.agg(F.count("*").alias("n")).where("n > 0").select(F.lit(0).cast("long").alias("step"), F.lit(a).cast(kind).alias("node"))
-    return _all([start, filled, plain, ends]).select(F.col("step").cast("int").alias("step"), "node")
+    return _all([start, filled, plain, ends]).select(F.col("step").cast("int").alias("step"), name(F.col("node")).alias("node"))
 
 
 def all_chains(edges: DataFrame, start: DataFrame, most: int = 10) -> DataFrame:

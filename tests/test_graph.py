@@ -59,6 +59,15 @@ def test_chains_and_components(spark):
     assert got == {"a": "a", "b": "a", "c": "a", "d": "a", "q": "q", "r": "q", "s": "s"}
 
 
+def test_chains_of_numbers_go_by_name(spark):
+    """Of equally long ways the first by names, not by numbers, is taken; without names it is the one by numbers."""
+    e = spark.createDataFrame([(1, 9), (1, 10), (9, 3), (10, 3), (3, 4)], "src long, dst long")
+    called = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    assert [r.node for r in graph.shortest_chain(e, 1, 4, name=called).orderBy("step").collect()] == ["n1", "n10", "n3", "n4"]
+    assert [r.node for r in graph.shortest_chain(e, 1, 4).orderBy("step").collect()] == [1, 9, 3, 4]
+    assert [r.node for r in graph.shortest_chain(e, 1, 1, name=called).collect()] == ["n1"]
+
+
 def test_cycle_paths(spark):
     e = edges_of(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")])
     assert {">".join(r.path) for r in graph.cycle_paths(e).collect()} == {"a>b>a", "a>b>c>a"}
