@@ -796,3 +796,24 @@ def test_decontamination_model_is_of_no_sample(spark):
     a, b = (lsa.fit(spark.range(6000).withColumn("k", F.col("id")).select((F.col("id") + by).alias("doc_id"), text.alias("text")), items) for by in (0, 1_000_000))
     assert (a.idf == b.idf).all()
     assert (a.basis == b.basis).all()
+
+
+def test_pairs_that_occur_once_are_not_counted(spark, monkeypatch):
+    S = suffixtree
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 40)) + (" w1 w2" if i % 2 else "")) for i in range(40)]
+    d = docs(spark, rows).withColumn("held_out", F.lit(False)).select("doc_id", "held_out", "text")
+    number = S.Hashed()
+    pairs = Counter()
+    for _, t in rows:
+        ids = [S.BEGIN, *(number[w.encode()] for w in t.split()), S.END]
+        pairs.update(zip(ids, ids[1:]))
+    every = np.full(1 << (S.BITS - 6), (1 << 64) - 1, np.uint64)
+    keys = {p: int(S._pair(S._grown(np.zeros(1, np.uint64), np.array(p[:1])), np.array(p[1:]))[0]) for p in pairs}
+    coded = S._coded(d, number)
+    for held in (S.HELD, 3):
+        monkeypatch.setattr(S, "HELD", held)
+        passed = S._maybe(S._again(coded, every, 4, 4), np.array(list(keys.values()), np.uint64))
+        assert all(ok for ok, p in zip(passed, keys) if pairs[p] >= S.PAIR)
+        assert sum(ok for ok, p in zip(passed, keys) if pairs[p] < S.PAIR) <= 2 < sum(n < S.PAIR for n in pairs.values()) / 10
