@@ -814,6 +814,6 @@ def test_pairs_that_occur_once_are_not_counted(spark, monkeypatch):
     coded = S._coded(d, number)
     for held in (S.HELD, 3):
         monkeypatch.setattr(S, "HELD", held)
-        passed = S._maybe(S._again(coded, every, 4, 4), np.array(list(keys.values()), np.uint64))
+        passed = S._maybe(S._again(coded, 1, every, None, None, 4, 4), np.array(list(keys.values()), np.uint64))
         assert all(ok for ok, p in zip(passed, keys) if pairs[p] >= S.PAIR)
         assert sum(ok for ok, p in zip(passed, keys) if pairs[p] < S.PAIR) <= 2 < sum(n < S.PAIR for n in pairs.values()) / 10
