@@ -179,3 +179,20 @@ def test_lines(spark, pieces):
     }
     at = {(r.file_path, r.kind, r.attribute): r.line_number for r in positions.attribute_lines(d).collect()}
     assert at[("a.tf", "resource", "x")] == 3 and at[("a.tf", "resource", "y")] == 6 and at[("a.tf", "locals", "two")] == 12 and at[("b.tf.json", "resource", "x")] == 14 and at[("b.tf.json", "locals", "k")] == 9
+
+
+def test_lines_are_shuffled_once(spark, monkeypatch):
+    """All that places take of a file's lines is found where they are; files of many lines, whose braces are added up by pieces, have the same places."""
+    text = {"a.tf": ['resource "t" "a" {', "  x = 1", "  in {", "    y = 2", "  }", "}", 'variable "v" { }', "", 'resource "t" "a" {', "  z = 1", "}", "locals {", "  q = 1"],
+            "b.tf.json": ["{", '"resource": {', '"t": {', '"a": {', '"x": [{', '"y": 1', "}]", "}", "}", "}", "}"]}
+    d = spark.createDataFrame([("p", f, i, x) for f, xs in text.items() for i, x in enumerate(xs, 1)], "project string, file_path string, line_number int, line string")
+    found = []
+    for many in (positions.MANY, 2, 11):
+        monkeypatch.setattr(positions, "MANY", many)
+        p, a = positions.places(d), positions.attribute_lines(d)
+        if not found:
+            assert [x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for x in (p, a)] == [1, 1]
+        found.append((sorted(map(tuple, p.collect()), key=str), sorted(map(tuple, a.collect()), key=str)))
+    assert found[0] == found[1] == found[2]
+    assert found[0][0] == [("p", "a.tf", "locals", None, None, 12, 13), ("p", "a.tf", "resource", "t", "a", 1, 6), ("p", "a.tf", "variable", "v", None, 7, 8), ("p", "b.tf.json", "resource", "t", "a", 4, 8)]
+    assert {(r[1], r[5], r[6]) for r in found[0][1]} == {("a.tf", "x", 2), ("a.tf", "y", 4), ("a.tf", "q", 13), ("b.tf.json", "a", 4), ("b.tf.json", "x", 5), ("b.tf.json", "y", 6)}
