@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import written
+
 # The reference patterns of the configuration language.
 _ID = "[A-Za-z_][A-Za-z0-9_-]*"
 PATTERNS = (
@@ -56,20 +58,38 @@ def resolve(refs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     second is an equi-join too: the catalog's names are spread into their prefixes, and only into those of
     the lengths that unmatched references have (a row for each length, so small). If references have a
     ``place``, missing ones have their first.
+
+    What each reference binds to is written once. Pairs come out of the join once each, with no look at all of them: a reference that begins with
+    another of its object that binds by prefix has nothing of its own to add, and is left out before the join (``_covered``).
     """
     names = names.select("full_name").distinct()
-    exact = refs.join(names, refs["ref"] == names["full_name"], "left_semi").select("src", F.col("ref").alias("dst"))
-    rest = refs.join(names, refs["ref"] == names["full_name"], "left_anti")
-    wanted = rest.select("ref").distinct()
+    every = refs.select("ref").distinct()
+    wanted = every.join(names, every["ref"] == names["full_name"], "left_anti")
     sizes = wanted.agg(F.coalesce(F.sort_array(F.collect_set(F.length("ref"))), F.array().cast("array<int>")).alias("sizes")).first().sizes
     fitting = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("full_name"))
     prefixes = names.select("full_name", F.explode(F.transform(fitting, lambda n: F.substring(F.col("full_name"), F.lit(1), n))).alias("prefix"))
-    bound = wanted.join(prefixes, wanted["ref"] == prefixes["prefix"]).select("ref", "full_name")
-    partial = rest.join(bound, "ref").select("src", F.col("full_name").alias("dst")).where("src <> dst")
-    missing = rest.join(bound.select("ref").distinct(), "ref", "left_anti")
+    # The names go by, and the one reference that is their prefix is held.
+    bound = prefixes.join(wanted, F.col("prefix") == F.col("ref")).select("ref", "full_name", F.lit(False).alias("exact"))
+    same = names.join(every, F.col("full_name") == F.col("ref")).select("ref", "full_name", F.lit(True).alias("exact"))
+    bound = written(bound.unionAll(same))
+    known = bound.select("ref", "exact").distinct()
+    kept = _covered(refs.select("src", "ref").join(known, "ref").repartition("src").distinct()).where(~F.col("covered") | F.col("exact") & ~F.coalesce(F.col("src") != F.col("ref"), F.lit(False)))
+    resolved = kept.drop("exact").join(bound, "ref").where("exact or src <> full_name").select("src", F.col("full_name").alias("dst"))
+    missing = refs.join(known.select("ref"), "ref", "left_anti")
     first = [F.min("place").alias("place")] if "place" in refs.columns else []
     missing = missing.groupBy("src", "ref").agg(*first) if first else missing.select("src", "ref").distinct()
-    return exact.unionAll(partial).distinct(), missing
+    return resolved, missing
+
+
+def _covered(refs: DataFrame) -> DataFrame:
+    """Adds to ``src, ref, exact`` whether the reference begins with another one of its ``src`` that isn't ``exact``.
+
+    What begins with a reference lies, by its bytes, between it and itself with a byte above all others, and two such stretches are apart or one holds the other.
+    So it is enough to know how far those before reach.
+    """
+    reach = F.when(~F.col("exact"), F.concat(F.encode("ref", "UTF-8"), F.lit(bytes([255]))))
+    before = Window.partitionBy("src").orderBy(F.encode("ref", "UTF-8")).rowsBetween(Window.unboundedPreceding, -1)
+    return refs.withColumn("covered", F.coalesce(F.max(reach).over(before) > F.encode("ref", "UTF-8"), F.lit(False)))
 
 
 def parsed(ref: Column) -> Column:
