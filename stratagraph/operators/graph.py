@@ -19,6 +19,12 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct()
 
 
+def _laid(edges: DataFrame) -> DataFrame:
+    """A written table of the distinct edges, a node's together. Edges that say they lie so (``by_src``) are not shuffled for it."""
+    pairs = edges.select("src", "dst")
+    return written(distinct_edges(pairs if getattr(edges, "by_src", False) else pairs.repartition("src")))
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -62,7 +68,7 @@ def closure(edges: DataFrame, start: DataFrame, most: int = 1_000_000) -> DataFr
     Semi-naive: a round joins only the pairs that the last one added, and writes only what it adds. Cycles
     end it, since a pair is kept once, with its shortest distance. After the first round only edges that go on from another one's end are joined.
     """
-    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    e = _laid(edges)
     rounds = [written(start.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct())]
     for depth in range(1, most + 1):
         new = rounds[-1]
@@ -120,7 +126,7 @@ def levels(nodes: DataFrame, edges: DataFrame, distinct: bool = False) -> DataFr
     with all dependencies closed are settled, at the longest way down. There are as many rounds as a way has branchings, however long it is.
     """
     # A node's edges are laid out together, so that they are counted where they lie.
-    e = edges.select("src", "dst") if distinct else written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    e = edges.select("src", "dst") if distinct else _laid(edges)
     need = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("open"), F.min("dst").alias("next"))
     every = written(nodes.select("node").distinct().join(need, "node", "left").select("node", F.coalesce("open", F.lit(0)).alias("open"), F.when(F.col("open") == 1, F.col("next")).alias("next")))
     ones = every.where("open = 1").select("node", "next")
@@ -195,7 +201,7 @@ def critical_path(nodes: DataFrame, edges: DataFrame, name: Callable[[Column], C
     Every node points at the first of its deepest dependencies. Pointers are doubled, each round's kept; then the path is unfolded from its top, the longest jumps first, each of which
     doubles what is known of it.
     """
-    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    e = _laid(edges)
     d = written(levels(nodes, e, distinct=True).select("node", F.col("level").alias("depth")))
     kind = dict(d.dtypes)["node"]
     top = d.where("depth > 0").orderBy(F.desc("depth"), name(F.col("node"))).limit(1).collect()
@@ -220,7 +226,7 @@ def shortest_chain(edges: DataFrame, a: object, b: object, name: Callable[[Colum
     begins with. Paths over those are lengthened by an edge a round and the best to each node is kept (equally long ones differ first where
     they part, by a stretch's first name). Where none gets better, the stretches of the path to ``b`` are filled in.
     """
-    e = written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    e = _laid(edges)
     spark, kind = e.sparkSession, dict(e.dtypes)["src"]
     called = dict(e.select(name(F.col("src")).alias("name")).dtypes)["name"]
     if a == b:
@@ -291,19 +297,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("node").distinct().join(e.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def cycle_members(edges: DataFrame, distinct: bool = False) -> DataFrame:
+def cycle_members(edges: DataFrame, distinct: bool = False, leveled: DataFrame | None = None) -> DataFrame:
     """``node, cycle``: the nodes on cycles, each with the smallest node of its strongly connected component. ``distinct``: the edges are a
-    written table of distinct ones.
+    written table of distinct ones. ``leveled``: what ``levels`` gave for them, where it is known.
 
     What Kahn's order leaves over from either end is trimmed first: a graph without cycles is known from one
     pass. The rest goes by forward and backward colouring: each node takes the greatest name that reaches it; those
     that reach the node of their colour, within the colour, are its component, and leave. No pairs are made.
     """
-    e = edges.select("src", "dst") if distinct else written(distinct_edges(edges.select("src", "dst").repartition("src")))
+    e = edges.select("src", "dst") if distinct else _laid(edges)
     for turn in (False, True):
         turned = reverse(e) if turn else e
         both = turned.select(F.col("src").alias("node")).unionAll(turned.select(F.col("dst").alias("node")))
-        left = levels(both, turned, distinct=True).where("level is null").select("node")
+        left = (levels(both, turned, distinct=True) if turn or leveled is None else leveled).where("level is null").select("node")
         if left.isEmpty():
             # Everything has a level, so there is no cycle.
             return e.where("false").select(F.col("src").alias("node"), F.col("dst").alias("cycle"))
@@ -357,10 +363,10 @@ def cycle_paths(edges: DataFrame, most: int = 12) -> DataFrame:
     return out if out is not None else e.select(F.array("src").alias("path")).limit(0)
 
 
-def cycle_witnesses(edges: DataFrame) -> DataFrame:
+def cycle_witnesses(edges: DataFrame, leveled: DataFrame | None = None) -> DataFrame:
     """``path``: for each edge on a cycle a shortest simple cycle through it, whatever its length, from its
-    smallest node and back to it; each path once. Every node and every component of cycles is on one."""
-    members = written(cycle_members(edges))
+    smallest node and back to it; each path once. Every node and every component of cycles is on one. ``leveled``: what ``levels`` gave for the edges, where it is known."""
+    members = written(cycle_members(edges, leveled=leveled))
     e = written(distinct_edges(edges).join(members.select(F.col("node").alias("src"), F.col("cycle").alias("c")), "src").join(members.select(F.col("node").alias("dst"), F.col("cycle").alias("d")), "dst").where("c = d").select("src", "dst"))
     new = seen = written(e.select(F.col("dst").alias("start"), F.col("dst").alias("node"), F.array("dst").alias("path")).distinct())
     while not new.isEmpty():
@@ -369,9 +375,13 @@ def cycle_witnesses(edges: DataFrame) -> DataFrame:
         seen = written(seen.unionAll(new))
     # The path from an edge's end to its start, which the edge closes.
     closed = e.join(seen, (e["dst"] == seen["start"]) & (e["src"] == seen["node"])).select("path")
-    first = F.array_position("path", F.array_min("path")).cast("int")
-    turned = F.concat(F.slice("path", first, F.size("path")), F.slice("path", F.lit(1), first - 1), F.array(F.array_min("path")))
-    return closed.select(turned.alias("path")).distinct()
+    return closed.select(turned(F.col("path")).alias("path")).distinct()
+
+
+def turned(ring: Column) -> Column:
+    """The path around a ring, an array of different nodes, from the smallest and back to it."""
+    first = F.array_position(ring, F.array_min(ring)).cast("int")
+    return F.concat(F.slice(ring, first, F.size(ring)), F.slice(ring, F.lit(1), first - 1), F.array(F.array_min(ring)))
 
 
 def reaches(nodes: DataFrame, edges: DataFrame, through: tuple[str, ...] = ("local", "variable"), to: tuple[str, ...] = ("resource", "module", "data", "provider", "output")) -> DataFrame:
