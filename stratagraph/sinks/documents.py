@@ -53,17 +53,21 @@ def _counted(rows: DataFrame, by: str) -> DataFrame:
     return n.agg(F.coalesce(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n"))))), F.lit("{}")).alias("json"))
 
 
-def project_lines(objects: DataFrame, edges: DataFrame, metadata: dict | None = None, variables: DataFrame | None = None, backend: DataFrame | None = None, issues: DataFrame | None = None) -> DataFrame:
+def project_lines(objects: DataFrame, edges: DataFrame, metadata: dict | None = None, variables: DataFrame | None = None, backend: DataFrame | None = None, issues: DataFrame | None = None, name: Callable[[Column], Column] | None = None) -> DataFrame:
     """``section, kind, step, name, line``: a project as one JSON document, in lines that stand in the order of the first four columns.
 
     It holds ``metadata``, the variables given (``name, value``), the backend (``backend``, as JSON), statistics, a summary of
     the issues, and every object by kind, with its dependencies and dependents, on a line of its own. No row holds more than one object, so
-    a document may be of any size; see ``write_lines``.
+    a document may be of any size; see ``write_lines``. With ``name``, edges go by the number that objects have as ``id``, and names are
+    only put in their place in the lines.
     """
-    spark = objects.sparkSession
-    deps = edges.groupBy(F.col("src").alias("full_name")).agg(F.array_sort(F.collect_set("dst")).alias("dependencies"))
-    users = edges.groupBy(F.col("dst").alias("full_name")).agg(F.array_sort(F.collect_set("src")).alias("dependents"))
-    o = objects.join(deps, "full_name", "left").join(users, "full_name", "left")
+    spark, key = objects.sparkSession, "id" if name else "full_name"
+    # Edges are shuffled as they are, not as sets of one or two. Both uses read them alike, so that what lies below is made once.
+    whole = edges.where("src is not null and dst is not null")
+    laid = lambda by, rows: rows if by == "src" and getattr(edges, "by_src", False) else rows.repartition(key)
+    ends = lambda by, of, told: laid(by, whole.select(F.col(by).alias(key), F.col(of).alias("end"))).groupBy(key).agg(F.collect_set("end").alias(told))
+    o = objects.join(ends("src", "dst", "dependencies"), key, "left").join(ends("dst", "src", "dependents"), key, "left")
+    o = o.withColumns({c: F.array_sort(F.transform(c, name) if name else F.col(c)) for c in ("dependencies", "dependents")})
     shown = F.to_json(F.struct(*(c for c in SHOWN if c in o.columns)))
     o = written(o.select("type", "full_name", *(c for c in ("state",) if c in o.columns), shown.alias("json")))
     line = lambda section, text, step=0: F.struct(F.lit(section).alias("section"), F.lit("").alias("kind"), F.lit(step).alias("step"), F.lit("").alias("name"), text.alias("line"))
@@ -112,10 +116,10 @@ def sarif_lines(issues: DataFrame) -> DataFrame:
     return each.unionAll(spark.createDataFrame(ends, "section int, kind string, step int, name string, line string"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
     """Writes lines as text files, in order: those of a folder, one after the other by name, are the document. They are laid out by range, so none is
-    gathered in a task or on the driver."""
-    lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line").write.text(path)
+    gathered in a task or on the driver. Files packed by ``gzip`` are one packed document, one after the other."""
+    lines.repartitionByRange(*_ORDER).sortWithinPartitions(*_ORDER).select("line").write.text(path, compression=compression)
 
 
 def issues_document(issues: DataFrame) -> str:
@@ -139,7 +143,7 @@ def sarif(issues: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
-def _id(name: str) -> Column:
+def _id(name: str | Column) -> Column:
     return F.regexp_replace(name, "[^A-Za-z0-9_]", "_")
 
 
@@ -171,21 +175,23 @@ def shortened(address: Column) -> Column:
     return F.when((F.length(address) > 30) & (F.size(p) > 3), F.concat(first, F.lit("."), F.get(p, 1), F.lit("..."), last)).when((F.length(address) > 30) & (F.size(p) == 3), F.concat(first, F.lit("..."), last)).otherwise(address)
 
 
-def diagram_lines(nodes: DataFrame, edges: DataFrame, cycles: DataFrame | None = None) -> DataFrame:
+def diagram_lines(nodes: DataFrame, edges: DataFrame, cycles: DataFrame | None = None, name: Callable[[Column], Column] | None = None, leveled: DataFrame | None = None) -> DataFrame:
     """``section, kind, step, name, line``: a Mermaid chart with nodes by depth and cycles marked, in lines that stand in
     the order of the first four columns; see ``write_lines``.
 
     ``nodes`` has ``node, type``, ``edges`` ``src, dst`` between them, ``cycles`` paths from a node back to it (``path``). Nodes without
     a depth, as they depend on a cycle, come last. The chart's edges are numbered as they stand, by ``metrics.placed``, so those of cycles are styled by their numbers.
+    Nodes may be numbers that ``name`` gives the names of: those are only put in their place in the lines and their order, and what is sent and shuffled is small. ``leveled``: what ``graph.levels`` gave, where it is known.
     """
-    spark = nodes.sparkSession
+    spark, said = nodes.sparkSession, name or (lambda node: node)
     pairs = written(graph.distinct_edges(edges))
-    n = nodes.join(graph.depths(nodes, pairs), "node").join(graph.degrees(nodes, pairs), "node")
+    depths = (leveled or graph.levels(nodes, pairs, distinct=True)).select("node", F.col("level").alias("depth"))
+    n = nodes.join(depths, "node").join(graph.degrees(nodes, pairs), "node")
     depth = F.when(F.col("depth").isNull(), "~").otherwise(F.format_string("%012d", "depth"))
-    n = written(n.select("node", "type", "depth", depth.alias("group"), "dependencies", "dependents"))
+    n = written(n.select(said(F.col("node")).alias("node"), "type", "depth", depth.alias("group"), "dependencies", "dependents"))
     id_ = lambda c: F.regexp_replace(_id(c), "^(?=[0-9])", "n")
     sign = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in SIGNS.items() for x in kv)), F.col("type")), F.lit("📄"))
-    name = F.when(F.col("type").isin(*(c for c, *_ in CLASSES)), F.col("type")).otherwise("default")
+    shape = F.when(F.col("type").isin(*(c for c, *_ in CLASSES)), F.col("type")).otherwise("default")
     told = F.coalesce(F.col("depth").cast("string"), F.lit("cycle"))
     label = F.concat_ws("<br>", F.concat_ws(" ", sign, F.upper("type")), F.concat(F.lit("`"), shortened(F.col("node")), F.lit("`")), F.concat(F.lit("Depth: "), told), F.concat(F.lit("╭─ Dependencies: "), "dependencies"), F.concat(F.lit("╰─ Dependents: "), "dependents"))
     row = lambda section, kind, step, name, line: F.struct(F.lit(section).alias("section"), kind.alias("kind"), F.lit(step).cast("long").alias("step") if isinstance(step, int) else step.cast("long").alias("step"), name.alias("name"), line.alias("line"))
@@ -194,12 +200,16 @@ def diagram_lines(nodes: DataFrame, edges: DataFrame, cycles: DataFrame | None =
     parts = [spark.range(1).select(F.explode(F.array(row(0, blank, 0, blank, F.lit(head)), row(2, blank, 0, blank, F.lit("    %% Dependencies")))).alias("r"))]
     comment = F.when(F.col("group") == "~", "    %% On a cycle or depending on one").otherwise(F.concat(F.lit("    %% Depth "), F.col("depth").cast("string"), F.when(F.col("depth") == 0, " - Root nodes").otherwise("")))
     parts.append(n.groupBy("group", "depth").count().select(row(1, F.col("group"), 0, blank, comment).alias("r")))
-    shown = F.concat(F.lit("    "), id_("node"), F.lit('["'), label, F.lit('"]\n    class '), id_("node"), F.lit(" "), name)
+    shown = F.concat(F.lit("    "), id_("node"), F.lit('["'), label, F.lit('"]\n    class '), id_("node"), F.lit(" "), shape)
     parts.append(n.select(row(1, F.col("group"), 1, F.col("node"), shown).alias("r")))
-    numbered = written(metrics.placed(pairs, [F.col("src"), F.col("dst")]).select("src", "dst", (F.col("place") - 1).alias("at")))
-    parts.append(numbered.select(row(3, blank, F.col("at"), blank, F.concat(F.lit("    "), id_("src"), F.lit(" --> "), id_("dst"))).alias("r")))
+    numbered = written(metrics.placed(pairs, [said(F.col("src")), said(F.col("dst"))]).select("src", "dst", (F.col("place") - 1).alias("at")))
+    parts.append(numbered.select(row(3, blank, F.col("at"), blank, F.concat(F.lit("    "), id_(said(F.col("src"))), F.lit(" --> "), id_(said(F.col("dst"))))).alias("r")))
     if cycles is not None:
-        c = written(metrics.placed(cycles.select("path"), [F.col("path")]))
+        c, order = cycles.select("path"), F.col("path")
+        if name:  # from the smallest name, not the smallest number
+            ring = F.transform(F.slice("path", F.lit(1), F.size("path") - 1), lambda node: F.struct(name(node).alias("name"), node.alias("node")))
+            c, order = c.select(graph.turned(ring).alias("ring")).select(F.col("ring.node").alias("path"), F.col("ring.name").alias("names")), F.col("names")
+        c = written(metrics.placed(c, [order]))
         kind = F.format_string("%018d", "place")
         first = c.where("place = 1").select(row(4, blank, 0, blank, F.lit("    %% Circular Dependencies (highlighted)\n    linkStyle default fill:none,stroke:#ff0000,stroke-width:2px,stroke-dasharray:5,5")).alias("r"))
         parts += [first, c.select(row(5, kind, 0, blank, F.concat(F.lit("    %% Cycle "), F.col("place").cast("string"))).alias("r"))]

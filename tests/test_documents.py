@@ -1,8 +1,11 @@
 """Documents in ordered lines: what the parts of a folder say one after the other."""
 
 import glob
+import gzip
 import json
 
+from pyspark.sql import functions as F
+
 from stratagraph.rules.registry import _SCHEMA
 from stratagraph.sinks import documents
 
@@ -37,3 +40,16 @@ def test_sarif_in_lines(spark, tmp_path):
         results = json.loads(text(f"{tmp_path}/{k}"))["runs"][0]["results"]
         assert [r["ruleId"] for r in results] == (["R1", "R1", "R2"] if some else [])
         assert not some or results[2]["message"]["text"] == 'm "1". do' and results[2]["locations"][0]["physicalLocation"]["region"]["startLine"] == 3
+
+
+def test_project_by_number_is_the_same(spark, tmp_path):
+    names = ["var.a", "var.b", "local.c", "aws_x.y", "local.alone"]
+    pairs = [(2, 0), (2, 0), (3, 2), (3, 0), (1, 3), (2, 1)]
+    o = spark.createDataFrame([(n, n.split(".")[0], i) for i, n in enumerate(names)], "full_name string, type string, id long")
+    said = F.array(*map(F.lit, names))
+    by_number = documents.project_lines(o, spark.createDataFrame(pairs, "src long, dst long"), name=lambda c: F.get(said, c.cast("int")))
+    by_name = documents.project_lines(o.drop("id"), spark.createDataFrame([(names[a], names[b]) for a, b in pairs], "src string, dst string"))
+    documents.write_lines(by_number, f"{tmp_path}/n", compression="gzip")
+    documents.write_lines(by_name, f"{tmp_path}/s")
+    packed = b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{tmp_path}/n/part-*")))
+    assert json.loads(gzip.decompress(packed)) == json.loads(text(f"{tmp_path}/s"))
