@@ -11,6 +11,7 @@ from ..sinks import documents
 from .registry import query
 from .scans import _folder
 from .star import table
+from .storage import written
 
 #: Which part depends on which, by their places in a group of 32 parts. Three depend on each other.
 _LINKS = (
@@ -155,9 +156,13 @@ inner_edges as (select a, b from edges where a in (select k from free) and b in
 )
 
 
+def _part_name(key: Column) -> Column:
+    return F.concat(_choice(_NAMES, key % 32), key.cast("string"))
+
+
 def _named_links(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, e = _linked(s, d)
-    name = lambda k: F.concat(_choice(_NAMES, F.col(k) % 32), F.col(k).cast("string"))
+    name = lambda k: _part_name(F.col(k))
     return p.select(name("k").alias("node"), _choice(_TYPES, F.col("r")).alias("type")), e.select(name("src").alias("src"), name("dst").alias("dst"))
 
 
@@ -183,9 +188,12 @@ union all select '    linkStyle ' || no || ' stroke:#ff0000,stroke-width:3px,str
 )
 def diagram_by_depth(s: SparkSession, d: str) -> DataFrame:
     """A chart of the parts, written in order and read back."""
-    nodes, edges = _named_links(s, d)
+    p, edges = _linked(s, d)
+    nodes = p.select(F.col("k").alias("node"), _choice(_TYPES, F.col("r")).alias("type"))
     path = _folder(s)
-    documents.write_lines(documents.diagram_lines(nodes, edges, graph.cycle_witnesses(edges)), path)
+    edges = written(graph.distinct_edges(edges))
+    leveled = written(graph.levels(nodes, edges, distinct=True))
+    documents.write_lines(documents.diagram_lines(nodes, edges, graph.cycle_witnesses(edges, leveled), _part_name, leveled), path)
     return s.read.text(path).select(F.col("value").alias("line"))
 
 

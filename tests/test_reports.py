@@ -69,3 +69,18 @@ def test_missing_names_come_as_they_were_found(spark):
     found, missing = refs.resolve(refs.extract_in_order(o), o)
     s = states.classify(states.features(o.drop("attributes_text"), found, missing)).where("state = 'missing_dependency'").collect()
     assert [(r.full_name, r.state_reason) for r in s] == [("local.a", "References 4 undefined object(s): var.q, var.b, local.z (+1 more)")]
+
+
+def test_diagram_by_number_is_the_same(spark, tmp_path):
+    names = sorted({x for e in EDGES for x in e} | {"lone.n"})
+    by_name = chart(spark, tmp_path / "s", EDGES, names)
+    # Numbers run against the names' order.
+    number = {n: len(names) - i for i, n in enumerate(names)}
+    said = F.array(*(F.lit(n) for n in reversed(names)))
+    nodes = spark.createDataFrame([(number[n], n.split(".")[0]) for n in names], "node long, type string")
+    e = spark.createDataFrame([(number[a], number[b]) for a, b in EDGES], "src long, dst long")
+    e = graph.written(graph.distinct_edges(e))
+    leveled = graph.levels(nodes, e, distinct=True)
+    lines = documents.diagram_lines(nodes, e, graph.cycle_witnesses(e, leveled), lambda c: F.get(said, (c - 1).cast("int")), leveled)
+    documents.write_lines(lines, f"{tmp_path}/n")
+    assert "".join(open(f).read() for f in sorted(glob.glob(f"{tmp_path}/n/part-*"))).splitlines() == by_name
