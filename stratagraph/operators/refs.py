@@ -59,23 +59,23 @@ def resolve(refs: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
     the lengths that unmatched references have (a row for each length, so small). If references have a
     ``place``, missing ones have their first.
 
+    No side is broadcast: what names and their prefixes take in memory has no measure in the bytes of the files that they come from.
     What each reference binds to is written once. Pairs come out of the join once each, with no look at all of them: a reference that begins with
     another of its object that binds by prefix has nothing of its own to add, and is left out before the join (``_covered``).
     """
     names = names.select("full_name").distinct()
     every = refs.select("ref").distinct()
-    wanted = every.join(names, every["ref"] == names["full_name"], "left_anti")
+    wanted = every.join(names.hint("merge"), every["ref"] == names["full_name"], "left_anti")
     sizes = wanted.agg(F.coalesce(F.sort_array(F.collect_set(F.length("ref"))), F.array().cast("array<int>")).alias("sizes")).first().sizes
     fitting = F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length("full_name"))
     prefixes = names.select("full_name", F.explode(F.transform(fitting, lambda n: F.substring(F.col("full_name"), F.lit(1), n))).alias("prefix"))
-    # The names go by, and the one reference that is their prefix is held.
-    bound = prefixes.join(wanted, F.col("prefix") == F.col("ref")).select("ref", "full_name", F.lit(False).alias("exact"))
-    same = names.join(every, F.col("full_name") == F.col("ref")).select("ref", "full_name", F.lit(True).alias("exact"))
+    bound = prefixes.join(wanted.hint("merge"), F.col("prefix") == F.col("ref")).select("ref", "full_name", F.lit(False).alias("exact"))
+    same = names.join(every.hint("merge"), F.col("full_name") == F.col("ref")).select("ref", "full_name", F.lit(True).alias("exact"))
     bound = written(bound.unionAll(same))
     known = bound.select("ref", "exact").distinct()
-    kept = _covered(refs.select("src", "ref").join(known, "ref").repartition("src").distinct()).where(~F.col("covered") | F.col("exact") & ~F.coalesce(F.col("src") != F.col("ref"), F.lit(False)))
-    resolved = kept.drop("exact").join(bound, "ref").where("exact or src <> full_name").select("src", F.col("full_name").alias("dst"))
-    missing = refs.join(known.select("ref"), "ref", "left_anti")
+    kept = _covered(refs.select("src", "ref").join(known.hint("merge"), "ref").repartition("src").distinct()).where(~F.col("covered") | F.col("exact") & ~F.coalesce(F.col("src") != F.col("ref"), F.lit(False)))
+    resolved = kept.drop("exact").join(bound.hint("merge"), "ref").where("exact or src <> full_name").select("src", F.col("full_name").alias("dst"))
+    missing = refs.join(known.select("ref").hint("merge"), "ref", "left_anti")
     first = [F.min("place").alias("place")] if "place" in refs.columns else []
     missing = missing.groupBy("src", "ref").agg(*first) if first else missing.select("src", "ref").distinct()
     return resolved, missing

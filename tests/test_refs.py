@@ -30,3 +30,13 @@ def test_a_name_under_no_object_stays(spark):
     found, missing = refs.resolve(spark.createDataFrame(rows, "src string, ref string"), spark.createDataFrame([("ab",), ("ac",)], "full_name string"))
     assert sorted(map(str, map(tuple, found.collect()))) == ["('ab', 'ab')", "('ab', 'ac')", "(None, 'ab')"]
     assert [tuple(r) for r in missing.collect()] == [("x", None)]
+
+
+def test_names_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], refs.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(refs, "written", lambda df: plans.append(plan(df)) or write(df))
+    names = [(f"part.{i}_key",) for i in range(50)]
+    found, missing = refs.resolve(spark.createDataFrame([("s", "part.1"), ("t", "part.9_key"), ("u", "x")], "src string, ref string"), spark.createDataFrame(names, "full_name string"))
+    assert len(found.collect()) == 12 and [tuple(r) for r in missing.collect()] == [("u", "x")]
+    assert not [p for p in (*plans, plan(found), plan(missing)) if "Broadcast" in p]
