@@ -817,3 +817,29 @@ def test_pairs_that_occur_once_are_not_counted(spark, monkeypatch):
         passed = S._maybe(S._again(coded, 1, every, None, None, 4, 4), np.array(list(keys.values()), np.uint64))
         assert all(ok for ok, p in zip(passed, keys) if pairs[p] >= S.PAIR)
         assert sum(ok for ok, p in zip(passed, keys) if pairs[p] < S.PAIR) <= 2 < sum(n < S.PAIR for n in pairs.values()) / 10
+
+
+def test_decontamination_model_is_of_all_passages(spark):
+    """Words that stand together in documents stand together in the model, wherever the documents that say so are; frequencies alone don't tell."""
+    items = spark.createDataFrame([(k, f"w{k}") for k in range(120)], "item_id long, text string")
+
+    def model(step):
+        pairs = [f"w{k} w{(k + step) % 120}" for k in range(0, 120)]
+        return lsa.fit(docs(spark, [(i, p) for i, p in enumerate(pairs * 3)]), items)
+
+    a, b = model(1), model(7)
+    assert (a.idf == b.idf).all() and not np.allclose(a.basis @ a.basis.T, b.basis @ b.basis.T, atol=0.05)
+
+
+def test_passages_are_added_up_whole():
+    rng = np.random.default_rng(3)
+    found = [rng.integers(-1, 9, n) for n in (0, 1, 31, 32, 33, 5000, 64)] + [np.full(70, -1)] + [rng.integers(-1, 9, 40) for _ in range(300)]
+    test, y, want = rng.integers(-60, 60, (9, 5)).astype(np.int32), np.zeros((9, 5), np.int64), np.zeros((9, 5), np.int64)
+    for ids in found:
+        for a in range(0, len(ids), lsa.PASSAGE):
+            part = ids[a : a + lsa.PASSAGE]
+            c = np.bincount(part[part >= 0], minlength=9)
+            if c.sum():
+                want += np.outer(c, (c @ test) * max(1, lsa.WEIGHT // c.sum() ** 2))
+    lsa._add(found, test, y)
+    assert (y == want).all()
