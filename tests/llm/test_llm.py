@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -843,3 +844,15 @@ def test_passages_are_added_up_whole():
                 want += np.outer(c, (c @ test) * max(1, lsa.WEIGHT // c.sum() ** 2))
     lsa._add(found, test, y)
     assert (y == want).all()
+
+
+def test_words_are_packed_well(spark):
+    """What is written of the words is less than by the session's codec."""
+    pick = random.Random(8)
+    rows = docs(spark, [(i, " ".join(f"w{int(pick.paretovariate(0.7))}" for _ in range(400))) for i in range(200)]).withColumn("held_out", F.lit(False)).coalesce(1)
+    coded = suffixtree._coded(rows, suffixtree.Hashed())
+    size = lambda t: sum(f.stat().st_size for f in Path(t.folder).glob("*.parquet"))
+    plain = common.written(coded, "plain")
+    assert size(coded) < 0.9 * size(plain)
+    assert sorted(map(tuple, coded.collect())) == sorted(map(tuple, plain.collect()))
+    common.discard(coded, plain)
